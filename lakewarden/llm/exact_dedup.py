@@ -92,6 +92,8 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     found = identities(docs, block)
     groups = found.groupBy("round", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # A written table leaves the join free to split the rows of a large group.
+    groups = Scratch(docs.sparkSession, "exact-groups").keep(groups)
     return found.join(groups, ["round", "name"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
