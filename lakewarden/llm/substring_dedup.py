@@ -50,7 +50,7 @@ _NULL_ID = -(1 << 63)
 
 def combine(a: np.ndarray, b: np.ndarray | np.uint64, salt: int) -> np.ndarray:
     """A 64-bit hash of ordered pairs."""
-    x = a * _K1 + (b ^ (b >> _S29)) * _K2 + np.uint64((salt * 0x2545F4914F6CDD1D + 0x1B873593) & (2**64 - 1))
+    x = a * _K1 + np.atleast_1d((b ^ (b >> _S29))) * _K2 + np.uint64((salt * 0x2545F4914F6CDD1D + 0x1B873593) & (2**64 - 1))
     x ^= x >> _S32
     x *= _K3
     x ^= x >> _S29
