@@ -2,10 +2,10 @@
 
 Every document of a source starts with the same expected number of copies, its
 source's target over its source's size. The whole part is taken outright; the
-fraction is a probability. Two fractional documents are paired and words of
-expected mass moved from one to the other, in a random direction that keeps
-both expectations, until one of them is integral; so the expected words of the
-source never change. Sources are dealt into buckets of about ``BUCKET``
+fraction is a probability. A fractional document is paired with another, or with
+all smaller ones together, and words of expected mass are moved between the two
+in a random direction that keeps all expectations, until one of them is
+integral; so the expected words of the source never change. Sources are dealt into buckets of about ``BUCKET``
 documents, each bucket leaves one fractional document at most, and those are
 combined by 64 in each level of a reduction tree until a source has one left,
 which is rounded to the nearer side. A source's words thus miss its target by
@@ -57,9 +57,25 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, li
 
 
 def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Round the probabilities ``p`` in place, pair by pair; the index of the one left open, or -1."""
+    """Round the probabilities ``p`` in place; the index of the one left open, or -1. Sizes must fall.
+
+    While all open documents share one probability, each in turn is paired with
+    all the smaller ones together: it becomes whole or nought and they take or
+    give the difference alike, which keeps every expectation. Where they could
+    not bear it, documents are paired one with one.
+    """
     i = -1
     draws = rng.random(len(p))
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    if len(open_) and np.all(p[open_] == p[open_[0]]):
+        share, rest = float(p[open_[0]]), float(size[open_].sum())
+        for k, j in enumerate(open_):
+            rest -= size[j]
+            one, none = (share + size[j] * (share - x) / rest if rest > 0 else -1.0 for x in (1, 0))
+            if not (0 < one and none < 1):
+                p[open_[k:]] = share
+                break
+            p[j], share = (1.0, one) if draws[j] < share else (0.0, none)
     for j in range(len(p)):
         if p[j] <= 0 or p[j] >= 1:
             continue
