@@ -1 +1 @@
-"""Part of lakewarden."""
+"""lakewarden: data-conformance rules compiled to Spark plans."""
