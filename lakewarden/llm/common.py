@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,6 +56,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished rounds, which it does once their plans are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that long texts cannot fill a Python worker."""
