@@ -7,17 +7,19 @@ size is bounded by ``FEATURES``; scoring reads every document whole.
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole
 
-SAMPLE, FEATURES, FOLDS = 8000, 384, 5
+SAMPLE, FEATURES, FOLDS = 4000, 384, 5
 #: Punctuation that is cut off a word's ends before it becomes a feature.
 EDGE = ".,;:!?#*$%&|<>\"'()[]"
 _MARKS = "!?#*$%&|<>@=_"
@@ -58,38 +60,57 @@ def stems(distinct: set[str]) -> set[str]:
     return plain | {w[:4] + "~" for w in plain if len(w) > 4} | {w[:5] + "~" for w in plain if len(w) > 5}
 
 
-def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int = SAMPLE) -> pd.DataFrame:
-    """doc_id, text and label columns of the sample, on the driver, as features: shape, stems, labels."""
+@dataclass
+class Sample:
+    """The labelled sample on the driver. ``code`` holds the stems of all documents on end, as places in ``names``."""
+
+    doc_id: np.ndarray
+    labels: dict[str, np.ndarray]
+    shapes: np.ndarray
+    names: pa.Array
+    code: np.ndarray
+    owner: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.doc_id)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int = SAMPLE) -> Sample:
+    """Features and labels of the sample; stems come to the driver as Arrow text and are coded there."""
     chosen = labels.dropna(subset=["doc_id", *columns]).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", whole("text").alias("text"))
 
-    @F.pandas_udf("struct<shape: array<double>, stems: array<string>>")
+    @F.pandas_udf("struct<shape: array<double>, stems: string>")
     def featured(text: pd.Series) -> pd.DataFrame:
         rows = [shape(t) for t in text]
-        return pd.DataFrame({"shape": [r[0].tolist() for r in rows], "stems": [sorted(stems(r[1])) for r in rows]})
+        return pd.DataFrame({"shape": [r[0].tolist() for r in rows], "stems": [" ".join(sorted(stems(r[1]))) for r in rows]})
 
     # At most ``sample`` rows are broadcast.
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", *columns, featured("text").alias("x"))
-    return rows.select("doc_id", *columns, "x.shape", "x.stems").toPandas().drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
-
-
-def select(found: list, y: np.ndarray, most: int = FEATURES) -> list[str]:
-    """The stems whose share differs most between the classes, in standard errors."""
-    pos, neg = Counter(), Counter()
-    for stem_list, label in zip(found, y):
-        (pos if label else neg).update(stem_list)
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    scored = []
-    for s in pos.keys() | neg.keys():
-        a, b = pos[s], neg[s]
-        if a + b < 5:
-            continue
-        p = (a + b) / (n1 + n0)
-        z = abs(a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        if z > 4:
-            scored.append((-z, s))
-    return [s for _, s in sorted(scored)[:most]]
+    table = rows.select("doc_id", *columns, "x.shape", "x.stems").toArrow().sort_by("doc_id")
+    ids = table["doc_id"].to_numpy()
+    first = np.concatenate(([True], ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
+    table = table.filter(pa.array(first))
+    cut = pc.split_pattern(table["stems"].combine_chunks(), " ")
+    coded = cut.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(cut)), pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+    shapes = np.array(table["shape"].to_pylist(), np.float64).reshape(len(table), -1)
+    return Sample(table["doc_id"].to_numpy(), {c: table[c].to_numpy() for c in columns}, shapes, coded.dictionary, coded.indices.to_numpy(), owner)
+
+
+def select(data: Sample, rows: np.ndarray, y: np.ndarray, most: int = FEATURES) -> np.ndarray:
+    """Places of the stems whose share differs most between the classes, in standard errors."""
+    label = np.full(len(data), -1.0)
+    label[rows] = y
+    mine = label[data.owner]
+    size = len(data.names)
+    pos, neg = np.bincount(data.code[mine == 1], minlength=size), np.bincount(data.code[mine == 0], minlength=size)
+    n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
+    p = np.clip((pos + neg) / (n1 + n0), 1e-9, 1 - 1e-9)
+    z = np.abs(pos / n1 - neg / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    good = np.flatnonzero((pos + neg >= 5) & (z > 4))
+    return good[np.lexsort((good, -z[good]))[:most]]
 
 
 @dataclass
@@ -100,16 +121,15 @@ class Linear:
     weights: np.ndarray
     bias: float
 
-    def matrix(self, shapes: np.ndarray, found: list, extra: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(found), shapes.shape[1] + extra.shape[1] + len(self.vocabulary)), np.float64)
+    def matrix(self, shapes: np.ndarray, found: list[set[str]], extra: np.ndarray) -> np.ndarray:
         wide = shapes.shape[1] + extra.shape[1]
+        x = np.zeros((len(found), wide + len(self.vocabulary)))
         x[:, : shapes.shape[1]], x[:, shapes.shape[1] : wide] = shapes, extra
         for i, s in enumerate(found):
-            hits = [wide + self.vocabulary[w] for w in self.vocabulary.keys() & s]
-            x[i, hits] = 1.0
+            x[i, [wide + self.vocabulary[w] for w in self.vocabulary.keys() & s]] = 1.0
         return x
 
-    def logit(self, shapes: np.ndarray, found: list, extra: np.ndarray) -> np.ndarray:
+    def logit(self, shapes: np.ndarray, found: list[set[str]], extra: np.ndarray) -> np.ndarray:
         return self.matrix(shapes, found, extra) @ self.weights + self.bias
 
 
@@ -117,13 +137,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(shapes: np.ndarray, found: list, extra: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> Linear:
-    """Ridge-penalised maximum likelihood by Newton's method."""
-    model = Linear({s: i for i, s in enumerate(select(found, y))}, np.zeros(0), 0.0)
-    x = model.matrix(shapes, [set(s) for s in found], extra)
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def fit(data: Sample, rows: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> tuple[Linear, np.ndarray]:
+    """Ridge-penalised maximum likelihood on ``rows`` by Newton's method; also the logits of the whole sample."""
+    chosen = select(data, rows, y)
+    place = np.full(len(data.names), -1)
+    place[chosen] = np.arange(len(chosen))
+    wide = data.shapes.shape[1] + extra.shape[1]
+    every = np.zeros((len(data), wide + len(chosen) + 1))
+    every[:, :wide], every[:, -1] = np.hstack([data.shapes, extra]), 1.0
+    at = place[data.code]
+    every[data.owner[at >= 0], wide + at[at >= 0]] = 1.0
+    x, w = every[rows], np.zeros(every.shape[1])
+    penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     if 0 < y.sum() < len(y):
         for _ in range(steps):
@@ -134,9 +159,9 @@ def fit(shapes: np.ndarray, found: list, extra: np.ndarray, y: np.ndarray, ridge
                 break
     elif len(y):
         w[-1] = 5.0 if y.all() else -5.0
-    model.weights, model.bias = w[:-1], float(w[-1])
-    return model
+    names = data.names.take(pa.array(chosen)).to_pylist()
+    return Linear({s: i for i, s in enumerate(names)}, w[:-1], float(w[-1])), every @ w
 
 
-def fold_of(doc_id: pd.Series) -> np.ndarray:
-    return (pd.util.hash_array(doc_id.to_numpy(dtype=object).astype(str).astype(object)) % FOLDS).astype(int)
+def fold_of(doc_id: np.ndarray) -> np.ndarray:
+    return np.array([zlib.crc32(str(d).encode()) % FOLDS for d in doc_id.tolist()], int)

@@ -33,11 +33,9 @@ SHIFT = 2.0
 def evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Column:
     """The probability of good quality of the column ``text``, by the document's own evidence."""
     arrow_rows(docs.sparkSession)
-    rows = sampled(docs, labels, ["quality"], sample)
-    model = None
-    if len(rows):
-        shapes = np.array(rows["shape"].tolist(), np.float64).reshape(len(rows), -1)
-        model = fit(shapes, rows["stems"].tolist(), np.zeros((len(rows), 0)), (rows["quality"].to_numpy() == 1).astype(np.float64))
+    data, model = sampled(docs, labels, ["quality"], sample), None
+    if len(data):
+        model, _ = fit(data, np.arange(len(data)), np.zeros((len(data), 0)), (data.labels["quality"] == 1).astype(np.float64))
 
     @F.pandas_udf("double")
     def good(text: pd.Series) -> pd.Series:

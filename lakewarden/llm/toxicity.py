@@ -21,30 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, whole
-from .linear import FOLDS, SAMPLE, Linear, fit, fold_of, sampled, shape, sigmoid, stems
+from .linear import FOLDS, SAMPLE, Linear, Sample, fit, fold_of, sampled, shape, sigmoid, stems
 
 #: (category, label column, label value that means the category).
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
-def train_chain(sample: pd.DataFrame, categories: tuple = CATEGORIES) -> list[Linear]:
+def train_chain(data: Sample, categories: tuple = CATEGORIES) -> list[Linear]:
     """One model per category; each takes the out-of-fold logits of those before it."""
-    shapes = np.array(sample["shape"].tolist(), np.float64).reshape(len(sample), -1)
-    found = sample["stems"].tolist()
-    fold, extra, chain = fold_of(sample["doc_id"]), np.zeros((len(sample), 0)), []
+    fold, every = fold_of(data.doc_id), np.arange(len(data))
+    extra, chain = np.zeros((len(data), 0)), []
     for i, (_, column, value) in enumerate(categories):
-        y = (sample[column].to_numpy() == value).astype(np.float64)
-        chain.append(fit(shapes, found, extra, y))
+        y = (data.labels[column] == value).astype(np.float64)
+        chain.append(fit(data, every, extra, y)[0])
         if i + 1 < len(categories):
-            held = np.zeros(len(sample))
+            held = np.zeros(len(data))
             for k in range(FOLDS):
-                out = fold == k
-                if not out.any():
-                    continue
-                rest = np.flatnonzero(~out)
-                model = fit(shapes[rest], [found[j] for j in rest], extra[rest], y[rest])
-                at = np.flatnonzero(out)
-                held[at] = np.clip(model.logit(shapes[at], [set(found[j]) for j in at], extra[at]), -8, 8)
+                out, rest = fold == k, np.flatnonzero(fold != k)
+                if out.any() and len(rest):
+                    held[out] = np.clip(fit(data, rest, extra, y[rest])[1][out], -8, 8)
             extra = np.hstack([extra, held[:, None]])
     return chain
 
