@@ -6,6 +6,7 @@ set apart by U+001F, and leaves anything else as it is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -28,36 +29,39 @@ COMPLETE_SHAPE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2})?(\.\d+)?([+-]\d{2}:?\
 PRECISIONS = ("year", "month", "day", "hour", "minute", "second", "microsecond")
 
 
+_EPOCH, _DAY_US = "1970-01-01", 86_400_000_000
+Add = Callable[[Column], Column]
+
+
 @dataclass
 class DateParts:
-    """Columns derived from one text column; ``parts`` is year to microsecond and zone, NULL where absent."""
+    """Columns derived from one text column."""
 
     text: Column
-    matched: Column
-    parts: list[Column]
+    #: Year to microsecond and zone; NULL if the text is no date, empty or "-" where a part is open.
+    parts: Column
     valid: Column
+    #: Place in ``PRECISIONS`` of the last part before the first open one; -1 without a year.
     precision: Column
+    #: Microseconds since 1970 in UTC; open parts are those of 1970-01-01T00:00:00.
+    micros: Column
 
     def instant(self, precision: Column) -> Column:
-        """The moment in UTC, cut to a precision; absent parts are those of 1970-01-01T00:00:00."""
-        year, month, day, hour, minute, second, micro, zone = self.parts
-        level = [F.lit(i) for i in range(7)]
-
-        def part(c: Column, default: int) -> Column:
-            return F.coalesce(c.try_cast("int"), F.lit(default))
-
-        stamp = F.try_make_timestamp_ntz(part(year, 1970), part(month, 1), part(day, 1), part(hour, 0), part(minute, 0), part(second, 0).cast("decimal(16,6)"))
-        fraction = F.coalesce((F.rpad(F.substring(micro, 1, 6), 6, "0")).try_cast("int"), F.lit(0))
-        sign = F.when(F.startswith(zone, F.lit("-")), 1).otherwise(-1)
-        minutes = F.when(hour.isNotNull() & zone.isNotNull() & (zone != "Z"), sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"))).otherwise(0)
-        # As microseconds of the NTZ clock, which needs no session time zone.
-        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), stamp) + minutes.cast("bigint") * 60_000_000 + fraction
-        moved = F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-        out = micros
-        for name, i in (("SECOND", 5), ("MINUTE", 4), ("HOUR", 3), ("DAY", 2), ("MONTH", 1), ("YEAR", 0)):
-            cut = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc(name, moved).cast("timestamp_ntz"))
-            out = F.when(precision == level[i], cut).otherwise(out)
-        return out
+        """The moment cut to a precision, in microseconds."""
+        days = F.floor(self.micros / _DAY_US).cast("int")
+        epoch = F.lit(_EPOCH).cast("date")
+        date = F.date_add(epoch, days)
+
+        def cut(us: int) -> Column:
+            return F.floor(self.micros / us) * us
+
+        def first(unit: str) -> Column:
+            return F.datediff(F.trunc(date, unit), epoch).cast("bigint") * _DAY_US
+
+        return (
+            F.when(precision == 6, self.micros).when(precision == 5, cut(1_000_000)).when(precision == 4, cut(60_000_000)).when(precision == 3, cut(3_600_000_000))
+            .when(precision == 2, cut(_DAY_US)).when(precision == 1, first("MM")).when(precision == 0, first("YEAR"))
+        )
 
 
 def date_fields(text: Column) -> Column:
@@ -66,33 +70,38 @@ def date_fields(text: Column) -> Column:
     return F.when(F.endswith(out, F.lit("\x1e")), F.split(F.substring(out, F.lit(1), F.length(out) - 1), "\x1f"))
 
 
-def date_parts(text: Column, fields: Column | None = None) -> DateParts:
-    """``fields``: the column of ``date_fields`` where it was written out before."""
-    text = F.coalesce(text, F.lit(""))
-    fields = date_fields(text) if fields is None else fields
-
-    def given(i: int) -> Column:
-        v = F.get(fields, i)
-        return F.when((v != "") & (v != "-"), v)
-
-    plain = [given(i) for i in range(8)]
-    empty = plain[0].isNull()
-    for p in plain[1:8]:
-        empty = empty & p.isNull()
-    later = [given(8 + i) for i in range(8)]
-    clock = [F.lit(None).cast("string")] * 3 + [given(16 + i) for i in range(5)]
-    parts = [F.coalesce(a, F.when(empty, F.coalesce(b, c))) for a, b, c in zip(plain, later, clock)]
-    matched = fields.isNotNull()
-    open_ = F.contains(text, F.lit("/")) | F.contains(text, F.lit("--")) | F.contains(text, F.lit("-:"))
-    year, month, day = (parts[i].try_cast("int") for i in range(3))
-    days = F.day(F.last_day(F.coalesce(F.try_make_timestamp_ntz(year, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0)), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("date")))
-    strict = F.coalesce(year >= 1, F.lit(False)) & ~F.startswith(text, F.lit("-")) & ~(day.isNotNull() & month.isNull()) & ~text.rlike("T-|:-")
-    strict = strict & F.coalesce(day <= days, F.lit(True))
-    valid = matched & (open_ | strict)
-    precision = F.lit(6)
-    for i in range(6, -1, -1):
-        precision = F.when(parts[i].isNull(), F.lit(i - 1)).otherwise(precision)
-    return DateParts(text, matched, parts, valid, F.when(matched, precision))
+def _open(x: Column) -> Column:
+    return (x == "") | (x == "-")
+
+
+def date_parts(text: Column, add: Add) -> DateParts:
+    """``add`` writes an expression out as a column, so that what follows reads it and does not repeat it."""
+    text = add(F.coalesce(text, F.lit("")))
+    fields = add(date_fields(text))
+    own, later = F.slice(fields, 1, 8), F.slice(fields, 9, 8)
+    clock = F.concat(F.array(*[F.lit("")] * 3), F.slice(fields, 17, 5))
+    # The later date of an interval, or a time alone, counts only if the first date is wholly open.
+    parts = add(F.when(F.exists(own, lambda x: ~_open(x)), own).otherwise(F.zip_with(later, clock, lambda a, b: F.when(_open(a), b).otherwise(a))))
+    year, month, day = (F.get(parts, i).try_cast("int") for i in range(3))
+    first_open = F.array_position(F.transform(F.slice(parts, 1, 7), _open), True)
+    precision = add(F.when(first_open == 0, 6).otherwise(first_open.cast("int") - 2))
+
+    def part(i: int, default: int) -> Column:
+        return F.coalesce(F.get(parts, i).try_cast("int"), F.lit(default))
+
+    stamp = F.try_make_timestamp_ntz(part(0, 1970), part(1, 1), part(2, 1), part(3, 0), part(4, 0), part(5, 0).cast("decimal(16,6)"))
+    zone = F.get(parts, 7)
+    fraction = F.coalesce(F.rpad(F.substring(F.get(parts, 6), 1, 6), 6, "0").try_cast("int"), F.lit(0))
+    ahead = F.when(F.startswith(zone, F.lit("-")), 1).otherwise(-1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"))
+    shift = F.when(~_open(F.get(parts, 3)) & (zone != "") & (zone != "Z"), ahead).otherwise(0)
+    micros = add(F.timestamp_diff("MICROSECOND", F.lit(f"{_EPOCH} 00:00:00").cast("timestamp_ntz"), stamp) + shift.cast("bigint") * 60_000_000 + fraction)
+    uncertain = F.contains(text, F.lit("/")) | F.contains(text, F.lit("--")) | F.contains(text, F.lit("-:"))
+    # Without a mark of uncertainty: a year from 1 on, no day without a month, a real day, and no open time.
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    strict = F.coalesce(year >= 1, F.lit(False)) & ~F.startswith(text, F.lit("-")) & ~(day.isNotNull() & month.isNull()) & ~text.rlike("T-|:-") & F.coalesce(day <= days, F.lit(True))
+    valid = add(fields.isNotNull() & (uncertain | strict))
+    return DateParts(text, parts, valid, precision, micros)
 
 
 def valid_duration(text: Column, negative: bool = True) -> Column:

@@ -17,10 +17,11 @@ _COMPONENT = {"year": (1, 4), "month": (6, 2), "day": (9, 2), "hour": (12, 2), "
 
 
 def _parts(ctx: Context, x: Operand) -> dt.DateParts:
-    """Date parts, whose fields are written out once per column."""
-    text = F.coalesce(x.text(), F.lit(""))
-    key = f"date:{x.column}" if x.column else None
-    return dt.date_parts(text, ctx.table.add(dt.date_fields(text), key))
+    """Date parts, written out once per column of the table."""
+    known_ = ctx.table.dates
+    if x.column not in known_ or x.column is None:
+        known_[x.column] = dt.date_parts(x.text(), ctx.table.add)
+    return known_[x.column]
 
 
 def _compare(name: str, test: Callable[[Column, Column], Column]) -> Callable[[Context], Column]:
@@ -106,7 +107,7 @@ def invalid_date_interval(ctx: Context) -> Column:
     text = F.coalesce(ctx.target.text(), F.lit(""))
     a, b = F.split_part(text, F.lit("/"), F.lit(1)), F.split_part(text, F.lit("/"), F.lit(2))
     two = F.regexp_count(text, F.lit("/")) == 1
-    date_a, date_b = dt.date_parts(a).valid, dt.date_parts(b).valid
+    date_a, date_b = dt.date_parts(a, ctx.table.add).valid, dt.date_parts(b, ctx.table.add).valid
     span_a, span_b = dt.valid_duration(a), dt.valid_duration(b)
     return ~F.coalesce(two & ((date_a & (date_b | span_b)) | (span_a & date_b)), F.lit(False))
 

@@ -59,6 +59,12 @@ class Request:
                 out.append(self.table.resolve(str(v)))
         return out
 
+    def write_out(self, expr: Column) -> Column:
+        """A helper column of the source."""
+        name = f"__s{len(self.source.columns)}"
+        self.source = self.source.withColumn(name, expr)
+        return F.col(name)
+
     def need(self, *cols: str) -> None:
         absent = [c for c in cols if c not in self.kinds]
         if absent:
@@ -200,7 +206,7 @@ def _date_extreme(biggest: bool) -> Callable:
             value = F.when(chosen & (known != "") & real, known)
             agg = F.max(value) if biggest else F.min(value)
         else:
-            parts = dt.date_parts(text)
+            parts = dt.date_parts(text, r.write_out)
             good = chosen & parts.valid & (parts.precision >= 0)
             moment = F.when(good, parts.instant(parts.precision))
             # Of equal moments the first record's text.

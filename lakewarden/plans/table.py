@@ -29,6 +29,8 @@ class Table:
         self._kinds = {f.name: kind_of(f.dataType) for f in df.schema}
         self._made: dict[str, str] = {}
         self.bindings: dict[str, Operand] = {}
+        #: Date parts by column.
+        self.dates: dict = {}
         #: Declared lengths and the like, for rules that ask for numbers as text.
         self.meta = {v.name: v for v in dataset.variables} if dataset else {}
 
@@ -67,6 +69,15 @@ class Table:
         self.df = self.df.withColumn(name, expr)
         return F.col(name)
 
+    def settled(self, verdict: Column) -> Column:
+        """A verdict that filters are not pushed below.
+
+        Pushed down, a filter repeats every helper column in place, and those
+        again repeat theirs; the marker is not deterministic, so filters on it
+        stay above the columns that were written out.
+        """
+        return verdict & (self.add(F.monotonically_increasing_id(), "mark") >= 0)
+
     def join(self, other: DataFrame, keys: list[tuple[Column, str]], value: str, kind: str, small: bool = True) -> Column:
         """Left join a table of unique keys; NULL keys pair with NULL."""
         name = f"__x{len(self._made)}"

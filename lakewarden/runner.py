@@ -75,6 +75,7 @@ def compile_rules(rules: list[Rule], table_of, study: Study, dialect: Dialect) -
         except RuleSkipped as e:
             table.df = before
             compiler._seen.clear()
+            table.dates.clear()
             table._made = {k: v for k, v in table._made.items() if v in before.columns}
             skipped.append((rule.id, str(e)))
     return done, table, skipped
@@ -86,10 +87,10 @@ def _pass(done: list[Compiled], table, label: str) -> DataFrame:
     seq = next((c for c in table.names if c.endswith("SEQ") and len(c) <= 5), None)
     subject = tx.text_of(table.col(names["USUBJID"]), table.kind(names["USUBJID"])) if "USUBJID" in names else F.lit(None).cast("string")
     number = tx.number(table.col(seq), table.kind(seq)) if seq else F.lit(None).cast("double")
-    slots = []
+    slots, sure = [], table.settled(F.lit(True))
     for i, c in enumerate(done):
         undecided = c.verdict.isNull() if c.reasons else F.lit(False)
-        slots.append(F.when(F.coalesce(c.verdict, F.lit(False)) | undecided, F.struct(F.lit(i).alias("i"), F.coalesce(c.verdict, F.lit(False)).alias("hit"), c.values.alias("values"), (c.group if c.group is not None else F.lit(None).cast("string")).alias("grp"))))
+        slots.append(F.when(sure & (F.coalesce(c.verdict, F.lit(False)) | undecided), F.struct(F.lit(i).alias("i"), F.coalesce(c.verdict, F.lit(False)).alias("hit"), c.values.alias("values"), (c.group if c.group is not None else F.lit(None).cast("string")).alias("grp"))))
     rows = table.df.select(F.col(RECORD).alias("Record"), subject.alias("USUBJID"), number.alias("SEQ"), F.explode(F.filter(F.array(*slots), lambda x: x.isNotNull())).alias("s"))
     return rows.select("Record", "USUBJID", "SEQ", "s.*", F.lit(label).alias("Dataset"))
 
