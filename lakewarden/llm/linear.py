@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import whole
 
 SAMPLE, FEATURES, FOLDS = 4000, 384, 5
+#: Measures of form that ``shape`` takes.
+SHAPES = 12
 #: Punctuation that is cut off a word's ends before it becomes a feature.
 EDGE = ".,;:!?#*$%&|<>\"'()[]"
 _MARKS = "!?#*$%&|<>@=_"
@@ -95,7 +97,7 @@ def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int
     cut = pc.split_pattern(table["stems"].combine_chunks(), " ")
     coded = cut.flatten().dictionary_encode()
     owner = np.repeat(np.arange(len(cut)), pc.list_value_length(cut).to_numpy(zero_copy_only=False))
-    shapes = np.array(table["shape"].to_pylist(), np.float64).reshape(len(table), -1)
+    shapes = np.array(table["shape"].to_pylist(), np.float64).reshape(len(table), SHAPES)
     return Sample(table["doc_id"].to_numpy(), {c: table[c].to_numpy() for c in columns}, shapes, coded.dictionary, coded.indices.to_numpy(), owner)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, whole
-from .linear import SAMPLE, fit, sampled, shape, sigmoid, stems
+from .linear import SAMPLE, SHAPES, fit, sampled, shape, sigmoid, stems
 
 #: Weight of a prior where the data show no variance to fit it, and its largest weight.
 WEIGHT, MOST = 50.0, 10_000.0
@@ -42,7 +42,7 @@ def evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Column
         if model is None:
             return pd.Series(np.full(len(text), 0.99))
         parts = [shape(t) for t in text]
-        z = model.logit(np.array([p[0] for p in parts]).reshape(len(parts), -1), [stems(p[1]) for p in parts], np.zeros((len(parts), 0)))
+        z = model.logit(np.array([p[0] for p in parts]).reshape(len(parts), SHAPES), [stems(p[1]) for p in parts], np.zeros((len(parts), 0)))
         return pd.Series(np.clip(sigmoid(z), 1e-4, 1 - 1e-4))
 
     return good(whole("text"))

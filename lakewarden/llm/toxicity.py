@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, whole
-from .linear import FOLDS, SAMPLE, Linear, Sample, fit, fold_of, sampled, shape, sigmoid, stems
+from .linear import FOLDS, SAMPLE, Linear, SHAPES, Sample, fit, fold_of, sampled, shape, sigmoid, stems
 
 #: (category, label column, label value that means the category).
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
@@ -47,7 +47,7 @@ def train_chain(data: Sample, categories: tuple = CATEGORIES) -> list[Linear]:
 def chain_logits(chain: list[Linear], texts: pd.Series) -> np.ndarray:
     """Logits of all categories for each text."""
     rows = [shape(t) for t in texts]
-    shapes, found = np.array([r[0] for r in rows]).reshape(len(rows), -1), [stems(r[1]) for r in rows]
+    shapes, found = np.array([r[0] for r in rows]).reshape(len(rows), SHAPES), [stems(r[1]) for r in rows]
     extra = np.zeros((len(rows), 0))
     for model in chain:
         z = model.logit(shapes, found, extra)
