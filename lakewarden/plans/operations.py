@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -416,10 +418,6 @@ operation("global_min_variable_length")(lambda r: _lengths(r, True, False))
 @operation("get_xhtml_errors")
 def get_xhtml_errors(r: Request) -> Operand:
     """Well-formedness errors per cell, found once per distinct value."""
-    import xml.etree.ElementTree as ET
-
-    import pandas as pd
-
     name = r.name()
     if not r.table.has(name):
         raise RuleSkipped(f"needs {name}, which this dataset does not have")
