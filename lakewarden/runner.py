@@ -95,16 +95,15 @@ def _pass(done: list[Compiled], table, label: str) -> DataFrame:
     return rows.select("Record", "USUBJID", "SEQ", "s.*", F.lit(label).alias("Dataset"))
 
 
-def _reported(hits: DataFrame, c: Compiled, whole: bool, study_wide: bool) -> DataFrame:
+def _reported(hits: DataFrame, c: Compiled, joined: bool, study_wide: bool) -> DataFrame:
     """The hits of one rule as its sensitivity reports them."""
     rule = c.rule
     rows = hits.filter("hit")
-    per_value = rule.rule_type in VALUE_TYPES
     if rule.sensitivity in ("Dataset", "Study") or study_wide:
         rows = rows.groupBy("Dataset").agg(F.min_by("values", "Record").alias("values")).select(F.lit(None).cast("bigint").alias("Record"), F.lit(None).cast("string").alias("USUBJID"), F.lit(None).cast("double").alias("SEQ"), "values", F.lit("STUDY").alias("Dataset") if study_wide else F.col("Dataset"))
     elif c.group is not None:
         rows = rows.groupBy("Dataset", "grp").agg(F.min_by(F.struct("Record", "USUBJID", "SEQ", "values"), "Record").alias("r")).select("r.*", "Dataset")
-    elif whole and not per_value:
+    elif joined:
         # Joins may repeat a record: its first row stands for it.
         rows = rows.groupBy("Dataset", "Record").agg(F.min(F.struct("USUBJID", "SEQ", "values")).alias("r")).select("Record", "r.*", "Dataset")
     return rows.select(F.lit(rule.id).alias("rule_id"), "Dataset", "Record", "USUBJID", "SEQ", "values", F.lit(rule.message).alias("issue"))
@@ -174,10 +173,19 @@ def _run_group(some: list[Rule], d: Dataset, study: Study, hits: list, skipped:
     kept.append(flat)
     open_ = [i for i, c in enumerate(done) if c.reasons]
     undecided = {r["i"] for r in flat.filter(F.col("i").isin(open_) & ~F.col("hit")).select("i").distinct().collect()} if open_ else set()  # rule numbers of this pass
+    plain: list[int] = []
     for i, c in enumerate(done):
         if i in undecided:
             skipped.append((c.rule.id, d.name, "; ".join(dict.fromkeys(c.reasons))))
             continue
         ran.append((c.rule.id, d.name))
         presence = c.rule.rule_type == "Domain Presence Check"
-        hits.append(_reported(flat.filter(F.col("i") == i), c, bool(c.rule.match_datasets), presence))
+        joined = bool(c.rule.match_datasets) and c.rule.rule_type not in VALUE_TYPES
+        if c.rule.sensitivity in ("Dataset", "Study") or presence or joined or c.group is not None:
+            hits.append(_reported(flat.filter(F.col("i") == i), c, joined, presence))
+        else:
+            plain.append(i)
+    if plain:  # all rules that report record by record, in one reading of the pass
+        at = F.col("i") + 1
+        ids, messages = (F.element_at(F.array(*(F.lit(getattr(c.rule, what)) for c in done)), at) for what in ("id", "message"))
+        hits.append(flat.filter(F.col("hit") & F.col("i").isin(plain)).select(ids.alias("rule_id"), "Dataset", "Record", "USUBJID", "SEQ", "values", messages.alias("issue")))
