@@ -253,7 +253,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 def _earlier(rows: DataFrame, by: list[str], scratch: Scratch, how: str = "left") -> DataFrame:
     """``rows`` with the smallest document that has the same key, if it has one in two documents."""
     least = rows.groupBy(*by).agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select(*by, "least")
-    return rows.join(scratch.keep(least), by, how)
+    least = scratch.keep(least)
+    scratch.release()
+    return rows.join(least, by, how)
 
 
 def _ranges() -> Column:
@@ -282,11 +284,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     scratch.release()
     whole_runs = judged.filter("least < id").select(*key, "p", "more")
     left = scratch.keep(_shared(judged.filter("least is null or least >= id").select("symbol", *key, "p", "more")).groupBy(*key).agg(_ranges()))
-    windows = scratch.keep(blocks.join(left, key).select(*key, "block", "ranges").mapInArrow(_find_windows, "id bigint, tag bigint, p int, w1 bigint, w2 bigint"))
+    # Hashed twice, for the sums and for the join, as a table of all windows would outgrow the text.
+    windows = blocks.join(left, key).select(*key, "block", "ranges").mapInArrow(_find_windows, "id bigint, tag bigint, p int, w1 bigint, w2 bigint")
     scratch.release()
     single = _earlier(windows, ["w1", "w2"], scratch, "inner").filter("least < id").select(*key, "p", F.lit(0).alias("more"))
     ranges = scratch.keep(whole_runs.union(single).groupBy(*key).agg(_ranges()))
-    scratch.drop(judged, left, windows)
+    scratch.drop(judged, left)
     scratch.release()
     out = blocks.join(ranges, key, "left").select(*key, "block", "ranges").mapInArrow(_cut_out, "id bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept_text")
