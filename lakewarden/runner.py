@@ -20,7 +20,7 @@ from .model import RECORD, Dataset, Dialect, Result, Rule, RuleSkipped, Study
 from .plans import scope
 from .plans.evaluate import Compiler
 from .plans.matching import match
-from .plans.reshape import STUDY_TYPES, SUPPORTED, VALUE_TYPES, as_table, build
+from .plans.reshape import DATASET_TYPES, STUDY_TYPES, SUPPORTED, VALUE_TYPES, as_table, build
 from .results import NOT_IN_DATASET, capped, check_names, melt, with_triage
 
 #: Rules compiled into one projection at most; more would outgrow what generated code may hold.
@@ -99,7 +99,7 @@ def _reported(hits: DataFrame, c: Compiled, joined: bool, study_wide: bool) -> D
     """The hits of one rule as its sensitivity reports them."""
     rule = c.rule
     rows = hits.filter("hit")
-    if rule.sensitivity in ("Dataset", "Study") or study_wide:
+    if rule.sensitivity in ("Dataset", "Study") or rule.rule_type in DATASET_TYPES or study_wide:
         rows = rows.groupBy("Dataset").agg(F.min_by("values", "Record").alias("values")).select(F.lit(None).cast("bigint").alias("Record"), F.lit(None).cast("string").alias("USUBJID"), F.lit(None).cast("double").alias("SEQ"), "values", F.lit("STUDY").alias("Dataset") if study_wide else F.col("Dataset"))
     elif c.group is not None:
         rows = rows.groupBy("Dataset", "grp").agg(F.min_by(F.struct("Record", "USUBJID", "SEQ", "values"), "Record").alias("r")).select("r.*", "Dataset")
@@ -181,7 +181,8 @@ def _run_group(some: list[Rule], d: Dataset, study: Study, hits: list, skipped:
         ran.append((c.rule.id, d.name))
         presence = c.rule.rule_type == "Domain Presence Check"
         joined = bool(c.rule.match_datasets) and c.rule.rule_type not in VALUE_TYPES
-        if c.rule.sensitivity in ("Dataset", "Study") or presence or joined or c.group is not None:
+        about_dataset = c.rule.rule_type in DATASET_TYPES
+        if c.rule.sensitivity in ("Dataset", "Study") or about_dataset or presence or joined or c.group is not None:
             hits.append(_reported(flat.filter(F.col("i") == i), c, joined, presence))
         else:
             plain.append(i)
