@@ -74,6 +74,13 @@ def _open(x: Column) -> Column:
     return (x == "") | (x == "-")
 
 
+def _day_number(year: Column, month: Column, day: Column) -> Column:
+    """Days since 1970-01-01, counted in years that begin in March, so that the leap day comes last."""
+    y = year - F.when(month <= 2, 1).otherwise(0)
+    in_year = F.floor((153 * F.pmod(month + 9, F.lit(12)) + 2) / 5) + day - 1
+    return y * 365 + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400) + in_year - 719_468
+
+
 def date_parts(text: Column, add: Add) -> DateParts:
     """``add`` writes an expression out as a column, so that what follows reads it and does not repeat it."""
     text = add(F.coalesce(text, F.lit("")))
@@ -89,12 +96,13 @@ def date_parts(text: Column, add: Add) -> DateParts:
     def part(i: int, default: int) -> Column:
         return F.coalesce(F.get(parts, i).try_cast("int"), F.lit(default))
 
-    stamp = F.try_make_timestamp_ntz(part(0, 1970), part(1, 1), part(2, 1), part(3, 0), part(4, 0), part(5, 0).cast("decimal(16,6)"))
+    day_no = _day_number(part(0, 1970), part(1, 1), part(2, 1))
+    clock_s = part(3, 0) * 3600 + part(4, 0) * 60 + part(5, 0)
     zone = F.get(parts, 7)
     fraction = F.coalesce(F.rpad(F.substring(F.get(parts, 6), 1, 6), 6, "0").try_cast("int"), F.lit(0))
     ahead = F.when(F.startswith(zone, F.lit("-")), 1).otherwise(-1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"))
     shift = F.when(~_open(F.get(parts, 3)) & (zone != "") & (zone != "Z"), ahead).otherwise(0)
-    micros = add(F.timestamp_diff("MICROSECOND", F.lit(f"{_EPOCH} 00:00:00").cast("timestamp_ntz"), stamp) + shift.cast("bigint") * 60_000_000 + fraction)
+    micros = add((day_no.cast("bigint") * 86_400 + clock_s + shift * 60) * 1_000_000 + fraction)
     uncertain = F.contains(text, F.lit("/")) | F.contains(text, F.lit("--")) | F.contains(text, F.lit("-:"))
     # Without a mark of uncertainty: a year from 1 on, no day without a month, a real day, and no open time.
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
