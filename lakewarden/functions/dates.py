@@ -89,18 +89,25 @@ def date_parts(text: Column, add: Add) -> DateParts:
     clock = F.concat(F.array(*[F.lit("")] * 3), F.slice(fields, 17, 5))
     # The later date of an interval, or a time alone, counts only if the first date is wholly open.
     parts = add(F.when(F.exists(own, lambda x: ~_open(x)), own).otherwise(F.zip_with(later, clock, lambda a, b: F.when(_open(a), b).otherwise(a))))
-    year, month, day = (F.get(parts, i).try_cast("int") for i in range(3))
+
+    def given(i: int) -> Column:
+        # Casts that fail are slow, so open parts are kept from them; the others are digits by the pattern.
+        x = F.get(parts, i)
+        return F.when(~_open(x), x).try_cast("int")
+
+    year, month, day = (given(i) for i in range(3))
     first_open = F.array_position(F.transform(F.slice(parts, 1, 7), _open), True)
     precision = add(F.when(first_open == 0, 6).otherwise(first_open.cast("int") - 2))
 
     def part(i: int, default: int) -> Column:
-        return F.coalesce(F.get(parts, i).try_cast("int"), F.lit(default))
+        return F.coalesce(given(i), F.lit(default))
 
     day_no = _day_number(part(0, 1970), part(1, 1), part(2, 1))
     clock_s = part(3, 0) * 3600 + part(4, 0) * 60 + part(5, 0)
     zone = F.get(parts, 7)
     fraction = F.coalesce(F.rpad(F.substring(F.get(parts, 6), 1, 6), 6, "0").try_cast("int"), F.lit(0))
-    ahead = F.when(F.startswith(zone, F.lit("-")), 1).otherwise(-1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"))
+    offset = F.when((zone != "") & (zone != "Z"), zone)
+    ahead = F.when(F.startswith(offset, F.lit("-")), 1).otherwise(-1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int"))
     shift = F.when(~_open(F.get(parts, 3)) & (zone != "") & (zone != "Z"), ahead).otherwise(0)
     micros = add((day_no.cast("bigint") * 86_400 + clock_s + shift * 60) * 1_000_000 + fraction)
     uncertain = F.contains(text, F.lit("/")) | F.contains(text, F.lit("--")) | F.contains(text, F.lit("-:"))
