@@ -107,6 +107,7 @@ def drop_exact_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     scratch = Scratch(docs.sparkSession, "exact-kept")
     stay = scratch.keep(exact_dedup(docs, block).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
+    stay = stay.hint("merge")  # the rows that stay grow with the input: no broadcast, at any size
     rows = docs.withColumn("_sha2", F.sha2(whole("text"), 256))
     kept = rows.join(stay, (rows["_sha2"] == stay["_sha"]) & rows["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
     # Rows that agree in doc_id and text: one of them stays.

@@ -166,7 +166,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     size = F.size(words_of(whole("text")))
     found = scratch.keep(_copies(docs, size, scratch, weights, share, limit).groupBy("doc_id", F.col("size").alias("_size"), F.col("target").alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_c")).drop("_t"))
     rows = docs.withColumn("_words", size.cast("long"))
-    plain = found.filter("_n = 1 and _c > 0").select(F.col("doc_id").alias("_id"), "_size", F.col("_c").alias("_copies"))
+    plain = found.filter("_n = 1 and _c > 0").select(F.col("doc_id").alias("_id"), "_size", F.col("_c").alias("_copies")).hint("merge")  # grows with the input: no broadcast, at any size
     again = found.filter("_n > 1")
     out = rows.join(plain, rows["doc_id"].eqNullSafe(plain["_id"]) & (rows["_words"] == plain["_size"]))
     if not again.isEmpty():

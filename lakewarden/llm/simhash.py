@@ -224,4 +224,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id, with all its columns."""
     scratch = Scratch(docs.sparkSession, "simhash-kept")
     stay = scratch.keep(near_dedup(docs, shingle).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    stay = stay.hint("merge")  # the ids that stay grow with the input: no broadcast, at any size
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
