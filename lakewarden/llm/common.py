@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,8 +59,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished rounds, which it does once their plans are collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first pass frees the plans, the second the shuffles that only they held
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
