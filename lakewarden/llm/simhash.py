@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, whole
 from .components import components
+from .near_copies import least_ids
 
 RADIUS, SEED, FANOUT, DENSE = 2, 42, 8, 8192
 #: (first bit, bits) of the bands.
@@ -221,8 +222,6 @@ def near_dedup(docs: DataFrame, shingle: int = 3, dense: int = DENSE) -> DataFra
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id, with all its columns."""
-    scratch = Scratch(docs.sparkSession, "simhash-kept")
-    stay = scratch.keep(near_dedup(docs, shingle).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    stay = stay.hint("merge")  # the ids that stay grow with the input: no broadcast, at any size
+    """One document of each group of near copies (``near_copies``): the one with the smallest doc_id, with all its columns."""
+    stay = least_ids(docs, shingle).hint("merge")  # the ids that stay grow with the input: no broadcast, at any size
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
