@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -60,12 +61,19 @@ def read_file(spark: SparkSession, path: Path, name: str | None = None) -> Datas
     raise ValueError(f"no reader for {path.name}")
 
 
+def _is_usdm(text: str) -> bool:
+    """Told by keys, wherever they stand: ``usdmVersion`` often comes below the study object. A quoted word in a cell is no key."""
+    if re.search(r'"datasetJSONVersion"\s*:', text):
+        return False
+    return re.search(r'"usdmVersion"\s*:|"study"\s*:\s*\{', text) is not None
+
+
 def read_folder(spark: SparkSession, folder: str | Path) -> Study:
     folder = Path(folder)
     if not folder.is_dir():
         raise FileNotFoundError(f"no such folder: {folder}")
     files = sorted(folder.iterdir())
-    documents = [p for p in files if p.suffix == ".json" and '"usdmVersion"' in p.read_text(encoding="utf-8", errors="replace")[:20000]]
+    documents = [p for p in files if p.suffix == ".json" and _is_usdm(p.read_text(encoding="utf-8", errors="replace"))]
     if documents:
         if len(documents) > 1:
             raise ValueError("a folder must hold one USDM document")
