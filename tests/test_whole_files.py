@@ -1,7 +1,11 @@
 from __future__ import annotations
 
 import json
+import zipfile
 
+import pytest
+
+from lakewarden.sinks import CELL, _workbook
 from lakewarden.sources.study_folder import read_folder
 
 
@@ -22,3 +26,13 @@ def test_dataset_json_with_usdm_words_in_cells(spark, tmp_path):
     (tmp_path / "ae.json").write_text(json.dumps({"datasetJSONVersion": "1.1.0", "name": "AE", "records": 3, "columns": columns, "rows": rows}))
     study = read_folder(spark, tmp_path)
     assert [r.A for r in study.datasets["AE"].df.collect()] == [r[0] for r in rows]
+
+
+def test_workbook_refuses_a_text_that_no_cell_holds(tmp_path):
+    path = tmp_path / "out.xlsx"
+    with pytest.raises(ValueError, match="the Records sheet's Value holds more than 32,767 characters"):
+        _workbook(path, {"Problems": (["rule_id"], [("r",)]), "Records": (["Record", "Value"], [(1, "x" * (CELL + 1))])})
+    assert not path.exists()
+    _workbook(path, {"Records": (["Record", "Value"], [(1, "x" * CELL), (2, None)])})
+    with zipfile.ZipFile(path) as z:
+        assert "x" * CELL in z.read("xl/worksheets/sheet1.xml").decode()
