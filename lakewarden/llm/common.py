@@ -1,31 +1,37 @@
-"""Shared plumbing of the corpus operators: scratch tables, Arrow batches, keys."""
+"""Shared plumbing of the corpus operators: scratch tables, row keys, Arrow batches, words."""
 
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: U+0020 and U+0009 to U+000D, as a Java character class.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+#: Characters (or bytes) of a very long text that are cut into words at once.
+PORTION = 1 << 20
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset a local session gets a temporary folder of its own; a
-    cluster session must name one, as a local folder would not be shared.
+    Where it is unset a local session, whose driver and executors are one
+    process, gets a temporary folder of its own; a cluster session must name
+    one, as a local folder would not be shared.
     """
     given = spark.conf.get("spark.checkpoint.dir", "") or ""
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lakewarden-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -33,40 +39,102 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: The scratch tables made since each open ``scratch_scope``.
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Delete the scratch tables made inside once the block ends; nothing may read them after that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.clear()
+
+
 class Scratch:
-    """Intermediate tables in the shared folder; they cut lineage and survive lost executors."""
+    """Intermediate tables in the shared folder; they cut lineage and survive lost executors.
+
+    A table is deleted by ``drop``, at the end of a ``scratch_scope``, or, as a
+    result may still read it, when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        path, fs = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def _at(self, name: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return the table that was written."""
+        """Write ``df`` once and return the table that was written; the shuffles that made it are freed."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_FREE_SHUFFLES)
+        self.spark.conf.set(_FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_FREE_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            path, fs = self._at(table._scratch_path)
+            fs.delete(path, True)
+
+    def clear(self) -> None:
+        """Delete all tables."""
+        path, fs = self._at(self.root)
+        fs.delete(path, True)
+
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished rounds, which it does once their plans are collected."""
-        for _ in range(2):  # the first pass frees the plans, the second the shuffles that only they held
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
+def keyed(docs: DataFrame, **derived: Column) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names), ``rid`` (a number of its own) and ``derived``.
+
+    ``rid`` is fixed once the table is written.
+    """
+    return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("rid"), *(c.alias(n) for n, c in derived.items()))
+
+
+def unkeyed(rows: DataFrame) -> DataFrame:
+    """The columns that ``keyed`` put in ``row``."""
+    return rows.select("row.*")
+
+
+def placed(values: DataFrame, scratch: Scratch, *by: Column) -> DataFrame:
+    """``values`` with ``place``, from 0 in the order of ``by``.
+
+    Sorted by ranges of the order and numbered within each; what goes to the
+    driver is a count per range.
+    """
+    part = F.shiftright("place", 33)
+    sorted_ = scratch.keep(values.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()))
+    begin, total = [(-1, 0)], 0
+    for p, n in sorted((r["p"], r["n"]) for r in sorted_.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        begin.append((p, total))
+        total += n
+    starts = values.sparkSession.createDataFrame(begin, "part bigint, begin bigint")
+    # One row per range is broadcast.
+    return sorted_.join(F.broadcast(starts), part == F.col("part")).withColumn("place", F.col("begin") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "begin")
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts cannot fill a Python worker."""
+    """Bound the rows of an Arrow batch (Spark bounds its bytes), so that a Python worker holds few texts at a time.
+
+    The setting stays, as the plans returned run later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -80,5 +148,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
+def word_blocks(text: bytes, size: int = PORTION) -> Iterator[list[bytes]]:
+    """The words of a text in order, those of about ``size`` bytes at a time."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            gap = _GAP.search(text, end)
+            end = gap.start() if gap else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,8 +13,9 @@ the keys are taken anew with another seed.
 
 Defined results: null text counts as empty; empty texts are equal to each other;
 equal texts keep the row with the largest doc_id (null is smallest, and of fully
-equal keys one row); an empty table gives an empty result; columns other than
-the key and text are ignored, whatever their names.
+equal keys one row); very long texts are cut and named block by block; an empty
+table gives an empty result; other columns are kept by ``drop_exact_copies``,
+whatever their names, and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole
+from .common import Scratch, keyed, unkeyed, whole
 
 BLOCK = 4096
 
@@ -40,7 +41,7 @@ def _first_names(scratch: Scratch, docs: DataFrame, block: int) -> tuple[DataFra
     """(row, doc_id, sha, keys of its blocks) and (h1, h2, name of that block)."""
     text = F.col("text")
     blocks = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % block), F.lit(0)))
-    cut = docs.select("doc_id", "text", blocks.alias("blocks"))
+    cut = docs.select("row", "doc_id", "text", blocks.alias("blocks"))
     distinct = docs.select(F.explode(blocks).alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     seed = 1
     while True:
@@ -50,7 +51,7 @@ def _first_names(scratch: Scratch, docs: DataFrame, block: int) -> tuple[DataFra
         scratch.drop(names)
         seed += 1
     rows = cut.select(
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         "doc_id",
         F.sha2(F.col("text"), 256).alias("sha"),
         F.transform("blocks", lambda b: _key(b, seed)).alias("keys"),
@@ -58,10 +59,8 @@ def _first_names(scratch: Scratch, docs: DataFrame, block: int) -> tuple[DataFra
     return scratch.keep(rows), names
 
 
-def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): row, doc_id, sha, and its identity (round, name)."""
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
-    docs = docs.select("doc_id", whole("text").alias("text"))
+def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs`` (row, doc_id, text): row, doc_id, sha, and its identity (round, name)."""
     rows, names = _first_names(scratch, docs, block)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names")
     state = scratch.keep(rows.select("row", F.posexplode("keys").alias("pos", "k")).select("row", "pos", "k.h1", "k.h2").join(names, ["h1", "h2"]).groupBy("row").agg(ordered))
@@ -88,12 +87,18 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return scratch.keep(rows.select("row", "doc_id", "sha").join(found, "row"))
 
 
-def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = identities(docs, block)
+def _groups(docs: DataFrame, scratch: Scratch, block: int) -> tuple[DataFrame, DataFrame]:
+    """The identities of ``docs`` (row, doc_id, text), and per identity its best row and size."""
+    found = identities(docs, scratch, block)
     groups = found.groupBy("round", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     # A written table leaves the join free to split the rows of a large group.
-    groups = Scratch(docs.sparkSession, "exact-groups").keep(groups)
+    return found, scratch.keep(groups)
+
+
+def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    found, groups = _groups(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole("text").alias("text")), scratch, block)
     return found.join(groups, ["round", "name"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
@@ -106,11 +111,7 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     scratch = Scratch(docs.sparkSession, "exact-kept")
-    stay = scratch.keep(exact_dedup(docs, block).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
-    stay = stay.hint("merge")  # the rows that stay grow with the input: no broadcast, at any size
-    rows = docs.withColumn("_sha2", F.sha2(whole("text"), 256))
-    kept = rows.join(stay, (rows["_sha2"] == stay["_sha"]) & rows["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    # Rows that agree in doc_id and text: one of them stays.
-    if not docs.select("doc_id", F.xxhash64(whole("text")).alias("h")).groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_sha2"])
-    return kept.drop("_sha2")
+    rows = scratch.keep(keyed(docs))
+    _, groups = _groups(rows.select(F.col("rid").alias("row"), "row.doc_id", whole(F.col("row.text")).alias("text")), scratch, block)
+    # The rows that stay grow with the input: no broadcast, at any size.
+    return unkeyed(rows.select("rid", "row").join(groups.select(F.col("best.row").alias("rid")).hint("merge"), "rid"))

@@ -88,12 +88,10 @@ def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int
         rows = [shape(t) for t in text]
         return pd.DataFrame({"shape": [r[0].tolist() for r in rows], "stems": [" ".join(sorted(stems(r[1]))) for r in rows]})
 
-    # At most ``sample`` rows are broadcast.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", *columns, featured("text").alias("x"))
+    # At most ``sample`` rows are broadcast. Of rows that share a labelled id one is taken, by its text, before its features are.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("t"), *(F.first(c).alias(c) for c in columns))
+    rows = rows.select("doc_id", *columns, featured("t.text").alias("x"))
     table = rows.select("doc_id", *columns, "x.shape", "x.stems").toArrow().sort_by("doc_id")
-    ids = table["doc_id"].to_numpy()
-    first = np.concatenate(([True], ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
-    table = table.filter(pa.array(first))
     cut = pc.split_pattern(table["stems"].combine_chunks(), " ")
     coded = cut.flatten().dictionary_encode()
     owner = np.repeat(np.arange(len(cut)), pc.list_value_length(cut).to_numpy(zero_copy_only=False))

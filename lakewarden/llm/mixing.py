@@ -11,11 +11,16 @@ combined by 64 in each level of a reduction tree until a source has one left,
 which is rounded to the nearer side. A source's words thus miss its target by
 half a document at most.
 
-Randomness comes from the source, bucket and level, and buckets from doc_id and
-size, so reruns agree. Defined results: null text has no words; the null source
+Sources may be many (hosts, say): they are numbered by ranges, and the level to
+which targets fill up is found by a few sums over all of them.
+
+Randomness comes from the source, bucket and level. Rows are numbered in the order
+of source, doc_id and size, and buckets come from that number, so reruns agree and
+rows equal in all three crowd no bucket. Defined results: null text has no words; the null source
 is a source of its own, last; sources without words have target 0; repeated rows
-count as documents of their own; an empty table gives an empty result; other
-columns are kept by ``mix`` and ignored by ``mixture``.
+count as documents of their own; very long texts are only counted, within their
+row; an empty table gives an empty result; other columns are kept by ``mix``,
+whatever their names, and ignored by ``mixture``.
 """
 
 from __future__ import annotations
@@ -28,32 +33,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole, words_of
+from .common import Scratch, keyed, placed, unkeyed, whole, words_of
 
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
 BUCKET, FAN_IN, SEED = 8192, 64, 20_240_607
-_ROW = "sid long, bucket long, doc_id {id}, size long, order long, whole long, p double, open boolean"
+_ROW = "sid long, bucket long, rid long, doc_id {id}, size long, place long, order long, whole long, p double, open boolean"
 
 
-def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+def targets(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """Per source of ``sizes`` (source, size): sid, source_size, documents and target.
 
     Targets fill up like water: all sources rise in proportion to their weights
-    until ``limit`` times their size. The sort runs over one row per source.
+    until ``limit`` times their size. The level is a root of a sum over sources
+    that bends at each source's limit; Newton's steps reach it exactly, as each
+    takes the limits passed so far into account.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("sid", place.cast("long")).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(limit))
-    level = F.col("cap") / F.col("weight")
-    rising = W.orderBy(level, "sid")
-    total = F.sum("source_size").over(W.partitionBy()) * F.lit(share)
-    below = F.sum("cap").over(rising) - F.col("cap")
-    above = F.sum("weight").over(W.partitionBy()) - F.sum("weight").over(rising) + F.col("weight")
-    mark = (total - below) / above
-    per = per.withColumn("level", level).withColumn("mark", mark)
-    water = F.max(F.when(F.col("mark") <= F.col("level") + 1e-9, F.col("mark"))).over(W.partitionBy())
-    return per.select("source", "sid", "source_size", "documents", F.least("cap", F.coalesce(water, F.lit(0.0)) * F.col("weight")).alias("target"))
+    per = placed(per, scratch, F.col("source").asc_nulls_last()).withColumnRenamed("place", "sid")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("sid", F.lit(len(weights))) + 1).cast("int"))
+    per = scratch.keep(per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(limit)))
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, below = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        n, held, rising = per.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == below or not rising:
+            break
+        level, below = (total - (held or 0.0)) / rising, n
+    filled = F.least("cap", F.lit(level) * F.col("weight")) if rising else F.col("cap")
+    return scratch.keep(per.select("source", "sid", "source_size", "documents", filled.alias("target")))
 
 
 def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
@@ -101,7 +109,7 @@ def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np
 def _round_bucket(level: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # By falling size: partners are of like size, and the one left open at the end is small.
-        rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["size", "order", "place"], ascending=[False, True, True], kind="stable")
         sid, bucket = int(rows["sid"].iloc[0]), int(rows["bucket"].iloc[0])
         p, left = pivot(rows["size"].to_numpy(float), rows["p"].to_numpy(float, copy=True), np.random.Generator(np.random.PCG64([SEED, level, sid, bucket])))
         still = np.zeros(len(rows), bool)
@@ -114,20 +122,25 @@ def _round_bucket(level: int, last: bool):
     return run
 
 
-def _copies(docs: DataFrame, size: Column, scratch: Scratch, weights: tuple, share: float, limit: float) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies."""
-    sized = scratch.keep(docs.select("doc_id", "source", size.cast("long").alias("size")))
-    per = scratch.keep(targets(sized, weights, share, limit))
+def _copies(sized: DataFrame, scratch: Scratch, weights: tuple, share: float, limit: float) -> DataFrame:
+    """Per row of ``sized`` (rid, doc_id, source, size, mark): rid, doc_id, size, source_size, target, copies.
+
+    ``mark`` and ``rid`` order the rows that agree in source, doc_id and size.
+    """
+    per = targets(sized, scratch, weights, share, limit)
+    rows = placed(sized, scratch, F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("size"), F.col("mark"), F.col("rid"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(limit))).otherwise(0.0)
-    joined = sized.join(F.broadcast(per) if per.count() <= 100_000 else per, sized["source"].eqNullSafe(per["source"])).drop("source")
-    order = F.xxhash64("doc_id", "size")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    joined = rows.join(per, rows["source"].eqNullSafe(per["source"])).drop("source")
+    order = F.xxhash64("doc_id", "size", "place")
+    kind = sized.schema["doc_id"].dataType.simpleString()
     schema = _ROW.format(id=kind)
     state = joined.withColumn("rate", rate).select(
         "sid",
         F.pmod(F.xxhash64(order), F.ceil(F.col("documents") / BUCKET)).alias("bucket"),
+        "rid",
         "doc_id",
         "size",
+        "place",
         order.alias("order"),
         F.floor("rate").alias("whole"),
         F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("p"),
@@ -147,32 +160,27 @@ def _copies(docs: DataFrame, size: Column, scratch: Scratch, weights: tuple, sha
     for more in closed[1:]:
         out = out.union(more)
     sizes = per.select("sid", "source_size", "target")
-    return out.join(sizes, "sid").select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return out.join(sizes, "sid").select("rid", "doc_id", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
-    found = _copies(docs, F.size(words_of(whole("text"))), Scratch(docs.sparkSession, "mixing"), weights, share, limit)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    size = F.size(words_of(whole("text"))).cast("long")
+    sized = scratch.keep(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size"), F.lit(0).alias("mark")))
+    found = _copies(sized, scratch, weights, share, limit)
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with all their columns.
 
-    Rows that agree in doc_id, source and text are told apart by a number, so
-    each of them gets copies of its own.
+    Each row gets copies of its own, also where others agree with it in doc_id, source and text.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    size = F.size(words_of(whole("text")))
-    found = scratch.keep(_copies(docs, size, scratch, weights, share, limit).groupBy("doc_id", F.col("size").alias("_size"), F.col("target").alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_c")).drop("_t"))
-    rows = docs.withColumn("_words", size.cast("long"))
-    plain = found.filter("_n = 1 and _c > 0").select(F.col("doc_id").alias("_id"), "_size", F.col("_c").alias("_copies")).hint("merge")  # grows with the input: no broadcast, at any size
-    again = found.filter("_n > 1")
-    out = rows.join(plain, rows["doc_id"].eqNullSafe(plain["_id"]) & (rows["_words"] == plain["_size"]))
-    if not again.isEmpty():
-        shared = again.select(F.col("doc_id").alias("_id"), "_size", "_n", "_c")
-        nth = F.row_number().over(W.partitionBy("doc_id", "_words").orderBy("source", "text"))
-        some = rows.join(shared, rows["doc_id"].eqNullSafe(shared["_id"]) & (rows["_words"] == shared["_size"])).withColumn("_copies", (F.floor(F.col("_c") / F.col("_n")) + F.when(nth <= F.col("_c") % F.col("_n"), 1).otherwise(0)).cast("long"))
-        out = out.unionByName(some.drop("_n", "_c"))
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return out.filter("_copies > 0").select(*[F.col(c) for c in docs.columns], times.alias("_k")).drop("_k")
+    text = whole("text")
+    rows = scratch.keep(keyed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=F.size(words_of(text)).cast("long"), mark=F.xxhash64(text)))
+    taken = _copies(rows.select("rid", "doc_id", "source", "size", "mark"), scratch, weights, share, limit).filter("copies > 0").select("rid", "copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    # The rows that are taken grow with the input: no broadcast, at any size.
+    return unkeyed(rows.select("rid", "row").join(scratch.keep(taken).hint("merge"), "rid").select("row", times.alias("k")))

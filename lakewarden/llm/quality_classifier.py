@@ -9,9 +9,9 @@ path's, less the global ones; its own evidence is taken out of its path's sum
 first. Sparse sites thus fall back on the global prior.
 
 Defined results: null text counts as empty; null host and path are sites of
-their own; without labels everything is kept; repeated rows are repeated; an
-empty table gives an empty result; other columns are kept by
-``drop_low_quality`` and ignored otherwise.
+their own; without labels everything is kept; repeated rows are repeated; very long
+texts are read whole, one at a time; an empty table gives an empty result; other columns
+are kept by ``drop_low_quality``, whatever their names, and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, whole
+from .common import Scratch, arrow_rows, keyed, unkeyed, whole
 from .linear import SAMPLE, SHAPES, fit, sampled, shape, sigmoid, stems
 
 #: Weight of a prior where the data show no variance to fit it, and its largest weight.
@@ -61,9 +61,9 @@ def _weight(groups: DataFrame, centre: str) -> float:
     return min(max(mean * (1 - mean) / between - 1, 1.0), MOST) if between > 0 else MOST
 
 
-def site_rates(scored: DataFrame) -> DataFrame:
+def site_rates(scored: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """host, path, n, s, prior (the shrunk rate of its host), weight, base (the global rate) of ``scored`` (host, path, p)."""
-    scratch = Scratch(scored.sparkSession, "site-rates")
+    scratch = scratch or Scratch(scored.sparkSession, "site-rates")
     paths = scratch.keep(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
@@ -75,33 +75,33 @@ def site_rates(scored: DataFrame) -> DataFrame:
     return scratch.keep(rates.select("host", "path", "n", "s", "prior", F.lit(_weight(rates, "prior")).alias("weight"), F.lit(base).alias("base")))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int, threshold: float) -> DataFrame:
-    """``docs`` with _p, _posterior and _kept added."""
-    p = evidence(docs, labels, sample)
-    rates = site_rates(docs.select(host.alias("host"), path.alias("path"), p.alias("p")))
-    rates = rates.toDF(*(f"_{c}" for c in rates.columns))
-    rows = docs.withColumns({"_p": p, "_at_host": host, "_at_path": path})
-    rows = rows.join(rates, rows["_at_host"].eqNullSafe(rates["_host"]) & rows["_at_path"].eqNullSafe(rates["_path"]))
+def judged(scored: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``scored`` (host, path, p and others), a written table, with ``posterior`` and ``kept`` added."""
+    rates = site_rates(scored, scratch).withColumnsRenamed({"host": "at_host", "path": "at_path"})
+    rows = scored.join(rates, scored["host"].eqNullSafe(rates["at_host"]) & scored["path"].eqNullSafe(rates["at_path"]))
 
     def logit(x: Column) -> Column:
         return F.log(x / (1 - x))
 
-    site = (F.col("_s") - F.col("_p") + F.col("_prior") * F.col("_weight")) / (F.col("_n") - 1 + F.col("_weight"))
+    site = (F.col("s") - F.col("p") + F.col("prior") * F.col("weight")) / (F.col("n") - 1 + F.col("weight"))
     site = F.least(F.greatest(site, F.lit(1e-4)), F.lit(1 - 1e-4))
-    base = F.least(F.greatest(F.col("_base"), F.lit(1e-4)), F.lit(1 - 1e-4))
+    base = F.least(F.greatest(F.col("base"), F.lit(1e-4)), F.lit(1 - 1e-4))
     shift = F.least(F.greatest(logit(site) - logit(base), F.lit(-SHIFT)), F.lit(SHIFT))
-    odds = logit(F.col("_p")) + shift
-    return rows.withColumn("_posterior", 1 / (1 + F.exp(-odds))).withColumn("_kept", F.col("_posterior") >= threshold)
+    odds = logit(F.col("p")) + shift
+    return rows.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("posterior") >= threshold)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """Per document: doc_id, p_document, p_quality, kept. The site defaults to ``source`` (host) and ``lang`` (path)."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    rows = _judged(docs, labels, host, path, sample, threshold)
-    return rows.select("doc_id", F.col("_p").alias("p_document"), F.col("_posterior").alias("p_quality"), F.col("_kept").alias("kept"))
+    scratch = Scratch(docs.sparkSession, "quality")
+    scored = scratch.keep(docs.select("doc_id", host.alias("host"), path.alias("path"), evidence(docs, labels, sample).alias("p")))
+    return judged(scored, scratch, threshold).select("doc_id", F.col("p").alias("p_document"), F.col("posterior").alias("p_quality"), "kept")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns. Texts are scored once; the scores are written with them."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    return _judged(docs, labels, host, path, sample, threshold).filter("_kept").select(*[F.col(c) for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "quality")
+    scored = scratch.keep(keyed(docs, host=host, path=path, p=evidence(docs, labels, sample)))
+    return unkeyed(judged(scored, scratch, threshold).filter("kept"))

@@ -2,8 +2,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
-
 import corpus_pipeline as cp
 from lakewarden.llm import queries
 from lakewarden.llm.mixing import mixture
@@ -13,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_in_order_and_against_brute_force(spark):
-    from .test_simhash import brute_components, brute_print
+    from .test_near_copies import brute_least
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -31,9 +29,7 @@ def test_stages_in_order_and_against_brute_force(spark):
     assert two.columns == columns and sorted(r.doc_id for r in two.collect()) == sorted(last.values())
 
     three = near(spark, two, SF).cache()
-    rows = sorted(two.collect(), key=lambda r: r.doc_id)
-    ids = [r.doc_id for r in rows]
-    stay = set(brute_components(ids, np.array([brute_print(r.text) for r in rows], np.uint64)).tolist())
+    stay = brute_least([(r.doc_id, r.text, r.source) for r in two.collect()])
     assert three.columns == columns and {r.doc_id for r in three.collect()} == stay
 
     four = mixed(spark, three, SF).cache()

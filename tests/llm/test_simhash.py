@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lakewarden.llm.common import Scratch
-from lakewarden.llm.simhash import drop_near_copies, fingerprint, gray_rank, linked, links, near_dedup
+from lakewarden.llm.near_copies import drop_near_copies
+from lakewarden.llm.simhash import bands, fingerprint, gray_rank, linked, links, near_dedup
 
 
 def brute_print(text: str, n: int = 3) -> int:
@@ -62,12 +63,8 @@ def test_index_search_loses_no_link(n):
     assert all(groups.setdefault(a, b) == b for a, b in zip(label, want)) and len(set(label)) == len(set(want))
 
 
-@pytest.mark.parametrize("dense", [1, 5, 8192])
-def test_components_equal_brute_force(spark, dense):
-    fps = _close_prints(random.Random(7), 150)
-    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    scratch = Scratch(spark, "t")
-    edges = {(r.a, r.b) for r in links(nodes, scratch, dense).collect()}
+def spanned(edges, fps):
+    """The number of components that the edges leave."""
     parent = {int(x): int(x) for x in fps.view(np.int64)}
 
     def find(x):
@@ -77,8 +74,52 @@ def test_components_equal_brute_force(spark, dense):
 
     for a, b in edges:
         parent[find(a)] = find(b)
-    want = brute_components(np.arange(len(fps)), fps)
-    assert len({find(int(x)) for x in fps.view(np.int64)}) == len(set(want))
+    return len({find(int(x)) for x in fps.view(np.int64)})
+
+
+@pytest.mark.parametrize("most", [1, 5, 8192])
+def test_components_equal_brute_force(spark, most):
+    fps = _close_prints(random.Random(7), 150)
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    edges = {(r.a, r.b) for r in links(nodes, Scratch(spark, "t"), most=most).collect()}
+    assert spanned(edges, fps) == len(set(brute_components(np.arange(len(fps)), fps)))
+
+
+def test_bucket_of_many_prints_is_routed_on(spark):
+    # 12,000 prints that agree on their lowest 22 bits, so that one bucket holds them all; half of them have a neighbour.
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 1 << 42, 6000, np.uint64) << np.uint64(22)
+    flip = np.uint64(1) << rng.integers(22, 64, 6000).astype(np.uint64)
+    fps = np.unique(np.concatenate([low, low ^ flip]))
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    edges = {(r.a, r.b) for r in links(nodes, Scratch(spark, "t")).collect()}
+    label = np.arange(len(fps))
+    at = {int(x): i for i, x in enumerate(fps)}
+    pairs = [(i, at[y]) for i, x in enumerate(fps.tolist()) for one in range(64) for y in (x ^ 1 << one,) if y in at]
+    pairs += [(i, at[y]) for i, x in enumerate(fps.tolist()) for a in range(64) for b in range(a) for y in (x ^ 1 << a ^ 1 << b,) if y in at]
+    while True:
+        before = label.copy()
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if (before == label).all():
+            break
+    assert spanned(edges, fps) == len(set(label.tolist()))
+
+
+@pytest.mark.parametrize(("used", "radius"), [(0, 2), ((1 << 21) - 1, 2), (0b1011, 5)])
+def test_bands_share_out_the_free_bits(used, radius):
+    found = [m ^ used for m in bands(used, radius)]
+    assert len(found) == radius + 1 and sum(found) == used ^ (1 << 64) - 1 and not any(m & used for m in found)
+
+
+def test_portions_of_a_long_text_make_one_print(monkeypatch):
+    import lakewarden.llm.simhash as m
+    from lakewarden.llm.common import word_blocks
+
+    text = " ".join(f"w{i * i % 977}" for i in range(5000))
+    whole = fingerprint(text.encode())
+    monkeypatch.setattr(m, "word_blocks", lambda t: word_blocks(t, 100))
+    assert fingerprint(text.encode()) == whole == brute_print(text)
 
 
 def test_query_equals_brute_force(spark, documents):
