@@ -5,9 +5,13 @@ pieces are dealt into groups of about ``GROUP``; each group is packed by
 best-fit decreasing, and lower bounds from dual-feasible functions (the volume,
 the Martello-Toth family and the Fekete-Schepers family) certify its number of
 bins. A group with a gap between bins and bound gives up the pieces of all bins
-that are not full; those are exchanged, dealt into new groups and packed again,
-as long as that saves bins. So a round never adds a bin, and a group never holds
-more than about ``GROUP`` pieces of whatever source.
+that are not full; those are exchanged, dealt into new groups (two at least) and
+packed again. A turn that saves no bin is taken back and tried with another
+dealing, until no group has a gap or ``PATIENCE`` turns on end have saved nothing. So
+a turn never adds a bin, and a group holds about ``GROUP`` pieces of
+whatever source, also where many pieces are equal. The result says of each piece
+how many bins its group has beyond its bound (0: certified), and ``certificate``
+holds the whole against the bound over all pieces.
 
 Tokenising: where the tokenizer file is plain byte-level BPE whose merges stand in
 the order of their ids, its ranks are loaded into the faster of the two installed
@@ -16,7 +20,8 @@ tokenizers library itself. Texts are encoded one by one, without a cache.
 
 Defined results: null text counts as empty and gives one piece with the end
 token alone; equal lengths are ordered by doc_id, piece and checksum; repeated
-rows are packed once each; an empty table gives an empty result; other columns
+rows are packed once each; a very long text is encoded at once, in memory that
+grows with it; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, whole
 
-CAPACITY, END_ID, GROUP, ROUNDS = 1024, 2, 8192, 6
+CAPACITY, END_ID, GROUP, PATIENCE = 1024, 2, 8192, 3
 #: The pre-token pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -119,9 +124,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", whole("text").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs, by dual-feasible functions of the lengths."""
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, many_of: np.ndarray | None = None) -> int:
+    """Bins that any packing needs, by dual-feasible functions of the lengths; ``many_of`` says how many pieces have each."""
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    if many_of is not None:
+        count[lengths] = many_of
     mass = count * np.arange(capacity + 1)
     best = -(-int(mass.sum()) // capacity)
     many, heavy = np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(mass)))
@@ -163,43 +170,52 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 def _pack_group(turn: int, capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "rid"], ascending=[False, True, True, True, True], kind="stable")
         lengths = rows["length"].to_numpy()
         bins, offsets, room = best_fit(lengths, capacity)
         gap = len(room) - lower_bound(lengths, capacity)
         first = (turn << 56) | (int(rows["part"].iloc[0]) << 24)
-        return rows.assign(sequence_id=first + bins, offset=offsets, loose=(np.array(room)[bins] > 0) & (gap > 0))
+        return rows.assign(sequence_id=first + bins, offset=offsets, gap=gap, loose=(np.array(room)[bins] > 0) & (gap > 0))
 
     return run
 
 
 def pack_pieces(found: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to ``found`` (doc_id, piece, start, length, ids_crc32)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", part bigint, sequence_id bigint, offset bigint, loose boolean"
+    """Add sequence_id, offset and gap to ``found`` (doc_id, piece, start, length, ids_crc32)."""
+    found = scratch.keep(found.withColumn("rid", F.monotonically_increasing_id()))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", part bigint, sequence_id bigint, offset bigint, gap bigint, loose boolean"
 
-    def packed(rows: DataFrame, n: int, turn: int) -> DataFrame:
-        part = F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-n // GROUP))))
+    def packed(rows: DataFrame, groups: int, turn: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.lit(turn), "rid"), F.lit(groups))
         return scratch.keep(rows.withColumn("part", part).groupBy("part").applyInPandas(_pack_group(turn, capacity), schema))
 
-    state, settled = packed(found, found.count(), 0), []
-    for turn in range(1, ROUNDS + 1):
+    state, settled, turn, barren = packed(found, max(1, -(-found.count() // GROUP)), 0), [], 0, 0
+    while barren < PATIENCE:
         loose = state.filter("loose")
         n, bins = loose.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
         if bins <= 1:
             break
-        again = packed(loose.select(found.columns), n, turn)
-        if again.agg(F.countDistinct("sequence_id")).first()[0] >= bins:
+        turn += 1
+        again = packed(loose.select(found.columns), max(2, -(-n // GROUP)), turn)
+        if again.agg(F.countDistinct("sequence_id")).first()[0] < bins:
+            settled.append(state.filter("not loose"))
+            state, barren = again, 0
+        else:
             scratch.drop(again)
-            break
-        settled.append(state.filter("not loose"))
-        state = again
+            barren += 1
     for more in settled:
         state = state.union(more)
-    return state.drop("part", "loose")
+    return state.drop("part", "loose", "rid")
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """The number of sequences, and the least number that any packing of all the pieces needs."""
+    per = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per length, so at most ``capacity``
+    lengths, many = (np.array([r[c] for r in per], np.int64) for c in ("length", "n"))
+    return packed.select("sequence_id").distinct().count(), lower_bound(lengths, capacity, many)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap."""
     scratch = Scratch(docs.sparkSession, "packing")
-    found = scratch.keep(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id))
-    return pack_pieces(found, scratch, capacity)
+    return pack_pieces(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id), scratch, capacity)

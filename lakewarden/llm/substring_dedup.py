@@ -17,29 +17,37 @@ Spark rounds then compare what the corpus shares:
 3. of the runs left over, those whose anchor other documents still share are
    compared window by window.
 
-Runs and windows are compared by 128-bit hashes of all their words. Sums are
-combined before every shuffle, so a passage in a third of all documents is one
-row per task. Documents travel to their ranges as zstandard blocks.
+Names only bring passages together; what is removed is decided by 128 bits of all the
+words of a run or window: two lanes that share nothing, each built from its own 64-bit hash of
+every word. Sums are combined before every shuffle, so a passage in a third of all documents is
+one row per task. Documents travel to their ranges as zstandard blocks, written
+once.
+
+A very long text is cut into portions that overlap by a window less one word. An
+anchor depends on its window's words alone, so portions change no anchor; a run
+that a border cuts is compared window by window.
 
 Defined results: null text has no words; documents of fewer than ``WINDOW``
 words lose none; a null doc_id counts as smaller than any; rows with the same
-doc_id are not smaller than each other; an empty table gives an empty result;
-other columns are ignored.
+doc_id are not smaller than each other; doc_ids that are no whole numbers are
+compared by their order; repeated rows are repeated; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, arrow_rows, whole
+from .common import Scratch, arrow_rows, placed, whole, word_blocks
 
 WINDOW, ROUNDS, BATCH_WORDS = 50, 4, 400_000
 _FAR = np.int64(1) << np.int64(40)
@@ -103,10 +111,10 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
     return name, lo, hi
 
 
-def window_hashes(words: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the ``size`` words from each place, by doubling; past the end they mean nothing."""
+def window_hashes(lanes: tuple[np.ndarray, np.ndarray], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash per lane of the ``size`` words from each place, by doubling; past the end they mean nothing."""
     out = []
-    for lane in (1, 2):
+    for lane, words in enumerate(lanes, 1):
         power, width = combine(words, np.uint64(lane), lane), 1
         total, done = None, 0
         while True:
@@ -122,15 +130,16 @@ def window_hashes(words: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def runs(words: np.ndarray, doc: np.ndarray, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor, hash of all words) of the runs; windows by place in ``words``."""
+def runs(lanes: tuple[np.ndarray, np.ndarray], doc: np.ndarray, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """(first window, last window, anchor, hash of all words by each lane) of the runs; windows by place in the text."""
+    words = lanes[0]
     n = len(words)
     first, last = _edges(doc)
     begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     stop = np.minimum.accumulate(np.where(last, np.arange(n) + 1, n)[::-1])[::-1]
     valid = np.arange(n) + size <= stop
     if not valid.any():
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 3
     name, lo, hi = parse(words, doc, rounds)
     inside = (lo >= 0) & (hi < n) & (hi - lo < size)
     name, lo, hi = name[inside], lo[inside], hi[inside]
@@ -147,80 +156,95 @@ def runs(words: np.ndarray, doc: np.ndarray, size: int = WINDOW, rounds: int = R
     best[spots] = np.repeat(by, count)
     at = np.flatnonzero(valid)
     chosen = best[at]
-    w1, w2 = window_hashes(words, size)
+    w1, w2 = window_hashes(lanes, size)
     new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (chosen[1:] != chosen[:-1]) | (doc[at[1:]] != doc[at[:-1]]) | (chosen[1:] < 0)))
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(at)) - 1
     p1, p2, anchor = at[head], at[tail], chosen[head]
     symbol = np.where(anchor >= 0, name[anchor] if len(name) else np.uint64(0), combine(w1[p1], np.uint64(3), 11))
-    span = combine(combine(w1[p1], w1[p2], 21), combine(w2[p1], w2[p2], 22) + (p2 - p1).astype(np.uint64), 23)
-    return p1, p2, symbol, span
-
-
-def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts on end, the text of each, and where each begins."""
-    cut = [t.split() for t in texts]
-    sizes = np.array([len(w) for w in cut], np.int64)
-    flat = [w for words in cut for w in words]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, flat, repeat(0)), np.uint64, len(flat))
-    return hashes, np.repeat(np.arange(len(cut)), sizes), np.cumsum(sizes) - sizes
-
-
-def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Cut a batch where the bytes pass what about ``BATCH_WORDS`` words take."""
-    begin, total = 0, 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total > 6 * BATCH_WORDS:
-            yield begin, i + 1
-            begin, total = i + 1, 0
-    if begin < len(sizes):
-        yield begin, len(sizes)
+    # All windows of a run hold its anchor, so the first and the last one overlap: they and their distance tell all words.
+    more = (p2 - p1).astype(np.uint64)
+    return p1, p2, symbol, combine(w1[p1], w1[p2], 21) + more * _K2, combine(w2[p1], w2[p2], 22) + more * _K2
+
+
+def _hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two unrelated 64-bit hashes of each word."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _portions(texts: Iterable[bytes]) -> Iterator[tuple[list[bytes], list[tuple[int, int, int]]]]:
+    """Words of about ``BATCH_WORDS`` at a time, with (place of the text, first word there, words) of each stretch.
+
+    The stretches of a long text overlap by ``WINDOW - 1`` words, so each window is in one of them just once.
+    """
+    held: list[bytes] = []
+    parts: list[tuple[int, int, int]] = []
+    for i, text in enumerate(texts):
+        at, begin = 0, len(held)
+        for words in word_blocks(text):
+            held += words
+            if len(held) >= BATCH_WORDS:
+                parts.append((i, at, len(held) - begin))
+                yield held, parts
+                tail = held[max(begin, len(held) - WINDOW + 1) :]
+                at += len(held) - begin - len(tail)
+                held, parts, begin = list(tail), [], 0
+        parts.append((i, at, len(held) - begin))
+    if held:
+        yield held, parts
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tool = zstandard.ZstdDecompressor()
     for batch in batches:
-        ids, tags, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()).to_pylist()
-        for i, j in _portions([len(t) for t in texts]):
-            words, doc, begin = _hashed(texts[i:j])
-            if not len(words):
-                continue
-            p1, p2, symbol, span = runs(words, doc)
-            owner = doc[p1]
-            at = pa.array(owner + i)
+        rids, ids = batch.column(0), batch.column(1)
+        for words, parts in _portions(tool.decompress(b.as_py()) for b in batch.column(2)):
+            place, offset, size = (np.array(c, np.int64) for c in zip(*parts))
+            begin = np.cumsum(size) - size
+            p1, p2, symbol, span1, span2 = runs(_hashed(words), np.repeat(np.arange(len(size)), size))
+            owner = np.searchsorted(begin, p1, side="right") - 1
+            at = pa.array(place[owner])
+            p = p1 - begin[owner] + offset[owner]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(at), tags.take(at), pa.array((p1 - begin[owner]).astype(np.int32)), pa.array((p2 - p1).astype(np.int32)), pa.array(symbol.view(np.int64)), pa.array(span.view(np.int64))],
-                ["id", "tag", "p", "more", "symbol", "span"],
+                [rids.take(at), ids.take(at), pa.array(p.astype(np.int32)), pa.array((p2 - p1).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (symbol, span1, span2))],
+                ["rid", "id", "p", "more", "symbol", "span1", "span2"],
             )
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = [tool.compress(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "tag", "block"])
+        packed = [tool.compress(t.as_py()) for t in batch.column(3).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], ["rid", "id", "doc_id", "block"])
 
 
 def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the runs asked for: id, tag, p, w1, w2."""
+    """The windows of the runs asked for: rid, id, p, w1, w2."""
     tool = zstandard.ZstdDecompressor()
     for batch in batches:
         asked = batch.column(3)
-        texts = [tool.decompress(b) for b in batch.column(2).to_pylist()]
-        for i, j in _portions([len(t) for t in texts]):
-            words, doc, begin = _hashed(texts[i:j])
-            w1, w2 = window_hashes(words)
-            some = asked.slice(i, j - i)
-            owner = np.repeat(np.arange(j - i), [len(x) for x in some])
-            flat = some.flatten()
-            p = flat.field("p").to_numpy(zero_copy_only=False).astype(np.int64)
-            count = flat.field("more").to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - p, count)
-            owner = np.repeat(owner, count)
-            spot, at = place + begin[owner], pa.array(owner + i)
+        flat = asked.flatten()
+        owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+        first = flat.field("p").to_numpy(zero_copy_only=False).astype(np.int64)
+        last = first + flat.field("more").to_numpy(zero_copy_only=False)
+        for words, parts in _portions(tool.decompress(b.as_py()) for b in batch.column(2)):
+            w1, w2 = window_hashes(_hashed(words))
+            spots, texts, places, begin = [], [], [], 0
+            for i, offset, size in parts:
+                mine = slice(*np.searchsorted(owner, [i, i + 1]))
+                a, b = np.maximum(first[mine], offset), np.minimum(last[mine], offset + size - WINDOW)
+                a, b = a[a <= b], b[a <= b]
+                count = b - a + 1
+                p = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - a, count)
+                spots.append(p - offset + begin)
+                places.append(p)
+                texts.append(np.full(len(p), i))
+                begin += size
+            spot, at = np.concatenate(spots), pa.array(np.concatenate(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(w1[spot].view(np.int64)), pa.array(w2[spot].view(np.int64))],
-                ["id", "tag", "p", "w1", "w2"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(places).astype(np.int32)), pa.array(w1[spot].view(np.int64)), pa.array(w2[spot].view(np.int64))],
+                ["rid", "id", "p", "w1", "w2"],
             )
 
 
@@ -228,20 +252,31 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = zstandard.ZstdDecompressor()
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for block, ranges in zip(batch.column(2).to_pylist(), batch.column(3)):
-            words = tool.decompress(block).split()
-            stay = words
+        for block, ranges in zip(batch.column(1), batch.column(2)):
+            text = tool.decompress(block.as_py())
+            gone = None
             if ranges.is_valid and len(ranges):
                 p = ranges.values.field("p").to_numpy(zero_copy_only=False).astype(np.int64)
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, p, 1)
-                np.add.at(edge, p + ranges.values.field("more").to_numpy(zero_copy_only=False) + WINDOW, -1)
-                free = np.cumsum(edge)[:-1] == 0
-                stay = [words[k] for k in np.flatnonzero(free).tolist()]
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(stay))
-            kept.append(b" ".join(stay))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+                stop = p + ranges.values.field("more").to_numpy(zero_copy_only=False) + WINDOW
+                gone = np.zeros(int(stop.max()) + 1, np.int32)
+                np.add.at(gone, p, 1)
+                np.add.at(gone, stop, -1)
+                gone = np.cumsum(gone) > 0
+            n, parts, removed = 0, [], 0
+            for words in word_blocks(text):
+                stay = words
+                if gone is not None and n < len(gone):
+                    out = gone[n : n + len(words)]
+                    free = np.flatnonzero(~out)
+                    stay = [words[k] for k in free.tolist()] + words[len(out) :]
+                n += len(words)
+                removed += len(words) - len(stay)
+                if stay:
+                    parts.append(b" ".join(stay))
+            n_words.append(n)
+            n_removed.append(removed)
+            kept.append(b" ".join(parts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -253,43 +288,41 @@ def _shared(rows: DataFrame) -> DataFrame:
 def _earlier(rows: DataFrame, by: list[str], scratch: Scratch, how: str = "left") -> DataFrame:
     """``rows`` with the smallest document that has the same key, if it has one in two documents."""
     least = rows.groupBy(*by).agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select(*by, "least")
-    least = scratch.keep(least)
-    scratch.release()
-    return rows.join(least, by, how)
+    return rows.join(scratch.keep(least), by, how)
 
 
 def _ranges() -> Column:
     return F.collect_list(F.struct("p", "more")).alias("ranges")
 
 
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """rid, id (a long in the order of doc_id, null first), doc_id, text."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", whole("text").alias("text"))
+    if isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return rows.select("rid", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("id"), "doc_id", "text")
+    order = scratch.keep(placed(docs.select(F.col("doc_id").alias("known")).dropna().distinct(), scratch, F.col("known")))
+    return rows.join(order.hint("merge"), rows["doc_id"] == order["known"], "left").select("rid", F.coalesce("place", F.lit(_NULL_ID)).alias("id"), "doc_id", "text")
+
+
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_text (the words that stay, joined by a space)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     arrow_rows(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("id"), whole("text").alias("text"))
-    # Rows that share a doc_id are told apart by their text.
-    alone = ids.groupBy("id").count().filter("count > 1").isEmpty()
-    ids = ids.select("id", (F.lit(0).cast("bigint") if alone else F.xxhash64("text")).alias("tag"), "text")
-    key = ["id", "tag"]
-    blocks = ids.mapInArrow(_squeezed, "id bigint, tag bigint, block binary")
-
-    found = scratch.keep(ids.mapInArrow(_find_runs, "id bigint, tag bigint, p int, more int, symbol bigint, span bigint"))
+    squeezed = _numbered(docs, scratch).select("rid", "id", "doc_id", "text").mapInArrow(_squeezed, f"rid bigint, id bigint, doc_id {kind}, block binary")
+    blocks = scratch.keep(squeezed)
+
+    found = scratch.keep(blocks.select("rid", "id", "block").mapInArrow(_find_runs, "rid bigint, id bigint, p int, more int, symbol bigint, span1 bigint, span2 bigint"))
     met = scratch.keep(_shared(found))
     scratch.drop(found)
-    scratch.release()
-    judged = scratch.keep(_earlier(met, ["symbol", "span"], scratch))
+    judged = scratch.keep(_earlier(met, ["symbol", "span1", "span2"], scratch))
     scratch.drop(met)
-    scratch.release()
-    whole_runs = judged.filter("least < id").select(*key, "p", "more")
-    left = scratch.keep(_shared(judged.filter("least is null or least >= id").select("symbol", *key, "p", "more")).groupBy(*key).agg(_ranges()))
+    whole_runs = judged.filter("least < id").select("rid", "p", "more")
+    left = scratch.keep(_shared(judged.filter("least is null or least >= id").select("symbol", "rid", "id", "p", "more")).groupBy("rid").agg(_ranges()))
     # Hashed twice, for the sums and for the join, as a table of all windows would outgrow the text.
-    windows = blocks.join(left, key).select(*key, "block", "ranges").mapInArrow(_find_windows, "id bigint, tag bigint, p int, w1 bigint, w2 bigint")
-    scratch.release()
-    single = _earlier(windows, ["w1", "w2"], scratch, "inner").filter("least < id").select(*key, "p", F.lit(0).alias("more"))
-    ranges = scratch.keep(whole_runs.union(single).groupBy(*key).agg(_ranges()))
+    windows = blocks.select("rid", "id", "block").join(left, "rid").select("rid", "id", "block", "ranges").mapInArrow(_find_windows, "rid bigint, id bigint, p int, w1 bigint, w2 bigint")
+    single = _earlier(windows, ["w1", "w2"], scratch, "inner").filter("least < id").select("rid", "p", F.lit(0).alias("more"))
+    ranges = scratch.keep(whole_runs.union(single).groupBy("rid").agg(_ranges()))
     scratch.drop(judged, left)
-    scratch.release()
-    out = blocks.join(ranges, key, "left").select(*key, "block", "ranges").mapInArrow(_cut_out, "id bigint, n_words bigint, n_removed bigint, kept_text string")
-    return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept_text")
+    return blocks.join(ranges, "rid", "left").select("doc_id", "block", "ranges").mapInArrow(_cut_out, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")

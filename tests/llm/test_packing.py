@@ -69,6 +69,19 @@ def test_exchange_between_groups_saves_bins(spark, monkeypatch):
     alone = sum(len(pk.best_fit(np.sort(lengths[i : i + 20])[::-1])[2]) for i in range(0, 300, 20))
     used = out["sequence_id"].nunique()
     assert len(out) == 300 and pk.lower_bound(lengths) <= used <= alone + 3
+    by = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert by["length"].sum().max() <= 1024 and (out["gap"] >= 0).all()
+    assert pk.certificate(spark.createDataFrame(out)) == (used, pk.lower_bound(lengths))
+
+
+def test_equal_pieces_are_dealt_over_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(pk, "GROUP", 20)
+    from lakewarden.llm.common import Scratch
+
+    found = spark.createDataFrame([(None, 0, 0, 300, 7)] * 200, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = pk.pack_pieces(found, Scratch(spark, "t")).toPandas()
+    assert out.groupby(out["sequence_id"] // (1 << 24)).size().max() < 60
+    assert 67 <= out["sequence_id"].nunique() <= 72
 
 
 def test_empty_table(nothing):

@@ -68,12 +68,47 @@ def test_repeated_ids_nulls_and_empty(documents, nothing):
     assert sd.substring_dedup(nothing).count() == 0
 
 
+def test_repeated_rows_and_ids_that_are_no_numbers(spark):
+    long = " ".join(f"w{i}" for i in range(70))
+    rows = [("b", long)] * 3 + [("a", "x " + long), ("c", long + " y"), (None, "z"), ("10", "q " + long + " r")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    want = {"a": 70, "b": 70, "c": 70, None: 0, "10": 0}  # "10" is the smallest of them
+    got = sd.substring_dedup(df).collect()
+    assert len(got) == len(rows) and all(r.n_removed == want[r.doc_id] for r in got)
+
+
+@pytest.mark.parametrize("size", [60, 130])
+def test_portions_change_nothing(size, monkeypatch):
+    monkeypatch.setattr(sd, "BATCH_WORDS", size)
+    monkeypatch.setattr(sd, "word_blocks", lambda t: (t.split()[i : i + 7] for i in range(0, len(t.split()), 7)))
+    texts = [t.encode() for _, t in corpus(3, 40)]
+    seen: dict = {}
+    for words, parts in sd._portions(texts):
+        assert sum(n for _, _, n in parts) == len(words) < size + 60
+        begin = 0
+        for i, at, n in parts:
+            assert words[begin : begin + n] == texts[i].split()[at : at + n]
+            for k in range(n - 49):
+                assert (i, at + k) not in seen
+                seen[i, at + k] = True
+            begin += n
+    assert len(seen) == sum(max(0, len(t.split()) - 49) for t in texts)
+
+
+def test_a_long_text_in_portions_equals_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(400)}" for _ in range(420_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[399_990:400_090])), (3, "x " + " ".join(words[5:80])), (4, " ".join(words[:300_000]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (420_000, 0), 2: (100, 100), 3: (76, 75), 4: (300_000, 300_000)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_equal_windows_take_equal_anchors(seed):
     texts = [t.encode() for _, t in corpus(seed, 60)]
-    words, doc, _ = sd._hashed(texts)
     flat = [w for t in texts for w in t.split()]
-    p1, p2, symbol, _ = sd.runs(words, doc)
+    doc = np.repeat(np.arange(len(texts)), [len(t.split()) for t in texts])
+    p1, p2, symbol, _, _ = sd.runs(sd._hashed(flat), doc)
     anchor = {p: int(s) for a, b, s in zip(p1, p2, symbol) for p in range(a, b + 1)}
     assert sorted(anchor) == [p for p in range(len(flat) - 49) if doc[p] == doc[p + 49]]
     seen: dict = {}
