@@ -37,6 +37,31 @@ def test_ties_go_as_in_the_library():
             assert counter.viterbi(t) == len(plain.encode(t, add_special_tokens=False).ids), (vocabulary, t)
 
 
+def test_portions_and_long_words_change_nothing(monkeypatch):
+    import lakewarden.llm.token_counts as m
+
+    rng = random.Random(3)
+    counter = UnigramCounter(load_vocabulary(default_vocabulary()))
+    texts = ["".join(rng.choice("abcde   é日1") for _ in range(600)) for _ in range(20)] + ["x" * 700 + " y " + "日本" * 400, " " * 90 + "a" + " " * 90]
+    want = [counter.viterbi(MARK + t.replace(" ", MARK)) for t in texts]
+    monkeypatch.setattr(m, "PORTION", 50)
+    monkeypatch.setattr(m, "LONG", 5)
+    monkeypatch.setattr(m, "CACHE", 40)
+    counter.known.clear()
+    assert [counter.count(t) for t in texts] == want
+
+
+def test_a_long_word_needs_little_memory():
+    import tracemalloc
+
+    counter = UnigramCounter(load_vocabulary(default_vocabulary()))
+    word = "日本語漢字かな" * 30_000
+    tracemalloc.start()
+    assert counter.count(word) > 30_000
+    assert tracemalloc.get_traced_memory()[1] < 10 << 20
+    tracemalloc.stop()
+
+
 def test_query(awkward, nothing):
     got = token_counts(awkward).collect()
     assert len(got) == awkward.count()
