@@ -1,7 +1,10 @@
 """Partial ISO 8601 dates and durations as Columns.
 
-One anchored pattern is run once per value: it rewrites a match into its fields,
-set apart by U+001F, and leaves anything else as it is.
+Whole dates, and dates with a time to the second, are cut at fixed places. For all
+other values one anchored pattern is run once per value: it rewrites a match into its
+fields, set apart by U+001F, and leaves anything else as it is.
+
+1.0 rules look at the outline of a value: its text with each digit written as 9.
 """
 
 from __future__ import annotations
@@ -24,7 +27,11 @@ _REWRITE = "\x1f".join(f"${i}" for i in range(1, _FIELDS + 1)) + "\x1e"
 #: ISO 8601 durations (fixed format): parts may be set apart by commas, at least one is given, weeks stand alone.
 _N = r"\d+(?:[.,]\d*)?"
 DURATION = rf"P(?!$)(?:(?:{_N}Y)?,?(?:{_N}M)?,?(?:{_N}D)?,?(?:T(?=\d)(?:{_N}H)?,?(?:{_N}M)?,?(?:{_N}S)?)?|{_N}W)$"
-COMPLETE_SHAPE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2})?(\.\d+)?([+-]\d{2}:?\d{2}|Z)?)?$"
+#: Outlines that 1.0 rules know (fixed formats): a whole date with an optional clock; any date a comparison takes.
+WHOLE_OUTLINE = r"^9999-99-99(T99:99(:99)?(\.9+)?([+-]99:?99|Z)?)?$"
+DATE_OUTLINE = r"^9999(-99(-99([T ]99(:99(:99(\.9+)?)?)?(Z|[+-]99:?99)?)?)?)?$"
+#: A date of which 1.0 rules take the latest or earliest (fixed format): parts may be open, the zone follows the time.
+_CORE1_DATE = rf"^(?!0000)([0-9]{{4}}|-)(-{_MONTH}(-{_DAY}(T{_HOUR}(:{_SIXTY}(:([0-5][0-9](\.[0-9]+)?|-))?)?(Z|[+-](2[0-3]|[01][0-9])(:?[0-5][0-9])?)?)?)?)?$"
 
 PRECISIONS = ("year", "month", "day", "hour", "minute", "second", "microsecond")
 
@@ -38,8 +45,6 @@ class DateParts:
     """Columns derived from one text column."""
 
     text: Column
-    #: Year to microsecond and zone; NULL if the text is no date, empty or "-" where a part is open.
-    parts: Column
     valid: Column
     #: Place in ``PRECISIONS`` of the last part before the first open one; -1 without a year.
     precision: Column
@@ -84,20 +89,30 @@ def _day_number(year: Column, month: Column, day: Column) -> Column:
 def date_parts(text: Column, add: Add) -> DateParts:
     """``add`` writes an expression out as a column, so that what follows reads it and does not repeat it."""
     text = add(F.coalesce(text, F.lit("")))
-    fields = add(date_fields(text))
+    # Most values are whole dates, cut at fixed places; the fields are sought in the others.
+    n, last = F.length(text), F.right(text, F.lit(1))
+    dated = n.isin(10, 19) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-") & last.between("0", "9")
+    timed = F.substring(text, 11, 9).rlike("^T(2[0-3]|[01][0-9]):[0-5][0-9]:[0-5][0-9]$")
+    day = add(F.when(dated & ((n == 10) | timed), F.left(text, F.lit(10)).try_cast("date")))
+    day = add(F.when(F.year(day) >= 1, F.datediff(day, F.lit(_EPOCH).cast("date"))))
+    clock = [F.substring(text, at, 2).try_cast("int") for at in (12, 15, 18)]
+    seconds = F.when(n == 19, clock[0] * 3600 + clock[1] * 60 + clock[2]).otherwise(0)
+    plain = day.isNotNull()
+    plain_micros = day.cast("bigint") * _DAY_US + seconds.cast("bigint") * 1_000_000
+    fields = add(F.when(~plain, date_fields(text)))
     own, later = F.slice(fields, 1, 8), F.slice(fields, 9, 8)
-    clock = F.concat(F.array(*[F.lit("")] * 3), F.slice(fields, 17, 5))
+    time_alone = F.concat(F.array(*[F.lit("")] * 3), F.slice(fields, 17, 5))
     # The later date of an interval, or a time alone, counts only if the first date is wholly open.
-    parts = add(F.when(F.exists(own, lambda x: ~_open(x)), own).otherwise(F.zip_with(later, clock, lambda a, b: F.when(_open(a), b).otherwise(a))))
+    parts = add(F.when(F.exists(own, lambda x: ~_open(x)), own).otherwise(F.zip_with(later, time_alone, lambda a, b: F.when(_open(a), b).otherwise(a))))
 
     def given(i: int) -> Column:
         # Casts that fail are slow, so open parts are kept from them; the others are digits by the pattern.
         x = F.get(parts, i)
         return F.when(~_open(x), x).try_cast("int")
 
-    year, month, day = (given(i) for i in range(3))
+    year, month, monthday = (given(i) for i in range(3))
     first_open = F.array_position(F.transform(F.slice(parts, 1, 7), _open), True)
-    precision = add(F.when(first_open == 0, 6).otherwise(first_open.cast("int") - 2))
+    precision = add(F.when(plain, F.when(n == 19, 5).otherwise(2)).when(first_open == 0, 6).otherwise(first_open.cast("int") - 2))
 
     def part(i: int, default: int) -> Column:
         return F.coalesce(given(i), F.lit(default))
@@ -109,50 +124,55 @@ def date_parts(text: Column, add: Add) -> DateParts:
     offset = F.when((zone != "") & (zone != "Z"), zone)
     ahead = F.when(F.startswith(offset, F.lit("-")), 1).otherwise(-1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int"))
     shift = F.when(~_open(F.get(parts, 3)) & (zone != "") & (zone != "Z"), ahead).otherwise(0)
-    micros = add((day_no.cast("bigint") * 86_400 + clock_s + shift * 60) * 1_000_000 + fraction)
+    micros = add(F.when(plain, plain_micros).when(fields.isNotNull(), (day_no.cast("bigint") * 86_400 + clock_s + shift * 60) * 1_000_000 + fraction))
     uncertain = F.contains(text, F.lit("/")) | F.contains(text, F.lit("--")) | F.contains(text, F.lit("-:"))
     # Without a mark of uncertainty: a year from 1 on, no day without a month, a real day, and no open time.
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
     days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    strict = F.coalesce(year >= 1, F.lit(False)) & ~F.startswith(text, F.lit("-")) & ~(day.isNotNull() & month.isNull()) & ~text.rlike("T-|:-") & F.coalesce(day <= days, F.lit(True))
-    valid = add(fields.isNotNull() & (uncertain | strict))
-    return DateParts(text, parts, valid, precision, micros)
+    strict = F.coalesce(year >= 1, F.lit(False)) & ~F.startswith(text, F.lit("-")) & ~(monthday.isNotNull() & month.isNull()) & ~text.rlike("T-|:-") & F.coalesce(monthday <= days, F.lit(True))
+    valid = add(plain | (fields.isNotNull() & (uncertain | strict)))
+    return DateParts(text, valid, precision, micros)
 
 
-def valid_duration(text: Column, negative: bool = True) -> Column:
-    """One decimal part at most, and that the last one given."""
+def valid_duration(text: Column, negative: bool = True, core1: bool = False) -> Column:
+    """One decimal part at most, and that the last one given; for 1.0 rules one separator of any kind at most."""
     text = F.coalesce(text, F.lit(""))
     shape = text.rlike(("^-?" if negative else "^") + DURATION)
+    if core1:
+        return shape & (F.regexp_count(text, F.lit("[.,]")) <= 1)
     decimals = F.regexp_count(text, F.lit(r"\d[.,]\d*[A-Z]"))
     last = text.rlike(r"\d[.,]\d*[A-Z]$")
     return shape & ((decimals == 0) | ((decimals == 1) & last))
 
 
-def invalid_duration_core1(text: Column, negative: bool = False) -> Column:
-    good = text.rlike(("^-?" if negative else "^") + DURATION) & ~text.rlike("T$") & ~text.rlike("[.,].*[.,]")
-    return text.isNotNull() & ~good
+def outline(text: Column) -> Column:
+    """The text with each digit written as 9."""
+    return F.translate(text, "0123456789", "9999999999")
+
+
+def _real_day(text: Column) -> Column:
+    """Whether the first ten characters are a day of the calendar."""
+    return F.left(text, F.lit(10)).try_cast("date").isNotNull()
 
 
-def invalid_date_core1(text: Column) -> Column:
-    """Shape tests in a fixed order; the first that applies decides."""
+def valid_date_core1(text: Column) -> Column:
+    """By outline: years and months, alone, before a mark of what is left out or as a range of months, ranges of days, and whole dates."""
     x = F.coalesce(text, F.lit(""))
-    month = F.right(x, F.lit(2)).try_cast("int")
-    mo, dy, yr = (F.substring(x, a, n).try_cast("int") for a, n in ((6, 2), (9, 2), (1, 4)))
-    leap = ((yr % 4 == 0) & (yr % 100 != 0)) | (yr % 400 == 0)
-    span = x.rlike(r"^\d{4}-\d{2}/\d{4}-\d{2}$") | x.rlike(r"^\d{4}-\d{2}-\d{2}/\d{4}-\d{2}-\d{2}")
-    iso = x.rlike(r"^-?\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2})?([.]\d+)?([+-]\d{2}:?\d{2}|Z)?)?$")
-    late = x.rlike(r"T(2[4-9]|[3-9]\d):") | x.rlike(r":[6-9]\d([^0-9]|$)")
-    range_ = F.coalesce((mo > 12) | (mo < 1) | (dy > 31) | (dy < 1), F.lit(False))
-    md = F.substring(x, 6, 5)
-    calendar = F.coalesce((md == "02-29") & ~leap, F.lit(False)) | md.isin("04-31", "06-31", "09-31", "11-31", "02-30", "02-31") | (F.substring(x, 9, 2) == "00")
-    return (
-        F.when(x == "", True)
-        .when(x.rlike(r"^-?\d{4}-$") | x.rlike(r"^-?\d{4}-\d{2}-$"), True)
-        .when(F.contains(x, F.lit("-:")), True)
-        .when(F.contains(x, F.lit("/")), ~span)
-        .when(x.rlike(r"^-?\d{4}$"), False)
-        .when(x.rlike(r"^-?\d{4}-\d{2}$") & F.coalesce(month.between(1, 12), F.lit(False)), False)
-        .when(x.rlike(r"^-?\d{4}--$") | x.rlike(r"^-?\d{4}-\d{2}--$"), False)
-        .when(iso, late | range_ | calendar)
-        .otherwise(True)
+    form = outline(x)
+    unsigned = F.when(F.startswith(form, F.lit("-")), F.substring(form, F.lit(2), F.length(form))).otherwise(form)
+    month = F.right(x, F.lit(2)).between("01", "12")
+    clock = ~F.substring(x, 12, 2).between("24", "99") & ~x.rlike(":[6-9]")
+    return ~F.contains(x, F.lit("-:")) & (
+        F.when(unsigned.isin("9999", "9999--", "9999-99--"), True)
+        .when(unsigned == "9999-99", month)
+        .when((form == "9999-99/9999-99") | F.startswith(form, F.lit("9999-99-99/9999-99-99")), True)
+        .when(form.rlike(WHOLE_OUTLINE), _real_day(x) & clock)
+        .otherwise(False)
     )
+
+
+def known_date_core1(text: Column) -> Column:
+    """What a date gives up to its first open part, a space before the time read as T; NULL if it gives none or no real day."""
+    value = F.translate(F.regexp_replace(text, r"\s+$", ""), " ", "T")
+    known = F.regexp_replace(value, "(^-|--|T-|:-).*$", "")
+    return F.when(value.rlike(_CORE1_DATE) & (known != "") & ((F.length(known) < 10) | _real_day(known)), known)

@@ -23,14 +23,20 @@ def number(c: Column, kind: str = "text") -> Column:
     return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text).try_cast("double")
 
 
+def _typed(c: Column, *names: str) -> Column:
+    """Whether the column has one of the types; known when the plan is made, so the other branch goes."""
+    return F.typeof(c).isin(*names)
+
+
 def number_text(c: Column) -> Column:
-    """A number in plain digits: whole numbers without a point, others to 15 significant digits."""
+    """A number in plain digits: whole numbers without a point, others to 15 significant digits. Integers are exact."""
     d = c.cast("double")
-    whole = F.when((F.abs(d) < 1e15) & (d == F.floor(d)), d.cast("bigint").cast("string"))
+    whole = F.when(d == F.floor(d), F.when(F.abs(d) < 9e18, d.cast("bigint").cast("string")).otherwise(d.try_cast("decimal(38,0)").cast("string")))
     # Decimals by magnitude, so that small values keep their digits.
     small = F.rtrim(d.try_cast("decimal(38,24)").cast("string"), F.lit("0"))
     middle = F.rtrim(F.round(d, 14).try_cast("decimal(38,14)").cast("string"), F.lit("0"))
-    return F.coalesce(whole, F.when(F.abs(d) < 1e-3, small), middle, d.cast("string"))
+    other = F.coalesce(whole, F.when(F.abs(d) < 1e-3, small), middle, d.cast("string"))
+    return F.when(_typed(c, "tinyint", "smallint", "int", "bigint"), c.cast("string")).otherwise(other)
 
 
 def text_of(c: Column, kind: str = "text") -> Column:
@@ -46,9 +52,14 @@ def text_of(c: Column, kind: str = "text") -> Column:
 
 
 def canonical(c: Column, kind: str = "text") -> Column:
-    """Text in which numbers of equal value are equal ("200.00" and 200)."""
-    n = number(c, kind)
-    return F.when(n.isNotNull(), number_text(n)).otherwise(text_of(c, kind))
+    """Text in which numbers of equal value are equal ("200.00" and 200). Whole numbers of any length stay exact."""
+    if kind == "num":
+        return number_text(c)
+    t, n = text_of(c, kind), number(c, kind)
+    digits = F.trim(t)
+    plain = F.regexp_replace(F.regexp_replace(digits, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+    plain = F.when(plain == "-0", "0").otherwise(plain)
+    return F.when(digits.rlike(r"^[+-]?\d+$"), plain).when(n.isNotNull(), number_text(n)).otherwise(t)
 
 
 def key_text(c: Column, kind: str = "text") -> Column:

@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
+from ..model import RuleSkipped
 from ..plans.table import Context, Operand
 from .registry import known, operator, unknown
 
 
-#: First character and length of a 1.0 rule's date_component.
-_COMPONENT = {"year": (1, 4), "month": (6, 2), "day": (9, 2), "hour": (12, 2), "minute": (15, 2), "second": (18, 2)}
+#: First and last character of a 1.0 rule's date_component (fixed values).
+_COMPONENT = {"year": (1, 4), "month": (6, 7), "day": (9, 10), "hour": (12, 13), "minute": (15, 16), "second": (18, 19), "microsecond": (21, 26)}
 
 
 def _parts(ctx: Context, x: Operand) -> dt.DateParts:
@@ -29,7 +30,7 @@ def _compare(name: str, test: Callable[[Column, Column], Column]) -> Callable[[C
         if not known(ctx):
             return unknown()
         if ctx.core1:
-            return _compare_text(ctx, name, test)
+            return _compare_text(ctx, test)
         a, b = _parts(ctx, ctx.target), _parts(ctx, ctx.value)
         level = F.least(a.precision, b.precision)
         readable = a.valid & b.valid & (a.precision >= 0) & (b.precision >= 0)
@@ -45,17 +46,19 @@ def _compare(name: str, test: Callable[[Column, Column], Column]) -> Callable[[C
     return run
 
 
-def _compare_text(ctx: Context, name: str, test: Callable[[Column, Column], Column]) -> Column:
-    a, b = (F.coalesce(x.text(), F.lit("")) for x in (ctx.target, ctx.value))
-    shape = r"^\d{4}(-\d{2}(-\d{2}(T\d{2}(:\d{2}(:\d{2})?)?.*)?)?)?$"
-    part = ctx.condition.get("date_component")
-    if part in _COMPONENT:
-        start, n = _COMPONENT[part]
-        x, y = F.substring(a, start, n), F.substring(b, start, n)
+def _compare_text(ctx: Context, test: Callable[[Column, Column], Column]) -> Column:
+    """1.0 rules compare texts: a component of both, or both dates cut to the shorter one. What is no date, or too short, compares with nothing."""
+    component = ctx.condition.get("date_component")
+    if component is not None and component not in _COMPONENT:
+        raise RuleSkipped(f"unknown date_component: {component}")
+    a, b = ctx.target.text(), ctx.value.text()
+    if component:
+        first, last = _COMPONENT[component]
+        x, y = (F.when(F.char_length(c) >= last, F.substring(c, first, last - first + 1)) for c in (a, b))
     else:
         n = F.least(F.char_length(a), F.char_length(b))
-        x, y = F.left(a, n), F.left(b, n)
-    return F.coalesce(a.rlike(shape) & b.rlike(shape) & test(x, y), F.lit(False))
+        x, y = (F.when((c != "") & dt.outline(c).rlike(dt.DATE_OUTLINE), F.left(c, n)) for c in (a, b))
+    return F.coalesce(test(x, y), F.lit(False))
 
 
 operator("date_equal_to")(_compare("eq", lambda a, b: a == b))
@@ -72,7 +75,7 @@ def is_complete_date(ctx: Context) -> Column:
         return F.lit(False)
     text = F.coalesce(ctx.target.text(), F.lit(""))
     if ctx.core1:
-        return text.rlike(dt.COMPLETE_SHAPE)
+        return dt.outline(text).rlike(dt.WHOLE_OUTLINE)
     p = _parts(ctx, ctx.target)
     return F.coalesce(p.valid & (p.precision >= 2) & ~F.contains(text, F.lit("/")), F.lit(False))
 
@@ -86,7 +89,7 @@ def is_incomplete_date(ctx: Context) -> Column:
 def invalid_date(ctx: Context) -> Column:
     if not ctx.exists:
         return F.lit(False)
-    return dt.invalid_date_core1(ctx.target.text()) if ctx.core1 else ~_parts(ctx, ctx.target).valid
+    return ~dt.valid_date_core1(ctx.target.text()) if ctx.core1 else ~_parts(ctx, ctx.target).valid
 
 
 @operator("invalid_duration")
@@ -95,19 +98,18 @@ def invalid_duration(ctx: Context) -> Column:
         return F.lit(False)
     text, negative = ctx.target.text(), ctx.condition.get("negative")
     if ctx.core1:
-        return dt.invalid_duration_core1(text, negative is True)
+        return text.isNotNull() & ~dt.valid_duration(text, negative is True, core1=True)
     return ~dt.valid_duration(text, negative is not False)
 
 
 @operator("invalid_date_interval")
 def invalid_date_interval(ctx: Context) -> Column:
-    """Not a/b of two dates, or of a date and a duration."""
+    """Not a/b of two dates, or of a date and a duration that is not negative, all as 1.0 rules know them."""
     if not ctx.exists:
         return F.lit(False)
-    text = F.coalesce(ctx.target.text(), F.lit(""))
-    a, b = F.split_part(text, F.lit("/"), F.lit(1)), F.split_part(text, F.lit("/"), F.lit(2))
-    two = F.regexp_count(text, F.lit("/")) == 1
-    date_a, date_b = dt.date_parts(a, ctx.table.add).valid, dt.date_parts(b, ctx.table.add).valid
-    span_a, span_b = dt.valid_duration(a), dt.valid_duration(b)
-    return ~F.coalesce(two & ((date_a & (date_b | span_b)) | (span_a & date_b)), F.lit(False))
-
+    text = ctx.table.add(F.coalesce(ctx.target.text(), F.lit("")))
+    ends = [F.split_part(text, F.lit("/"), F.lit(i)) for i in (1, 2)]
+    dates = [ctx.table.add(dt.valid_date_core1(e)) for e in ends]
+    spans = [dt.valid_duration(e, negative=False, core1=True) for e in ends]
+    paired = (dates[0] & dates[1]) | (dates[0] & spans[1]) | (spans[0] & dates[1])
+    return ~(text.rlike("^[^/]+/[^/]+$") & paired)

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..model import RECORD, Dataset, Dialect, Rule, RuleSkipped, Study
@@ -31,6 +32,18 @@ def _key(c: Column, kind: str) -> Column:
     return F.coalesce(tx.key_text(c, kind), F.lit(""))
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _key_pair(left: DataFrame, a: str, right: DataFrame, b: str) -> tuple[Column, Column, bool]:
+    """The keys of two columns, and whether they are numbers: whole numbers meet as they are, all else as text."""
+    lt, rt = left.schema[a].dataType, right.schema[b].dataType
+    x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
+    if isinstance(lt, _WHOLE) and isinstance(rt, _WHOLE):
+        return x.cast("bigint"), y.cast("bigint"), True
+    return _key(x, kind_of(lt)), _key(y, kind_of(rt)), False
+
+
 def _pairs(spec: dict, wild: str, other: str) -> list[tuple[str, str]]:
     """(left, right) key names of a join."""
 
@@ -81,16 +94,19 @@ def keyed(df: DataFrame, spec: dict, d: Dataset, study: Study, dialect: Dialect)
         raise RuleSkipped(f"joins {name} by {', '.join(absent) or 'nothing'}, which is not there")
     keep = dialect is Dialect.CDISC or declared_left
     renamed = {c: f"{name}.{c}" for c in right.columns if not c.startswith("__")}
-    right = right.select(*(F.col(f"`{c}`").alias(n) for c, n in renamed.items()), *(_key(F.col(f"`{b}`"), rk[b]).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)))
+    keys = [_key_pair(df, a, right, b) for a, b in pairs]
+    right = right.select(*(F.col(f"`{c}`").alias(n) for c, n in renamed.items()), *(k.alias(f"__k{i}") for i, (_, k, _) in enumerate(keys)))
     on = F.lit(True)
-    for i, (a, _) in enumerate(pairs):
-        left = _key(F.col(f"`{a}`"), lk[a])
-        on = on & (left == F.col(f"__k{i}"))
+    for i, (left, _, numbers) in enumerate(keys):
+        theirs = F.col(f"__k{i}")
         if dialect is Dialect.CDISC:  # blanks pair with nothing
-            on = on & (left != "")
+            on = on & (left == theirs) & (F.lit(True) if numbers else left != "")
+        else:
+            on = on & (left.eqNullSafe(theirs) if numbers else left == theirs)
     out = df.join(right, on, "left" if keep else "inner").drop(*(f"__k{i}" for i in range(len(pairs))))
-    # Columns whose name is free also go by that name.
-    extra = {c: F.col(f"`{n}`") for c, n in renamed.items() if c not in lk}
+    # Columns whose name is free also go by that name; of two with one name the joined one goes by both orders.
+    theirs = {b for _, b in pairs}
+    extra = {c if c not in lk else f"{c}.{name}": F.col(f"`{n}`") for c, n in renamed.items() if c not in lk or c not in theirs}
     out = out.withColumns(extra) if extra else out
     if declared_left and dialect is Dialect.CDISC:
         fill = [n for n in (*renamed.values(), *extra) if _kinds(out)[n] == "text"]

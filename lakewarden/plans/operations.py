@@ -202,10 +202,7 @@ def _date_extreme(biggest: bool) -> Callable:
         text = F.coalesce(tx.text_of(F.col(f"`{name}`"), r.kinds[name]), F.lit(""))
         chosen = r.chosen()
         if r.dialect is Dialect.CORE1:
-            shape = r"^(?!0000)\d{4}(-\d{2}(-\d{2}(T\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?)?)?"
-            known = F.regexp_extract(F.translate(F.rtrim(text), " ", "T"), shape, 0)
-            real = (F.char_length(known) < 10) | F.left(known, F.lit(10)).try_cast("date").isNotNull()
-            value = F.when(chosen & (known != "") & real, known)
+            value = F.when(chosen, dt.known_date_core1(text))
             agg = F.max(value) if biggest else F.min(value)
         else:
             parts = dt.date_parts(text, r.write_out)

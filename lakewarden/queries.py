@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import RECORD, Dataset, Dialect, Operation, Rule, Study, VariableMeta
+from .plans.early import early
 from .plans.evaluate import Compiler
 from .plans.matching import match
 from .plans.table import Table
@@ -51,7 +52,7 @@ def flagged(df: DataFrame, rule: Rule, study: Study | None = None, keys: tuple[s
     """The keys of the rows that violate a rule."""
     study = study or Study()
     data = Dataset("T", df)
-    rows = match(df, rule, data, study) if rule.match_datasets else df
+    rows = match(early(df, rule), rule, data, study) if rule.match_datasets else df
     table = Table(rows, data, study, "T")
     verdict = table.add(Compiler(table, study, rule.dialect).rule(rule)[0])
     sure = table.settled(F.coalesce(verdict, F.lit(False)))
@@ -222,7 +223,7 @@ def ship_before_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         match_datasets=[{"Name": "ORDERS", "Keys": [{"Left": "l_orderkey", "Right": "o_orderkey"}]}],
     )
     data = Dataset("LINEITEM", items)
-    table = Table(match(items, rule, data, study), data, study, "LI")
+    table = Table(match(early(items, rule), rule, data, study), data, study, "LI")
     verdict = table.add(Compiler(table, study, Dialect.CDISC).rule(rule)[0])
     sure = table.settled(F.coalesce(verdict, F.lit(False)))
     hits = table.df.filter(sure)

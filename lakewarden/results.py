@@ -13,8 +13,10 @@ from .model import Result, Rule
 
 FINDING_COLUMNS = ["Dataset", "Record", "USUBJID", "SEQ", "Variable", "Value", "issue", "triage", "rule_id"]
 NOT_IN_DATASET = "Not in dataset"
-IDENTIFIERS = {"STUDYID", "DOMAIN", "USUBJID", "RDOMAIN", "POOLID", "SPDEVID", "APID", "SUBJID"}
+#: Variables that tell which record is meant (fixed values); with them goes a domain's sequence number.
+IDENTIFIERS = ("STUDYID", "DOMAIN", "USUBJID", "POOLID", "APID", "SPDEVID", "variable_name")
 WRONG, REQUIRED, OPTIONAL = "wrong value", "missing required", "missing optional"
+_PRESENCE = {"exists", "not_exists", "empty", "non_empty"}
 
 
 def check_names(node: dict) -> list[str]:
@@ -30,44 +32,88 @@ def check_names(node: dict) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def message_says_missing(message: str) -> str | None:
-    """What a rule's message says about a missing value, if anything."""
-    m = message.lower()
-    if re.search(r"(must|should|shall) not be (present|populated|included)", m):
-        return WRONG
-    if re.search(r"required|must be (present|populated|included)|is missing|not present", m):
-        return REQUIRED
-    if re.search(r"expected|permissible", m):
-        return OPTIONAL
-    return None
+def conditions(node: dict) -> list[dict]:
+    """The conditions of a Check, however nested."""
+    if "operator" in node:
+        return [node]
+    out: list[dict] = []
+    for key in ("all", "any"):
+        for n in node.get(key) or []:
+            out += conditions(n)
+    return out + (conditions(node["not"]) if node.get("not") else [])
+
+
+def _negates(node: dict) -> bool:
+    return "not" in node or any(_negates(n) for key in ("all", "any") for n in node.get(key) or [])
+
+
+def _selects(c: dict) -> bool:
+    """Equality with a text that can be no variable's name: it chooses records and judges nothing."""
+    value = c.get("value")
+    value = value[0] if isinstance(value, list) and len(value) == 1 else value
+    if c["operator"] != "equal_to" or value is None or isinstance(value, list) or str(value).startswith("$"):
+        return False
+    return c.get("value_is_literal") is True or not re.fullmatch(r"(--)?[A-Z][A-Z0-9]{1,7}", str(value))
+
+
+def absence_pattern(check: dict) -> str:
+    """A pattern of the variables whose absence a Check reports; empty if it judges values too.
+
+    Such a Check holds nothing but presence tests and conditions that select
+    records, on variables and not on bindings, and negates nothing.
+    """
+    found = conditions(check) if check else []
+    if not found or _negates(check) or any(str(c["name"]).startswith("$") or not (c["operator"] in _PRESENCE or _selects(c)) for c in found):
+        return ""
+    tested = [str(c["name"]) for c in found if c["operator"] in ("not_exists", "empty")]
+    return "|".join("^" + ("[A-Z0-9]{2}" + re.escape(n[2:]) if n.startswith("--") else re.escape(n)) + "$" for n in tested)
+
+
+def _about(rule: Rule) -> tuple:
+    """What triage needs of a rule: id, level by rule type, absence pattern, level by message, whether the message speaks of absence."""
+    said = rule.message.lower()
+    by_type = None
+    if "domain presence" in rule.rule_type.lower():
+        by_type = WRONG if re.search("(must|should|shall) not be present", said) else REQUIRED
+    by_message = REQUIRED if re.search("required|(must|should|shall) be present", said) else OPTIONAL if re.search("expected|permissible", said) else None
+    return rule.id, by_type, absence_pattern(rule.check), by_message, bool(re.search("missing|absent|not present", said))
 
 
 def with_triage(findings: DataFrame, rules: dict[str, Rule]) -> DataFrame:
-    """Add triage per (rule, dataset): one aggregate over the findings, and the catalogue's words."""
-    rows = []
-    for r in rules.values():
-        bindings = " ".join(n for n in [*r.output, *check_names(r.check)] if n.startswith("$")).lower()
-        rows.append((r.id, r.rule_type.startswith("Domain Presence"), message_says_missing(r.message) or "", "required" in bindings, bool(re.search("expected|permissible", bindings))))
+    """Add triage per (rule, dataset): one aggregate over the findings, and the catalogue's words.
+
+    A value that is there is wrong, unless the rule reports an absent column and
+    that one is absent. Where none is there, the bindings reported, then the message
+    tell what is missing; else a blank is a value required, and identifiers alone are what the rule is about.
+    """
     spark = findings.sparkSession
-    about = spark.createDataFrame(rows or [("", False, "", False, False)], "rule_id string, presence boolean, says string, req boolean, opt boolean")
-    identifier = F.col("Variable").isin(*IDENTIFIERS) | F.endswith("Variable", F.lit("SEQ"))
-    present = (F.col("Value") != NOT_IN_DATASET) & (F.col("Value") != "")
-    facts = findings.groupBy("rule_id", "Dataset").agg(
-        F.bool_or(~identifier & present & ~F.startswith("Variable", F.lit("$"))).alias("value"), F.bool_or(F.col("Value") == NOT_IN_DATASET).alias("absent"),
-        F.bool_or((F.col("Value") == "") & ~identifier).alias("blank"), F.bool_and(identifier).alias("only_ids"), F.bool_or(identifier & present).alias("id_filled"),
-        F.bool_and(F.startswith("Variable", F.lit("$"))).alias("no_real"),
-    ).join(F.broadcast(about), "rule_id")  # one row per rule of the catalogue
-    triage = (
-        F.when(F.col("presence"), F.when(F.col("says") == WRONG, WRONG).otherwise(REQUIRED))
-        .when(F.col("value") & ~F.col("absent"), WRONG)
-        .when(F.col("req"), REQUIRED)
-        .when(F.col("opt"), OPTIONAL)
-        .when(F.col("says") == REQUIRED, REQUIRED)
-        .when(F.col("says") == OPTIONAL, OPTIONAL)
-        .when(F.col("blank"), REQUIRED)
-        .when(F.col("only_ids"), F.when(F.col("id_filled"), WRONG).otherwise(REQUIRED))
-        .when(F.col("no_real") & (F.col("says") == ""), WRONG)
-        .otherwise(OPTIONAL)
+    about = spark.createDataFrame([_about(r) for r in rules.values()] or [("", None, "", None, False)], "rule_id string, by_type string, absence string, by_message string, of_absence boolean")
+    binding = F.startswith("Variable", F.lit("$"))
+    identifier = ~binding & (F.col("Variable").isin(*IDENTIFIERS) | F.col("Variable").rlike("^[A-Z]{2}SEQ$"))
+    evidence = ~binding & ~identifier
+    absent = ~binding & (F.col("Value") == NOT_IN_DATASET)
+    filled = (F.col("Value") != NOT_IN_DATASET) & (F.col("Value") != "")
+    named = F.lower("Variable")
+
+    def some(test: object) -> object:
+        return F.coalesce(F.bool_or(test), F.lit(False))
+
+    # One row per rule of the catalogue is broadcast.
+    facts = findings.join(F.broadcast(about), "rule_id").groupBy("rule_id", "Dataset", "by_type", "by_message", "of_absence").agg(
+        some(evidence & filled).alias("value"), some(evidence).alias("evidence"), some(evidence & ~absent).alias("there"),
+        some(identifier & ~absent).alias("id_there"), some(identifier & filled).alias("id_filled"), some(~binding).alias("real"),
+        some(binding & F.contains(named, F.lit("required"))).alias("required"), some(binding & named.rlike("expected|permissible")).alias("optional"),
+        some(absent & (F.col("absence") != "") & F.expr("Variable RLIKE absence")).alias("column_absent"),
+    )
+    triage = F.coalesce(
+        F.col("by_type"),
+        F.when(F.col("value") & ~F.col("column_absent"), WRONG),
+        F.when(F.col("required"), REQUIRED).when(F.col("optional"), OPTIONAL),
+        F.col("by_message"),
+        F.when(F.col("there"), REQUIRED),
+        F.when(~F.col("evidence") & F.col("id_there"), F.when(F.col("id_filled"), WRONG).otherwise(REQUIRED)),
+        F.when(~F.col("real") & ~F.col("of_absence"), WRONG),
+        F.lit(OPTIONAL),
     )
     facts = facts.select("rule_id", "Dataset", triage.alias("triage"))
     return findings.drop("triage").join(facts, ["rule_id", "Dataset"], "left").select(*FINDING_COLUMNS)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .model import RECORD, Dataset, Dialect, Result, Rule, RuleSkipped, Study
 from .plans import scope
+from .plans.early import early
 from .plans.evaluate import Compiler
 from .plans.matching import match
 from .plans.reshape import DATASET_TYPES, STUDY_TYPES, SUPPORTED, VALUE_TYPES, as_table, build
@@ -158,7 +159,7 @@ def _run_group(some: list[Rule], d: Dataset, study: Study, hits: list, skipped:
     def table_of():
         rows = build(first, d, study)
         if first.match_datasets:
-            rows = match(rows, first, d, study)
+            rows = match(early(rows, first) if len(some) == 1 else rows, first, d, study)
         return as_table(rows, d, study, dialect)
 
     try:

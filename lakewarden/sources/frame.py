@@ -20,7 +20,7 @@ def normal_types(df: DataFrame) -> DataFrame:
     for f in df.schema:
         c, t = F.col(f"`{f.name}`"), f.dataType
         if isinstance(t, T.StringType):
-            c = F.coalesce(c, F.lit(""))
+            c = F.when(c.isNull(), F.lit("")).otherwise(c)  # a conditional, as filters on it reach the scan
         elif isinstance(t, T.DateType):
             c = F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):

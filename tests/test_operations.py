@@ -41,6 +41,20 @@ def test_extremes_and_dates(spark):
     assert run(ex, leaf("N", "equal_to", "$m"), ("$m", "max", {"name": "N"})) == [F, T, F, F]
 
 
+def test_date_extremes_of_1_0_rules_are_texts(spark):
+    def latest(*dates, name="max_date"):
+        d = dataset(spark, "EX", "D string", [(x,) for x in dates])
+        got = run(d, leaf("D", "equal_to", "$m"), ("$m", name, {"name": "D"}), core1=True)
+        return [x for x, hit in zip(dates, got) if hit]
+
+    assert latest("2024-01-15junk", "2024-13") == []
+    assert latest("2014-01-05", "2014-02", "2014-01") == ["2014-02"]
+    assert latest("2014-02", "2014-02-01", name="min_date") == ["2014-02"]
+    assert latest("2023-02-30", "2022-01-01", "0000-01-01") == ["2022-01-01"]
+    d = dataset(spark, "EX", "D string, E string", [("2011-01-14 00:00:00", "2011-01-14T00:00:00"), ("2011-01-13T10:-:-", ""), ("2010--15", "")])
+    assert run(d, leaf("E", "equal_to", "$m"), ("$m", "max_date", {"name": "D"}), core1=True) == [T, F, F]
+
+
 def test_study_day_has_no_zero(spark):
     vs = dataset(spark, "VS", "USUBJID string, VSDTC string, VSDY double", [("1", "2024-01-01", 1.0), ("1", "2023-12-31", -1.0), ("1", "2024-01-03T10:00", 3.0), ("2", "2024-01-01", None)])
     dm = dataset(spark, "DM", "USUBJID string, RFSTDTC string", [("1", "2024-01-01")])

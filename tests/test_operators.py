@@ -138,8 +138,55 @@ def test_sorted_by_with_blanks_ties_and_overlaps(spark):
 
 def test_ordered_set(spark):
     df = frame(spark, "g string, v string", [("a", "1"), ("a", "10"), ("a", "9"), ("b", "1"), ("b", ""), ("b", "2")])
-    assert verdicts(df, leaf("v", "is_not_ordered_set", "g")) == [T, T, T, F, F, F]
-    assert verdicts(df, leaf("v", "is_ordered_set", "g")) == [F, F, F, T, F, T]
+    assert verdicts(df, leaf("v", "is_not_ordered_set", "g")) == [T, T, T, T, F, T]  # from 1 to a blank is a step down
+    assert verdicts(df, leaf("v", "is_ordered_set", "g")) == [F, F, F, F, F, F]
+    up = frame(spark, "g string, v double", [("a", 1.0), ("a", None), ("a", 0.5), ("b", 1.0), ("b", 10.0)])
+    assert verdicts(up, leaf("v", "is_not_ordered_set", "g")) == [F, F, F, F, F]  # a missing number is not compared
+    assert verdicts(up, leaf("v", "is_not_ordered_set")) == [F] * 5
+    assert verdicts(frame(spark, "v string", [("2",), ("10",), ("9",)]), leaf("v", "is_not_ordered_set")) == [T, T, T]
+    with pytest.raises(RuleSkipped, match="zz"):
+        verdicts(df, leaf("v", "is_not_ordered_set", ["g", "zz"]))
+
+
+def test_intervals_are_those_of_1_0_rules(spark):
+    rows = {"2023-01-01/2023-02-01": F, "2023-01/2023-02": F, "2023-01-01/P1D": F, "P1D/2023-01-01": F, "2023-01-01/-P1D": T, "P1D/P1D": T, "2023---15/2023": T, "2023": T, "": T, "2023/2024/2025": T, "2023-01-01/": T}
+    df = frame(spark, "d string", [(d,) for d in rows])
+    assert verdicts(df, leaf("d", "invalid_date_interval"), core1=True) == list(rows.values())
+    assert verdicts(df, leaf("d", "invalid_date_interval")) == list(rows.values())
+
+
+def test_dates_of_1_0_rules(spark):
+    good = ["2024", "-2024", "2024-12", "2024--", "2024-05--", "2024-01/2024-02", "2024-01-01/2024-02-01", "2024-02-29", "2024-01-15T10:30", "2024-01-15T10:30:15.25+0130", "2024-01-15T10:30Z"]
+    bad = ["", "2024-", "2024-05-", "2024-13", "2024-02-30", "2023-02-29", "2024-01-15T10", "2024-01-15T24:00", "2024-01-15T10:60", "2024-01-15T-:30", "2024-00-10", "-2024-01-15", "2024/2025", "x", "2024-01-32"]
+    df = frame(spark, "d string", [(d,) for d in good + bad])
+    assert verdicts(df, leaf("d", "invalid_date"), core1=True) == [F] * len(good) + [T] * len(bad)
+
+
+def test_date_components_of_1_0_rules(spark):
+    df = frame(spark, "a string, b string", [("2014-01-20", "2014-01-21"), ("2014-01-20 10:00", "2014-01-20T10:30"), ("2014-01-20T10:00junk", "2014-01-20"), ("", ""), ("2014-01", "2014-01-20")])
+
+    def run(operator, **more):
+        return verdicts(df, leaf("a", operator, "b", **more), core1=True)
+
+    assert run("date_equal_to", date_component="hour") == [F, T, F, F, F]
+    assert run("date_equal_to", date_component="month") == [T, T, T, F, T]
+    assert run("date_equal_to", date_component="microsecond") == [F] * 5
+    assert run("date_equal_to") == [F, F, F, F, T]
+    assert run("date_less_than") == [T, T, F, F, F]
+    with pytest.raises(RuleSkipped, match="century"):
+        run("date_equal_to", date_component="century")
+
+
+def test_order_by_sort_columns_of_1_0_rules(spark):
+    def run(rows, schema="u string, s string, d string", **more):
+        return verdicts(frame(spark, schema, rows), leaf("s", "target_is_not_sorted_by", [{"name": "d", **more}], within="u"), core1=True)
+
+    assert run([("a", "1", "2020-01-01"), ("a", "2", "2020-01-02"), ("a", "10", "2020-01-03")]) == [F, F, F]
+    assert run([("a", "1", "2020-01-02"), ("a", "2", "2020-01-01"), ("a", "3", "2020-01-03")]) == [T, T, F]
+    assert run([("a", "1", "2020"), ("a", "2", "2020-01")]) == [T, F]  # a year that holds the next date
+    assert run([(None, "1", "2020"), (None, "2", "2020-01")]) == [F, F]
+    assert run([("a", "", "1"), ("a", "10", "2"), ("a", "9", "3")]) == [T, T, T]  # a blank makes the order one of texts
+    assert run([("a", 1.0, None), ("a", 2.0, "x")], "u string, s double, d string") == [T, T]
 
 
 def test_sets(spark):
