@@ -53,6 +53,8 @@ class Dataset:
     #: First non-blank values of DOMAIN and RDOMAIN, read once at load.
     domain_value: str = ""
     rdomain_value: str = ""
+    #: The rows as they are read, numbered but with their own types; filters on them reach the scan.
+    raw: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if not self.variables:

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Dialect, Rule
+from ..model import Dataset, Dialect, Rule
 from ..operators import OPERATORS
+from ..sources.frame import normal_types
 from .table import kind_of
 
 #: Modules of operators that look at one row at a time, and what they hold that does not.
@@ -45,10 +46,18 @@ def _plain(c: dict, kinds: dict[str, str]) -> Column | None:
     return None
 
 
-def early(rows: DataFrame, rule: Rule) -> DataFrame:
-    """The rows that may violate the rule."""
+def early(rows: DataFrame, rule: Rule, d: Dataset) -> DataFrame:
+    """The rows that may violate the rule.
+
+    No test takes a blank, so texts may be tested as they were read, where NULL is not yet an empty text.
+    """
     if rule.operations or rule.dialect is Dialect.CORE1 or not isinstance(rule.check.get("all"), list) or not all(map(_row_by_row, _leaves(rule.check))):
         return rows
     kinds = {f.name: kind_of(f.dataType) for f in rows.schema}
-    tests = [t for c in rule.check["all"] if "operator" in c and (t := _plain(c, kinds)) is not None]
-    return rows.filter(reduce(Column.__and__, tests)) if tests else rows
+    found = [(c["name"], t) for c in rule.check["all"] if "operator" in c and (t := _plain(c, kinds)) is not None]
+    if not found:
+        return rows
+    named, test = {n for n, _ in found}, reduce(Column.__and__, (t for _, t in found))
+    if d.raw is None or rows is not d.df or any(d.raw.schema[n].dataType != rows.schema[n].dataType for n in named):
+        return rows.filter(test)
+    return normal_types(d.raw.filter(test))

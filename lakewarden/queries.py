@@ -30,10 +30,17 @@ BASES = {
         left({_ISO}, 8) || lpad(CAST(1 + event_id % 28 AS STRING), 2, '0') AS q, CASE event_id % 5 WHEN 0 THEN 'P1Y2M' WHEN 1 THEN 'P1.5Y2M' WHEN 2 THEN 'PT' WHEN 3 THEN '-P3W' ELSE 'P1D,T2H' END AS du,
         CASE event_id % 4 WHEN 0 THEN '' ELSE 'a' END AS x, CASE event_id % 3 WHEN 0 THEN '' ELSE event_type END AS x1, CASE event_id % 5 WHEN 0 THEN 'click' ELSE '' END AS x2,
         CASE event_id % 3 WHEN 0 THEN 'x1' WHEN 1 THEN 'x2' ELSE 'none' END AS ref, CASE event_id % 4 WHEN 0 THEN 'a,b,c' WHEN 1 THEN 'b,a' WHEN 2 THEN 'c' ELSE '' END AS s1,
-        CASE event_id % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN 'c,d' ELSE 'a,b,c,d' END AS s2 FROM {{t}}""",
+        CASE event_id % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN 'c,d' ELSE 'a,b,c,d' END AS s2,
+        CASE event_id % 3 WHEN 0 THEN {_ISO.replace('ts', "ts - INTERVAL '3' HOUR")} WHEN 1 THEN {_ISO.replace('ts', "ts + INTERVAL '1' HOUR")} ELSE {_ISO} END AS iso2,
+        {_ISO} || CASE event_id % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' WHEN 2 THEN '-05:30' ELSE '' END AS zoned,
+        CASE event_id % 7 WHEN 0 THEN left({_ISO}, 10) || '/2025' WHEN 1 THEN '2024---' || substr({_ISO}, 9, 2) WHEN 2 THEN '-----T' || substr({_ISO}, 12, 5) WHEN 3 THEN left({_ISO}, 8) || '-T' || substr({_ISO}, 12, 5)
+          WHEN 4 THEN '2024-02-30' WHEN 5 THEN left({_ISO}, 16) || 'Z' ELSE left({_ISO}, 10) || 'x' END AS odd,
+        CASE event_id % 4 WHEN 0 THEN '2023-02-' WHEN 1 THEN '2023-08-' WHEN 2 THEN '2024-03-' ELSE '2020-08-' END || lpad(CAST(1 + event_id % 28 AS STRING), 2, '0') AS rel,
+        CASE event_id % 7 WHEN 0 THEN left({_ISO}, 10) || '/P1D' WHEN 1 THEN left({_ISO}, 10) || '/-P1D' WHEN 2 THEN 'P2W/' || left({_ISO}, 10) WHEN 3 THEN left({_ISO}, 10) || '/' || left({_ISO}, 7) WHEN 4 THEN left({_ISO}, 7) || '/2024--'
+          WHEN 5 THEN left({_ISO}, 10) ELSE left({_ISO}, 8) || '32/2024-01-01' END AS span FROM {{t}}""",
     ),
-    "customer": ("customer", "SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS DOUBLE) AS nation, c_mktsegment AS seg, CAST(c_acctbal AS DOUBLE) AS bal, CAST(c_custkey % 300 AS STRING) AS grp, CAST(c_custkey % 7 AS STRING) AS g7 FROM {t}"),
-    "orders": ("orders", "SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS cust, o_orderstatus AS status, o_orderpriority AS prio, left(CAST(o_orderdate AS STRING), 10) AS day, CAST(o_orderkey % 11 AS DOUBLE) AS k11 FROM {t}"),
+    "customer": ("customer", "SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS DOUBLE) AS nation, c_mktsegment AS seg, CAST(c_acctbal AS DOUBLE) AS bal, CAST(c_custkey % 300 AS STRING) AS grp, CAST(c_custkey % 7 AS STRING) AS g7, CASE WHEN c_custkey % 10 < 3 THEN 'A' || CAST(c_custkey % 50 AS STRING) WHEN c_custkey % 10 = 4 THEN '' ELSE c_name END AS one, CASE WHEN c_custkey % 10 < 2 THEN 'B' || CAST(c_custkey % 40 AS STRING) WHEN c_custkey % 10 IN (4, 5) THEN '' ELSE 'C' || CAST(c_custkey % 700 AS STRING) END AS two FROM {t}"),
+    "orders": ("orders", "SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS cust, o_orderstatus AS status, o_orderpriority AS prio, left(CAST(o_orderdate AS STRING), 10) AS day, CAST(o_orderkey % 11 AS DOUBLE) AS k11, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE left(CAST(o_orderdate AS STRING), 10) END AS dayb, left(CAST(o_orderdate AS STRING), CASE WHEN o_orderkey % 5 = 1 THEN 7 ELSE 10 END) || CASE o_orderkey % 5 WHEN 2 THEN 'junk' WHEN 3 THEN ' 10:00' ELSE '' END AS dayx FROM {t}"),
 }
 
 
@@ -48,11 +55,11 @@ def base_sql(name: str) -> str:
     return sql.format(t=table)
 
 
-def flagged(df: DataFrame, rule: Rule, study: Study | None = None, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+def flagged(df: DataFrame, rule: Rule, study: Study | None = None, keys: tuple[str, ...] = ("id",), data: Dataset | None = None) -> DataFrame:
     """The keys of the rows that violate a rule."""
     study = study or Study()
-    data = Dataset("T", df)
-    rows = match(early(df, rule), rule, data, study) if rule.match_datasets else df
+    data = data or Dataset("T", df)
+    rows = match(early(df, rule, data), rule, data, study) if rule.match_datasets else df
     table = Table(rows, data, study, "T")
     verdict = table.add(Compiler(table, study, rule.dialect).rule(rule)[0])
     sure = table.settled(F.coalesce(verdict, F.lit(False)))
@@ -74,9 +81,21 @@ def _date(op: str) -> str:
 
 
 _SPLIT = [Operation("$s1", "split_by", {"name": "s1", "delimiter": ","}), Operation("$s2", "split_by", {"name": "s2", "delimiter": ","})]
+#: Users of two kinds of events, as sets and as SQL.
+_BOTH = [Operation("$a", "distinct", {"name": "u", "filter": {"t": "click", "d7": "1"}}), Operation("$b", "distinct", {"name": "u", "filter": {"t": "error", "d7": "2"}})]
+_USERS = "SELECT CAST(user_id AS STRING) FROM events WHERE event_type = '{}' AND event_id % 7 = {}"
 _L1, _L2 = "(CASE WHEN s1 = '' THEN [] ELSE string_split(s1, ',') END)", "string_split(s2, ',')"
 _BY_U = "PARTITION BY u ORDER BY iso, id"
 
+#: A key that is filled has one partner; both ways.
+_TWO_WAYS = "(one <> '' AND min(two) OVER (PARTITION BY one) <> max(two) OVER (PARTITION BY one)) OR (two <> '' AND min(one) OVER (PARTITION BY two) <> max(one) OVER (PARTITION BY two))"
+#: The instant of a text to the second with its zone, and the day or year that odd texts give (no date: NULL).
+_ZONED = "(CAST(replace(left(zoned, 19), 'T', ' ') AS TIMESTAMP) - CASE substr(zoned, 20) WHEN '+02:00' THEN INTERVAL '2' HOUR WHEN '-05:30' THEN INTERVAL '-330' MINUTE ELSE INTERVAL '0' HOUR END)"
+_ODD = "CASE id % 7 WHEN 0 THEN left(odd, 10) WHEN 1 THEN '2024' WHEN 3 THEN left(odd, 7) WHEN 5 THEN left(odd, 10) END"
+_ODD_LEVEL = f"length({_ODD})"
+#: Valid intervals of 1.0 rules, by the form they were written in.
+_SPAN = "id % 7 IN (0, 2, 3, 4)"
+
 #: query: (base, condition, SQL predicate over the base[, operations[, 1.0 dialect]]).
 CHECKS: dict[str, tuple] = {
     "equal_to": ("events", {"name": "x1", "operator": "equal_to", "value": "t"}, "x1 <> '' AND t <> '' AND x1 = t"),
@@ -88,7 +107,7 @@ CHECKS: dict[str, tuple] = {
     "not_equal_to_case_insensitive": ("events", {"name": "x1", "operator": "not_equal_to_case_insensitive", "value": "tu"}, "upper(x1) <> tu"),
     "less_than": ("events", {"name": "d7", "operator": "less_than", "value": 3}, "TRY_CAST(d7 AS DOUBLE) < 3"),
     "less_than_or_equal_to": ("events", {"name": "d7", "operator": "less_than_or_equal_to", "value": "m5"}, "TRY_CAST(d7 AS DOUBLE) <= m5"),
-    "greater_than": ("events", {"name": "t", "operator": "greater_than", "value": 3}, "coalesce(TRY_CAST(t AS DOUBLE) > 3, false)"),
+    "greater_than": ("events", {"any": [{"name": "t", "operator": "greater_than", "value": 3}, {"name": "d5", "operator": "greater_than", "value": "d7"}]}, "coalesce(TRY_CAST(t AS DOUBLE) > 3, false) OR TRY_CAST(d5 AS DOUBLE) > TRY_CAST(d7 AS DOUBLE)"),
     "greater_than_or_equal_to": ("events", {"name": "d5", "operator": "greater_than_or_equal_to", "value": 2}, "TRY_CAST(d5 AS DOUBLE) >= 2"),
     "exists": ("events", {"all": [{"name": "tb", "operator": "exists"}, {"name": "d7", "operator": "equal_to", "value": "1", "value_is_literal": True}]}, "d7 = '1'"),
     "not_exists": ("events", {"all": [{"name": "zz", "operator": "not_exists"}, {"name": "d7", "operator": "equal_to", "value": "2", "value_is_literal": True}]}, "d7 = '2'"),
@@ -106,13 +125,13 @@ CHECKS: dict[str, tuple] = {
     "has_equal_length": ("events", {"name": "t", "operator": "has_equal_length", "value": 5}, "length(t) = 5"),
     "has_not_equal_length": ("events", {"name": "t", "operator": "has_not_equal_length", "value": 5}, "length(t) <> 5"),
     "contains": ("events", {"name": "iso", "operator": "contains", "value": "-01"}, "contains(iso, '-01')"),
-    "does_not_contain": ("events", {"name": "iso", "operator": "does_not_contain", "value": "-0"}, "NOT contains(iso, '-0')"),
+    "does_not_contain": ("events", {"name": "iso", "operator": "does_not_contain", "value": "-1"}, "NOT contains(iso, '-1')"),
     "contains_case_insensitive": ("events", {"name": "t", "operator": "contains_case_insensitive", "value": "LI"}, "contains(upper(t), 'LI')"),
     "does_not_contain_case_insensitive": ("events", {"name": "t", "operator": "does_not_contain_case_insensitive", "value": "LI"}, "NOT contains(upper(t), 'LI')"),
     "starts_with": ("customer", {"name": "seg", "operator": "starts_with", "value": ["AUTO", "BU"]}, "seg LIKE 'AUTO%' OR seg LIKE 'BU%'"),
     "ends_with": ("customer", {"name": "seg", "operator": "ends_with", "value": "RY"}, "seg LIKE '%RY'"),
     "prefix_matches_regex": ("customer", {"name": "name", "operator": "prefix_matches_regex", "prefix": 9, "value": "#"}, "regexp_matches(left(name, 9), '#')"),
-    "not_prefix_matches_regex": ("customer", {"name": "name", "operator": "not_prefix_matches_regex", "prefix": 12, "value": "0$"}, "NOT regexp_matches(left(name, 12), '0$')"),
+    "not_prefix_matches_regex": ("customer", {"name": "name", "operator": "not_prefix_matches_regex", "prefix": 18, "value": "[05]$"}, "NOT regexp_matches(left(name, 18), '[05]$')"),
     "suffix_matches_regex": ("customer", {"name": "name", "operator": "suffix_matches_regex", "suffix": 2, "value": "[13]$"}, "regexp_matches(right(name, 2), '[13]$')"),
     "not_suffix_matches_regex": ("customer", {"name": "name", "operator": "not_suffix_matches_regex", "suffix": 2, "value": "[13]$"}, "NOT regexp_matches(right(name, 2), '[13]$')"),
     "prefix_matches_regex_case_insensitive": ("customer", {"name": "seg", "operator": "prefix_matches_regex_case_insensitive", "prefix": 2, "value": "^b"}, "regexp_matches(lower(left(seg, 2)), '^b')"),
@@ -157,23 +176,35 @@ CHECKS: dict[str, tuple] = {
     "is_incomplete_date": ("events", {"name": "p", "operator": "is_incomplete_date"}, f"NOT ({_VALID.format('p')} AND length(p) >= 10)"),
     "invalid_date": ("events", {"name": "p", "operator": "invalid_date"}, f"NOT {_VALID.format('p')}"),
     "invalid_duration": ("events", {"name": "du", "operator": "invalid_duration", "negative": False}, "du IN ('P1.5Y2M', 'PT', '-P3W')"),
-    "invalid_date_interval": ("events", {"name": "p", "operator": "invalid_date_interval"}, "true"),
+    "invalid_date_interval": ("events", {"name": "span", "operator": "invalid_date_interval"}, f"NOT ({_SPAN})"),
+    "date_less_than_zones": ("events", {"name": "zoned", "operator": "date_less_than", "value": "iso2"}, f"{_ZONED} < CAST(replace(iso2, 'T', ' ') AS TIMESTAMP)"),
+    "date_equal_to_zones": ("events", {"name": "zoned", "operator": "date_equal_to", "value": "iso2"}, f"{_ZONED} = CAST(replace(iso2, 'T', ' ') AS TIMESTAMP)"),
+    "date_greater_than_or_equal_to_odd": ("events", {"name": "odd", "operator": "date_greater_than_or_equal_to", "value": "q"}, f"coalesce({_ODD} >= left(q, {_ODD_LEVEL}), false)"),
+    "date_not_equal_to_odd": ("events", {"name": "odd", "operator": "date_not_equal_to", "value": "q"}, f"{_ODD} IS NULL OR {_ODD_LEVEL} <> 10 OR id % 7 = 5 OR {_ODD} <> q"),
+    "invalid_date_odd": ("events", {"name": "odd", "operator": "invalid_date"}, "id % 7 IN (4, 6)"),
+    "invalid_date_core1": ("events", {"name": "odd", "operator": "invalid_date"}, "id % 7 <> 5", None, True),
+    "invalid_duration_core1": ("events", {"name": "du", "operator": "invalid_duration"}, "du IN ('PT', '-P3W')", None, True),
+    "date_component_core1": ("events", {"name": "p", "operator": "date_equal_to", "value": "q", "date_component": "day"}, "length(p) >= 10 AND substr(p, 9, 2) = substr(q, 9, 2)", None, True),
+    "date_component_hour_core1": ("events", {"name": "iso", "operator": "date_greater_than", "value": "iso2", "date_component": "hour"}, "substr(iso, 12, 2) > substr(iso2, 12, 2)", None, True),
     "is_not_unique_set": ("orders", {"name": "cust", "operator": "is_not_unique_set", "value": ["status", "prio"]}, "count(*) OVER (PARTITION BY cust, status, prio) > 1"),
     "is_unique_set": ("orders", {"name": "cust", "operator": "is_unique_set", "value": ["status", "prio"]}, "count(*) OVER (PARTITION BY cust, status, prio) = 1"),
-    "is_not_unique_relationship": ("customer", {"name": "name", "operator": "is_not_unique_relationship", "value": "bal"}, "count(*) OVER (PARTITION BY bal) > 1"),
-    "is_unique_relationship": ("customer", {"name": "name", "operator": "is_unique_relationship", "value": "bal"}, "count(*) OVER (PARTITION BY bal) = 1"),
+    "is_not_unique_relationship": ("customer", {"name": "one", "operator": "is_not_unique_relationship", "value": "two"}, _TWO_WAYS),
+    "is_unique_relationship": ("customer", {"name": "one", "operator": "is_unique_relationship", "value": "two"}, f"NOT ({_TWO_WAYS})"),
+    "is_not_unique_relationship_core1": ("customer", {"name": "one", "operator": "is_not_unique_relationship", "value": "two"}, _TWO_WAYS.replace("one <> '' AND ", "").replace("two <> '' AND ", ""), None, True),
     "has_same_values": ("customer", {"not": {"name": "seg", "operator": "has_same_values"}}, "(SELECT count(DISTINCT c_mktsegment) FROM customer) > 1"),
     "present_on_multiple_rows_within": ("events", {"name": "t", "operator": "present_on_multiple_rows_within", "within": "u"}, "count(*) OVER (PARTITION BY u, t) > 1"),
-    "not_present_on_multiple_rows_within": ("events", {"name": "t", "operator": "not_present_on_multiple_rows_within", "within": "u"}, "count(*) OVER (PARTITION BY u, t) = 1"),
+    "not_present_on_multiple_rows_within": ("events", {"name": "q", "operator": "not_present_on_multiple_rows_within", "within": "u"}, "count(*) OVER (PARTITION BY u, q) = 1"),
     "is_inconsistent_across_dataset": ("customer", {"name": "seg", "operator": "is_inconsistent_across_dataset", "value": ["grp"]}, "min(seg) OVER (PARTITION BY grp) <> max(seg) OVER (PARTITION BY grp)"),
     "does_not_have_next_corresponding_record": ("events", {"name": "t", "operator": "does_not_have_next_corresponding_record", "value": "t", "within": "u", "ordering": "iso"}, f"lead(id) OVER ({_BY_U}) IS NOT NULL AND t <> lead(t) OVER ({_BY_U})"),
     "empty_within_except_last_row": ("events", {"name": "tb", "operator": "empty_within_except_last_row", "value": "u", "ordering": "iso"}, f"tb = '' AND lead(id) OVER ({_BY_U}) IS NOT NULL"),
     "target_is_not_sorted_by": ("orders", {"name": "k11", "operator": "target_is_not_sorted_by", "value": [{"name": "day", "sort_order": "asc", "null_position": "last"}], "within": "cust", "strict_incremental_ordering": True}, "k11 <> row_number() OVER (PARTITION BY cust ORDER BY day, id)"),
     "target_is_not_sorted_by_core1": ("orders", {"name": "k11", "operator": "target_is_not_sorted_by", "value": [{"name": "day"}], "within": "cust"}, "row_number() OVER (PARTITION BY cust ORDER BY k11, day, id) <> row_number() OVER (PARTITION BY cust ORDER BY day, k11, id)", None, True),
     "is_not_ordered_set": ("orders", {"name": "day", "operator": "is_not_ordered_set", "value": "cust"}, "max(CASE WHEN day < before THEN 1 ELSE 0 END) OVER (PARTITION BY cust) = 1"),
+    "is_not_ordered_set_blank": ("orders", {"name": "dayb", "operator": "is_not_ordered_set", "value": "cust"}, "dayb <> '' AND max(CASE WHEN dayb < before THEN 1 ELSE 0 END) OVER (PARTITION BY cust) = 1"),
+    "is_not_ordered_set_whole": ("orders", {"name": "k11", "operator": "is_not_ordered_set"}, "max(CASE WHEN k11 < before THEN 1 ELSE 0 END) OVER () = 1"),
     "is_ordered_set": ("orders", {"name": "day", "operator": "is_ordered_set", "value": "cust"}, "max(CASE WHEN day < before THEN 1 ELSE 0 END) OVER (PARTITION BY cust) = 0"),
-    "is_latest_available_external_dictionary_version": ("orders", {"all": [{"name": "day", "operator": "is_latest_available_external_dictionary_version", "external_dictionary_type": "meddra", "version": "26.0"}]}, "day >= '2023-03-01' AND day < '2023-09-01'"),
-    "is_not_latest_available_external_dictionary_version": ("orders", {"name": "day", "operator": "is_not_latest_available_external_dictionary_version", "external_dictionary_type": "meddra", "version": "26.0"}, "NOT (day >= '2023-03-01' AND day < '2023-09-01')"),
+    "is_latest_available_external_dictionary_version": ("events", {"name": "rel", "operator": "is_latest_available_external_dictionary_version", "external_dictionary_type": "meddra", "version": "26.0"}, "rel >= '2023-03-01' AND rel < '2023-09-01'"),
+    "is_not_latest_available_external_dictionary_version": ("events", {"name": "rel", "operator": "is_not_latest_available_external_dictionary_version", "external_dictionary_type": "meddra", "version": "26.0"}, "NOT (rel >= '2023-03-01' AND rel < '2023-09-01')"),
     "check_tree_kleene": ("events", {"any": [{"all": [{"name": "t", "operator": "equal_to", "value": "click", "value_is_literal": True}, {"not": {"name": "tb", "operator": "empty"}}]}, {"name": "zz", "operator": "equal_to", "value": "1"}]}, "t = 'click' AND tb <> ''"),
     # Operations, through the condition that reads the binding.
     "op_distinct": ("events", {"name": "d7", "operator": "is_not_contained_by", "value": "$v"}, "d7 NOT IN (SELECT CAST(event_id % 7 AS STRING) FROM events WHERE event_type = 'click' AND CAST(event_id % 7 AS STRING) IN ('1', '3'))", [Operation("$v", "distinct", {"name": "d7", "filter": {"t": "click", "d7": ["1", "3"]}})]),
@@ -184,9 +215,11 @@ CHECKS: dict[str, tuple] = {
     "op_min": ("customer", {"name": "bal", "operator": "equal_to", "value": "$v"}, "bal = min(bal) OVER ()", [Operation("$v", "min", {"name": "bal"})]),
     "op_max_date": ("orders", {"name": "day", "operator": "date_equal_to", "value": "$v"}, "day = max(day) OVER (PARTITION BY cust)", [Operation("$v", "max_date", {"name": "day", "group": ["cust"]})]),
     "op_min_date": ("orders", {"name": "day", "operator": "date_equal_to", "value": "$v"}, "day = min(day) OVER (PARTITION BY cust)", [Operation("$v", "min_date", {"name": "day", "group": ["cust"]})]),
+    "op_max_date_core1": ("orders", {"name": "dayx", "operator": "equal_to", "value": "$v"}, "dayx = max(CASE WHEN dayx NOT LIKE '%junk' THEN replace(dayx, ' ', 'T') END) OVER (PARTITION BY cust)", [Operation("$v", "max_date", {"name": "dayx", "group": ["cust"]})], True),
     "op_map": ("events", {"name": "$v", "operator": "equal_to", "value": "one", "value_is_literal": True}, "t = 'click' AND d7 = '1'", [Operation("$v", "map", {"map": [{"t": "click", "d7": 1, "output": "one"}, {"t": "view", "d7": 2, "output": "two"}]})]),
-    "op_minus": ("events", {"name": "t", "operator": "is_contained_by", "value": "$v"}, "t = 'click'", [Operation("$v", "minus", {"name": ["click", "view"], "subtract": ["view"]})]),
-    "op_intersect": ("events", {"name": "t", "operator": "is_contained_by", "value": "$v"}, "t = 'view'", [Operation("$v", "intersect", {"name": ["click", "view"], "subtract": ["view", "x"]})]),
+    "op_minus": ("events", {"name": "u", "operator": "is_contained_by", "value": "$v"}, f"u IN ({_USERS.format('click', 1)}) AND u NOT IN ({_USERS.format('error', 2)})", [*_BOTH, Operation("$v", "minus", {"name": "$a", "subtract": "$b"})]),
+    "op_minus_ordered": ("events", {"name": "ref", "operator": "is_contained_by", "value": "$v"}, "ref = 'x2'", [Operation("$c", "get_column_order_from_dataset", {}), Operation("$v", "minus", {"name": "$c", "subtract": ["x1", "ref", "tb"]})]),
+    "op_intersect": ("events", {"name": "u", "operator": "is_contained_by", "value": "$v"}, f"u IN ({_USERS.format('click', 1)}) AND u IN ({_USERS.format('error', 2)})", [*_BOTH, Operation("$v", "intersect", {"name": "$a", "subtract": "$b"})]),
     "op_split_by": ("events", {"name": "$s1", "operator": "contains", "value": "b"}, f"list_contains({_L1}, 'b')", _SPLIT),
     "op_variable_exists": ("events", {"all": [{"name": "$v", "operator": "equal_to", "value": True}, {"name": "d7", "operator": "equal_to", "value": "1", "value_is_literal": True}]}, "d7 = '1'", [Operation("$v", "variable_exists", {"name": "tb"})]),
     "op_get_column_order_from_dataset": ("events", {"name": "ref", "operator": "is_contained_by", "value": "$v"}, "ref <> 'none'", [Operation("$v", "get_column_order_from_dataset", {})]),
@@ -203,27 +236,33 @@ def _check_sql(name: str) -> str:
     where, _, predicate, *_ = CHECKS[name]
     rows = f"SELECT *, ({predicate}) AS hit FROM ({base_sql(where)}) b"
     if "before" in predicate:
-        rows = f"SELECT *, ({predicate}) AS hit FROM (SELECT *, lag(day) OVER (PARTITION BY cust ORDER BY id) AS before FROM ({base_sql(where)}) b0) b"
+        column, group = CHECKS[name][1]["name"], CHECKS[name][1].get("value")
+        rows = f"SELECT *, ({predicate}) AS hit FROM (SELECT *, lag({column}) OVER ({'PARTITION BY ' + group if group else ''} ORDER BY id) AS before FROM ({base_sql(where)}) b0) b"
     return f"SELECT id FROM ({rows}) r WHERE hit"
 
 
 # Joins, rule types and results over several tables.
 
 
+def _raw(spark: SparkSession, sf_dir: str, table: str, order: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").withColumn(RECORD, F.col(order).cast("bigint") + 1)
+
+
 def _table(spark: SparkSession, sf_dir: str, table: str, order: str) -> DataFrame:
-    return normal_types(spark.read.parquet(f"{sf_dir}/{table}.parquet")).withColumn(RECORD, F.col(order).cast("bigint") + 1)
+    return normal_types(_raw(spark, sf_dir, table, order))
 
 
 def ship_before_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of finished orders that shipped before their order: a keyed join and a date rule, melted into findings."""
-    items, orders = _table(spark, sf_dir, "lineitem", "l_orderkey"), _table(spark, sf_dir, "orders", "o_orderkey")
+    raw, orders = _raw(spark, sf_dir, "lineitem", "l_orderkey"), _table(spark, sf_dir, "orders", "o_orderkey")
+    items = normal_types(raw)
     study = Study({"ORDERS": Dataset("ORDERS", orders)})
     rule = Rule(
         "SHIP_BEFORE_ORDER", {"all": [{"name": "l_shipdate", "operator": "date_less_than", "value": "o_orderdate"}, {"name": "l_linestatus", "operator": "equal_to", "value": "F", "value_is_literal": True}]},
         match_datasets=[{"Name": "ORDERS", "Keys": [{"Left": "l_orderkey", "Right": "o_orderkey"}]}],
     )
-    data = Dataset("LINEITEM", items)
-    table = Table(match(early(items, rule), rule, data, study), data, study, "LI")
+    data = Dataset("LINEITEM", items, raw=raw)
+    table = Table(match(early(items, rule, data), rule, data, study), data, study, "LI")
     verdict = table.add(Compiler(table, study, Dialect.CDISC).rule(rule)[0])
     sure = table.settled(F.coalesce(verdict, F.lit(False)))
     hits = table.df.filter(sure)
@@ -249,6 +288,31 @@ def match_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATCH_LEFT_SQL = "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
 
 
+def match_bigint_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customers by whole numbers beyond 2^53, where neighbours are one double."""
+    big = 9_007_199_254_740_992
+    orders = base(spark, sf_dir, "orders").withColumn("key", F.col("cust").cast("bigint") + F.lit(big))
+    customers = base(spark, sf_dir, "customer").withColumn("key", F.col("id") + F.lit(big))
+    study = Study({"CUSTOMER": Dataset("CUSTOMER", customers)})
+    rule = _rule({}, match_datasets=[{"Name": "CUSTOMER", "Keys": ["key"]}], core1=True)
+    return match(orders, rule, Dataset("ORDERS", orders), study).select("id", F.col("`CUSTOMER.name`").alias("name"), F.col("`name`").alias("again"), F.col("key").cast("string").alias("key_text"))
+
+
+BIGINT_SQL = "SELECT o_orderkey AS id, c_name AS name, c_name AS again, CAST(o_custkey + 9007199254740992 AS STRING) AS key_text FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+def match_text_number_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join of a text with leading zeros and a number; columns of one name go by both orders."""
+    orders = base(spark, sf_dir, "orders").withColumn("key", F.concat(F.lit("00"), F.col("cust")))
+    customers = base(spark, sf_dir, "customer").withColumn("number", F.col("id"))
+    rule = _rule({}, match_datasets=[{"Name": "CUSTOMER", "Keys": [{"Left": "key", "Right": "number"}]}], core1=True)
+    out = match(orders, rule, Dataset("ORDERS", orders), Study({"CUSTOMER": Dataset("CUSTOMER", customers)}))
+    return out.select("id", F.col("`CUSTOMER.id`").alias("customer"), F.col("`id.CUSTOMER`").alias("again"))
+
+
+TEXT_NUMBER_SQL = "SELECT o_orderkey AS id, c_custkey AS customer, c_custkey AS again FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
 def supp_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations' first texts by role as columns of their first turn, as supplemental qualifiers are joined."""
     turns = _table(spark, sf_dir, "conversations", "turn")
@@ -415,6 +479,42 @@ UNION ALL SELECT 'ORDERS', 'OD1', 'wrong value', CAST(1 AS BIGINT), 'status' FRO
 """
 
 
+def triage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way a level of triage is reached, one rule each: by the findings per rule."""
+    from .runner import run
+
+    on = {"Include": ["EVENTS"]}
+
+    def rule(name: str, check: dict, output: list[str], message: str, **more: object) -> Rule:
+        return Rule(name, check, output=output, domains=on, message=message, **more)
+
+    absent = {"all": [{"name": "ZZ", "operator": "not_exists"}, {"name": "t", "operator": "equal_to", "value": "click", "value_is_literal": True}]}
+    rules = [
+        rule("T1", {"name": "t", "operator": "equal_to", "value": "click", "value_is_literal": True}, ["t"], "Type is required"),
+        rule("T2", absent, ["t", "ZZ"], "ZZ should be present"),
+        rule("T3", absent, ["t", "ZZ"], "ZZ is missing"),
+        rule("T4", {"all": [*absent["all"], {"name": "d7", "operator": "less_than", "value": 2}]}, ["t", "ZZ"], "ZZ is missing"),
+        rule("T5", {"name": "tb", "operator": "empty"}, ["tb"], "Type is blank"),
+        rule("T6", {"name": "tb", "operator": "empty"}, ["tb"], "An expected type is blank"),
+        rule("T7", {"name": "tb", "operator": "empty"}, ["$required", "tb"], "Variables", operations=[Operation("$required", "distinct", {"name": "tb", "filter": {"d7": "9"}})]),
+        rule("T8", {"name": "USUBJID", "operator": "is_not_unique_set", "value": ["t"]}, ["USUBJID"], "Subjects are not unique"),
+        rule("T9", {"name": "ZZ", "operator": "not_exists"}, ["ZZ"], "ZZ is not there"),
+        rule("TP", {"name": "TA", "operator": "not_exists"}, [], "The dataset must not be present", rule_type="Domain Presence Check"),
+        rule("TQ", {"name": "TA", "operator": "not_exists"}, [], "TA is missing", rule_type="Domain Presence Check"),
+    ]
+    events = base(spark, sf_dir, "events").withColumn("USUBJID", F.col("u"))
+    found = run(spark, rules, Study({"EVENTS": Dataset("EVENTS", events)}), None).findings
+    return found.groupBy("rule_id", "triage").agg(F.count(F.lit(1)).alias("findings"))
+
+
+_TRIAGE = [("T1", "wrong value", 1, "t = 'click'"), ("T2", "missing required", 2, "t = 'click'"), ("T3", "missing required", 2, "t = 'click'"), ("T4", "wrong value", 2, "t = 'click' AND TRY_CAST(d7 AS DOUBLE) < 2"),
+           ("T5", "missing required", 1, "tb = ''"), ("T6", "missing optional", 1, "tb = ''"), ("T7", "missing required", 2, "tb = ''"), ("T9", "missing optional", 1, "true")]
+TRIAGE_SQL = f"WITH e AS ({base_sql('events')}) " + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{level}' AS triage, {n} * count(*) AS findings FROM e WHERE {test}" for r, level, n, test in _TRIAGE) + """
+UNION ALL SELECT 'T8', 'wrong value', count(*) FROM (SELECT count(*) OVER (PARTITION BY u, t) AS n FROM e) c WHERE n > 1
+UNION ALL SELECT 'TP', 'wrong value', 1 UNION ALL SELECT 'TQ', 'missing required', 1
+"""
+
+
 def skipped_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules left out, with the reason."""
     return _study_run(spark, sf_dir, None).skipped
@@ -423,9 +523,9 @@ def skipped_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 SKIPPED_SQL = "SELECT 'EV3' AS rule_id, 'EVENTS' AS domain, 'needs zz, which this dataset does not have' AS reason"
 
 _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
-    "ship_before_order": (ship_before_order, SHIP_SQL), "match_left": (match_left, MATCH_LEFT_SQL), "supp_pivot": (supp_pivot, SUPP_SQL), "child_parent": (child_parent, CHILD_SQL), "relrec": (relrec, RELREC_SQL),
+    "ship_before_order": (ship_before_order, SHIP_SQL), "match_left": (match_left, MATCH_LEFT_SQL), "match_bigint_key": (match_bigint_key, BIGINT_SQL), "match_text_number_key": (match_text_number_key, TEXT_NUMBER_SQL), "supp_pivot": (supp_pivot, SUPP_SQL), "child_parent": (child_parent, CHILD_SQL), "relrec": (relrec, RELREC_SQL),
     "unpivot_value_check": (unpivot_value_check, UNPIVOT_SQL), "variable_metadata": (variable_metadata, VARIABLE_SQL), "global_length": (global_length, GLOBAL_SQL), "findings_melt": (findings_melt, MELT_SQL),
-    "max_records_topk": (max_records_topk, TOPK_SQL), "truncated": (truncated, TRUNCATED_SQL), "problem_summary": (problems, PROBLEMS_SQL), "skipped_ledger": (skipped_ledger, SKIPPED_SQL),
+    "max_records_topk": (max_records_topk, TOPK_SQL), "truncated": (truncated, TRUNCATED_SQL), "problem_summary": (problems, PROBLEMS_SQL), "skipped_ledger": (skipped_ledger, SKIPPED_SQL), "triage_levels": (triage_levels, TRIAGE_SQL),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _check(n) for n in CHECKS} | {n: q for n, (q, _) in _MORE.items()}

@@ -159,7 +159,7 @@ def _run_group(some: list[Rule], d: Dataset, study: Study, hits: list, skipped:
     def table_of():
         rows = build(first, d, study)
         if first.match_datasets:
-            rows = match(early(rows, first) if len(some) == 1 else rows, first, d, study)
+            rows = match(early(rows, first, d) if len(some) == 1 else rows, first, d, study)
         return as_table(rows, d, study, dialect)
 
     try:

@@ -20,7 +20,7 @@ def normal_types(df: DataFrame) -> DataFrame:
     for f in df.schema:
         c, t = F.col(f"`{f.name}`"), f.dataType
         if isinstance(t, T.StringType):
-            c = F.when(c.isNull(), F.lit("")).otherwise(c)  # a conditional, as filters on it reach the scan
+            c = F.coalesce(c, F.lit(""))
         elif isinstance(t, T.DateType):
             c = F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
@@ -57,7 +57,8 @@ def with_record(df: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 def from_frame(df: DataFrame, name: str | None = None, variables: list[VariableMeta] | None = None, label: str = "") -> Dataset:
     """A dataset of any DataFrame; the domain comes from DOMAIN where no name is given."""
-    df = with_record(normal_types(df))
+    raw = with_record(df)
+    df = normal_types(raw)
     first = {}
     for c in ("DOMAIN", "RDOMAIN"):
         if c in df.columns:
@@ -66,7 +67,7 @@ def from_frame(df: DataFrame, name: str | None = None, variables: list[VariableM
     name = name or first.get("DOMAIN") or ""
     if not name:
         raise ValueError("the dataset has no DOMAIN column; name its domain")
-    return Dataset(name.upper(), df, variables or [], label, domain_value=first.get("DOMAIN", ""), rdomain_value=first.get("RDOMAIN", ""))
+    return Dataset(name.upper(), df, variables or [], label, domain_value=first.get("DOMAIN", ""), rdomain_value=first.get("RDOMAIN", ""), raw=raw)
 
 
 def parquet(spark: SparkSession, path: str, name: str) -> Dataset:
@@ -75,6 +76,4 @@ def parquet(spark: SparkSession, path: str, name: str) -> Dataset:
     files = df.inputFiles()
     if len(files) == 1:
         df = df.select("*", (F.col("_metadata.row_index") + 1).alias(RECORD))
-    numbers = df.columns
-    out = normal_types(df.select(*(c for c in numbers if c != RECORD), *([RECORD] if RECORD in numbers else [])))
-    return from_frame(out, name)
+    return from_frame(df, name)
