@@ -178,9 +178,12 @@ def is_substring_of(ctx: Context) -> Column:
     if not known(ctx):
         return unknown()
     t, v = ctx.target.text(), ctx.value
+    filled = ~ctx.target.blank()
+    if v.is_set and v.column == "library_variable_ccode_values":  # the terms of a codelist are asked for as a whole
+        return filled & F.coalesce(F.array_contains(v.col, t), F.lit(False))
     if v.is_set:
-        return F.coalesce(F.exists(v.col, lambda x: F.contains(x, t)), F.lit(False))
-    return F.coalesce(F.contains(v.text(), t), F.lit(False))
+        return filled & F.coalesce(F.exists(v.col, lambda x: (x != "") & F.contains(x, t)), F.lit(False))
+    return filled & F.coalesce(F.contains(v.text(), t), F.lit(False))
 
 
 negated("is_not_substring_of", "is_substring_of")

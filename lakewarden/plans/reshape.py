@@ -26,11 +26,20 @@ SUPPORTED = VARIABLE_TYPES | VALUE_TYPES | DEFINE_TYPES | STUDY_TYPES | RECORD_T
 
 
 def rows_frame(spark: SparkSession, rows: list[dict], columns: list[str]) -> DataFrame:
-    """A small table of text (or numbers), numbered in order."""
-    kinds = {c: "double" if any(isinstance(r.get(c), (int, float)) and not isinstance(r.get(c), bool) for r in rows) else "string" for c in columns}
+    """A small table of text (or numbers, or lists of texts), numbered in order."""
+
+    def kind(c: str) -> str:
+        found = [r.get(c) for r in rows]
+        if any(isinstance(v, list) for v in found):
+            return "array<string>"
+        return "double" if any(isinstance(v, (int, float)) and not isinstance(v, bool) for v in found) else "string"
+
+    kinds = {c: kind(c) for c in columns}
 
     def cell(r: dict, c: str) -> object:
         v = r.get(c)
+        if kinds[c] == "array<string>":
+            return v
         if kinds[c] == "double":
             return None if v is None or v == "" else float(v)
         return ("True" if v else "False") if isinstance(v, bool) else "" if v is None else str(v)
@@ -66,9 +75,26 @@ def _library(study: Study, d: Dataset) -> dict[str, dict]:
     return out
 
 
+#: Names of library columns (fixed values) and the fields of a guide's variable they show.
 _LIBRARY_COLUMNS = {"library_variable_name": "variable", "library_variable_label": "label", "library_variable_role": "role", "library_variable_data_type": "type", "library_variable_core": "core", "library_variable_ccode": "ccode", "library_variable_order_number": "ordinal"}
 
 
+def _library_columns(row: dict | None) -> dict:
+    row = row or {}
+    return {k: row.get(f, "") for k, f in _LIBRARY_COLUMNS.items()} | {"library_variable_has_codelist": bool(row.get("ccode"))}
+
+
+def _terms(study: Study, rows: list[dict]) -> None:
+    """Add the terms and the name of each library variable's codelist in the study's terminology."""
+    if not study.ct_package:
+        raise RuleSkipped("needs controlled terminology, and this study does not say which version it follows")
+    lists = {c["codelist_code"]: c for c in study.library.codelists if c["package"] == study.ct_package}
+    for row in rows:
+        found = lists.get(row.get("library_variable_ccode"))
+        row["library_variable_codelist_value"] = found["codelist"] if found else ""
+        row["library_variable_ccode_values"] = sorted({t[1] for t in found["terms"] if t[1] is not None}) if found else None
+
+
 def variable_rows(rule: Rule, d: Dataset, study: Study) -> list[dict]:
     wants_library = "Library" in rule.rule_type or _mentions(rule, "library_")
     wants_define = "Define" in rule.rule_type or _mentions(rule, "define_")
@@ -83,7 +109,7 @@ def variable_rows(rule: Rule, d: Dataset, study: Study) -> list[dict]:
             "variable_has_empty_values": empty.get(v.name, (False, False))[0], "variable_is_empty": empty.get(v.name, (False, False))[1],
         }
         if wants_library:
-            row |= {k: library.get(v.name, {}).get(f, "") for k, f in _LIBRARY_COLUMNS.items()}
+            row |= _library_columns(library.get(v.name))
             row["library_variable_name"] = v.name if v.name in library else ""
         if wants_define:
             row |= define.get(v.name, {})
@@ -119,7 +145,8 @@ def value_table(d: Dataset, study: Study, rule: Rule) -> DataFrame:
         about = [a | define[a["variable_name"]] for a in about if a["variable_name"] in define]
     if rule.rule_type == "Value Check against Library Metadata":
         library = _library(study, d)
-        about = [a | {k: library.get(a["variable_name"], {}).get(f, "") for k, f in _LIBRARY_COLUMNS.items()} for a in about]
+        about = [a | _library_columns(library.get(a["variable_name"])) for a in about]
+        _terms(study, about)
     meta = rows_frame(spark, about, _wide(about, "variable_name")).drop(RECORD)
     out = long.join(F.broadcast(meta), "variable_name")  # one row per variable of the dataset
     if rule.rule_type == "Value Check with Dataset Metadata":
@@ -149,10 +176,10 @@ def build(rule: Rule, d: Dataset, study: Study) -> DataFrame:
         rows = _define_variables(study, d)
         if "Library" in kind:
             library = _library(study, d)
-            rows = [v | {k: library.get(v["define_variable_name"], {}).get(f, "") for k, f in _LIBRARY_COLUMNS.items()} for v in rows]
+            rows = [v | _library_columns(library.get(v["define_variable_name"])) for v in rows]
             if rule.dialect is Dialect.CORE1:
                 seen = {v["define_variable_name"] for v in rows}
-                rows += [{k: lib.get(f, "") for k, f in _LIBRARY_COLUMNS.items()} for n, lib in library.items() if n not in seen]
+                rows += [_library_columns(lib) for n, lib in library.items() if n not in seen]
         return rows_frame(spark, rows, _wide(rows, "define_variable_name"))
     if kind == "Domain Presence Check against Define XML":
         if study.define is None:

@@ -354,9 +354,18 @@ def relrec(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELREC_SQL = "SELECT o_orderkey AS id, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"
 
 
+#: The variables of a customer, their types and declared lengths.
+_CUSTOMER = {"c_custkey": ("Num", 8), "c_name": ("Char", 20), "c_nationkey": ("Num", 8), "c_acctbal": ("Num", 8), "c_mktsegment": ("Char", 10)}
+_PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+def _text_sql(column: str) -> str:
+    """A value as text; whole numbers without a point."""
+    return f"regexp_replace(CAST({column} AS STRING), '\\.0$', '')" if column in ("c_acctbal", "p_retailprice") else f"CAST({column} AS STRING)"
+
+
 def _customer_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
-    df = _table(spark, sf_dir, "customer", "c_custkey").select("c_custkey", "c_name", "c_mktsegment", RECORD)
-    return Dataset("CUSTOMER", df, [VariableMeta("c_custkey", "Key", "Num", 8), VariableMeta("c_name", "Name", "Char", 20), VariableMeta("c_mktsegment", "Segment", "Char", 10)])
+    return Dataset("CUSTOMER", _table(spark, sf_dir, "customer", "c_custkey").select(*_CUSTOMER, RECORD), [VariableMeta(n, "", *about) for n, about in _CUSTOMER.items()])
 
 
 def unpivot_value_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,11 +380,8 @@ def unpivot_value_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.df.filter(verdict).select(F.col(RECORD).alias("record"), "variable_name", "variable_value", F.col("variable_size").cast("bigint").alias("declared"))
 
 
-UNPIVOT_SQL = """
-SELECT c_custkey + 1 AS record, variable_name, variable_value, declared FROM (
-  SELECT c_custkey, 'c_custkey' AS variable_name, CAST(c_custkey AS STRING) AS variable_value, CAST(8 AS BIGINT) AS declared FROM customer
-  UNION ALL SELECT c_custkey, 'c_name', c_name, 20 FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment, 10 FROM customer) u WHERE length(variable_value) > 9
-"""
+UNPIVOT_SQL = "SELECT c_custkey + 1 AS record, variable_name, variable_value, declared FROM (" + " UNION ALL ".join(
+    f"SELECT c_custkey, '{c}' AS variable_name, {_text_sql(c)} AS variable_value, CAST({n} AS BIGINT) AS declared FROM customer" for c, (_, n) in _CUSTOMER.items()) + ") u WHERE length(variable_value) > 9"
 
 
 def variable_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,26 +394,20 @@ def variable_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("variable_name", "variable_data_type", F.col("variable_order_number").cast("bigint").alias("place"), "variable_has_empty_values")
 
 
-VARIABLE_SQL = """
-SELECT 'c_custkey' AS variable_name, 'Num' AS variable_data_type, CAST(1 AS BIGINT) AS place, CASE WHEN count(*) > count(c_custkey) THEN 'True' ELSE 'False' END AS variable_has_empty_values FROM customer
-UNION ALL SELECT 'c_name', 'Char', 2, CASE WHEN count(*) > count(nullif(c_name, '')) THEN 'True' ELSE 'False' END FROM customer
-UNION ALL SELECT 'c_mktsegment', 'Char', 3, CASE WHEN count(*) > count(nullif(c_mktsegment, '')) THEN 'True' ELSE 'False' END FROM customer
-"""
+VARIABLE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS variable_name, '{t}' AS variable_data_type, CAST({i} AS BIGINT) AS place, CASE WHEN count(*) > count({c if t == 'Num' else f"nullif({c}, '')"}) THEN 'True' ELSE 'False' END AS variable_has_empty_values FROM customer" for i, (c, (t, _)) in enumerate(_CUSTOMER.items(), 1))
 
 
 def global_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global Value Check: longest value per variable name over several datasets."""
     from .plans.reshape import global_lengths
 
-    part = _table(spark, sf_dir, "part", "p_partkey").select("p_name", "p_brand", RECORD)
+    part = _table(spark, sf_dir, "part", "p_partkey").select(*_PART, RECORD)
     out = global_lengths(Study({"CUSTOMER": _customer_dataset(spark, sf_dir), "PART": Dataset("PART", part)}))
     return out.select("variable_name", F.col("variable_max_value_length").cast("bigint").alias("longest"))
 
 
-GLOBAL_SQL = """
-SELECT 'c_custkey' AS variable_name, CAST(max(length(CAST(c_custkey AS STRING))) AS BIGINT) AS longest FROM customer UNION ALL SELECT 'c_name', max(length(c_name)) FROM customer
-UNION ALL SELECT 'c_mktsegment', max(length(c_mktsegment)) FROM customer UNION ALL SELECT 'p_name', max(length(p_name)) FROM part UNION ALL SELECT 'p_brand', max(length(p_brand)) FROM part
-"""
+GLOBAL_SQL = " UNION ALL ".join(f"SELECT '{c}' AS variable_name, CAST(max(length({_text_sql(c)})) AS BIGINT) AS longest FROM {'customer' if c in _CUSTOMER else 'part'}" for c in (*_CUSTOMER, *_PART))
 
 
 def _study_run(spark: SparkSession, sf_dir: str, most: int | None):

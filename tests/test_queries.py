@@ -9,13 +9,15 @@ import pytest
 
 import __spark_entry__ as entry
 from lakewarden import queries
+from lakewarden import queries_reference as reference
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = [
     "equal_to", "matches_regex", "is_contained_by_set", "date_equal_to", "date_less_than", "is_not_unique_set", "is_not_unique_relationship", "does_not_have_next_corresponding_record", "target_is_not_sorted_by",
     "is_not_ordered_set", "op_distinct", "op_record_count", "op_max_date", "ship_before_order", "match_left", "supp_pivot", "child_parent", "relrec", "unpivot_value_check", "variable_metadata", "global_length",
-    "findings_melt", "max_records_topk", "truncated", "problem_summary", "skipped_ledger",
+    "findings_melt", "max_records_topk", "truncated", "problem_summary", "skipped_ledger", "invalid_date_interval", "date_less_than_zones", "date_not_equal_to_odd", "date_component_core1", "is_not_ordered_set_blank",
+    "is_not_ordered_set_whole", "op_max_date_core1", "op_minus", "match_bigint_key", "match_text_number_key", "triage_levels", *reference.QUERIES,
 ]
 
 
@@ -34,7 +36,7 @@ def plain(frame):
 
 @pytest.mark.parametrize("name", SOME)
 def test_query_equals_sql(spark, duck, name):
-    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.execute(queries.ORACLE_SQL[name]).fetchdf()
+    got, want = entry.queries()[name](spark, SF).toPandas(), duck.execute(entry.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
 
