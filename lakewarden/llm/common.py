@@ -7,8 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,26 +40,51 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-#: The scratch tables made since each open ``scratch_scope``.
+#: The scratch tables made since each open scope.
 _scopes: list[list[Scratch]] = []
 
 
 @contextmanager
-def scratch_scope() -> Iterator[None]:
-    """Delete the scratch tables made inside once the block ends; nothing may read them after that."""
+def scratch_scope() -> Iterator[list[Scratch]]:
+    """Collect the scratch tables made inside."""
     _scopes.append([])
     try:
-        yield
+        yield _scopes[-1]
     finally:
-        for scratch in _scopes.pop():
-            scratch.clear()
+        _scopes.pop()
+
+
+class Stages:
+    """Turns operators into stages, each called on the written result of the one before.
+
+    So when a stage is called nothing reads the scratch tables of the stage before any more, and they are deleted.
+    """
+
+    def __init__(self) -> None:
+        self.left: list[Scratch] = []
+
+    def __call__(self, stage: Callable) -> Callable:
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            self.clear(spark)
+            with scratch_scope() as made:
+                self.left = made
+                return stage(spark, docs, sf_dir)
+
+        return run
+
+    def clear(self, spark: SparkSession) -> None:
+        for scratch in self.left:
+            if scratch.spark is spark:
+                scratch.clear()
+        self.left = []
 
 
 class Scratch:
     """Intermediate tables in the shared folder; they cut lineage and survive lost executors.
 
-    A table is deleted by ``drop``, at the end of a ``scratch_scope``, or, as a
-    result may still read it, when the application ends.
+    A table is deleted by ``drop``, by ``Stages`` or, as a result may still read it, when the
+    application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -130,6 +156,28 @@ def placed(values: DataFrame, scratch: Scratch, *by: Column) -> DataFrame:
     return sorted_.join(F.broadcast(starts), part == F.col("part")).withColumn("place", F.col("begin") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "begin")
 
 
+#: Keys of more than a ten-thousandth of all rows are hubs, so there are 10,000 at most; a hub's rows are dealt to so many tasks.
+HUBS, SALTS = 10_000, 64
+
+
+def hub_join(rows: DataFrame, per: DataFrame, by: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per``, a written table of unique keys ``by`` and the number ``n`` of rows of each.
+
+    Hubs are broadcast to mark their rows, which are then dealt out by ``spread``, a
+    column of ``rows``; so no key has all its rows in one task, and ``rows`` are read once.
+    """
+    total = per.agg(F.sum("n")).first()[0] or 0
+    hub = F.col("n") > F.lit(max(total // HUBS, 1000))
+    hubs = per.filter(hub).select(*by, F.lit(True).alias("__hub"))
+    if hubs.isEmpty():
+        return rows.join(per.drop("n").hint("merge"), by, how)
+    salts = F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    per = per.withColumn("__salt", F.explode(salts)).drop("n").hint("merge")
+    salt = F.when(F.col("__hub"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    marked = rows.join(F.broadcast(hubs), by, "left").withColumn("__salt", salt).drop("__hub")
+    return marked.join(per, [*by, "__salt"], how).drop("__salt")
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch (Spark bounds its bytes), so that a Python worker holds few texts at a time.
 

@@ -20,7 +20,7 @@ Spark rounds then compare what the corpus shares:
 Names only bring passages together; what is removed is decided by 128 bits of all the
 words of a run or window: two lanes that share nothing, each built from its own 64-bit hash of
 every word. Sums are combined before every shuffle, so a passage in a third of all documents is
-one row per task. Documents travel to their ranges as zstandard blocks, written
+one row per task, and its rows meet that sum in many tasks (``hub_join``). Documents travel to their ranges as zstandard blocks, written
 once.
 
 A very long text is cut into portions that overlap by a window less one word. An
@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_rows, placed, whole, word_blocks
+from .common import Scratch, arrow_rows, hub_join, placed, whole, word_blocks
 
 WINDOW, ROUNDS, BATCH_WORDS = 50, 4, 400_000
 _FAR = np.int64(1) << np.int64(40)
@@ -279,16 +279,16 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows whose symbol is found in two documents or more."""
-    many = rows.groupBy("symbol").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("symbol")
-    return rows.join(many, "symbol", "left_semi")
+    many = rows.groupBy("symbol").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b")
+    return hub_join(rows, scratch.keep(many.select("symbol", "n")), ["symbol"], "rid", "left_semi")
 
 
 def _earlier(rows: DataFrame, by: list[str], scratch: Scratch, how: str = "left") -> DataFrame:
     """``rows`` with the smallest document that has the same key, if it has one in two documents."""
-    least = rows.groupBy(*by).agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select(*by, "least")
-    return rows.join(scratch.keep(least), by, how)
+    least = rows.groupBy(*by).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
+    return hub_join(rows, scratch.keep(least.select(*by, "least", "n")), by, "rid", how)
 
 
 def _ranges() -> Column:
@@ -314,15 +314,18 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     blocks = scratch.keep(squeezed)
 
     found = scratch.keep(blocks.select("rid", "id", "block").mapInArrow(_find_runs, "rid bigint, id bigint, p int, more int, symbol bigint, span1 bigint, span2 bigint"))
-    met = scratch.keep(_shared(found))
+    met = scratch.keep(_shared(found, scratch))
     scratch.drop(found)
     judged = scratch.keep(_earlier(met, ["symbol", "span1", "span2"], scratch))
     scratch.drop(met)
-    whole_runs = judged.filter("least < id").select("rid", "p", "more")
-    left = scratch.keep(_shared(judged.filter("least is null or least >= id").select("symbol", "rid", "id", "p", "more")).groupBy("rid").agg(_ranges()))
+    whole_runs = scratch.keep(judged.filter("least < id").select("rid", "p", "more"))
+    open_ = scratch.keep(judged.filter("least is null or least >= id").select("symbol", "rid", "id", "p", "more"))
+    scratch.drop(judged)
+    left = scratch.keep(_shared(open_, scratch).groupBy("rid").agg(_ranges()))
+    scratch.drop(open_)
     # Hashed twice, for the sums and for the join, as a table of all windows would outgrow the text.
     windows = blocks.select("rid", "id", "block").join(left, "rid").select("rid", "id", "block", "ranges").mapInArrow(_find_windows, "rid bigint, id bigint, p int, w1 bigint, w2 bigint")
     single = _earlier(windows, ["w1", "w2"], scratch, "inner").filter("least < id").select("rid", "p", F.lit(0).alias("more"))
     ranges = scratch.keep(whole_runs.union(single).groupBy("rid").agg(_ranges()))
-    scratch.drop(judged, left)
+    scratch.drop(whole_runs, left)
     return blocks.join(ranges, "rid", "left").select("doc_id", "block", "ranges").mapInArrow(_cut_out, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")
