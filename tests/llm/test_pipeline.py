@@ -42,5 +42,31 @@ def test_stages_in_order_and_against_brute_force(spark):
     assert sorted((r.doc_id, r.piece, r.length) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.length) for r in five)
 
 
+CLASHING = "_id, _sha2, _sha, _words, _p, _host, _path, _k, _copies, _posterior, _kept, _s, _n, _prior, row, rid, host, path, p, kept, n, s, prior, weight, base, size, mark, times, best, name".split(", ")
+
+
+def test_stages_keep_columns_of_any_name(spark, documents):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e f g", "s"), (1, "a b c d e f g", "t"), (None, "x y", "s"), (None, "x y", "t"), (5, None, None)]
+    df = documents(rows).select("*", *(F.lit(7).alias(c) for c in CLASHING if c not in ("row", "name")))
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and out.select(*(F.sum(c) for c in CLASHING if c not in ("row", "name"))).first()[0] is not None
+
+
+def test_mix_gives_each_row_its_own_copies(documents):
+    from lakewarden.llm.mixing import mix
+
+    # Null ids of one size in two sources, and rows equal in all columns.
+    rows = [(None, "a b c", "b")] * 3 + [(None, "a b c", "a")] * 2 + [(4, "a b c", "a")] * 4
+    df = documents(rows)
+    taken: dict = {}
+    for r in mixture(df).collect():
+        taken[r.doc_id, r.source_size] = taken.get((r.doc_id, r.source_size), 0) + r.taken // 3
+    got = Counter((r.doc_id, {"b": 9, "a": 18}[r.source]) for r in mix(df).collect())
+    assert got == {k: v for k, v in taken.items() if v}
+
+
 def test_every_operator_has_one_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
