@@ -21,7 +21,7 @@ filter_findings, summary = results.filter_findings, results.summary
 
 def read_study(spark: SparkSession, path: str | Path, library: Library | None = None) -> Study:
     """Load a folder: a test case (_datasets.csv), or dataset files beside define.xml and stf.xml."""
-    study = read_case(spark, path) if (Path(path) / "_datasets.csv").exists() else study_folder.read_folder(spark, path)
+    study = read_case(spark, path) if (Path(path) / "_datasets.csv").exists() else study_folder.read_folder(spark, path, library.entities if library else None)
     if library:
         study.library = library
     return study

@@ -44,7 +44,7 @@ def parse_rule(raw: dict, source: str = "") -> Rule:
     operations = [Operation(str(o["id"]), str(o["operator"]), {k: v for k, v in o.items() if k not in ("id", "operator")}) for o in _list(raw.get("Operations"))]
     use_cases = [u.strip() for x in _list(scope_.get("Use Case")) for u in str(x).split(",")]
     return Rule(
-        id=str(core.get("Id") or raw.get("id") or ""), check=_check(raw["Check"]), rule_type=str(raw.get("Rule Type") or "Record Data"), sensitivity=str(raw.get("Sensitivity") or "Record"),
+        id=str(core.get("Id") or raw.get("id") or ""), check=raw["Check"] if isinstance(raw["Check"], str) else _check(raw["Check"]), rule_type=str(raw.get("Rule Type") or "Record Data"), sensitivity=str(raw.get("Sensitivity") or "Record"),
         operations=operations, match_datasets=_list(raw.get("Match Datasets")), output=[str(v) for v in _list(outcome.get("Output Variables"))], message=" ".join(str(outcome.get("Message") or "").split()),
         description=" ".join(str(raw.get("Description") or "").split()), classes=scope_.get("Classes") or {}, domains=scope_.get("Domains") or {}, entities=scope_.get("Entities") or {},
         use_cases=use_cases, standards=standards, authorities=authorities, grouping=_list(raw.get("Grouping_Variables")), executability=str(raw.get("Executability") or ""),

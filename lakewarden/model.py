@@ -86,6 +86,7 @@ class Library:
     codelists: list[dict] = field(default_factory=list)  # package, codelist_code, codelist, extensible, terms: [(code, value, preferred, synonyms)]
     packages: list[dict] = field(default_factory=list)  # package_type, package_date
     countries: list[dict] = field(default_factory=list)
+    entities: dict[str, str] = field(default_factory=dict)  # of a document: key or instanceType to entity
 
 
 @dataclass
@@ -124,7 +125,8 @@ class Operation:
 @dataclass
 class Rule:
     id: str
-    check: dict
+    #: A tree of conditions; for JSONata rules the expression.
+    check: dict | str
     rule_type: str = "Record Data"
     sensitivity: str = "Record"
     operations: list[Operation] = field(default_factory=list)

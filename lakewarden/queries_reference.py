@@ -9,6 +9,8 @@ the findings of a rule over it.
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,10 @@ from .model import RECORD, Dataset, Dialect, Library, Operation, Rule, Study, Va
 from .operators import OPERATORS
 from .plans.operations import compute, materialised
 from .plans.table import Table
+from .results import binding_gaps
 from .runner import run
 from .sources.frame import normal_types
+from .sources.usdm import read_usdm
 
 _ISO = "replace(left(CAST(ts AS STRING), 19), ' ', 'T')"
 #: The dataset that is checked: events with the nation and region their number names.
@@ -151,6 +155,38 @@ def refused(check: dict, operations: list[Operation] | None = None, rule_type: s
     return query
 
 
+def document(spark: SparkSession, sf_dir: str) -> str:
+    """A document of regions and their nations; every nation refers to its region by id, and some to a nation after it."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").join(F.broadcast(spark.read.parquet(f"{sf_dir}/region.parquet")), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()  # 25 rows
+    regions = [
+        {"id": f"R{k}", "instanceType": "Region", "name": next(r["r_name"] for r in rows if r["r_regionkey"] == k),
+         "nations": [{"id": f"N{r['n_nationkey']}", "instanceType": "Nation", "key": r["n_nationkey"], "name": r["n_name"], "regionId": f"R{k}", **({"after": f"N{r['n_nationkey'] + 5}"} if r["n_nationkey"] < 20 else {})} for r in rows if r["r_regionkey"] == k]}
+        for k in sorted({r["r_regionkey"] for r in rows})
+    ]
+    return json.dumps({"usdmVersion": "4.0", "study": {"id": "S", "instanceType": "Study", "regions": regions}})
+
+
+def jsonata(expression: str, output: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    """The findings of a JSONata rule over the document, which is read from a file as a study is."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as f:
+            f.write(document(spark, sf_dir))
+            f.flush()
+            s = read_usdm(spark, f.name)
+        return run(spark, [Rule("R", expression, "JSONata", output=output)], s, None).findings.select("Dataset", "Record", "Variable", "Value")
+
+    return query
+
+
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The required variables that EV lacks, as a report names them."""
+    operations = [Operation("$required_variables", "required_variables", {}), Operation("$dataset_variables", "get_column_order_from_dataset", {})]
+    rule = Rule("R", _leaf("$dataset_variables", "not_contains_all", "$required_variables"), sensitivity="Dataset", operations=operations, output=["$required_variables", "$dataset_variables"])
+    found = binding_gaps(run(spark, [rule], study(spark, sf_dir), None, ["EV"]).findings)
+    return found.select("rule_id", "label", F.explode("missing").alias("member"))
+
+
 def _leaf(name: str, operator: str, value: object = None, **more: object) -> dict:
     return {"name": name, "operator": operator, **({} if value is None else {"value": value}), **more}
 
@@ -288,3 +324,25 @@ _add("type_dataset_contents", findings(_leaf("define_key_sequence_is_unique", "e
      _finding({"USUBJID": "USUBJID", "EVNAME": "EVNAME", "define_dataset_label": "'Events'"}, "n > 1", source=f"(SELECT *, count(*) OVER (PARTITION BY USUBJID, EVNAME) AS n FROM {_E}) k"))
 _add("type_stf", findings(_leaf("file_tag", "empty"), "STF Metadata Check", ["document", "file_name"]), _rows(["document", "file_name"], [(3, "doc2", "f2.xpt")]))
 _add("type_json_schema", refused({}, rule_type="JSON Schema Check"), _why("rule type not supported: JSON Schema Check"))
+
+# A document's rules. Records of an entity are numbered in the order of the document: nations by region, then key.
+_NATIONS = "(SELECT *, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey) x"
+
+
+def _document_sql(pairs: dict[str, str], where: str) -> str:
+    return _finding(pairs, where, "place", _NATIONS, "NATION")
+
+
+_add("type_jsonata", jsonata("study.regions.nations[key % 2 = 1 and key > 4].{'entity': instanceType, 'path': _path, 'name': name, 'region': %.name}", ["name", "region"]), _document_sql({"name": "n_name", "region": "r_name"}, "n_nationkey % 2 = 1 AND n_nationkey > 4"))
+_add("type_jsonata_functions", jsonata("""
+  ( $big := function($n) { $n.key >= 10 };
+    $names := $map($filter(**.nations, $big), function($n) { $n.name });
+    study.regions@$r.$r.nations[$not(name in $names)].{'instanceType': 'Nation', '_path': _path, 'label': $uppercase($substringBefore(name, '_')) & '/' & $string(key * 2), 'same': $r.id = regionId} )""", ["label", "same", "absent"]),
+     _document_sql({"label": "upper(split_part(n_name, '_', 1)) || '/' || CAST(n_nationkey * 2 AS STRING)", "same": "'TRUE'", "absent": "''"}, "n_nationkey < 10"))
+_add("type_jsonata_utilities", jsonata("""
+  ( $all := study.regions.nations;
+    $chains := $utils.parse_refs('after', 'next', $all);
+    $chains[key < 5].{'entity': instanceType, 'path': _path, 'last': **[key >= 20].name, 'links': $count(**.next),
+      'sifted': ($n := $; $last := 'NATION_' & $string(key + 20); $join($keys($utils.sift_tree($n, $last, ['key'], true)), '+'))} )""", ["last", "links", "sifted"]),
+     _document_sql({"last": "'NATION_' || CAST(n_nationkey + 20 AS STRING)", "links": "'4'", "sifted": "'Nation.key+Nation.next'"}, "n_nationkey < 5"))
+_add("binding_gap", gaps, f"SELECT 'R' AS rule_id, 'required variables' AS label, {_GUIDE_NAME} AS member FROM nation WHERE n_nationkey < 15 AND n_nationkey % 3 = 0")

@@ -19,8 +19,10 @@ WRONG, REQUIRED, OPTIONAL = "wrong value", "missing required", "missing optional
 _PRESENCE = {"exists", "not_exists", "empty", "non_empty"}
 
 
-def check_names(node: dict) -> list[str]:
+def check_names(node: dict | str) -> list[str]:
     """The variables that a Check names, in order."""
+    if isinstance(node, str):
+        return []
     if "name" in node:
         return [str(node["name"])]
     out: list[str] = []
@@ -56,13 +58,13 @@ def _selects(c: dict) -> bool:
     return c.get("value_is_literal") is True or not re.fullmatch(r"(--)?[A-Z][A-Z0-9]{1,7}", str(value))
 
 
-def absence_pattern(check: dict) -> str:
+def absence_pattern(check: dict | str) -> str:
     """A pattern of the variables whose absence a Check reports; empty if it judges values too.
 
     Such a Check holds nothing but presence tests and conditions that select
     records, on variables and not on bindings, and negates nothing.
     """
-    found = conditions(check) if check else []
+    found = conditions(check) if check and not isinstance(check, str) else []
     if not found or _negates(check) or any(str(c["name"]).startswith("$") or not (c["operator"] in _PRESENCE or _selects(c)) for c in found):
         return ""
     tested = [str(c["name"]) for c in found if c["operator"] in ("not_exists", "empty")]
@@ -165,6 +167,27 @@ def problem_summary(findings: DataFrame) -> DataFrame:
     )
 
 
+def binding_gaps(findings: DataFrame) -> DataFrame:
+    """rule_id, Dataset, label, missing: the members that a rule wanted and a dataset lacks.
+
+    Told where a rule reports one set whose name says what is missing, or two sets
+    of which one is named for the dataset; a set that differs between records is none of the dataset's.
+    """
+    sets = findings.filter(F.startswith("Variable", F.lit("$"))).groupBy("rule_id", "Dataset", "Variable").agg(F.min("Value").alias("v"), F.max("Value").alias("w"))
+    members = F.regexp_extract_all("v", F.lit("'([^']*)'"), F.lit(1))
+    sets = sets.filter((F.col("v") == F.col("w")) & F.startswith("v", F.lit("["))).select("rule_id", "Dataset", F.struct(F.col("Variable").alias("name"), members.alias("members")).alias("s"))
+    # As many members as a rule has output variables.
+    per = sets.groupBy("rule_id", "Dataset").agg(F.array_sort(F.collect_list("s")).alias("sets"))
+    have, want = F.filter("sets", lambda s: F.contains(s["name"], F.lit("dataset"))), F.filter("sets", lambda s: ~F.contains(s["name"], F.lit("dataset")))
+    lone = F.get("sets", F.lit(0))
+    named = (F.size("sets") == 1) & F.contains(lone["name"], F.lit("missing"))
+    paired = (F.size("sets") > 1) & (F.size(have) == 1) & (F.size(want) == 1)
+    name = F.when(named, F.regexp_replace(lone["name"], r"^\$?missing_", "")).when(paired, F.get(want, F.lit(0))["name"])
+    missing = F.when(named, lone["members"]).when(paired, F.array_except(F.get(want, F.lit(0))["members"], F.get(have, F.lit(0))["members"]))
+    label = F.translate(F.regexp_replace(name, r"^\$", ""), "_", " ")
+    return per.select("rule_id", "Dataset", label.alias("label"), missing.alias("missing")).filter(F.size("missing") > 0)
+
+
 def summary(result: Result) -> DataFrame:
     """A single row: problems, records by triage, checks run and left out."""
     f = result.findings

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .model import RECORD, Dataset, Dialect, Result, Rule, RuleSkipped, Study
-from .plans import scope
+from .plans import document, scope
 from .plans.early import early
 from .plans.evaluate import Compiler
 from .plans.matching import match
@@ -128,7 +128,7 @@ def run(spark: SparkSession, rules: list[Rule], study: Study, max_records: int |
             continue
         groups: dict[tuple, list[Rule]] = {}
         for rule in rules:
-            if not scope.applies(rule, d, study):
+            if rule.rule_type == "JSONata" or not scope.applies(rule, d, study):
                 continue
             if rule.rule_type not in SUPPORTED:
                 skipped.append((rule.id, d.name, f"rule type not supported: {rule.rule_type}"))
@@ -141,9 +141,13 @@ def run(spark: SparkSession, rules: list[Rule], study: Study, max_records: int |
         for some in groups.values():
             for i in range(0, len(some), FUSE):
                 _run_group(some[i : i + FUSE], d, study, hits, skipped, ran, kept)
-    for rule in rules:
-        if rule.rule_type == "JSONata" and rule.id not in {r for r, _ in ran} | {r for r, _, _ in skipped}:
-            skipped.append((rule.id, "STUDY", "JSONata expressions are not supported"))
+    if study.document is not None and not only:  # rules over the document, whatever their scope
+        for rule in (r for r in rules if r.rule_type == "JSONata"):
+            try:
+                hits.append(document.hits(spark, rule, study, HIT_SCHEMA))
+                ran.append((rule.id, "STUDY"))
+            except RuleSkipped as e:
+                skipped.append((rule.id, "STUDY", str(e)))
     found = reduce(DataFrame.union, hits) if hits else spark.createDataFrame([], HIT_SCHEMA)
     found, truncated = capped(found, max_records)
     by_id = {r.id: r for r in rules}

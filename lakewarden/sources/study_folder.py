@@ -68,7 +68,7 @@ def _is_usdm(text: str) -> bool:
     return re.search(r'"usdmVersion"\s*:|"study"\s*:\s*\{', text) is not None
 
 
-def read_folder(spark: SparkSession, folder: str | Path) -> Study:
+def read_folder(spark: SparkSession, folder: str | Path, entities: dict[str, str] | None = None) -> Study:
     folder = Path(folder)
     if not folder.is_dir():
         raise FileNotFoundError(f"no such folder: {folder}")
@@ -77,7 +77,7 @@ def read_folder(spark: SparkSession, folder: str | Path) -> Study:
     if documents:
         if len(documents) > 1:
             raise ValueError("a folder must hold one USDM document")
-        return read_usdm(spark, documents[0])
+        return read_usdm(spark, documents[0], entities)
     found: dict[str, Path] = {}
     for kind in ORDER:
         same = Counter(p.stem.upper() for p in files if p.suffix.lower() == kind)
