@@ -28,7 +28,7 @@ def read_study(spark: SparkSession, path: str | Path, library: Library | None =
 
 
 def _chosen(rules: list[Rule], standard: str | None, version: str | None, substandard: str | None, include_deprecated: bool) -> list[Rule]:
-    found = [r for r in rules if (include_deprecated or r.status.lower() != "deprecated") and scope.for_standard(r, standard, version, substandard)]
+    found = [r for r in scope.of_family(rules, standard) if (include_deprecated or r.status.lower() != "deprecated") and scope.for_standard(r, standard, version, substandard)]
     if not found:
         raise ValueError("no rule of the catalogue is written for this standard and version")
     return found

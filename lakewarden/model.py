@@ -55,6 +55,8 @@ class Dataset:
     rdomain_value: str = ""
     #: The rows as they are read, numbered but with their own types; filters on them reach the scan.
     raw: DataFrame | None = None
+    #: What one pass over the data has told (first values, emptiness), shared by all rules.
+    facts: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if not self.variables:
@@ -158,3 +160,8 @@ class Result:
     skipped: DataFrame
     truncated: DataFrame
     info: dict
+
+    def release(self) -> None:
+        """Give back the storage of the passes, once the findings have been read."""
+        for kept in self.info.get("passes", []):
+            kept.unpersist()

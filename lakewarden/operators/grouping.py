@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,18 @@ def _key(ctx: Context, name: str) -> Column:
     return tx.group_key(ctx.table.col(name), ctx.table.kind(name))
 
 
+def _first_values(ctx: Context, df: DataFrame) -> dict[str, str | None]:
+    """The first filled value of every text column, found in one pass and kept with the dataset."""
+    if RECORD not in df.columns:
+        return {}
+    facts = ctx.table.dataset.facts if ctx.table.dataset is not None else {}
+    if "first" not in facts or not set(ctx.table.names) <= set(facts["first"]):
+        texts = [c for c in ctx.table.names if ctx.table.kind(c) == "text"]
+        row = df.agg(*(F.min_by(ctx.table.col(c), F.when(ctx.table.col(c) != "", F.col(RECORD))).alias(f"c{i}") for i, c in enumerate(texts))).first() if texts else []
+        facts["first"] = dict.fromkeys(ctx.table.names) | dict(zip(texts, row))
+    return facts["first"]
+
+
 def _reduced(ctx: Context, name: str, df: DataFrame) -> Column:
     """The key of a column after the condition's regex, if the column's first filled value matches it at the start."""
     regex = ctx.condition.get("regex")
@@ -23,9 +37,7 @@ def _reduced(ctx: Context, name: str, df: DataFrame) -> Column:
         return _key(ctx, name)
     p = tx.literal_regex(str(regex))
     c = ctx.table.col(name)
-    first = df.filter(c != "").agg(F.min_by(c, RECORD).alias("v")).first()[0] if RECORD in df.columns else None
-    import re
-
+    first = _first_values(ctx, df).get(name)
     if not first or not re.match(p, first):
         return _key(ctx, name)
     groups = re.compile(p).groups

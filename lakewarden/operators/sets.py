@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.table import Context, Operand
+from ..plans.table import Context, Operand, tidy
 from .registry import known, negated, operator, unknown
 
 
@@ -34,8 +34,6 @@ def is_contained_by(ctx: Context) -> Column:
     if v.source is not None:  # an existence join, however many members there are
         return ctx.table.join(v.source.withColumn("hit", F.lit(True)), [(text, "v")], "hit", "bool").isNotNull()
     if v.values is not None and not v.per_row and v.is_set and len(v.values) <= 200:
-        from ..plans.table import tidy
-
         return text.isin([tidy(x) for x in v.values]) if v.values else F.lit(False)
     return F.array_contains(_members(v), text)
 
@@ -54,18 +52,30 @@ negated("is_not_contained_by_case_insensitive", "is_contained_by_case_insensitiv
 
 
 def _all_in(ctx: Context) -> Column:
-    """Every value is among the targets: per row where a side is a set per row, else one verdict for the dataset."""
+    """Every value is among the targets: per row where a side is a set per row, else one verdict for the dataset.
+
+    Whole columns and sets that are tables are compared by joins; no task gathers one of them.
+    """
     t, v = ctx.target, ctx.value
     if (t.is_set and not t.collection) or (v.is_set and not v.collection):
         a, b = _members(t), _members(v)
         return F.forall(b, lambda x: F.array_contains(a, x))
-    if t.is_set:
+    if t.is_set and t.source is None and v.source is None:
         a = _members(t)
         return F.forall(_members(v), lambda x: F.array_contains(a, x))
-    # One aggregate over the column, joined back as a single row.
-    seen = ctx.table.df.agg(F.collect_set(F.coalesce(t.text(), F.lit(""))).alias("seen"))
-    a = ctx.table.join(seen, [], "seen", "set")
-    return F.forall(_members(v), lambda x: F.array_contains(a, x))
+    if t.source is not None:
+        seen = t.source.select("v")
+    elif t.is_set:
+        seen = ctx.table.df.limit(1).select(F.explode(_members(t)).alias("v"))
+    else:
+        seen = ctx.table.df.select(F.coalesce(t.text(), F.lit("")).alias("v"))
+    if v.values is not None:
+        wanted = sorted({tidy(x) for x in v.values})
+        all_there = seen.filter(F.col("v").isin(wanted)).agg((F.count_distinct("v") == len(wanted)).alias("all"))
+    else:
+        members = v.source.select("v") if v.source is not None else ctx.table.df.limit(1).select(F.explode(_members(v)).alias("v"))
+        all_there = members.join(seen.distinct(), "v", "left_anti").agg((F.count(F.lit(1)) == 0).alias("all"))
+    return ctx.table.join(all_there, [], "all", "bool")
 
 
 def _verdict(ctx: Context, negative: bool) -> Column:

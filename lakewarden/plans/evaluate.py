@@ -15,8 +15,9 @@ from ..operators.registry import ANSWERS_MISSING
 from .operations import compute, materialised
 from .table import Context, Operand, Table, literal
 
-#: Operators that test membership by a join and never need the set as one value.
-_BY_JOIN = {"is_contained_by", "is_not_contained_by"}
+#: Operators that compare sets by joins and never need the value (or the target) as one array.
+_BY_JOIN = {"is_contained_by", "is_not_contained_by", "contains_all", "not_contains_all"}
+_TARGET_BY_JOIN = {"contains_all", "not_contains_all"}
 
 
 class Compiler:
@@ -123,7 +124,7 @@ class Compiler:
         binding = False
         if isinstance(name, str) and name.startswith("$"):
             bound = self._bind(name)
-            binding, target, exists = True, bound and materialised(bound, t), bound is not None
+            binding, target, exists = True, bound if bound is None or op in _TARGET_BY_JOIN else materialised(bound, t), bound is not None
         elif isinstance(name, str) and ".**" in name:
             target = self._wild(name)
             exists, binding = target is not None, True

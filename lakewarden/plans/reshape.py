@@ -49,14 +49,17 @@ def rows_frame(spark: SparkSession, rows: list[dict], columns: list[str]) -> Dat
 
 
 def emptiness(d: Dataset) -> dict[str, tuple[bool, bool]]:
-    """(has empty values, is all empty) of every column, in one pass over the data."""
+    """(has empty values, is all empty) of every column, in one pass over the data, which all rules share."""
+    if "empty" in d.facts:
+        return d.facts["empty"]
     kinds = {f.name: kind_of(f.dataType) for f in d.df.schema}
     aggs = []
     for i, c in enumerate(d.columns):
         b = tx.blank(F.col(f"`{c}`"), kinds[c]).cast("int")
         aggs += [F.max(b).alias(f"a{i}"), F.min(b).alias(f"b{i}")]
     row = d.df.agg(*aggs).first() if aggs else []
-    return {c: (row[2 * i] == 1, row[2 * i + 1] != 0) for i, c in enumerate(d.columns)}
+    d.facts["empty"] = {c: (row[2 * i] == 1, row[2 * i + 1] != 0) for i, c in enumerate(d.columns)}
+    return d.facts["empty"]
 
 
 def _define_variables(study: Study, d: Dataset) -> list[dict]:

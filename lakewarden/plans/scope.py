@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..model import Dataset, Rule, Study
+from ..model import Dataset, Dialect, Rule, Study
 from .metadata import class_of, normal_version
 
 
@@ -59,6 +59,24 @@ def for_standard(rule: Rule, standard: str | None, version: str | None, substand
     return False
 
 
+def of_family(rules: list[Rule], standard: str | None) -> list[Rule]:
+    """One version of each rule. Where a rule was written anew, the older one stands for SEND and TIG, as far as it was not written for SDTMIG alone."""
+    older = (standard or "").upper().startswith("SEND") or (standard or "").upper() == "TIG"
+    by_id: dict[str, list[Rule]] = {}
+    for rule in rules:
+        by_id.setdefault(rule.id, []).append(rule)
+    out = []
+    for versions in by_id.values():
+        new = [r for r in versions if r.dialect is Dialect.CORE1]
+        old = [r for r in versions if r.dialect is Dialect.CDISC]
+        if not new or not old:
+            out += versions
+        else:
+            wider = [r for r in old if any(n.upper() != "SDTMIG" for n, _, _ in r.standards)]
+            out += wider if older and wider else new
+    return out
+
+
 def other_domains(rule: Rule) -> set[str]:
     """Datasets a rule reads besides the one it checks."""
     found = {str(m.get("Name") or m.get("name") or "").upper() for m in rule.match_datasets if not (m.get("Child") or m.get("child"))}

@@ -20,7 +20,9 @@ from .model import RECORD, Dataset, Dialect, Result, Rule, RuleSkipped, Study
 from .plans import document, scope
 from .plans.early import early
 from .plans.evaluate import Compiler
+from .plans.guards import check_inputs
 from .plans.matching import match
+from .plans.operations import reported
 from .plans.reshape import DATASET_TYPES, STUDY_TYPES, SUPPORTED, VALUE_TYPES, as_table, build
 from .results import NOT_IN_DATASET, capped, check_names, melt, with_triage
 
@@ -46,9 +48,7 @@ def _values(compiler: Compiler, rule: Rule) -> Column:
             bound = t.bindings.get(name)
             if bound is None:
                 continue
-            from .plans.operations import materialised
-
-            value = materialised(bound, t).text()
+            value = reported(bound, t)
         else:
             found = t.find(name, rule.dialect)
             name = found or t.resolve(name)
@@ -66,6 +66,7 @@ def compile_rules(rules: list[Rule], table_of, study: Study, dialect: Dialect) -
     for rule in rules:
         before = table.df
         try:
+            check_inputs(rule, table, study)
             verdict, reasons = compiler.rule(rule)
             group = None
             if rule.sensitivity == "Group" and rule.grouping:

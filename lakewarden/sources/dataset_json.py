@@ -6,42 +6,43 @@ import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..model import RECORD, Dataset, VariableMeta
+from .frame import with_record
 
 #: Data types of the format that hold numbers (fixed values).
 _NUMBERS = {"integer", "float", "double", "decimal"}
 
 
+#: What is read of a dataset (fixed names).
+_ABOUT = "datasetJSONVersion string, name string, label string, records bigint, columns array<struct<name: string, label: string, dataType: string, targetDataType: string, length: int>>"
+
+
 def read_dataset_json(spark: SparkSession, path: str | Path) -> Dataset:
-    """One dataset. The line form is read by Spark, row by row of the file; the other is one document."""
+    """One dataset. The line form is read row by row of the file; the other, one document, by one task; the driver sees the head alone."""
     path = Path(path)
-    if path.suffix == ".ndjson":
-        with path.open(encoding="utf-8") as f:
-            about = json.loads(f.readline())
-        rows = None
+    lines = path.suffix == ".ndjson"
+    if lines:
+        about = json.loads(spark.read.text(str(path)).first()[0])
+        document = None
     else:
-        about = json.loads(path.read_text(encoding="utf-8"))
-        rows = about.get("rows") or []
+        document = spark.read.schema(f"{_ABOUT}, rows array<array<string>>").option("multiLine", True).json(str(path))
+        about = document.select("name", "label", "records", "columns", F.coalesce(F.size("rows"), F.lit(0)).alias("n")).first().asDict(recursive=True)
     columns = about["columns"]
     numeric = [c.get("dataType") in _NUMBERS and c.get("targetDataType") in (None, "integer", "decimal") for c in columns]
     names = [c["name"] for c in columns]
-    schema = ", ".join([*(f"`{n}` {'double' if k else 'string'}" for n, k in zip(names, numeric)), f"{RECORD} bigint"])
-    if rows is None:
-        from pyspark.sql import functions as F
-
-        from .frame import with_record
-
-        lines = with_record(spark.read.text(str(path))).filter(F.col(RECORD) > 1)
-        cells = F.from_json("value", "array<string>")
-        df = lines.select(*((F.get(cells, i).try_cast("double") if k else F.coalesce(F.get(cells, i), F.lit(""))).alias(n) for i, (n, k) in enumerate(zip(names, numeric))), (F.col(RECORD) - 1).alias(RECORD))
-        n = df.count()
+    if document is None:
+        numbered = with_record(spark.read.text(str(path))).filter(F.col(RECORD) > 1)
+        rows = numbered.select(F.from_json("value", "array<string>").alias("cells"), (F.col(RECORD) - 1).alias(RECORD))
     else:
-        data = [(*((None if v is None or v == "" else float(v)) if k else ("" if v is None else str(v)) for v, k in zip(r, numeric)), i + 1) for i, r in enumerate(rows)]
-        df, n = spark.createDataFrame(data, schema), len(rows)
+        rows = document.select(F.posexplode("rows").alias("at", "cells")).select("cells", (F.col("at") + 1).cast("bigint").alias(RECORD))
+    cells = [F.get("cells", F.lit(i)) for i in range(len(names))]
+    df = rows.select(*((c.try_cast("double") if k else F.coalesce(c, F.lit(""))).alias(n) for c, n, k in zip(cells, names, numeric)), RECORD)
+    n = df.count() if document is None else max(0, about["n"])
     if about.get("records") is not None and int(about["records"]) != n:
         raise ValueError(f"{path.name} declares {about['records']} records and holds {n}")
-    metas = [VariableMeta(c["name"], c.get("label", ""), "Num" if k else "Char", c.get("length")) for c, k in zip(columns, numeric)]
+    metas = [VariableMeta(c["name"], c.get("label") or "", "Num" if k else "Char", c.get("length")) for c, k in zip(columns, numeric)]
 
     def first(c: str) -> str:
         if c not in names:
@@ -49,4 +50,4 @@ def read_dataset_json(spark: SparkSession, path: str | Path) -> Dataset:
         row = df.filter(f"trim(`{c}`) <> ''").select(c).first()
         return row[0].strip() if row else ""
 
-    return Dataset(str(about.get("name") or path.stem).upper(), df, metas, about.get("label", ""), path.stat().st_size, path.name, first("DOMAIN"), first("RDOMAIN"))
+    return Dataset(str(about.get("name") or path.stem).upper(), df, metas, about.get("label") or "", path.stat().st_size, path.name, first("DOMAIN"), first("RDOMAIN"))

@@ -51,8 +51,9 @@ def with_record(df: DataFrame, order: list[str] | None = None) -> DataFrame:
         total += n
     if len(starts) <= 1:
         return numbered.withColumn(RECORD, within + 1).drop("__m")
-    begin = F.create_map(*(F.lit(x).cast("bigint") for pair in starts for x in pair))
-    return numbered.withColumn(RECORD, begin[part] + within + 1).drop("__m")
+    begin = df.sparkSession.createDataFrame(starts, "__part bigint, __begin bigint")
+    # One row per partition is broadcast.
+    return numbered.join(F.broadcast(begin), part == F.col("__part")).withColumn(RECORD, F.col("__begin") + within + 1).drop("__m", "__part", "__begin")
 
 
 def from_frame(df: DataFrame, name: str | None = None, variables: list[VariableMeta] | None = None, label: str = "") -> Dataset:

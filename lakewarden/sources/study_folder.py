@@ -9,40 +9,25 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Dataset, Study, VariableMeta
+from ..model import Dataset, Study
 from . import frame
 from .dataset_json import read_dataset_json
 from .define_xml import read_define, read_stf
-from .testcase import make_dataset, read_csv_rows
+from .tables import read_csv
 from .usdm import read_usdm
-from .xpt import XptDataSource, header
+from .xpt import XptDataSource, head_of
 
 ORDER = (".xpt", ".json", ".ndjson", ".parquet", ".csv")
 
 
 def read_xpt(spark: SparkSession, path: Path, name: str | None = None) -> Dataset:
     spark.dataSource.register(XptDataSource)
-    member, label, fields, _ = header(path.read_bytes())
+    member, label, fields, _ = head_of(str(path))
     out = frame.from_frame(spark.read.format("xpt").load(str(path)), name or member or path.stem, [v for v, _ in fields], label)
     out.file_size, out.file_name = path.stat().st_size, path.name
     return out
 
 
-def _guess(head: list[str], rows: list[list[str]]) -> list[VariableMeta]:
-    """Numbers where every filled value is one and none begins with a needless zero."""
-
-    def numeric(i: int) -> bool:
-        seen = [r[i].strip() for r in rows if r[i].strip()]
-        if not seen or any(len(s.lstrip("+-")) > 1 and s.lstrip("+-")[0] == "0" and s.lstrip("+-")[1].isdigit() for s in seen):
-            return False
-        try:
-            return all(float(s) == float(s) for s in seen)
-        except ValueError:
-            return False
-
-    return [VariableMeta(h, "", "Num" if numeric(i) else "Char") for i, h in enumerate(head)]
-
-
 def read_file(spark: SparkSession, path: Path, name: str | None = None) -> Dataset:
     """One dataset file by its ending."""
     path = Path(path)
@@ -54,8 +39,7 @@ def read_file(spark: SparkSession, path: Path, name: str | None = None) -> Datas
     if kind == ".parquet":
         return frame.parquet(spark, str(path), name or path.stem)
     if kind == ".csv":
-        head, rows = read_csv_rows(path)
-        return make_dataset(spark, name or path.stem, head, rows, _guess(head, rows))
+        return read_csv(spark, path, name or path.stem)
     if kind == ".sas7bdat":
         raise ValueError("SAS .sas7bdat files need a reader that is not installed; convert to .xpt or Parquet")
     raise ValueError(f"no reader for {path.name}")

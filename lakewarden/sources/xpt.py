@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -43,11 +44,11 @@ def float_to_ibm(x: float | None) -> bytes:
 
 
 def header(data: bytes) -> tuple[str, str, list[tuple[VariableMeta, int]], int]:
-    """Member name, label, (variable, offset) and where the observations begin."""
+    """Member name, label, (variable, offset) and where the observations begin, from the front of a file."""
     if not data.startswith(_LIBRARY):
         raise ValueError("not a SAS transport file")
     at = data.find(_MEMBER)
-    if at < 0 or data.find(_MEMBER, at + 1) >= 0:
+    if at < 0:
         raise ValueError("a transport file must hold one member")
     size = int(data[at + 74 : at + 78])
     descriptor = data.find(b"HEADER RECORD*******DSCRPTR", at) + _CARD
@@ -70,20 +71,33 @@ def header(data: bytes) -> tuple[str, str, list[tuple[VariableMeta, int]], int]:
     return name, label, fields, at + _CARD
 
 
-def count_rows(data: bytes, begin: int, width: int) -> int:
-    """Observations, without the blanks that fill the last card."""
-    n, rest = divmod(len(data) - begin, width)
-    if len(data) % _CARD:
+def head_of(path: str) -> tuple[str, str, list[tuple[VariableMeta, int]], int]:
+    """The header of a file; no more of it is read than the header takes."""
+    with open(path, "rb") as f:
+        data = f.read(1 << 16)
+        while _OBS not in data and (more := f.read(1 << 16)):
+            data += more
+    return header(data)
+
+
+def count_rows(path: str, begin: int, width: int) -> int:
+    """Observations, without the blanks that fill the last card; only the end of the file is read."""
+    total = os.path.getsize(path)
+    n, rest = divmod(total - begin, width)
+    if total % _CARD:
         raise ValueError("the file is cut off within a card")
-    while n and width < _CARD and data[begin + (n - 1) * width : begin + n * width].strip(b" ") == b"" and (len(data) - begin) - (n - 1) * width <= _CARD:
-        n -= 1
+    with open(path, "rb") as f:
+        while n and width < _CARD and (total - begin) - (n - 1) * width <= _CARD:
+            f.seek(begin + (n - 1) * width)
+            if f.read(width).strip(b" "):
+                break
+            n -= 1
     return n
 
 
-def decode(data: bytes, fields: list[tuple[VariableMeta, int]], begin: int, first: int, last: int) -> list[list]:
-    """Columns of the observations first to last (exclusive)."""
-    width = max(p + v.length for v, p in fields)
-    block = np.frombuffer(data, np.uint8, (last - first) * width, begin + first * width).reshape(-1, width)
+def decode(data: bytes, fields: list[tuple[VariableMeta, int]]) -> list[list]:
+    """Columns of the observations that ``data`` holds."""
+    block = np.frombuffer(data, np.uint8).reshape(-1, max(p + v.length for v, p in fields))
     out = []
     for v, p in fields:
         part = block[:, p : p + v.length]
@@ -105,22 +119,26 @@ def _repaired(raw: bytes) -> str:
 
 
 class _Reader(DataSourceReader):
+    """Tasks read their own observations; a second member, which would stand among them, is refused by the task that meets it."""
+
     def __init__(self, path: str):
         self.path = path
+        _, _, self.fields, self.begin = head_of(path)
+        self.width = max(p + v.length for v, p in self.fields)
 
     def partitions(self) -> list[InputPartition]:
-        with open(self.path, "rb") as f:
-            data = f.read()
-        _, _, fields, begin = header(data)
-        n = count_rows(data, begin, max(p + v.length for v, p in fields))
+        n = count_rows(self.path, self.begin, self.width)
         return [InputPartition((i, min(i + CHUNK, n))) for i in range(0, n, CHUNK)] or [InputPartition((0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         first, last = partition.value
         with open(self.path, "rb") as f:
-            data = f.read()
-        _, _, fields, begin = header(data)
-        for i, row in enumerate(zip(*decode(data, fields, begin, first, last))):
+            f.seek(self.begin + first * self.width)
+            data = f.read((last - first) * self.width)
+            # A mark may begin in one task's part and end in the next one's.
+            if _MEMBER in data + f.read(len(_MEMBER)):
+                raise ValueError("a transport file must hold one member")
+        for i, row in enumerate(zip(*decode(data, self.fields))):
             yield (*row, first + i + 1)
 
 
@@ -132,8 +150,7 @@ class XptDataSource(DataSource):
         return "xpt"
 
     def schema(self) -> str:
-        with open(self.options["path"], "rb") as f:
-            _, _, fields, _ = header(f.read())
+        _, _, fields, _ = head_of(self.options["path"])
         return ", ".join([*(f"`{v.name}` {'double' if v.type == 'Num' else 'string'}" for v, _ in fields), "__record bigint"])
 
     def reader(self, schema: object) -> DataSourceReader:
