@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from .chat import digests, format_conversations
+from .chat import Template, digests, format_conversations
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mixture
 from .packing import pack
 from .quality_classifier import quality_classifier
-from .quality_rules import quality_rules
+from .quality_rules import HOST_LIMIT, quality_rules
 from .simhash import near_dedup
-from .substring_dedup import substring_dedup
+from .substring_dedup import WINDOW, substring_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -45,7 +45,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The words of each document, the documents numbered as rows.
+_WORDS = r"SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
+OP5_SQL = rf"""
+WITH d AS ({_WORDS}),
+starts AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 4], ' ')) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) x) y WHERE n > 1),
+covered AS (SELECT r, sum(least(5, coalesce(after - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM starts) z GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+m AS (SELECT d.r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN lines USING (r) LEFT JOIN covered c ON c.r = d.r),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS docs, sum(CAST(base_failed AS INTEGER)) AS bad FROM f GROUP BY source),
+s AS (SELECT CAST(sum(bad) AS DOUBLE) AS f, CAST(sum(docs) AS DOUBLE) AS n, count(*) AS k, sum(bad * bad / CAST(docs AS DOUBLE)) AS ff, sum(CAST(docs AS DOUBLE) * docs) AS nn FROM h),
+q AS (SELECT f / n AS mean, f / n * (1 - f / n) AS within, CASE WHEN k > 1 THEN (ff - f * f / n - (k - 1) * f / n * (1 - f / n)) / (n - nn / n) ELSE 0 END AS spread FROM s),
+rates AS (SELECT source, CASE WHEN spread <= 0 THEN mean ELSE (bad + mean * greatest(within / spread - 1, 1)) / (docs + greatest(within / spread - 1, 1)) END AS rate FROM h CROSS JOIN q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {HOST_LIMIT} AS kept FROM f JOIN rates ON f.source IS NOT DISTINCT FROM rates.source
+"""
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +74,28 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(conversations.unionByName(own)))
 
 
+def _marks(template: Template, role: str) -> int:
+    """Characters of the marks around a turn's text."""
+    opening, closing, _ = template.roles[role]
+    return len(opening) + len(closing)
+
+
+_TEMPLATE = Template()
+_SPECIAL = "|".join(re.escape(c) for c in (_TEMPLATE.escape, *_TEMPLATE.controls()))
+_AFTER = " ".join(f"WHEN '{state}' THEN role IN ({', '.join(repr(r) for r in roles)})" for state, roles in _TEMPLATE.follows.items() if state)
+OP6_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c),
+t AS (SELECT *, CASE WHEN before IS NULL THEN role IN ({', '.join(repr(r) for r in _TEMPLATE.follows[''])}) ELSE coalesce(CASE before {_AFTER} END, false) END AS fits,
+  length(text) + len(regexp_extract_all(text, '{_SPECIAL}')) + CASE role {' '.join(f"WHEN '{r}' THEN {_marks(_TEMPLATE, r)}" for r in _TEMPLATE.roles)}
+    ELSE {sum(map(len, _TEMPLATE.other))} + length(role) + len(regexp_extract_all(role, '{_SPECIAL}')) END AS chars FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST({len(_TEMPLATE.begin)} + sum(chars) AS BIGINT) AS formatted_chars, bool_and(fits) AS valid FROM t GROUP BY conv_id
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -72,6 +113,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP10_SQL = rf"""
+WITH d AS ({_WORDS}),
+p AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM d),
+k AS (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS least FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW}) x),
+c AS (SELECT p.r, p.i, word, coalesce(max(CASE WHEN least < k.doc_id THEN k.i END) OVER (PARTITION BY p.r ORDER BY p.i) > p.i - {WINDOW}, false) AS gone FROM p LEFT JOIN k ON k.r = p.r AND k.i = p.i),
+o AS (SELECT r, sum(CAST(gone AS INTEGER)) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON o.r = d.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,4 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op6_chat": OP6_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
