@@ -2,24 +2,30 @@
 
 Models are fitted on the driver from at most ``SAMPLE`` labelled documents (the
 ones with the least hash of doc_id, so reruns agree) and ship as a closure whose
-size is bounded by ``FEATURES``; scoring reads every document whole.
+size is bounded by ``FEATURES``; scoring reads every document whole. Which stems a
+fit may choose is found by Spark from sums per stem; only those come to the driver, at most
+``FEATURES`` per label and set of folds, however long the labelled texts are.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import Scratch, whole
 
 SAMPLE, FEATURES, FOLDS = 8000, 384, 5
+#: A stem is a feature if it is in so many documents, and its shares in the classes lie so many standard errors apart.
+LEAST, APART = 5, 4
 #: Measures of form that ``shape`` takes.
 SHAPES = 12
 #: Punctuation that is cut off a word's ends before it becomes a feature.
@@ -77,26 +83,55 @@ class Sample:
         return len(self.doc_id)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int = SAMPLE) -> Sample:
-    """Features and labels of the sample; stems come to the driver as Arrow text and are coded there."""
+def _candidates(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """(stem): those that ``select`` would take for one of the labels on all of ``rows`` (doc_id, labels, fold, stems) or without one fold."""
+    sets = [None, *range(FOLDS)]
+
+    def sums(prefix: str) -> list[Column]:
+        return [F.sum((F.col("fold") == k).cast("long") * (F.col(c) == 1).cast("long")).alias(f"{prefix}p{i}_{k}") for i, c in enumerate(columns) for k in range(FOLDS)] + [
+            F.sum((F.col("fold") == k).cast("long") * (F.col(c) != 1).cast("long")).alias(f"{prefix}n{i}_{k}") for i, c in enumerate(columns) for k in range(FOLDS)]
+
+    total = rows.agg(*sums("t")).first()
+    per = rows.select(*columns, "fold", F.explode("stems").alias("stem")).groupBy("stem").agg(*sums("s"))
+    scores = []
+    for i in range(len(columns)):
+        for left_out in sets:
+            folds = [k for k in range(FOLDS) if k != left_out]
+            pos, neg = (reduce(Column.__add__, [F.col(f"s{w}{i}_{k}") for k in folds]) for w in "pn")
+            n1, n0 = (max(1.0, float(sum(total[f"t{w}{i}_{k}"] or 0 for k in folds))) for w in "pn")
+            p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), (pos + neg) / (n1 + n0)))
+            z = F.abs(pos / n1 - neg / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+            scores.append(F.when((pos + neg >= LEAST) & (z > APART), z))
+    found = per.select("stem", F.posexplode(F.array(*scores)).alias("at", "z")).filter("z is not null")
+    nth = F.row_number().over(W.partitionBy("at").orderBy(F.desc("z"), "stem"))
+    return found.withColumn("nth", nth).filter(F.col("nth") <= most).select("stem").distinct()
+
+
+def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int = SAMPLE, most: int = FEATURES) -> Sample:
+    """Features and labels of the sample; of their stems, the ones that a fit may choose."""
+    scratch = Scratch(docs.sparkSession, "sample")
     chosen = labels.dropna(subset=["doc_id", *columns]).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", whole("text").alias("text"))
 
-    @F.pandas_udf("struct<shape: array<double>, stems: string>")
+    @F.pandas_udf("struct<shape: array<double>, stems: array<string>>")
     def featured(text: pd.Series) -> pd.DataFrame:
         rows = [shape(t) for t in text]
-        return pd.DataFrame({"shape": [r[0].tolist() for r in rows], "stems": [" ".join(sorted(stems(r[1]))) for r in rows]})
+        return pd.DataFrame({"shape": [r[0].tolist() for r in rows], "stems": [sorted(stems(r[1])) for r in rows]})
 
     # At most ``sample`` rows are broadcast. Of rows that share a labelled id one is taken, by its text, before its features are.
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("t"), *(F.first(c).alias(c) for c in columns))
-    rows = rows.select("doc_id", *columns, featured("t.text").alias("x"))
-    table = rows.select("doc_id", *columns, "x.shape", "x.stems").toArrow().sort_by("doc_id")
-    cut = pc.split_pattern(table["stems"].combine_chunks(), " ")
-    coded = cut.flatten().dictionary_encode()
-    owner = np.repeat(np.arange(len(cut)), pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
+    rows = scratch.keep(rows.select("doc_id", *columns, fold.alias("fold"), featured("t.text").alias("x")).select("doc_id", *columns, "fold", "x.shape", "x.stems"))
+    known = scratch.keep(_candidates(rows, columns, most))
+    # At most ``most`` stems per label and set of folds are broadcast.
+    found = rows.select("doc_id", F.explode("stems").alias("stem")).join(F.broadcast(known), "stem").toArrow().sort_by([("doc_id", "ascending"), ("stem", "ascending")])
+    table = rows.select("doc_id", *columns, "shape").toArrow().sort_by("doc_id")
+    ids, coded = table["doc_id"].to_numpy(), found["stem"].combine_chunks().dictionary_encode()
+    owner = pc.index_in(found["doc_id"], table["doc_id"].combine_chunks()).to_numpy()
     shapes = np.array(table["shape"].to_pylist(), np.float64).reshape(len(table), SHAPES)
-    return Sample(table["doc_id"].to_numpy(), {c: table[c].to_numpy() for c in columns}, shapes, coded.dictionary, coded.indices.to_numpy(), owner)
+    scratch.clear()
+    return Sample(ids, {c: table[c].to_numpy() for c in columns}, shapes, coded.dictionary, coded.indices.to_numpy(), owner)
 
 
 def select(data: Sample, rows: np.ndarray, y: np.ndarray, most: int = FEATURES) -> np.ndarray:
@@ -109,7 +144,7 @@ def select(data: Sample, rows: np.ndarray, y: np.ndarray, most: int = FEATURES)
     n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     p = np.clip((pos + neg) / (n1 + n0), 1e-9, 1 - 1e-9)
     z = np.abs(pos / n1 - neg / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    good = np.flatnonzero((pos + neg >= 5) & (z > 4))
+    good = np.flatnonzero((pos + neg >= LEAST) & (z > APART))
     return good[np.lexsort((good, -z[good]))[:most]]
 
 

@@ -74,6 +74,28 @@ def test_chain_takes_the_logits_of_models_that_have_not_seen_a_text(labelled):
     assert chain[1].vocabulary == second.vocabulary and np.allclose(chain[1].weights, second.weights)
 
 
+def test_features_are_those_of_all_stems(labelled):
+    """What Spark hands to the driver holds every stem that a choice among all stems would take."""
+    docs, labels, truth = labelled
+    data = sampled(docs, labels, ["quality", "toxic"])
+    found = {r.doc_id: stems(shape(r.text)[1]) for r in docs.collect()}
+    fold = dict(zip(data.doc_id.tolist(), fold_of(data.doc_id).tolist()))
+    for at, column in ((1, "quality"), (2, "toxic")):
+        for left_out in (None, 0, 3):
+            some = [t for t in truth if fold[t[0]] != left_out]
+            n1 = sum(t[at] for t in some)
+            n0, want = len(some) - n1, set()
+            for stem in set().union(*found.values()):
+                pos, neg = (sum(stem in found[t[0]] for t in some if t[at] == k) for k in (1, 0))
+                p = min(1 - 1e-9, max(1e-9, (pos + neg) / (n1 + n0)))
+                if pos + neg >= 5 and abs(pos / n1 - neg / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) > 4:
+                    want.add(stem)
+            assert len(want) < 384
+            rows = np.array([i for i, d in enumerate(data.doc_id.tolist()) if fold[d] != left_out])
+            model, _ = fit(data, rows, np.zeros((len(data), 0)), data.labels[column][rows].astype(float))
+            assert set(model.vocabulary) == want
+
+
 def test_logits_of_a_text_by_hand(labelled):
     docs, labels, _ = labelled
     chain = train_chain(sampled(docs, labels, ["quality", "toxic"]))
