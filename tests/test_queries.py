@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from lakewarden import queries
 from lakewarden import queries_reference as reference
+from lakewarden import queries_sources as sources
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,7 +18,7 @@ SOME = [
     "equal_to", "matches_regex", "is_contained_by_set", "date_equal_to", "date_less_than", "is_not_unique_set", "is_not_unique_relationship", "does_not_have_next_corresponding_record", "target_is_not_sorted_by",
     "is_not_ordered_set", "op_distinct", "op_record_count", "op_max_date", "ship_before_order", "match_left", "supp_pivot", "child_parent", "relrec", "unpivot_value_check", "variable_metadata", "global_length",
     "findings_melt", "max_records_topk", "truncated", "problem_summary", "skipped_ledger", "invalid_date_interval", "date_less_than_zones", "date_not_equal_to_odd", "date_component_core1", "is_not_ordered_set_blank",
-    "is_not_ordered_set_whole", "op_max_date_core1", "op_minus", "match_bigint_key", "match_text_number_key", "triage_levels", *reference.QUERIES,
+    "is_not_ordered_set_whole", "op_max_date_core1", "op_minus", "match_bigint_key", "match_text_number_key", "triage_levels", *reference.QUERIES, *sources.QUERIES,
 ]
 
 
