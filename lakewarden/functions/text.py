@@ -89,11 +89,6 @@ def like_filter(c: Column, kind: str, wanted: object, wildcard: str) -> Column:
     return F.coalesce(canonical(c, kind) == canonical(F.lit(str(wanted))) if kind == "num" else text_of(c, kind) == F.lit(str(wanted)), F.lit(False))
 
 
-def cp1252_repair(raw: Column) -> Column:
-    """Bytes as UTF-8 where they are valid, else as Windows-1252."""
-    return F.coalesce(F.try_validate_utf8(raw), F.decode(raw, "windows-1252")) if hasattr(F, "try_validate_utf8") else F.decode(raw, "utf-8")
-
-
 def literal_regex(pattern: str) -> str:
     """A pattern in which a named group is written as Java writes it."""
     return re.sub(r"\(\?P<", "(?<", pattern)

@@ -16,6 +16,7 @@ from ..model import RECORD, Dialect, Operation, RuleSkipped, Study
 from . import metadata as md
 from .table import Operand, Table, kind_of, literal, tidy
 
+#: By name; the names are those of the rule language (fixed values).
 OPERATIONS: dict[str, Callable] = {}
 
 

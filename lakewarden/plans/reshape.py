@@ -12,7 +12,7 @@ from ..model import RECORD, Dataset, Dialect, Rule, RuleSkipped, Study
 from . import metadata as md
 from .table import Table, kind_of
 
-#: Rule types whose rows are variables, not records.
+#: Names of rule types (fixed values), by what their rows are: variables, values, define entries, studies, records, datasets.
 VARIABLE_TYPES = {
     "Variable Metadata Check", "Variable Metadata Check against Library Metadata", "Variable Metadata Check against Define XML",
     "Variable Metadata Check against Define XML and Library Metadata",

@@ -11,6 +11,7 @@ import csv
 import json
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from .model import RECORD, Dataset, Library, Rule, Study, VariableMeta
-from .queries import base, base_sql
+from .queries import BASES, base, base_sql
 from .results import filter_findings, records, summary
 from .runner import run
 from .sources import dataset_json, define_xml, study_folder
@@ -27,6 +28,7 @@ from .sources.frame import normal_types, parquet
 from .sources.testcase import read_case
 from .sources.usdm import read_usdm
 from .sources.xpt import write_xpt
+from .streaming import violation_counts, violations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -243,3 +245,40 @@ def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     api.write_findings(run(spark, [_blank()], _events(spark, sf_dir), None), str(path))
     back = spark.read.option("header", True).csv(str(path))
     return back.filter("Variable = 'tb'").select("rule_id", F.col("Record").cast("bigint").alias("record"), F.col("Variable").alias("variable"))
+
+
+# Streams.
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The violations of row-local rules over the events, read as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = spark.sql(BASES["events"][1], t=events)
+    rules = [
+        Rule("EV1", {"name": "tb", "operator": "empty"}), Rule("EV2", {"name": "p", "operator": "invalid_date"}),
+        Rule("EV4", {"all": [{"name": "d7", "operator": "less_than", "value": 2}, {"name": "t", "operator": "starts_with", "value": "c"}]}),
+    ]
+    return violations(rows, rules, "EVENTS", ["id", "iso"])
+
+
+_STREAM_SQL = f"""SELECT 'EV1' AS rule_id, id, iso FROM ({base_sql('events')}) a WHERE tb = '' UNION ALL SELECT 'EV2', id, iso FROM ({base_sql('events')}) b WHERE p = '' OR p LIKE '%-32'
+UNION ALL SELECT 'EV4', id, iso FROM ({base_sql('events')}) c WHERE id % 7 < 2 AND t LIKE 'c%'"""
+
+
+@_query("stream_violations", f"SELECT rule_id, id FROM ({_STREAM_SQL}) s")
+def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder()
+    found = _stream(spark, sf_dir).writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "state")).trigger(availableNow=True).start()
+    found.awaitTermination()
+    return spark.read.parquet(str(folder / "out")).select("rule_id", "id")
+
+
+@_query("stream_counts", f"SELECT rule_id, left(iso, 13) AS hour, count(*) AS violations FROM ({_STREAM_SQL}) s GROUP BY 1, 2")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations per rule and hour; a row per rule and window is kept."""
+    name = f"counts_{uuid.uuid4().hex}"
+    counts = violation_counts(_stream(spark, sf_dir).withColumn("at", F.to_timestamp("iso")), "at")
+    found = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(_folder())).trigger(availableNow=True).start()
+    found.awaitTermination()
+    return spark.table(name).select("rule_id", F.date_format("start", "yyyy-MM-dd'T'HH").alias("hour"), F.col("count").alias("violations"))
