@@ -37,7 +37,7 @@ PRECISIONS = ("year", "month", "day", "hour", "minute", "second", "microsecond")
 
 
 _EPOCH, _DAY_US = "1970-01-01", 86_400_000_000
-Add = Callable[[Column], Column]
+Add = Callable[..., Column | list[Column]]
 
 
 @dataclass
@@ -87,14 +87,14 @@ def _day_number(year: Column, month: Column, day: Column) -> Column:
 
 
 def date_parts(text: Column, add: Add) -> DateParts:
-    """``add`` writes an expression out as a column, so that what follows reads it and does not repeat it."""
+    """``add`` writes expressions out as columns, so that what follows reads them and does not repeat them."""
     text = add(F.coalesce(text, F.lit("")))
     # Most values are whole dates, cut at fixed places; the fields are sought in the others.
     n, last = F.length(text), F.right(text, F.lit(1))
     dated = n.isin(10, 19) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-") & last.between("0", "9")
     timed = F.substring(text, 11, 9).rlike("^T(2[0-3]|[01][0-9]):[0-5][0-9]:[0-5][0-9]$")
-    day = add(F.when(dated & ((n == 10) | timed), F.left(text, F.lit(10)).try_cast("date")))
-    day = add(F.when(F.year(day) >= 1, F.datediff(day, F.lit(_EPOCH).cast("date"))))
+    date = F.when(dated & ((n == 10) | timed), F.left(text, F.lit(10)).try_cast("date"))
+    day = add(F.when(F.year(date) >= 1, F.datediff(date, F.lit(_EPOCH).cast("date"))))
     clock = [F.substring(text, at, 2).try_cast("int") for at in (12, 15, 18)]
     seconds = F.when(n == 19, clock[0] * 3600 + clock[1] * 60 + clock[2]).otherwise(0)
     plain = day.isNotNull()
@@ -112,7 +112,7 @@ def date_parts(text: Column, add: Add) -> DateParts:
 
     year, month, monthday = (given(i) for i in range(3))
     first_open = F.array_position(F.transform(F.slice(parts, 1, 7), _open), True)
-    precision = add(F.when(plain, F.when(n == 19, 5).otherwise(2)).when(first_open == 0, 6).otherwise(first_open.cast("int") - 2))
+    precision = F.when(plain, F.when(n == 19, 5).otherwise(2)).when(first_open == 0, 6).otherwise(first_open.cast("int") - 2)
 
     def part(i: int, default: int) -> Column:
         return F.coalesce(given(i), F.lit(default))
@@ -124,14 +124,14 @@ def date_parts(text: Column, add: Add) -> DateParts:
     offset = F.when((zone != "") & (zone != "Z"), zone)
     ahead = F.when(F.startswith(offset, F.lit("-")), 1).otherwise(-1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int"))
     shift = F.when(~_open(F.get(parts, 3)) & (zone != "") & (zone != "Z"), ahead).otherwise(0)
-    micros = add(F.when(plain, plain_micros).when(fields.isNotNull(), (day_no.cast("bigint") * 86_400 + clock_s + shift * 60) * 1_000_000 + fraction))
+    micros = F.when(plain, plain_micros).when(fields.isNotNull(), (day_no.cast("bigint") * 86_400 + clock_s + shift * 60) * 1_000_000 + fraction)
     uncertain = F.contains(text, F.lit("/")) | F.contains(text, F.lit("--")) | F.contains(text, F.lit("-:"))
     # Without a mark of uncertainty: a year from 1 on, no day without a month, a real day, and no open time.
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
     days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
     strict = F.coalesce(year >= 1, F.lit(False)) & ~F.startswith(text, F.lit("-")) & ~(monthday.isNotNull() & month.isNull()) & ~text.rlike("T-|:-") & F.coalesce(monthday <= days, F.lit(True))
-    valid = add(plain | (fields.isNotNull() & (uncertain | strict)))
-    return DateParts(text, valid, precision, micros)
+    valid = plain | (fields.isNotNull() & (uncertain | strict))
+    return DateParts(text, *add(valid, precision, micros))
 
 
 def valid_duration(text: Column, negative: bool = True, core1: bool = False) -> Column:

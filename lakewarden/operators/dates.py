@@ -21,7 +21,7 @@ def _parts(ctx: Context, x: Operand) -> dt.DateParts:
     """Date parts, written out once per column of the table."""
     known_ = ctx.table.dates
     if x.column not in known_ or x.column is None:
-        known_[x.column] = dt.date_parts(x.text(), ctx.table.add)
+        known_[x.column] = dt.date_parts(x.text(), ctx.table.add_all)
     return known_[x.column]
 
 

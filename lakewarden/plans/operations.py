@@ -62,11 +62,11 @@ class Request:
                 out.append(self.table.resolve(str(v)))
         return out
 
-    def write_out(self, expr: Column) -> Column:
-        """A helper column of the source."""
-        name = f"__s{len(self.source.columns)}"
-        self.source = self.source.withColumn(name, expr)
-        return F.col(name)
+    def write_out(self, *exprs: Column) -> Column | list[Column]:
+        """Helper columns of the source; one expression gives one column."""
+        names = [f"__s{len(self.source.columns) + i}" for i in range(len(exprs))]
+        self.source = self.source.withColumns(dict(zip(names, exprs)))
+        return [F.col(n) for n in names] if len(names) > 1 else F.col(names[0])
 
     def need(self, *cols: str) -> None:
         absent = [c for c in cols if c not in self.kinds]
