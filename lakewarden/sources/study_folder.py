@@ -13,11 +13,12 @@ from ..model import Dataset, Study
 from . import frame
 from .dataset_json import read_dataset_json
 from .define_xml import read_define, read_stf
+from .sas7bdat import read_sas7bdat
 from .tables import read_csv
 from .usdm import read_usdm
 from .xpt import XptDataSource, head_of
 
-ORDER = (".xpt", ".json", ".ndjson", ".parquet", ".csv")
+ORDER = (".xpt", ".sas7bdat", ".json", ".ndjson", ".parquet", ".csv")
 
 
 def read_xpt(spark: SparkSession, path: Path, name: str | None = None) -> Dataset:
@@ -41,7 +42,7 @@ def read_file(spark: SparkSession, path: Path, name: str | None = None) -> Datas
     if kind == ".csv":
         return read_csv(spark, path, name or path.stem)
     if kind == ".sas7bdat":
-        raise ValueError("SAS .sas7bdat files need a reader that is not installed; convert to .xpt or Parquet")
+        return read_sas7bdat(spark, path, name)
     raise ValueError(f"no reader for {path.name}")
 
 

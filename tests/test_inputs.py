@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import pytest
 
 from lakewarden import api
@@ -14,6 +16,7 @@ from lakewarden.sources.study_folder import read_file
 from lakewarden.sources.xpt import write_xpt
 
 from .helpers import dataset, leaf, verdicts
+from .sas_file import write_sas7bdat
 
 T, F = True, False
 
@@ -54,6 +57,26 @@ def test_transport_tasks_read_their_own_rows(spark, tmp_path, monkeypatch):
         [r for p in reader.partitions() for r in reader.read(p)]
 
 
+def test_sas_files(spark, tmp_path, monkeypatch):
+    import lakewarden.sources.sas7bdat as sas
+
+    monkeypatch.setattr(sas, "CHUNK", 70)
+    path = tmp_path / "ae.sas7bdat"
+    columns = [("DOMAIN", "Domain", "", 2), ("AETERM", "Reported Term", "", 12), ("AESEQ", "Sequence", "", None), ("AEDT", "Day", "DATE", None), ("AEDTM", "Moment", "DATETIME", None)]
+    rows = [("AE", f"term é {i}", None if i % 7 == 0 else i / 2, 23000.0 + i, 2e9 + i) for i in range(300)]
+    write_sas7bdat(path, columns, rows)
+    d = read_file(spark, path)
+    assert [(v.name, v.label, v.type, v.length) for v in d.variables] == [("DOMAIN", "Domain", "Char", 2), ("AETERM", "Reported Term", "Char", 12), ("AESEQ", "Sequence", "Num", 8), ("AEDT", "Day", "Num", 8), ("AEDTM", "Moment", "Num", 8)]
+    got = [tuple(r) for r in d.df.orderBy("__record").collect()]
+    epoch = datetime(1960, 1, 1)
+    want = [(a, t, n, (epoch + timedelta(days=x)).strftime("%Y-%m-%d"), (epoch + timedelta(seconds=y)).strftime("%Y-%m-%dT%H:%M:%S"), i + 1) for i, (a, t, n, x, y) in enumerate(rows)]
+    assert got == want and d.domain_value == "AE"
+    whole = path.read_bytes()
+    path.write_bytes(whole[: len(whole) - 2000])
+    with pytest.raises(Exception, match="page"):
+        read_file(spark, path).df.collect()
+
+
 def test_records_are_numbered_over_partitions(spark):
     df = with_record(spark.createDataFrame([(i,) for i in range(20)], "a int").repartition(1).sortWithinPartitions("a").repartitionByRange(4, "a").sortWithinPartitions("a"))
     assert sorted((r.a, r["__record"]) for r in df.collect()) == [(i, i + 1) for i in range(20)]
