@@ -70,7 +70,7 @@ class Compiler:
 
     def column(self, name: str) -> Operand:
         t = self.table
-        return Operand(t.col(name), t.kind(name), per_row=True, column=name)
+        return Operand(t.col(name), t.kind(name), per_row=True, column=name, as_text=t.text(name))
 
     def _reference(self, name: str) -> Operand | None:
         """The value, row by row, of the column that each row names."""

@@ -29,8 +29,9 @@ class Table:
         self._kinds = {f.name: kind_of(f.dataType) for f in df.schema}
         self._made: dict[str, str] = {}
         self.bindings: dict[str, Operand] = {}
-        #: Date parts by column.
+        #: Date parts, and texts, by column.
         self.dates: dict = {}
+        self.texts: dict[str, Column] = {}
         #: Declared lengths and the like, for rules that ask for numbers as text.
         self.meta = {v.name: v for v in dataset.variables} if dataset else {}
 
@@ -56,6 +57,12 @@ class Table:
     def col(self, name: str) -> Column:
         return F.col(f"`{name}`")
 
+    def text(self, name: str) -> Column:
+        """A column as text; the expression is built once."""
+        if name not in self.texts:
+            self.texts[name] = tx.text_of(self.col(name), self.kind(name))
+        return self.texts[name]
+
     @property
     def record(self) -> Column:
         return F.col(RECORD)
@@ -118,13 +125,15 @@ class Operand:
     column: str | None = None
     #: The members of a dataset-wide set as a table (v), joined rather than collected.
     source: DataFrame | None = None
+    #: The text of a column, where it has been built.
+    as_text: Column | None = None
 
     @property
     def is_set(self) -> bool:
         return self.kind == "set"
 
     def text(self) -> Column:
-        return tx.text_of(self.col, self.kind)
+        return self.as_text if self.as_text is not None else tx.text_of(self.col, self.kind)
 
     def blank(self) -> Column:
         return tx.blank(self.col, self.kind)

@@ -522,10 +522,24 @@ def skipped_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SKIPPED_SQL = "SELECT 'EV3' AS rule_id, 'EVENTS' AS domain, 'needs zz, which this dataset does not have' AS reason"
 
+def study_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks above as one run over three datasets, fused by dataset and dialect: findings per rule."""
+    from .runner import run
+
+    rules = [
+        Rule(name, condition, operations=(more[0] if more else None) or [], source="core_contributor" if len(more) > 1 and more[1] else "", domains={"Include": [where.upper()]}, output=["id"])
+        for name, (where, condition, _, *more) in CHECKS.items()
+    ]
+    study = Study({b.upper(): Dataset(b.upper(), base(spark, sf_dir, b)) for b in BASES})
+    return run(spark, rules, study, None).findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"))
+
+
+STUDY_SQL = " UNION ALL ".join(f"SELECT '{n}' AS rule_id, count(*) AS findings FROM ({_check_sql(n)}) c HAVING count(*) > 0" for n in CHECKS)
+
 _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ship_before_order": (ship_before_order, SHIP_SQL), "match_left": (match_left, MATCH_LEFT_SQL), "match_bigint_key": (match_bigint_key, BIGINT_SQL), "match_text_number_key": (match_text_number_key, TEXT_NUMBER_SQL), "supp_pivot": (supp_pivot, SUPP_SQL), "child_parent": (child_parent, CHILD_SQL), "relrec": (relrec, RELREC_SQL),
     "unpivot_value_check": (unpivot_value_check, UNPIVOT_SQL), "variable_metadata": (variable_metadata, VARIABLE_SQL), "global_length": (global_length, GLOBAL_SQL), "findings_melt": (findings_melt, MELT_SQL),
-    "max_records_topk": (max_records_topk, TOPK_SQL), "truncated": (truncated, TRUNCATED_SQL), "problem_summary": (problems, PROBLEMS_SQL), "skipped_ledger": (skipped_ledger, SKIPPED_SQL), "triage_levels": (triage_levels, TRIAGE_SQL),
+    "max_records_topk": (max_records_topk, TOPK_SQL), "truncated": (truncated, TRUNCATED_SQL), "problem_summary": (problems, PROBLEMS_SQL), "skipped_ledger": (skipped_ledger, SKIPPED_SQL), "triage_levels": (triage_levels, TRIAGE_SQL), "study_run": (study_run, STUDY_SQL),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _check(n) for n in CHECKS} | {n: q for n, (q, _) in _MORE.items()}

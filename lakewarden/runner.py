@@ -52,7 +52,7 @@ def _values(compiler: Compiler, rule: Rule) -> Column:
         else:
             found = t.find(name, rule.dialect)
             name = found or t.resolve(name)
-            value = tx.text_of(t.col(found), t.kind(found)) if found else F.lit(NOT_IN_DATASET)
+            value = t.text(found) if found else F.lit(NOT_IN_DATASET)
         out.append(F.struct(F.lit(name).alias("Variable"), F.coalesce(value, F.lit("")).alias("Value")))
     if rule.rule_type in VALUE_TYPES and not rule.output:
         out = [F.struct(F.col("variable_name").alias("Variable"), F.col("variable_value").alias("Value"))]
