@@ -2,8 +2,8 @@
 
 Each round replaces every edge by edges to the smallest neighbour, first on the
 side of the larger ends and then on that of the smaller ends, until all edges
-point at the smallest node of their component. The number of rounds grows with
-the logarithm of the number of nodes.
+point at the smallest node of their component: no node then has two edges upward, or
+edges both ways. The number of rounds grows with the logarithm of the number of nodes.
 
 A node with more than 64 edges, and more than a hundred-thousandth of all, is a
 hub; so there are at most 200,000 hubs, whatever the size. Their smallest
@@ -44,18 +44,15 @@ def _small_star(edges: DataFrame, hub: int) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node that has an edge in ``edges`` (a, b); root is the smallest node of the component."""
     edges = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    def seen() -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
-    mark = seen()
-    while mark[0]:
-        hub = max(HUB, mark[0] // HUBS)
+    while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        total, most, both = per.agg(F.sum("up"), F.max("up"), F.max(F.least("up", "down"))).first()
+        if not total or (most == 1 and both == 0):
+            break
+        hub = max(HUB, total // HUBS)
         starred = scratch.keep(_large_star(edges, hub).distinct())
         after = scratch.keep(_small_star(starred, hub).distinct())
         scratch.drop(edges, starred)
-        edges, before = after, mark
-        mark = seen()
-        if mark == before:
-            break
+        edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -46,3 +46,22 @@ def test_any_column_name_survives(spark):
 def test_blocks_hold_all_words(size):
     text = b"  a bb\tccc\n\n dddd  e" + b"x" * 50 + b" "
     assert [w for words in word_blocks(text, size) for w in words] == text.split()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_chains_stars_and_circles(spark, seed, monkeypatch):
+    import random
+
+    import lakewarden.llm.components as m
+
+    monkeypatch.setattr(m, "HUB", 5)
+    rng = random.Random(seed)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(70)] + [(700, 700)]
+    rng.shuffle(edges)
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.root for r in m.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert got == {x: r for x, r in label.items() if x != 700}
+    assert m.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
