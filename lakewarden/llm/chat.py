@@ -14,7 +14,7 @@ Defined results: null text counts as empty, null role as the empty role; roles
 without a template of their own carry their name; an assistant turn that the
 machine does not expect is formatted all the same and its conversation marked
 invalid; null conv_id is a conversation of its own; repeated rows are repeated
-turns; an empty table gives an empty result; other columns are ignored.
+turns; a very long text is held in memory as one turn; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ shrunk rate passes ``host_limit``. The verdict is joined back to the documents.
 
 Defined results: null text has no words and fails the base rules; the null host
 is a host of its own; with one host, or no variance between hosts, every rate
-is the global one; repeated rows count each; an empty table gives an empty
+is the global one; repeated rows count each; a very long text is measured within its
+row, in arrays of its words and windows; an empty table gives an empty
 result; columns other than doc_id, text and source are ignored.
 """
 

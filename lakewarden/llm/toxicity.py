@@ -9,8 +9,9 @@ quality first, then toxic.
 
 Defined results: null text counts as empty; labels that are null or have no
 document are left out; without labels every probability is that of an
-uninformed model (one half); repeated rows are repeated; an empty table gives an
-empty result; other columns are ignored.
+uninformed model (one half); repeated rows are repeated, and one text of a labelled
+doc_id that several rows share is learnt from; very long texts are read whole, one at a time; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
