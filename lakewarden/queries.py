@@ -211,6 +211,9 @@ CHECKS: dict[str, tuple] = {
     "op_distinct_grouped": ("customer", {"name": "seg", "operator": "is_contained_by", "value": "$v"}, "list_contains(array_agg(CASE WHEN g7 = '3' THEN seg END) OVER (PARTITION BY nation), seg)", [Operation("$v", "distinct", {"name": "seg", "group": ["nation"], "filter": {"g7": "3"}})]),
     "op_record_count": ("orders", {"name": "$n", "operator": "greater_than", "value": 4}, "sum(CASE WHEN status = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY cust) > 4", [Operation("$n", "record_count", {"group": ["cust"], "filter": {"status": "F"}})]),
     "op_record_count_all": ("orders", {"name": "k11", "operator": "greater_than", "value": "$n"}, "k11 > (SELECT count(*) FROM orders WHERE o_orderpriority LIKE 'zz%')", [Operation("$n", "record_count", {"filter": {"prio": "zz&"}})]),
+    "op_record_count_regex": ("events", {"name": "$n", "operator": "greater_than", "value": 320}, "count(*) OVER (PARTITION BY left(iso, 10)) > 320", [Operation("$n", "record_count", {"group": ["iso"], "regex": "\\d{4}-\\d{2}-\\d{2}"})]),
+    "op_map_constant": ("events", {"name": "t", "operator": "equal_to", "value": "$v"}, "t = 'view'", [Operation("$v", "map", {"map": [{"output": "view"}]})]),
+    "op_max_of_binding": ("orders", {"name": "$n", "operator": "equal_to", "value": "$m"}, "count(*) OVER (PARTITION BY cust) = (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) c)", [Operation("$n", "record_count", {"group": ["cust"]}), Operation("$m", "max", {"name": "$n"})]),
     "op_max": ("customer", {"name": "bal", "operator": "equal_to", "value": "$v"}, "bal = max(bal) OVER (PARTITION BY nation)", [Operation("$v", "max", {"name": "bal", "group": ["nation"]})]),
     "op_min": ("customer", {"name": "bal", "operator": "equal_to", "value": "$v"}, "bal = min(bal) OVER ()", [Operation("$v", "min", {"name": "bal"})]),
     "op_max_date": ("orders", {"name": "day", "operator": "date_equal_to", "value": "$v"}, "day = max(day) OVER (PARTITION BY cust)", [Operation("$v", "max_date", {"name": "day", "group": ["cust"]})]),

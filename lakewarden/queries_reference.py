@@ -29,7 +29,7 @@ _ISO = "replace(left(CAST(ts AS STRING), 19), ' ', 'T')"
 #: The dataset that is checked: events with the nation and region their number names.
 EVENTS = f"""SELECT event_id AS id, CAST(user_id AS STRING) AS USUBJID, 'EV' AS DOMAIN, event_type AS EVTERM, CAST(event_id % 25 AS DOUBLE) AS EVK, 'NATION_' || CAST(event_id % 25 AS STRING) AS EVNAME,
   'R' || CAST(event_id % 5 AS STRING) AS EVCODE, CASE event_id % 3 WHEN 0 THEN '2024-03-29' WHEN 1 THEN '2023-12-15' ELSE '1999-01-01' END AS EVVER, {_ISO} AS EVDTC,
-  CASE event_id % 4 WHEN 0 THEN 'EV' WHEN 1 THEN 'CU' WHEN 2 THEN 'cu' ELSE 'ZZ' END AS RDOMAIN, CASE event_id % 3 WHEN 0 THEN '<p>good</p>' WHEN 1 THEN '<p>bad' ELSE '' END AS EVHTML FROM {{t}}"""
+  CASE event_id % 4 WHEN 0 THEN 'EV' WHEN 1 THEN 'CU' WHEN 2 THEN 'cu' ELSE 'ZZ' END AS RDOMAIN, CASE event_id % 5 WHEN 0 THEN 'EVTERM' WHEN 1 THEN 'CUNAME' ELSE 'NONE' END AS EVVAR, CASE event_id % 3 WHEN 0 THEN '<p>good</p>' WHEN 1 THEN '<p>bad' ELSE '' END AS EVHTML FROM {{t}}"""
 CUSTOMERS = "SELECT c_custkey AS id, 'CU' AS DOMAIN, c_name AS CUNAME, c_mktsegment AS CUSEG, CAST(c_nationkey AS DOUBLE) AS EVK, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS EVNAME FROM {t}"
 #: Each subject's start of study: the day of the user's first event and a few days more.
 SUBJECTS = "SELECT CAST(user_id AS STRING) AS USUBJID, left(CAST(min(ts) + INTERVAL '3' DAY AS STRING), 10) AS RFSTDTC, min(event_id) AS id FROM {t} GROUP BY user_id"
@@ -106,7 +106,9 @@ def listed(operator: str, options: dict, core1: bool = False) -> Callable[[Spark
     """What an operation gives for the dataset as a whole: one row per member, in order."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _, found = _operand(study(spark, sf_dir), Operation("$v", operator, options), core1=core1)
+        table, found = _operand(study(spark, sf_dir), Operation("$v", operator, options), core1=core1)
+        if found.values is None:  # joined to each row
+            return table.df.limit(1).select(F.posexplode(found.col).alias("place", "member")).select(F.col("place").cast("bigint").alias("place"), "member")
         column = found.col if found.is_set else F.array(found.text())
         return spark.range(1).select(F.posexplode(column).alias("place", "member")).select(F.col("place").cast("bigint").alias("place"), "member")
 
@@ -192,7 +194,7 @@ def _leaf(name: str, operator: str, value: object = None, **more: object) -> dic
 
 
 _E, _C = f"({EVENTS.format(t='events')}) e", f"({CUSTOMERS.format(t='customer')}) c"
-_EV_COLUMNS = ["id", "USUBJID", "DOMAIN", "EVTERM", "EVK", "EVNAME", "EVCODE", "EVVER", "EVDTC", "RDOMAIN", "EVHTML"]
+_EV_COLUMNS = ["id", "USUBJID", "DOMAIN", "EVTERM", "EVK", "EVNAME", "EVCODE", "EVVER", "EVDTC", "RDOMAIN", "EVVAR", "EVHTML"]
 _CU_COLUMNS = ["id", "DOMAIN", "CUNAME", "CUSEG", "EVK", "EVNAME"]
 _GUIDE_NAME = "CASE n_nationkey WHEN 1 THEN 'EVNAME' ELSE 'EVX' || CAST(n_nationkey AS STRING) END"
 _MODEL_NAME = "CASE n_nationkey WHEN 1 THEN 'EVTERM' ELSE 'EVM' || CAST(n_nationkey AS STRING) END"
@@ -266,6 +268,7 @@ _add("op_get_countries", listed("get_countries", {"attribute_name": "name"}), _l
 _add("op_get_parent_model_column_order", per_row("get_parent_model_column_order", {}), _row_sql(f"CASE upper(RDOMAIN) WHEN 'EV' THEN (SELECT string_agg({_MODEL_NAME}, ',' ORDER BY n_nationkey % 3, -n_nationkey) FROM nation) ELSE '' END"))
 _add("op_referenced_domain_variable_names", per_row("referenced_domain_variable_names", {"name": "RDOMAIN"}), _row_sql(f"CASE upper(RDOMAIN) WHEN 'EV' THEN '{','.join(c.upper() for c in _EV_COLUMNS)}' WHEN 'CU' THEN '{','.join(c.upper() for c in _CU_COLUMNS)}' ELSE '' END"))
 _add("op_label_referenced_variable_metadata", per_row("label_referenced_variable_metadata", {"name": "EVNAME", "attribute_name": "name"}), _row_sql(f"(SELECT {_GUIDE_NAME} FROM nation WHERE n_name = EVNAME AND n_nationkey % 2 = 1)"))
+_add("op_distinct_reference", listed("distinct", {"name": "EVVAR", "value_is_reference": True, "filter": {"EVTERM": "click"}}), _list_sql("v", f"(SELECT DISTINCT EVVAR AS v FROM {_E} WHERE EVTERM = 'click' AND ((EVVAR = 'EVTERM' AND upper(RDOMAIN) = 'EV') OR (EVVAR = 'CUNAME' AND upper(RDOMAIN) = 'CU'))) d", "v"))
 _add("op_dy", per_row("dy", {"name": "--DTC"}), f"SELECT e.id, CAST({_DAYS} + CASE WHEN {_DAYS} >= 0 THEN 1 ELSE 0 END AS STRING) AS value FROM {_E} JOIN {_SUBJECT} ON s.u = e.USUBJID")
 _add("op_get_xhtml_errors", findings(_leaf("$e", "non_empty"), "Record Data", ["EVHTML"], operations=[Operation("$e", "get_xhtml_errors", {"name": "EVHTML"})]), _finding({"EVHTML": "EVHTML"}, "EVHTML = '<p>bad'"))
 _add("op_max_variable_value_length", per_variable("max_variable_value_length"), f"SELECT v AS variable_name, CAST(max(n) AS STRING) AS value FROM ({_LONGEST}) l WHERE v IN ({', '.join(repr(c) for c in _EV_COLUMNS)}) GROUP BY v")
