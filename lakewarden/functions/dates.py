@@ -36,37 +36,39 @@ _CORE1_DATE = rf"^(?!0000)([0-9]{{4}}|-)(-{_MONTH}(-{_DAY}(T{_HOUR}(:{_SIXTY}(:(
 PRECISIONS = ("year", "month", "day", "hour", "minute", "second", "microsecond")
 
 
-_EPOCH, _DAY_US = "1970-01-01", 86_400_000_000
-Add = Callable[..., Column | list[Column]]
+_EPOCH, _DAY_US = "DATE'1970-01-01'", 86_400_000_000
+#: Writes expressions out as columns and gives their names.
+Add = Callable[..., list[str]]
 
 
 @dataclass
 class DateParts:
-    """Columns derived from one text column."""
+    """Names of columns derived from one text column.
 
-    text: Column
-    valid: Column
+    What follows from a written column is put as SQL text: it is parsed in one step, where a tree of
+    Columns is built call by call, which for dates took longer than reading them.
+    """
+
+    text: str
+    valid: str
     #: Place in ``PRECISIONS`` of the last part before the first open one; -1 without a year.
-    precision: Column
+    precision: str
     #: Microseconds since 1970 in UTC; open parts are those of 1970-01-01T00:00:00.
-    micros: Column
+    micros: str
 
-    def instant(self, precision: Column) -> Column:
+    def instant(self, precision: str) -> Column:
         """The moment cut to a precision, in microseconds."""
-        days = F.floor(self.micros / _DAY_US).cast("int")
-        epoch = F.lit(_EPOCH).cast("date")
-        date = F.date_add(epoch, days)
+        m = self.micros
 
-        def cut(us: int) -> Column:
-            return F.floor(self.micros / us) * us
+        def cut(us: int) -> str:
+            return f"{m} - pmod({m}, {us})"
 
-        def first(unit: str) -> Column:
-            return F.datediff(F.trunc(date, unit), epoch).cast("bigint") * _DAY_US
+        def first(unit: str) -> str:
+            day = f"date_add({_EPOCH}, CAST(({cut(_DAY_US)}) div {_DAY_US} AS INT))"
+            return f"CAST(datediff(trunc({day}, '{unit}'), {_EPOCH}) AS BIGINT) * {_DAY_US}"
 
-        return (
-            F.when(precision == 6, self.micros).when(precision == 5, cut(1_000_000)).when(precision == 4, cut(60_000_000)).when(precision == 3, cut(3_600_000_000))
-            .when(precision == 2, cut(_DAY_US)).when(precision == 1, first("MM")).when(precision == 0, first("YEAR"))
-        )
+        cuts = {6: m, 5: cut(1_000_000), 4: cut(60_000_000), 3: cut(3_600_000_000), 2: cut(_DAY_US), 1: first("MM"), 0: first("YEAR")}
+        return F.expr(f"CASE {precision} {' '.join(f'WHEN {k} THEN {v}' for k, v in cuts.items())} END")
 
 
 def date_fields(text: Column) -> Column:
@@ -75,63 +77,60 @@ def date_fields(text: Column) -> Column:
     return F.when(F.endswith(out, F.lit("\x1e")), F.split(F.substring(out, F.lit(1), F.length(out) - 1), "\x1f"))
 
 
-def _open(x: Column) -> Column:
-    return (x == "") | (x == "-")
+def _open(x: str) -> str:
+    return f"({x} = '' OR {x} = '-')"
 
 
-def _day_number(year: Column, month: Column, day: Column) -> Column:
+def _day_number(year: str, month: str, day: str) -> str:
     """Days since 1970-01-01, counted in years that begin in March, so that the leap day comes last."""
-    y = year - F.when(month <= 2, 1).otherwise(0)
-    in_year = F.floor((153 * F.pmod(month + 9, F.lit(12)) + 2) / 5) + day - 1
-    return y * 365 + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400) + in_year - 719_468
+    y = f"({year} - IF({month} <= 2, 1, 0))"
+    in_year = f"((153 * pmod({month} + 9, 12) + 2) div 5 + {day} - 1)"
+    return f"CAST({y} * 365 + floor({y} / 4) - floor({y} / 100) + floor({y} / 400) + {in_year} - 719468 AS BIGINT)"
 
 
 def date_parts(text: Column, add: Add) -> DateParts:
     """``add`` writes expressions out as columns, so that what follows reads them and does not repeat them."""
-    text = add(F.coalesce(text, F.lit("")))
+    (t,) = add(F.coalesce(text, F.lit("")))
     # Most values are whole dates, cut at fixed places; the fields are sought in the others.
-    n, last = F.length(text), F.right(text, F.lit(1))
-    dated = n.isin(10, 19) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-") & last.between("0", "9")
-    timed = F.substring(text, 11, 9).rlike("^T(2[0-3]|[01][0-9]):[0-5][0-9]:[0-5][0-9]$")
-    date = F.when(dated & ((n == 10) | timed), F.left(text, F.lit(10)).try_cast("date"))
-    day = add(F.when(F.year(date) >= 1, F.datediff(date, F.lit(_EPOCH).cast("date"))))
-    clock = [F.substring(text, at, 2).try_cast("int") for at in (12, 15, 18)]
-    seconds = F.when(n == 19, clock[0] * 3600 + clock[1] * 60 + clock[2]).otherwise(0)
-    plain = day.isNotNull()
-    plain_micros = day.cast("bigint") * _DAY_US + seconds.cast("bigint") * 1_000_000
-    fields = add(F.when(~plain, date_fields(text)))
-    own, later = F.slice(fields, 1, 8), F.slice(fields, 9, 8)
-    time_alone = F.concat(F.array(*[F.lit("")] * 3), F.slice(fields, 17, 5))
+    dated = f"length({t}) IN (10, 19) AND substring({t}, 5, 1) = '-' AND substring({t}, 8, 1) = '-' AND right({t}, 1) BETWEEN '0' AND '9'"
+    timed = f"substring({t}, 11, 9) RLIKE '^T(2[0-3]|[01][0-9]):[0-5][0-9]:[0-5][0-9]$'"
+    date = f"CASE WHEN {dated} AND (length({t}) = 10 OR {timed}) THEN try_cast(left({t}, 10) AS DATE) END"
+    (day,) = add(F.expr(f"CASE WHEN year({date}) >= 1 THEN datediff({date}, {_EPOCH}) END"))
+    plain = f"{day} IS NOT NULL"
+    hour, minute, second = (f"try_cast(substring({t}, {at}, 2) AS INT)" for at in (12, 15, 18))
+    seconds = f"IF(length({t}) = 19, {hour} * 3600 + {minute} * 60 + {second}, 0)"
+    (fields,) = add(F.when(F.col(day).isNull(), date_fields(F.col(t))))
     # The later date of an interval, or a time alone, counts only if the first date is wholly open.
-    parts = add(F.when(F.exists(own, lambda x: ~_open(x)), own).otherwise(F.zip_with(later, time_alone, lambda a, b: F.when(_open(a), b).otherwise(a))))
+    own, time_alone = f"slice({fields}, 1, 8)", f"concat(array('', '', ''), slice({fields}, 17, 5))"
+    later = f"zip_with(slice({fields}, 9, 8), {time_alone}, (a, b) -> IF({_open('a')}, b, a))"
+    (parts,) = add(F.expr(f"CASE WHEN {fields} IS NULL THEN NULL WHEN exists({own}, x -> NOT {_open('x')}) THEN {own} ELSE {later} END"))
 
-    def given(i: int) -> Column:
+    def given(i: int) -> str:
         # Casts that fail are slow, so open parts are kept from them; the others are digits by the pattern.
-        x = F.get(parts, i)
-        return F.when(~_open(x), x).try_cast("int")
-
-    year, month, monthday = (given(i) for i in range(3))
-    first_open = F.array_position(F.transform(F.slice(parts, 1, 7), _open), True)
-    precision = F.when(plain, F.when(n == 19, 5).otherwise(2)).when(first_open == 0, 6).otherwise(first_open.cast("int") - 2)
-
-    def part(i: int, default: int) -> Column:
-        return F.coalesce(given(i), F.lit(default))
-
-    day_no = _day_number(part(0, 1970), part(1, 1), part(2, 1))
-    clock_s = part(3, 0) * 3600 + part(4, 0) * 60 + part(5, 0)
-    zone = F.get(parts, 7)
-    fraction = F.coalesce(F.rpad(F.substring(F.get(parts, 6), 1, 6), 6, "0").try_cast("int"), F.lit(0))
-    offset = F.when((zone != "") & (zone != "Z"), zone)
-    ahead = F.when(F.startswith(offset, F.lit("-")), 1).otherwise(-1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int"))
-    shift = F.when(~_open(F.get(parts, 3)) & (zone != "") & (zone != "Z"), ahead).otherwise(0)
-    micros = F.when(plain, plain_micros).when(fields.isNotNull(), (day_no.cast("bigint") * 86_400 + clock_s + shift * 60) * 1_000_000 + fraction)
-    uncertain = F.contains(text, F.lit("/")) | F.contains(text, F.lit("--")) | F.contains(text, F.lit("-:"))
+        x = f"get({parts}, {i})"
+        return f"try_cast(CASE WHEN NOT {_open(x)} THEN {x} END AS INT)"
+
+    def part(i: int, default: int) -> str:
+        return f"coalesce({given(i)}, {default})"
+
+    first_open = f"array_position(transform(slice({parts}, 1, 7), x -> {_open('x')}), true)"
+    precision = f"CASE WHEN {plain} THEN IF(length({t}) = 19, 5, 2) WHEN {first_open} = 0 THEN 6 ELSE CAST({first_open} AS INT) - 2 END"
+    clock = f"({part(3, 0)} * 3600 + {part(4, 0)} * 60 + {part(5, 0)})"
+    fraction = f"coalesce(try_cast(rpad(substring(get({parts}, 6), 1, 6), 6, '0') AS INT), 0)"
+    zone = f"get({parts}, 7)"
+    ahead = f"IF(startswith({zone}, '-'), 1, -1) * (try_cast(substring({zone}, 2, 2) AS INT) * 60 + try_cast(substring({zone}, 5, 2) AS INT))"
+    shift = f"CASE WHEN NOT {_open(f'get({parts}, 3)')} AND {zone} <> '' AND {zone} <> 'Z' THEN {ahead} ELSE 0 END"
+    found = f"({_day_number(part(0, 1970), part(1, 1), part(2, 1))} * 86400 + {clock} + {shift} * 60) * 1000000 + {fraction}"
+    micros = f"CASE WHEN {plain} THEN CAST({day} AS BIGINT) * {_DAY_US} + CAST({seconds} AS BIGINT) * 1000000 WHEN {fields} IS NOT NULL THEN {found} END"
     # Without a mark of uncertainty: a year from 1 on, no day without a month, a real day, and no open time.
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    strict = F.coalesce(year >= 1, F.lit(False)) & ~F.startswith(text, F.lit("-")) & ~(monthday.isNotNull() & month.isNull()) & ~text.rlike("T-|:-") & F.coalesce(monthday <= days, F.lit(True))
-    valid = plain | (fields.isNotNull() & (uncertain | strict))
-    return DateParts(text, *add(valid, precision, micros))
+    year, month, monthday = (given(i) for i in range(3))
+    leap = f"(({year} % 4 = 0 AND {year} % 100 <> 0) OR {year} % 400 = 0)"
+    days = f"CASE WHEN {month} = 2 THEN IF({leap}, 29, 28) WHEN {month} IN (4, 6, 9, 11) THEN 30 ELSE 31 END"
+    real = f"coalesce({monthday} <= {days}, true) AND NOT ({monthday} IS NOT NULL AND {month} IS NULL)"
+    strict = f"coalesce({year} >= 1, false) AND NOT startswith({t}, '-') AND {real} AND NOT {t} RLIKE 'T-|:-'"
+    uncertain = " OR ".join(f"contains({t}, '{mark}')" for mark in ("/", "--", "-:"))
+    valid = f"{plain} OR ({fields} IS NOT NULL AND ({uncertain} OR ({strict})))"
+    return DateParts(t, *add(F.expr(valid), F.expr(precision), F.expr(micros)))
 
 
 def valid_duration(text: Column, negative: bool = True, core1: bool = False) -> Column:

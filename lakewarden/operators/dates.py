@@ -32,15 +32,14 @@ def _compare(name: str, test: Callable[[Column, Column], Column]) -> Callable[[C
         if ctx.core1:
             return _compare_text(ctx, test)
         a, b = _parts(ctx, ctx.target), _parts(ctx, ctx.value)
-        level = F.least(a.precision, b.precision)
-        readable = a.valid & b.valid & (a.precision >= 0) & (b.precision >= 0)
-        x, y = a.instant(level), b.instant(level)
-        verdict = test(x, y)
+        level = f"least({a.precision}, {b.precision})"
+        readable = F.expr(f"{a.valid} AND {b.valid} AND {a.precision} >= 0 AND {b.precision} >= 0")
+        verdict = test(a.instant(level), b.instant(level))
         if name == "eq":
-            verdict = (a.precision == b.precision) & verdict
+            verdict = F.expr(f"{a.precision} = {b.precision}") & verdict
         if name == "ne":
-            verdict = (a.precision != b.precision) | verdict
-        neither = ~((a.text == "") & (b.text == "")) if name == "ne" else F.lit(False)
+            verdict = F.expr(f"{a.precision} <> {b.precision}") | verdict
+        neither = F.expr(f"NOT ({a.text} = '' AND {b.text} = '')") if name == "ne" else F.lit(False)
         return F.coalesce(F.when(readable, verdict).otherwise(neither), F.lit(False))
 
     return run
@@ -77,7 +76,7 @@ def is_complete_date(ctx: Context) -> Column:
     if ctx.core1:
         return dt.outline(text).rlike(dt.WHOLE_OUTLINE)
     p = _parts(ctx, ctx.target)
-    return F.coalesce(p.valid & (p.precision >= 2) & ~F.contains(text, F.lit("/")), F.lit(False))
+    return F.expr(f"coalesce({p.valid} AND {p.precision} >= 2 AND NOT contains({p.text}, '/'), false)")
 
 
 @operator("is_incomplete_date")
@@ -89,7 +88,7 @@ def is_incomplete_date(ctx: Context) -> Column:
 def invalid_date(ctx: Context) -> Column:
     if not ctx.exists:
         return F.lit(False)
-    return ~dt.valid_date_core1(ctx.target.text()) if ctx.core1 else ~_parts(ctx, ctx.target).valid
+    return ~dt.valid_date_core1(ctx.target.text()) if ctx.core1 else ~F.col(_parts(ctx, ctx.target).valid)
 
 
 @operator("invalid_duration")

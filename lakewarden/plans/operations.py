@@ -62,11 +62,11 @@ class Request:
                 out.append(self.table.resolve(str(v)))
         return out
 
-    def write_out(self, *exprs: Column) -> Column | list[Column]:
-        """Helper columns of the source; one expression gives one column."""
+    def write_out(self, *exprs: Column) -> list[str]:
+        """Names of helper columns of the source, added in one step."""
         names = [f"__s{len(self.source.columns) + i}" for i in range(len(exprs))]
         self.source = self.source.withColumns(dict(zip(names, exprs)))
-        return [F.col(n) for n in names] if len(names) > 1 else F.col(names[0])
+        return names
 
     def need(self, *cols: str) -> None:
         absent = [c for c in cols if c not in self.kinds]
@@ -207,7 +207,7 @@ def _date_extreme(biggest: bool) -> Callable:
             agg = F.max(value) if biggest else F.min(value)
         else:
             parts = dt.date_parts(text, r.write_out)
-            good = chosen & parts.valid & (parts.precision >= 0)
+            good = chosen & F.expr(f"{parts.valid} AND {parts.precision} >= 0")
             moment = F.when(good, parts.instant(parts.precision))
             # Of equal moments the first record's text.
             order = F.struct(moment, -F.col(RECORD)) if biggest else F.struct(moment, F.col(RECORD))

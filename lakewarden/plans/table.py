@@ -76,15 +76,14 @@ class Table:
         self.df = self.df.withColumn(name, expr)
         return F.col(name)
 
-    def add_all(self, *exprs: Column) -> Column | list[Column]:
-        """Helper columns that do not read each other, in one step; one expression gives one column."""
+    def add_all(self, *exprs: Column) -> list[str]:
+        """Names of helper columns that do not read each other, added in one step."""
         names = []
         for _ in exprs:
             names.append(f"__x{len(self._made)}")
             self._made[names[-1]] = names[-1]
         self.df = self.df.withColumns(dict(zip(names, exprs)))
-        found = [F.col(n) for n in names]
-        return found if len(found) > 1 else found[0]
+        return names
 
     def settled(self, verdict: Column) -> Column:
         """A verdict that filters are not pushed below.
