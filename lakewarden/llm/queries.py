@@ -15,6 +15,7 @@ from .mixing import mixture
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import HOST_LIMIT, quality_rules
+from .secrets import DISTINCT, LEAST_ASSIGNED, LEAST_CANDIDATE, MAX_OWNERS, PATTERNS, TOKEN, listed, secrets
 from .simhash import near_dedup
 from .substring_dedup import WINDOW, substring_dedup
 from .token_counts import token_counts
@@ -55,7 +56,8 @@ OP5_SQL = rf"""
 WITH d AS ({_WORDS}),
 starts AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 4], ' ')) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) x) y WHERE n > 1),
 covered AS (SELECT r, sum(least(5, coalesce(after - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM starts) z GROUP BY r),
-lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
 m AS (SELECT d.r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN lines USING (r) LEFT JOIN covered c ON c.r = d.r),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
@@ -122,6 +124,35 @@ o AS (SELECT r, sum(CAST(gone AS INTEGER)) AS n_removed, string_agg(word, ' ' OR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON o.r = d.r
 """
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(table(spark, sf_dir, "documents"))
+    base = F.sha2(listed(F.filter("found", lambda s: s["base"])), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+def _matches_sql(kind: str, pattern: str) -> str:
+    """A row per match of a pattern, with what lies before it since the match before."""
+    pattern, group = pattern.replace("'", "''"), 2 if kind == "assign" else 0
+    lists = f"regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS p"
+    return f"SELECT r, '{kind}' AS kind, k, m[k] AS m, v[k] AS v, length(p[k]) AS gap FROM (SELECT r, m, v, p, unnest(range(1, len(m) + 1)) AS k FROM (SELECT r, {lists} FROM d) x) y"
+
+
+_BASE_FIRST = "PARTITION BY r ORDER BY a, base DESC ROWS BETWEEN"
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(_matches_sql(k, p) for k, p in (PATTERNS | {'token': TOKEN}).items())}),
+g AS (SELECT *, kind IN ('access', 'hex') OR (kind = 'assign' AND length(v) >= {LEAST_ASSIGNED}) AS base, CAST(sum(gap + length(m)) OVER (PARTITION BY r, kind ORDER BY k) AS BIGINT) AS z FROM f),
+c AS (SELECT *, z - length(m) AS a FROM g WHERE base OR (kind = 'assign' AND length(v) BETWEEN {LEAST_CANDIDATE} AND {LEAST_ASSIGNED - 1} AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]'))
+  OR (kind = 'token' AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9].*[0-9]') AND len(list_distinct(string_split(v, ''))) >= {DISTINCT})),
+o AS (SELECT *, coalesce(max(CASE WHEN base THEN z END) OVER ({_BASE_FIRST} UNBOUNDED PRECEDING AND CURRENT ROW) > a, false) OR coalesce(min(CASE WHEN base THEN a END) OVER ({_BASE_FIRST} CURRENT ROW AND UNBOUNDED FOLLOWING) < z, false) AS touches FROM c),
+s AS (SELECT o.r, doc_id, source, CASE WHEN base THEN kind ELSE 'owned' END AS kind, base, a, z, v FROM o JOIN d USING (r) WHERE base OR NOT touches),
+w AS (SELECT v, count(*) AS owners FROM (SELECT DISTINCT v, source FROM s) x GROUP BY v),
+l AS (SELECT s.*, kind || ':' || a || ':' || z AS said, list_position(['assign', 'access', 'hex', 'owned'], kind) AS nth FROM s JOIN w USING (v) WHERE base OR owners <= {MAX_OWNERS}),
+p AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(said, ',' ORDER BY a, nth) FILTER (WHERE base) AS b, string_agg(said, ',' ORDER BY a, nth) AS spans FROM l GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN p ON p.r = d.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -133,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,4 +172,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op6_chat": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op13_secrets": OP13_SQL,
 }
