@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .chat import Template, digests, format_conversations
 from .common import table
 from .exact_dedup import exact_dedup
@@ -124,6 +125,10 @@ o AS (SELECT r, sum(CAST(gone AS INTEGER)) AS n_removed, string_agg(word, ' ' OR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON o.r = d.r
 """
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents")).documents.drop("groups")
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(table(spark, sf_dir, "documents"))
     base = F.sha2(listed(F.filter("found", lambda s: s["base"])), 256)
@@ -164,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_alignment": op12_alignment,
     "op13_secrets": op13_secrets,
 }
 
