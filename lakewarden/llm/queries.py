@@ -12,6 +12,7 @@ from .alignment import align
 from .chat import Template, digests, format_conversations
 from .common import table
 from .exact_dedup import exact_dedup
+from .merkle import FIELDS, WIDTH, merkle_manifest, proof_digest
 from .mixing import mixture
 from .packing import pack
 from .quality_classifier import quality_classifier
@@ -125,6 +126,51 @@ o AS (SELECT r, sum(CAST(gone AS INTEGER)) AS n_removed, string_agg(word, ' ' OR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON o.r = d.r
 """
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle_manifest(table(spark, sf_dir, "documents"), presented={"text": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [text if f == "text" else f"CAST({f} AS VARCHAR)" for f in FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree_sql(n: str, leaves: str) -> str:
+    """Levels of a tree per s over ``leaves`` (s, i, h, k of k leaves), and their runs."""
+    return f"""{n} AS (SELECT s, 0 AS lvl, i, h, k FROM {leaves} UNION ALL
+  SELECT s, any_value(lvl) + 1, i // {WIDTH}, sha256(string_agg(h, '' ORDER BY i)), any_value((k + {WIDTH - 1}) // {WIDTH}) FROM {n} WHERE k > 1 GROUP BY s, i // {WIDTH}),
+{n}_runs AS (SELECT s, lvl, i // {WIDTH} AS j, list(h ORDER BY i) AS hs FROM {n} WHERE k > 1 GROUP BY s, lvl, i // {WIDTH})"""
+
+
+def _climb_sql(name: str, n: str, begin: str) -> str:
+    """``begin`` (r, s, i, proof, fold) led up the tree ``n``, a level at a time."""
+    at = f"u.i % {WIDTH}"
+    return f"""{name} AS (SELECT r, s, 0 AS lvl, i, proof, fold FROM {begin} UNION ALL
+  SELECT r, u.s, u.lvl + 1, u.i // {WIDTH}, u.proof || array_to_string(hs[:{at}] || hs[{at} + 2:], ''), sha256(array_to_string(hs[:{at}], '') || u.fold || array_to_string(hs[{at} + 2:], '')) FROM {name} u JOIN {n}_runs t ON t.s = u.s AND t.lvl = u.lvl AND t.j = u.i // {WIDTH})"""
+
+
+#: Bit by bit over the bytes of the decimal text (the polynomial is CRC-32's).
+_CRC32_SQL = "xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda b: CASE b WHEN 0 THEN ascii(c) ELSE 0 END)))), lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END)))"
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER () AS r, coalesce('+' || source, '') AS s, {_leaf_sql('text')} AS h,
+  CASE WHEN doc_id IS NOT NULL AND {_CRC32_SQL} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS shown FROM documents),
+f AS (SELECT r, s, doc_id, h, {_leaf_sql('shown')} AS fold FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, h, fold) - 1 AS i, count(*) OVER (PARTITION BY s) AS k FROM f),
+{_tree_sql('n', 'l')},
+{_climb_sql('u', 'n', "(SELECT r, s, i, '' AS proof, fold FROM l) x")},
+sub AS (SELECT s AS g, h FROM n WHERE k = 1),
+g AS (SELECT g, '' AS s, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS k FROM sub),
+{_tree_sql('m', 'g')},
+b AS (SELECT u.r, '' AS s, g.i, u.proof, u.fold FROM u JOIN g ON g.g = u.s JOIN (SELECT r, max(lvl) AS lvl FROM u GROUP BY r) t ON t.r = u.r AND t.lvl = u.lvl),
+{_climb_sql('v', 'm', 'b')},
+done AS (SELECT v.* FROM v JOIN (SELECT r, max(lvl) AS lvl FROM v GROUP BY r) t ON t.r = v.r AND t.lvl = v.lvl)
+SELECT l.doc_id, l.h AS leaf, sub.h AS subroot, m.h AS root, sha256(proof) AS proof_sha256, done.fold AS folded_root, done.fold = m.h AS verified
+FROM l JOIN done ON done.r = l.r JOIN sub ON sub.g = l.s JOIN m ON m.k = 1
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents")).documents.drop("groups")
 
@@ -169,6 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_merkle": op11_merkle,
     "op12_alignment": op12_alignment,
     "op13_secrets": op13_secrets,
 }
@@ -178,5 +225,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op6_chat": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_merkle": OP11_SQL,
     "op13_secrets": OP13_SQL,
 }
