@@ -1,11 +1,13 @@
-"""Uniqueness, relationships and consistency: window aggregates over one shared partitioning."""
+"""Uniqueness, relationships and consistency: aggregates per key, joined back where they tell a violation.
+
+No window gathers the rows of a key, so a key may hold any share of them (``Table.of_key``).
+"""
 
 from __future__ import annotations
 
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -62,7 +64,7 @@ def is_not_unique_set(ctx: Context) -> Column:
     keys = [_reduced(ctx, c, ctx.table.df) for c in cols]
     siblings = _siblings(ctx)
     if not siblings:
-        return F.count(F.lit(1)).over(W.partitionBy(*keys)) > 1
+        return ctx.table.of_key(keys, F.col("__n") > 1)
     # A split domain: keys that other files hold, counted before they are joined.
     key = F.concat_ws("\x1e", *keys)
     own = ctx.table.df.select(key.alias("k"))
@@ -98,22 +100,19 @@ def is_not_unique_relationship(ctx: Context) -> Column:
     def text(c: str) -> Column:
         return F.coalesce(tx.text_of(ctx.table.col(c), ctx.table.kind(c)), F.lit(""))
 
-    t = ctx.table.add(F.coalesce(ctx.target.text(), F.lit("")), f"rel:{ctx.name}")
+    t = F.coalesce(ctx.target.text(), F.lit(""))
     joined = text(present[0]) if len(wanted) == 1 else F.concat_ws("|", *map(text, present))
     if len(wanted) > 1 and not ctx.core1:
         blank = F.lit(True)
         for c in present:
             blank = blank & (text(c) == "")
         joined = F.when(blank, "").otherwise(joined)
-    c = ctx.table.add(joined, f"rel:{'|'.join(present)}")
+    c = joined
 
     def many(key: Column, val: Column) -> Column:
-        w = W.partitionBy(key)
-        if ctx.core1:
-            return F.min(val).over(w) != F.max(val).over(w)
-        # Pairs blank on both sides do not count; a filled value beside a blank one does.
-        counted = F.when(key != "", val)
-        return F.coalesce((key != "") & (F.min(counted).over(w) != F.max(counted).over(w)), F.lit(False))
+        """Whether a key has several values; unless by 1.0, a blank key has none, and a blank value is one beside a filled one."""
+        having = F.col("lo") != F.col("hi")
+        return ctx.table.of_key([key], having if ctx.core1 else having & (F.col("k0") != ""), lo=F.min(val), hi=F.max(val))
 
     return many(t, c) | many(c, t)
 
@@ -141,7 +140,7 @@ def present_on_multiple_rows_within(ctx: Context) -> Column:
         raise RuleSkipped(f"groups by {within}, which this dataset does not have")
     if not ctx.exists or not ctx.table.has(within):
         return F.lit(False)
-    return F.count(F.lit(1)).over(W.partitionBy(_key(ctx, within), tx.group_key(ctx.target.col, ctx.target.kind))) > 1
+    return ctx.table.of_key([_key(ctx, within), tx.group_key(ctx.target.col, ctx.target.kind)], F.col("__n") > 1)
 
 
 negated("not_present_on_multiple_rows_within", "present_on_multiple_rows_within")
@@ -166,7 +165,7 @@ def is_inconsistent_across_dataset(ctx: Context) -> Column:
         take = take & ~tx.blank(ctx.table.col(c), ctx.table.kind(c))
     # NULL and empty text are two values here.
     value = F.coalesce(ctx.target.text(), F.lit("\x1enull"))
-    w = W.partitionBy(*(F.coalesce(tx.text_of(ctx.table.col(c), ctx.table.kind(c)), F.lit("\x1enull")) for c in cols))
+    keys = [F.coalesce(tx.text_of(ctx.table.col(c), ctx.table.kind(c)), F.lit("\x1enull")) for c in cols]
     counted = F.when(take, value)
-    return take & F.coalesce(F.min(counted).over(w) != F.max(counted).over(w), F.lit(False))
+    return take & ctx.table.of_key(keys, F.col("lo") != F.col("hi"), lo=F.min(counted), hi=F.max(counted))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans import relations as rel
 from ..plans.table import Context
 from .registry import negated, operator
 
@@ -27,6 +28,8 @@ def empty(ctx: Context) -> Column:
     if not ctx.exists:
         return F.lit(None).cast("boolean")
     t = ctx.target
+    if t.source is not None:
+        return rel.is_blank(ctx.table, t.source)
     if t.kind == "text" and not ctx.core1 and t.per_row:
         return F.coalesce(t.col == "", F.lit(False))
     return t.blank()

@@ -7,12 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans import relations as rel
 from ..plans.table import Context, Operand, tidy
 from .registry import known, negated, operator, unknown
 
 
-
-
 def _members(x: Operand) -> Column:
     """One set per row; NULL members count as empty text."""
     if not x.is_set:
@@ -26,13 +25,17 @@ def is_contained_by(ctx: Context) -> Column:
         return unknown()
     t, v = ctx.target, ctx.value
     if t.is_set and not t.collection:
-        a, b = _members(t), _members(v)
+        a = _members(t)
+        if v.source is not None:
+            found = rel.among(ctx.table, a, v.source)
+            return (F.size(a) > 0) & (F.size(found) == F.size(a)) if ctx.core1 else F.size(found) > 0
+        b = _members(v)
         if ctx.core1:
             return (F.size(a) > 0) & F.forall(a, lambda x: F.array_contains(b, x))
         return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
     text = F.coalesce(t.text(), F.lit(""))
     if v.source is not None:  # an existence join, however many members there are
-        return ctx.table.join(v.source.withColumn("hit", F.lit(True)), [(text, "v")], "hit", "bool").isNotNull()
+        return rel.holds(ctx.table, text, v.source)
     if v.values is not None and not v.per_row and v.is_set and len(v.values) <= 200:
         return text.isin([tidy(x) for x in v.values]) if v.values else F.lit(False)
     return F.array_contains(_members(v), text)
@@ -45,7 +48,10 @@ negated("is_not_contained_by", "is_contained_by")
 def is_contained_by_case_insensitive(ctx: Context) -> Column:
     if not known(ctx):
         return unknown()
-    return F.array_contains(F.transform(_members(ctx.value), F.upper), F.upper(F.coalesce(ctx.target.text(), F.lit(""))))
+    text = F.upper(F.coalesce(ctx.target.text(), F.lit("")))
+    if ctx.value.source is not None:
+        return rel.holds(ctx.table, text, rel.folded(ctx.value.source))
+    return F.array_contains(F.transform(_members(ctx.value), F.upper), text)
 
 
 negated("is_not_contained_by_case_insensitive", "is_contained_by_case_insensitive")
@@ -57,24 +63,24 @@ def _all_in(ctx: Context) -> Column:
     Whole columns and sets that are tables are compared by joins; no task gathers one of them.
     """
     t, v = ctx.target, ctx.value
+    if v.is_set and not v.collection and t.source is not None:
+        b = _members(v)
+        return F.size(rel.among(ctx.table, b, t.source)) == F.size(b)
+    if t.is_set and not t.collection and v.source is not None:
+        many = ctx.table.join(v.source.agg(F.count(F.lit(1)).alias("n")), [], "n", "num")
+        return F.size(F.array_distinct(rel.among(ctx.table, _members(t), v.source))) == many
     if (t.is_set and not t.collection) or (v.is_set and not v.collection):
         a, b = _members(t), _members(v)
         return F.forall(b, lambda x: F.array_contains(a, x))
     if t.is_set and t.source is None and v.source is None:
         a = _members(t)
         return F.forall(_members(v), lambda x: F.array_contains(a, x))
-    if t.source is not None:
-        seen = t.source.select("v")
-    elif t.is_set:
-        seen = ctx.table.df.limit(1).select(F.explode(_members(t)).alias("v"))
-    else:
-        seen = ctx.table.df.select(F.coalesce(t.text(), F.lit("")).alias("v"))
+    seen = rel.relation(t, ctx.table) if t.is_set else ctx.table.df.select(F.coalesce(t.text(), F.lit("")).alias("v"))
     if v.values is not None:
         wanted = sorted({tidy(x) for x in v.values})
         all_there = seen.filter(F.col("v").isin(wanted)).agg((F.count_distinct("v") == len(wanted)).alias("all"))
     else:
-        members = v.source.select("v") if v.source is not None else ctx.table.df.limit(1).select(F.explode(_members(v)).alias("v"))
-        all_there = members.join(seen.distinct(), "v", "left_anti").agg((F.count(F.lit(1)) == 0).alias("all"))
+        all_there = rel.relation(v, ctx.table).join(seen.distinct(), "v", "left_anti").agg((F.count(F.lit(1)) == 0).alias("all"))
     return ctx.table.join(all_there, [], "all", "bool")
 
 
@@ -93,7 +99,18 @@ operator("not_contains_all")(lambda ctx: _verdict(ctx, True))
 
 @operator("shares_no_elements_with")
 def shares_no_elements_with(ctx: Context) -> Column:
-    return ~F.arrays_overlap(_members(ctx.target), _members(ctx.value)) if known(ctx) else unknown()
+    if not known(ctx):
+        return unknown()
+    t, v = ctx.target, ctx.value
+    if t.source is None and v.source is None:
+        return ~F.arrays_overlap(_members(t), _members(v))
+    left, right = rel.relation(t, ctx.table), rel.relation(v, ctx.table)
+    if left is not None and right is not None:
+        return rel.disjoint(ctx.table, left, right)
+    own, members = (t, right) if left is None else (v, left)
+    if own.is_set:
+        return F.size(rel.among(ctx.table, _members(own), members)) == 0
+    return ~rel.holds(ctx.table, F.coalesce(own.text(), F.lit("")), members)
 
 
 @operator("is_ordered_subset_of")

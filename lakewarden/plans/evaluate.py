@@ -16,8 +16,8 @@ from .operations import compute, materialised
 from .table import Context, Operand, Table, literal
 
 #: Operators that compare sets by joins and never need the value (or the target) as one array.
-_BY_JOIN = {"is_contained_by", "is_not_contained_by", "contains_all", "not_contains_all"}
-_TARGET_BY_JOIN = {"contains_all", "not_contains_all"}
+_BY_JOIN = {"is_contained_by", "is_not_contained_by", "is_contained_by_case_insensitive", "is_not_contained_by_case_insensitive", "contains_all", "not_contains_all", "shares_no_elements_with"}
+_TARGET_BY_JOIN = {"contains_all", "not_contains_all", "shares_no_elements_with", "empty", "non_empty"}
 
 
 class Compiler:

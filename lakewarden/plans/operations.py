@@ -14,6 +14,7 @@ from ..functions import dates as dt
 from ..functions import text as tx
 from ..model import RECORD, Dialect, Operation, RuleSkipped, Study
 from . import metadata as md
+from . import relations as rel
 from .table import Operand, Table, kind_of, literal, tidy
 
 #: By name; the names are those of the rule language (fixed values).
@@ -108,8 +109,6 @@ class Request:
                 raise RuleSkipped(f"{ref} could not be computed for this dataset")
             if bound.values is not None:
                 return [tidy(v) for v in bound.values]
-            if bound.source is not None:
-                raise LookupError(ref)
             raise LookupError(ref)
         return [tidy(v) for v in ref] if isinstance(ref, list) else [tidy(ref)] if ref is not None else []
 
@@ -181,6 +180,11 @@ def _extreme(biggest: bool) -> Callable:
                 numbers = [float(v) for v in bound.values if str(v).replace(".", "", 1).lstrip("-").isdigit()]
                 picked = (max if biggest else min)(numbers if len(numbers) == len(bound.values) else map(tidy, bound.values))
                 return literal(picked)
+            if bound.source is not None:  # by value if all members are numbers, else as text
+                n = tx.number(F.col("v"))
+                every = F.coalesce(F.bool_and(n.isNotNull()), F.lit(False))
+                per = bound.source.agg(F.when(every, tx.number_text(agg(n))).otherwise(agg("v")).alias("__v"))
+                return Operand(r.table.join(per, [], "__v", "text"), "text")
             per = r.table.df.agg(agg(bound.number() if bound.kind == "num" else bound.text()).alias("__v"))
             return Operand(r.table.join(per, [], "__v", bound.kind), bound.kind)
         name = r.name()
@@ -239,22 +243,43 @@ def set_difference(left: list[str], right: list[str], plain: bool = False) -> li
     return out + left[at:]
 
 
-def _set_column(r: Request, ref: object) -> Column:
+def _side(r: Request, ref: object) -> Operand:
+    """An operand of a set operation: a binding, or the rule's own list."""
     bound = r.table.bindings.get(ref) if isinstance(ref, str) else None
-    if bound is None:
-        return F.array(*map(F.lit, r.other(ref)))
-    bound = materialised(bound, r.table)
-    return bound.col if bound.is_set else F.array(bound.text())
+    return literal(r.other(ref)) if bound is None else bound
+
+
+def _set_pair(r: Request, fold: bool) -> tuple[DataFrame, DataFrame] | tuple[Operand, Operand]:
+    """Both sides as relations; where one differs from row to row, both as operands."""
+    sides = _side(r, r.op.get("name")), _side(r, r.op.get("subtract"))
+    tables = [rel.relation(x, r.table) for x in sides]
+    if any(t is None for t in tables):
+        return sides
+    return tuple(rel.folded(t) if fold else t for t in tables)
+
+
+def _own_set(x: Operand, table: Table, fold: bool) -> Column:
+    """A row's own set as an array; a relation that a row's set is taken from has to be one, too."""
+    x = materialised(x, table)
+    members = x.col if x.is_set else F.array(x.text())
+    return F.transform(members, lambda v: F.upper(v)) if fold else members
 
 
 @operation("minus")
 def minus(r: Request) -> Operand:
+    """What a set has beyond another. Lists known when the plan is made keep their order, and order counts in them; relations have none."""
     fold = r.dialect is Dialect.CORE1 and r.op.get("case_sensitive") is False
     try:
         left, right = r.other(r.op.get("name")), r.other(r.op.get("subtract"))
     except LookupError:
-        a, b = _set_column(r, r.op.get("name")), _set_column(r, r.op.get("subtract"))
-        return Operand(F.array_except(a, b), "set", collection=True)
+        a, b = _set_pair(r, fold)
+        if isinstance(a, DataFrame):
+            return rel.difference(a, b)
+        own = _own_set(a, r.table, fold) if a.source is None else None
+        if own is not None and b.source is not None:
+            members = rel.folded(b.source) if fold else b.source
+            return Operand(F.array_except(own, rel.among(r.table, own, members)), "set")
+        return Operand(F.array_except(_own_set(a, r.table, fold), _own_set(b, r.table, fold)), "set")
     if fold:
         left, right = [x.upper() for x in left], [x.upper() for x in right]
     if r.dialect is Dialect.CORE1:
@@ -268,8 +293,13 @@ def intersect(r: Request) -> Operand:
     try:
         left, right = r.other(r.op.get("name")), r.other(r.op.get("subtract"))
     except LookupError:
-        a, b = _set_column(r, r.op.get("name")), _set_column(r, r.op.get("subtract"))
-        return Operand(F.array_intersect(F.transform(a, F.upper) if up else a, F.transform(b, F.upper) if up else b), "set", collection=True)
+        a, b = _set_pair(r, up)
+        if isinstance(a, DataFrame):
+            return rel.intersection(a, b)
+        if a.source is not None or b.source is not None:
+            own, members = (_own_set(b, r.table, up), a.source) if a.source is not None else (_own_set(a, r.table, up), b.source)
+            return Operand(F.array_distinct(rel.among(r.table, own, rel.folded(members) if up else members)), "set")
+        return Operand(F.array_intersect(_own_set(a, r.table, up), _own_set(b, r.table, up)), "set")
     if up:
         left, right = [x.upper() for x in left], [x.upper() for x in right]
     return literal(list(dict.fromkeys(x for x in left if x in set(right))))
@@ -671,7 +701,8 @@ _NEED_NO_TABLE = {
 }
 
 
-#: Members of a set that a finding reports; of a larger set the first ones and how many there are.
+#: Members of a set that the text of a finding shows, of a larger set the first ones and how many there are;
+#: ``results.binding_sets`` has them all.
 REPORTED = 1000
 
 
@@ -688,7 +719,7 @@ def reported(x: Operand, table: Table) -> Column:
 
 
 def materialised(x: Operand, table: Table) -> Operand:
-    """A dataset-wide set as one array column, for operators that need all of it at once."""
+    """A dataset-wide set as one array column, for the operators that look at its order or its text."""
     if x.source is None:
         return x
     per = x.source.agg(F.array_sort(F.collect_set("v")).alias("__v"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +23,17 @@ def kind_of(t: T.DataType) -> str:
     return "bool" if isinstance(t, T.BooleanType) else "text"
 
 
+#: A key with more rows than this is a hub, so there are as many hubs as that goes into the rows, at most.
+HUB_ROWS = 1_000_000
+
+
 class Table:
     """A DataFrame under construction: helper columns and bindings are added as conditions ask for them."""
 
     def __init__(self, df: DataFrame, dataset: Dataset | None, study: Study, wildcard: str):
         self.df, self.dataset, self.study, self.wildcard = df, dataset, study, wildcard
+        #: The rows as they came, before helper columns and bindings.
+        self.rows = df
         self.names = [c for c in df.columns if not c.startswith("__")]
         self._kinds = {f.name: kind_of(f.dataType) for f in df.schema}
         self._made: dict[str, str] = {}
@@ -106,6 +115,42 @@ class Table:
         self._kinds[name] = kind
         return F.col(name)
 
+    def of_key(self, keys: list[Column], having: Column, **aggregates: Column) -> Column:
+        """Whether the aggregates of a row's key meet ``having``; ``__n`` is the number of its rows.
+
+        Keys are summed before they are shuffled, and only those that meet the test are joined
+        back: hubs by a broadcast, the others by their key. The rows of hubs, which are
+        done by then, take their record as a further key, so they are dealt to all tasks.
+        """
+        made = repr(([str(k) for k in keys], str(having), sorted((n, str(c)) for n, c in aggregates.items())))
+        if made in self._made:
+            return F.col(self._made[made])
+        name = self._made[made] = f"__x{len(self._made)}"
+        self._kinds[name] = "bool"
+        found = {"__n": F.count(F.lit(1)), **aggregates}
+        named = {f"k{i}": k for i, k in enumerate(keys)}
+        try:
+            met = self.rows.groupBy(*(k.alias(n) for n, k in named.items())).agg(*(c.alias(n) for n, c in found.items())).filter(having).select("__n", *named)
+        except AnalysisException:  # keys of helper columns: aggregated apart, they would repeat all that made them
+            w = W.partitionBy(*keys)
+            self.df = self.df.withColumns(named | {n: c.over(w) for n, c in found.items()}).withColumn(name, F.coalesce(having, F.lit(False))).drop(*named, *found)
+            return F.col(name)
+
+        def renamed(of: DataFrame, mark: str) -> DataFrame:
+            # 0, though not as a constant, which would be no key of the join.
+            return of.select(*(F.col(f"k{i}").alias(f"{mark}_k{i}") for i in range(len(keys))), F.lit(True).alias(mark), F.least("__n", F.lit(0)).alias(f"{mark}_s"))
+
+        def on(mark: str) -> Column:
+            return reduce(Column.__and__, (k.eqNullSafe(F.col(f"{mark}_k{i}")) for i, k in enumerate(keys)))
+
+        hub, rest, spread = f"{name}h", f"{name}r", f"{name}s"
+        # At most one hub per HUB_ROWS rows is broadcast.
+        self.df = self.df.join(F.broadcast(renamed(met.filter(F.col("__n") > HUB_ROWS), hub)), on(hub), "left")
+        self.df = self.df.withColumn(spread, F.when(F.col(hub), F.col(RECORD)).otherwise(F.lit(0).cast("bigint")))
+        self.df = self.df.join(renamed(met.filter(F.col("__n") <= HUB_ROWS), rest), on(rest) & (F.col(spread) == F.col(f"{rest}_s")), "left")
+        self.df = self.df.withColumn(name, F.coalesce(F.col(hub), F.col(rest), F.lit(False))).drop(hub, rest, spread, f"{hub}_s", f"{rest}_s", *(f"{m}_k{i}" for m in (hub, rest) for i in range(len(keys))))
+        return F.col(name)
+
 
 @dataclass
 class Operand:

@@ -39,7 +39,7 @@ BASES = {
         CASE event_id % 7 WHEN 0 THEN left({_ISO}, 10) || '/P1D' WHEN 1 THEN left({_ISO}, 10) || '/-P1D' WHEN 2 THEN 'P2W/' || left({_ISO}, 10) WHEN 3 THEN left({_ISO}, 10) || '/' || left({_ISO}, 7) WHEN 4 THEN left({_ISO}, 7) || '/2024--'
           WHEN 5 THEN left({_ISO}, 10) ELSE left({_ISO}, 8) || '32/2024-01-01' END AS span FROM {{t}}""",
     ),
-    "customer": ("customer", "SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS DOUBLE) AS nation, c_mktsegment AS seg, CAST(c_acctbal AS DOUBLE) AS bal, CAST(c_custkey % 300 AS STRING) AS grp, CAST(c_custkey % 7 AS STRING) AS g7, CASE WHEN c_custkey % 10 < 3 THEN 'A' || CAST(c_custkey % 50 AS STRING) WHEN c_custkey % 10 = 4 THEN '' ELSE c_name END AS one, CASE WHEN c_custkey % 10 < 2 THEN 'B' || CAST(c_custkey % 40 AS STRING) WHEN c_custkey % 10 IN (4, 5) THEN '' ELSE 'C' || CAST(c_custkey % 700 AS STRING) END AS two FROM {t}"),
+    "customer": ("customer", "SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS DOUBLE) AS nation, c_mktsegment AS seg, CAST(c_acctbal AS DOUBLE) AS bal, CAST(c_custkey % 300 AS STRING) AS grp, CAST(c_custkey % 7 AS STRING) AS g7, 'x--' || lpad(CAST(c_custkey * 7 % 1000003 AS STRING), 7, '0') AS dash, CASE WHEN c_custkey % 10 < 3 THEN 'A' || CAST(c_custkey % 50 AS STRING) WHEN c_custkey % 10 = 4 THEN '' ELSE c_name END AS one, CASE WHEN c_custkey % 10 < 2 THEN 'B' || CAST(c_custkey % 40 AS STRING) WHEN c_custkey % 10 IN (4, 5) THEN '' ELSE 'C' || CAST(c_custkey % 700 AS STRING) END AS two FROM {t}"),
     "orders": ("orders", "SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS cust, o_orderstatus AS status, o_orderpriority AS prio, left(CAST(o_orderdate AS STRING), 10) AS day, CAST(o_orderkey % 11 AS DOUBLE) AS k11, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE left(CAST(o_orderdate AS STRING), 10) END AS dayb, left(CAST(o_orderdate AS STRING), CASE WHEN o_orderkey % 5 = 1 THEN 7 ELSE 10 END) || CASE o_orderkey % 5 WHEN 2 THEN 'junk' WHEN 3 THEN ' 10:00' ELSE '' END AS dayx FROM {t}"),
 }
 
@@ -198,6 +198,9 @@ CHECKS: dict[str, tuple] = {
     "does_not_have_next_corresponding_record": ("events", {"name": "t", "operator": "does_not_have_next_corresponding_record", "value": "t", "within": "u", "ordering": "iso"}, f"lead(id) OVER ({_BY_U}) IS NOT NULL AND t <> lead(t) OVER ({_BY_U})"),
     "empty_within_except_last_row": ("events", {"name": "tb", "operator": "empty_within_except_last_row", "value": "u", "ordering": "iso"}, f"tb = '' AND lead(id) OVER ({_BY_U}) IS NOT NULL"),
     "target_is_not_sorted_by": ("orders", {"name": "k11", "operator": "target_is_not_sorted_by", "value": [{"name": "day", "sort_order": "asc", "null_position": "last"}], "within": "cust", "strict_incremental_ordering": True}, "k11 <> row_number() OVER (PARTITION BY cust ORDER BY day, id)"),
+    "target_is_not_sorted_by_dashes": ("customer", {"name": "dash", "operator": "target_is_not_sorted_by", "value": [{"name": "seg", "sort_order": "desc"}], "within": "g7"}, "row_number() OVER (PARTITION BY g7 ORDER BY dash, id) <> row_number() OVER (PARTITION BY g7 ORDER BY seg DESC, dash, id)"),
+    "target_is_not_sorted_by_whole": ("customer", {"name": "dash", "operator": "target_is_not_sorted_by", "value": [{"name": "seg"}]}, "row_number() OVER (ORDER BY dash, id) <> row_number() OVER (ORDER BY seg, dash, id)"),
+    "target_is_not_sorted_by_whole_strict": ("customer", {"name": "g7", "operator": "target_is_not_sorted_by", "value": [{"name": "seg", "sort_order": "desc"}], "strict_incremental_ordering": True}, "CAST(g7 AS BIGINT) <> row_number() OVER (ORDER BY seg DESC, id)"),
     "target_is_not_sorted_by_core1": ("orders", {"name": "k11", "operator": "target_is_not_sorted_by", "value": [{"name": "day"}], "within": "cust"}, "row_number() OVER (PARTITION BY cust ORDER BY k11, day, id) <> row_number() OVER (PARTITION BY cust ORDER BY day, k11, id)", None, True),
     "is_not_ordered_set": ("orders", {"name": "day", "operator": "is_not_ordered_set", "value": "cust"}, "max(CASE WHEN day < before THEN 1 ELSE 0 END) OVER (PARTITION BY cust) = 1"),
     "is_not_ordered_set_blank": ("orders", {"name": "dayb", "operator": "is_not_ordered_set", "value": "cust"}, "dayb <> '' AND max(CASE WHEN dayb < before THEN 1 ELSE 0 END) OVER (PARTITION BY cust) = 1"),

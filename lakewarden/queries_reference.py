@@ -10,7 +10,6 @@ the findings of a rule over it.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ from .plans.operations import compute, materialised
 from .plans.table import Table
 from .results import binding_gaps
 from .runner import run
+from .shared import new_folder
 from .sources.frame import normal_types
 from .sources.usdm import read_usdm
 
@@ -172,10 +172,9 @@ def jsonata(expression: str, output: list[str]) -> Callable[[SparkSession, str],
     """The findings of a JSONata rule over the document, which is read from a file as a study is."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as f:
-            f.write(document(spark, sf_dir))
-            f.flush()
-            s = read_usdm(spark, f.name)
+        path = new_folder(spark, "document") / "study.json"
+        path.write_text(document(spark, sf_dir), encoding="utf-8")
+        s = read_usdm(spark, path)
         return run(spark, [Rule("R", expression, "JSONata", output=output)], s, None).findings.select("Dataset", "Record", "Variable", "Value")
 
     return query
@@ -185,8 +184,18 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The required variables that EV lacks, as a report names them."""
     operations = [Operation("$required_variables", "required_variables", {}), Operation("$dataset_variables", "get_column_order_from_dataset", {})]
     rule = Rule("R", _leaf("$dataset_variables", "not_contains_all", "$required_variables"), sensitivity="Dataset", operations=operations, output=["$required_variables", "$dataset_variables"])
-    found = binding_gaps(run(spark, [rule], study(spark, sf_dir), None, ["EV"]).findings)
-    return found.select("rule_id", "label", F.explode("missing").alias("member"))
+    return binding_gaps(run(spark, [rule], study(spark, sf_dir), None, ["EV"])).select("rule_id", "label", "member")
+
+
+def large_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, all of them beyond a text's bound, that no dataset of line items holds; every name has an apostrophe."""
+    name = "concat('O''Part, ', CAST({} AS STRING))"
+    parts = _base(spark, sf_dir, "part", f"SELECT p_partkey AS id, {name.format('p_partkey')} AS PANAME FROM {{t}}")
+    lines = _base(spark, sf_dir, "lineitem", f"SELECT l_orderkey * 8 + l_linenumber AS id, {name.format('l_partkey')} AS LINAME FROM {{t}} WHERE l_linenumber = 1 AND l_partkey % 3 > 0")
+    s = Study({"LI": Dataset("LI", lines), "PA": Dataset("PA", parts)})
+    operations = [Operation("$all_parts", "distinct", {"name": "PANAME", "domain": "PA"}), Operation("$dataset_parts", "distinct", {"name": "LINAME"})]
+    rule = Rule("R", _leaf("LINAME", "is_contained_by", "$all_parts"), sensitivity="Dataset", operations=operations, output=["$all_parts", "$dataset_parts"])
+    return binding_gaps(run(spark, [rule], s, None, ["LI"])).select("rule_id", "label", "member")
 
 
 def _leaf(name: str, operator: str, value: object = None, **more: object) -> dict:
@@ -349,3 +358,4 @@ _add("type_jsonata_utilities", jsonata("""
       'sifted': ($n := $; $last := 'NATION_' & $string(key + 20); $join($keys($utils.sift_tree($n, $last, ['key'], true)), '+'))} )""", ["last", "links", "sifted"]),
      _document_sql({"last": "'NATION_' || CAST(n_nationkey + 20 AS STRING)", "links": "'4'", "sifted": "'Nation.key+Nation.next'"}, "n_nationkey < 5"))
 _add("binding_gap", gaps, f"SELECT 'R' AS rule_id, 'required variables' AS label, {_GUIDE_NAME} AS member FROM nation WHERE n_nationkey < 15 AND n_nationkey % 3 = 0")
+_add("binding_gap_large", large_gaps, "SELECT 'R' AS rule_id, 'all parts' AS label, 'O''Part, ' || CAST(p_partkey AS STRING) AS member FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 > 0)")

@@ -6,11 +6,8 @@ these are small samples of a format) and reads it with the engine's reader.
 
 from __future__ import annotations
 
-import atexit
 import csv
 import json
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -23,6 +20,7 @@ from .model import RECORD, Dataset, Library, Rule, Study, VariableMeta
 from .queries import BASES, base, base_sql
 from .results import filter_findings, records, summary
 from .runner import run
+from .shared import new_folder, new_path
 from .sources import dataset_json, define_xml, study_folder
 from .sources.frame import normal_types, parquet
 from .sources.testcase import read_case
@@ -42,11 +40,9 @@ def _query(name: str, sql: str) -> Callable:
     return add
 
 
-def _folder() -> Path:
-    """A folder for sample files, which lives as long as the process."""
-    path = tempfile.mkdtemp(prefix="lakewarden-files-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return Path(path)
+def _folder(spark: SparkSession) -> Path:
+    """A folder for sample files, in the one that driver and executors share; it lives as long as the application."""
+    return new_folder(spark, "files")
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> list:
@@ -67,7 +63,7 @@ def _shown(d: Dataset) -> DataFrame:
 
 @_query("source_csv", _SHOWN.format(6))
 def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder() / "cu.csv"
+    path = _folder(spark) / "cu.csv"
     with path.open("w", newline="", encoding="utf-8") as f:
         csv.writer(f).writerows([[v.name for v in _FIELDS], *(list(r) for r in _customers(spark, sf_dir))])
     return _shown(study_folder.read_file(spark, path))
@@ -75,7 +71,7 @@ def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("source_test_case", _SHOWN.format(6))
 def source_test_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder()
+    folder = _folder(spark)
     with (folder / "cu.csv").open("w", newline="", encoding="utf-8") as f:
         csv.writer(f).writerows([[v.name for v in _FIELDS], *(list(r) for r in _customers(spark, sf_dir))])
     (folder / "_datasets.csv").write_text("Filename,Label\ncu.csv,Customers\n")
@@ -86,7 +82,7 @@ def source_test_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("source_xpt", _SHOWN.format(1))
 def source_xpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder() / "cu.xpt"
+    path = _folder(spark) / "cu.xpt"
     rows = [(r["CUID"], r["CUNAME"].split(",")[0] + ",", r["c_acctbal"], r["CUSEG"]) for r in _customers(spark, sf_dir)]
     write_xpt(str(path), "CU", _FIELDS, rows, "Customers")
     return _shown(study_folder.read_file(spark, path))
@@ -98,21 +94,30 @@ def _json_head() -> dict:
 
 @_query("source_dataset_json", _SHOWN.format(6))
 def source_dataset_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, rows = _folder() / "cu.json", [list(r) for r in _customers(spark, sf_dir)]
+    path, rows = _folder(spark) / "cu.json", [list(r) for r in _customers(spark, sf_dir)]
     path.write_text(json.dumps(_json_head() | {"records": len(rows), "rows": rows}, indent=1), encoding="utf-8")
     return _shown(dataset_json.read_dataset_json(spark, path))
 
 
 @_query("source_ndjson", _SHOWN.format(6))
 def source_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, rows = _folder() / "cu.ndjson", [list(r) for r in _customers(spark, sf_dir)]
+    path, rows = _folder(spark) / "cu.ndjson", [list(r) for r in _customers(spark, sf_dir)]
     path.write_text("\n".join(json.dumps(x) for x in (_json_head() | {"records": len(rows)}, *rows)) + "\n", encoding="utf-8")
     return _shown(dataset_json.read_dataset_json(spark, path))
 
 
-@_query("source_parquet", "SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) AS BIGINT) AS last, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem")
+@_query("source_parquet", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE 1 END, l_orderkey, l_linenumber) AS BIGINT) AS record FROM lineitem")
 def source_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records are numbered from one without a gap."""
+    """Records are numbered over many files of unlike size, in the order of the files' names."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 7 != 0).cast("int").alias("part"))
+    by, path = ("part", "l_orderkey", "l_linenumber"), new_path(spark, "lines")
+    lines.repartitionByRange(6, *by).sortWithinPartitions(*by).write.partitionBy("part").parquet(path)
+    return parquet(spark, path, "LI").df.select("l_orderkey", "l_linenumber", F.col(RECORD).alias("record"))
+
+
+@_query("source_parquet_one", "SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) AS BIGINT) AS last, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem")
+def source_parquet_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one file are numbered from one without a gap."""
     d = parquet(spark, f"{sf_dir}/lineitem.parquet", "LI")
     return d.df.agg(F.count_distinct(RECORD).alias("records"), F.max(RECORD).alias("last"), F.sum("l_linenumber").cast("bigint").alias("numbers"))
 
@@ -121,7 +126,7 @@ def source_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_usdm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .queries_reference import document
 
-    path = _folder() / "study.json"
+    path = _folder(spark) / "study.json"
     path.write_text(document(spark, sf_dir), encoding="utf-8")
     s = read_usdm(spark, path)
     regions = s.get("Region").df.filter("rel_type = 'definition'").select(F.col("id").alias("rid"), F.upper("name").alias("parent"))
@@ -138,7 +143,7 @@ def _define_text(names: list[str]) -> str:
 @_query("source_define_xml", "SELECT n_name AS name, 'About ' || n_name AS label, CAST(length(n_name) AS DOUBLE) AS length, CASE WHEN n_nationkey % 2 = 1 THEN 'Yes' ELSE 'No' END AS mandatory, CAST(n_nationkey + 1 AS BIGINT) AS place FROM nation")
 def source_define_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()]  # 25 rows
-    path = _folder() / "define.xml"
+    path = _folder(spark) / "define.xml"
     path.write_text(_define_text(names), encoding="utf-8")
     found = define_xml.read_define(path)["variables"]
     rows = [(v["define_variable_name"], v["define_variable_label"], v["define_variable_length"], v["define_variable_mandatory"], v["define_variable_order_number"]) for v in found]
@@ -148,7 +153,7 @@ def source_define_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("source_folder", "SELECT * FROM (VALUES ('AE', '.xpt'), ('CU', '.json'), ('DM', '.csv')) t(dataset, form)")
 def source_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several forms of one dataset the first in order is read."""
-    folder, fields = _folder(), [VariableMeta("A", "", "Char", 2)]
+    folder, fields = _folder(spark), [VariableMeta("A", "", "Char", 2)]
     for name in ("ae", "cu", "dm"):
         (folder / f"{name}.csv").write_text("A\nx\n")
     (folder / "cu.json").write_text(json.dumps(_json_head() | {"records": 0, "rows": []}))
@@ -241,7 +246,7 @@ def scope_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("sink_csv", f"SELECT 'EV1' AS rule_id, id + 1 AS record, 'tb' AS variable FROM ({base_sql('events')}) e WHERE tb = ''")
 def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings written as a CSV file and read again."""
-    path = _folder() / "findings.csv"
+    path = _folder(spark) / "findings.csv"
     api.write_findings(run(spark, [_blank()], _events(spark, sf_dir), None), str(path))
     back = spark.read.option("header", True).csv(str(path))
     return back.filter("Variable = 'tb'").select("rule_id", F.col("Record").cast("bigint").alias("record"), F.col("Variable").alias("variable"))
@@ -268,7 +273,7 @@ UNION ALL SELECT 'EV4', id, iso FROM ({base_sql('events')}) c WHERE id % 7 < 2 A
 
 @_query("stream_violations", f"SELECT rule_id, id FROM ({_STREAM_SQL}) s")
 def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder()
+    folder = _folder(spark)
     found = _stream(spark, sf_dir).writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "state")).trigger(availableNow=True).start()
     found.awaitTermination()
     return spark.read.parquet(str(folder / "out")).select("rule_id", "id")
@@ -279,6 +284,6 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations per rule and hour; a row per rule and window is kept."""
     name = f"counts_{uuid.uuid4().hex}"
     counts = violation_counts(_stream(spark, sf_dir).withColumn("at", F.to_timestamp("iso")), "at")
-    found = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(_folder())).trigger(availableNow=True).start()
+    found = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(_folder(spark))).trigger(availableNow=True).start()
     found.awaitTermination()
     return spark.table(name).select("rule_id", F.date_format("start", "yyyy-MM-dd'T'HH").alias("hour"), F.col("count").alias("violations"))

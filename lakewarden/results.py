@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -167,25 +168,51 @@ def problem_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def binding_gaps(findings: DataFrame) -> DataFrame:
-    """rule_id, Dataset, label, missing: the members that a rule wanted and a dataset lacks.
+def binding_sets(result: Result) -> tuple[DataFrame, DataFrame]:
+    """The sets that findings report, whole: their names (rule_id, Dataset, Variable) and their members (with member).
 
-    Told where a rule reports one set whose name says what is missing, or two sets
-    of which one is named for the dataset; a set that differs between records is none of the dataset's.
+    Sets of a dataset come from the operands that the rules compared, not from the text of
+    findings. A set of single records counts if it is the same in all that a rule reports.
     """
-    sets = findings.filter(F.startswith("Variable", F.lit("$"))).groupBy("rule_id", "Dataset", "Variable").agg(F.min("Value").alias("v"), F.max("Value").alias("w"))
-    members = F.regexp_extract_all("v", F.lit("'([^']*)'"), F.lit(1))
-    sets = sets.filter((F.col("v") == F.col("w")) & F.startswith("v", F.lit("["))).select("rule_id", "Dataset", F.struct(F.col("Variable").alias("name"), members.alias("members")).alias("s"))
-    # As many members as a rule has output variables.
-    per = sets.groupBy("rule_id", "Dataset").agg(F.array_sort(F.collect_list("s")).alias("sets"))
-    have, want = F.filter("sets", lambda s: F.contains(s["name"], F.lit("dataset"))), F.filter("sets", lambda s: ~F.contains(s["name"], F.lit("dataset")))
-    lone = F.get("sets", F.lit(0))
-    named = (F.size("sets") == 1) & F.contains(lone["name"], F.lit("missing"))
-    paired = (F.size("sets") > 1) & (F.size(have) == 1) & (F.size(want) == 1)
-    name = F.when(named, F.regexp_replace(lone["name"], r"^\$?missing_", "")).when(paired, F.get(want, F.lit(0))["name"])
-    missing = F.when(named, lone["members"]).when(paired, F.array_except(F.get(want, F.lit(0))["members"], F.get(have, F.lit(0))["members"]))
-    label = F.translate(F.regexp_replace(name, r"^\$", ""), "_", " ")
-    return per.select("rule_id", "Dataset", label.alias("label"), missing.alias("missing")).filter(F.size("missing") > 0)
+    spark = result.findings.sparkSession
+    told = result.findings.filter(F.startswith("Variable", F.lit("$"))).select("rule_id", "Dataset").distinct()
+    sets, names, rows, tables = result.info.get("sets", {}), [], [], []
+    for key in sorted((r["rule_id"], r["Dataset"]) for r in told.collect()):  # a row per rule and dataset that report a set
+        for name, members in sets.get(key, {}).items():
+            names.append((*key, name))
+            if isinstance(members, list):
+                rows += [(*key, name, v) for v in dict.fromkeys(members)]
+            else:
+                tables.append(members.select(F.lit(key[0]).alias("rule_id"), F.lit(key[1]).alias("Dataset"), F.lit(name).alias("Variable"), F.col("v").alias("member")))
+    schema = "rule_id string, Dataset string, Variable string"
+    named, members = spark.createDataFrame(names, schema), reduce(DataFrame.union, tables, spark.createDataFrame(rows, schema + ", member string"))
+    if "hits" in result.info:
+        own = result.info["hits"].select("rule_id", "Dataset", F.explode("values").alias("v")).filter("v.Members IS NOT NULL").join(told, ["rule_id", "Dataset"], "left_semi")
+        own = own.groupBy("rule_id", "Dataset", F.col("v.Variable").alias("Variable")).agg(F.min("v.Members").alias("a"), F.max("v.Members").alias("b")).filter("a = b")
+        named = named.union(own.select("rule_id", "Dataset", "Variable"))
+        members = members.union(own.select("rule_id", "Dataset", "Variable", F.explode(F.array_distinct("a"))))
+    return named, members
+
+
+def binding_gaps(result: Result) -> DataFrame:
+    """rule_id, Dataset, label, member: what a rule wanted and a dataset lacks, a row per member.
+
+    Told where a rule reports one set whose name says what is missing, or several sets of
+    which one is named for the dataset and one is not; the second less the first is an anti join.
+    """
+    named, members = binding_sets(result)
+    own = F.contains("Variable", F.lit("dataset"))
+    per = named.groupBy("rule_id", "Dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(own).alias("have"), F.max(F.when(own, F.col("Variable"))).alias("held"), F.max(F.when(~own, F.col("Variable"))).alias("wanted"), F.min("Variable").alias("lone")
+    )
+    lone = (F.col("n") == 1) & F.contains("lone", F.lit("missing"))
+    paired = (F.col("n") == 2) & (F.col("have") == 1)
+    source = F.when(lone, F.col("lone")).when(paired, F.col("wanted"))
+    label = F.translate(F.regexp_replace(source, r"^\$?(missing_)?", ""), "_", " ")
+    per = per.select("rule_id", "Dataset", source.alias("Variable"), F.when(paired, F.col("held")).alias("held"), label.alias("label")).filter("Variable IS NOT NULL")
+    wanted = members.join(per, ["rule_id", "Dataset", "Variable"])
+    held = members.select("rule_id", "Dataset", F.col("Variable").alias("held"), "member")
+    return wanted.join(held, ["rule_id", "Dataset", "held", "member"], "left_anti").select("rule_id", "Dataset", "label", "member")
 
 
 def summary(result: Result) -> DataFrame:

@@ -73,8 +73,21 @@ def from_frame(df: DataFrame, name: str | None = None, variables: list[VariableM
 
 def parquet(spark: SparkSession, path: str, name: str) -> Dataset:
     """A Parquet table; record numbers are row positions in a file, counted on over its files."""
-    df = spark.read.parquet(path)
-    files = df.inputFiles()
-    if len(files) == 1:
-        df = df.select("*", (F.col("_metadata.row_index") + 1).alias(RECORD))
-    return from_frame(df, name)
+    return from_frame(with_file_record(spark.read.parquet(path)), name)
+
+
+def with_file_record(df: DataFrame) -> DataFrame:
+    """Record numbers by the position in a file, after the rows of the files that come before by name.
+
+    However files are split into tasks, the numbers are the same.
+    """
+    at = F.col("_metadata.row_index") + 1
+    if len(df.inputFiles()) == 1:
+        return df.select("*", at.alias(RECORD))
+    begin, total = [], 0
+    for f, n in sorted((r["f"], r["n"]) for r in df.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()):  # a row per file
+        begin.append((f, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(begin, "__file string, __begin bigint")
+    placed = df.select("*", F.col("_metadata.file_path").alias("__of"), at.alias("__at")).join(F.broadcast(starts), F.col("__of") == F.col("__file"))  # a row per file
+    return placed.withColumn(RECORD, F.col("__begin") + F.col("__at")).drop("__of", "__at", "__file", "__begin")
