@@ -89,6 +89,7 @@ class Library:
     packages: list[dict] = field(default_factory=list)  # package_type, package_date
     countries: list[dict] = field(default_factory=list)
     entities: dict[str, str] = field(default_factory=dict)  # of a document: key or instanceType to entity
+    releases: DataFrame | None = None  # dictionary, version, since (yyyy-mm-dd): releases of external dictionaries, any number
 
 
 @dataclass

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..model import RuleSkipped
+from ..plans.asof import as_of
 from ..plans.table import Context
 from .registry import operator
 
@@ -33,19 +34,27 @@ operator("is_valid_whodrug_level_reference", "is_not_valid_whodrug_level_referen
 
 
 def release_on(day: Column, releases: tuple = MEDDRA_RELEASES) -> Column:
-    """The release in force on a day: the last one not later."""
+    """The release in force on a day, of the few that are known here: the last one not later."""
     out = F.lit(None).cast("string")
     for version, since in releases:
         out = F.when(day >= F.lit(since), F.lit(version)).otherwise(out)
     return out
 
 
+def _release_of_table(ctx: Context, day: Column, releases: DataFrame, dictionary: str) -> Column:
+    """The same from a table of releases, by an as-of join of the days that occur."""
+    own = releases.filter(F.lower("dictionary") == dictionary.lower()).select(F.col("since").alias("day"), "version")
+    days = ctx.table.df.select(day.alias("day")).dropna().distinct()
+    return ctx.table.join(as_of(days, own, [], "day", "version"), [(day, "day")], "version", "text")
+
+
 def _latest(negative: bool):
     def run(ctx: Context) -> Column:
         if not ctx.exists:
             return F.lit(False)
         dictionary = str(ctx.condition.get("external_dictionary_type") or "")
-        if dictionary.lower() != "meddra":
+        releases = ctx.table.study.library.releases
+        if releases is None and dictionary.lower() != "meddra":
             raise RuleSkipped(f"no release dates are known for the {dictionary} dictionary")
         text = F.trim(F.coalesce(ctx.target.text(), F.lit("")))
         whole = text.rlike(r"^\d{4}-\d{2}-\d{2}($|[T ][0-9:.]+$)")
@@ -59,7 +68,8 @@ def _latest(negative: bool):
             if bound is None:
                 raise RuleSkipped(f"cannot resolve {asked}")
             version = bound.text()
-        same = F.coalesce(version == release_on(day), F.lit(False))
+        in_force = release_on(day) if releases is None else _release_of_table(ctx, ctx.table.add(day), releases, dictionary)
+        same = F.coalesce(version == in_force, F.lit(False))
         return F.when(whole, ~same if negative else same)
 
     return run

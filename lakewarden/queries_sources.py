@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from .model import RECORD, Dataset, Library, Rule, Study, VariableMeta
+from .plans.asof import as_of
 from .queries import BASES, base, base_sql
 from .results import filter_findings, records, summary
 from .runner import run
@@ -287,3 +288,26 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(_folder(spark))).trigger(availableNow=True).start()
     found.awaitTermination()
     return spark.table(name).select("rule_id", F.date_format("start", "yyyy-MM-dd'T'HH").alias("hour"), F.col("count").alias("violations"))
+
+
+# As-of joins.
+
+_RELEASES = "SELECT o_orderpriority AS prio, left(CAST(o_orderdate AS STRING), 10) AS day, max(o_orderkey) AS release FROM {t} WHERE o_orderkey % 40 = 1 GROUP BY 1, 2"
+
+
+@_query("as_of_orders", f"SELECT o.o_orderkey, r.release FROM (SELECT o_orderkey, o_orderpriority AS prio, left(CAST(o_orderdate AS STRING), 10) AS day FROM orders) o ASOF LEFT JOIN ({_RELEASES.format(t='orders')}) r ON o.prio = r.prio AND o.day >= r.day")
+def as_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To each order the last release of its priority that is not later."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select("o_orderkey", F.col("o_orderpriority").alias("prio"), F.left(F.col("o_orderdate").cast("string"), F.lit(10)).alias("day"))
+    return as_of(rows, spark.sql(_RELEASES, t=orders), ["prio"], "day", "release").select("o_orderkey", "release")
+
+
+@_query("latest_release_of_table", "SELECT o_orderkey + 1 AS \"Record\" FROM (SELECT o_orderkey, left(CAST(o_orderdate AS STRING), 10) AS day FROM orders) o ASOF JOIN (SELECT left(CAST(o_orderdate AS STRING), 10) AS since, 'v' || CAST(max(o_orderkey) % 3 AS STRING) AS version FROM orders WHERE o_orderkey % 40 = 1 GROUP BY 1) r ON o.day >= r.since WHERE version = 'v1'")
+def latest_release_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders whose day falls to a release called v1, by the operator, over a table of releases."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    releases = spark.sql("SELECT 'Own' AS dictionary, left(CAST(o_orderdate AS STRING), 10) AS since, 'v' || CAST(max(o_orderkey) % 3 AS STRING) AS version FROM {t} WHERE o_orderkey % 40 = 1 GROUP BY 2", t=orders)
+    s = Study({"ORDERS": Dataset("ORDERS", base(spark, sf_dir, "orders"))}, library=Library(releases=releases))
+    check = {"name": "day", "operator": "is_latest_available_external_dictionary_version", "external_dictionary_type": "own", "version": "v1"}
+    return run(spark, [Rule("R", check, output=["day"], domains={"Include": ["ORDERS"]})], s, None).findings.select("Record")

@@ -136,3 +136,20 @@ def test_records_of_many_files(spark, tmp_path):
             assert d.df.filter(F.col(RECORD) != F.col("id") + 1).count() == 0 and d.df.count() == 60_010
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_as_of_equals_a_walk(spark, partitions):
+    from lakewarden.plans.asof import as_of
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(100)]), i) for i in range(400)]
+    events = [(rng.choice(["a", "b", None]), rng.randrange(5, 100), f"v{i:03}") for i in range(60)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = as_of(spark.createDataFrame(rows, "k string, t int, i int"), spark.createDataFrame(events, "k string, t int, v string"), ["k"], "t", "v")
+        assert got.columns == ["k", "t", "i", "v"]
+        found = {r.i: r.v for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found == {i: None if t is None else max(((s, v) for key, s, v in events if key == k and s <= t), default=(0, None))[1] for k, t, i in rows}
