@@ -28,6 +28,7 @@ from .sources.testcase import read_case
 from .sources.usdm import read_usdm
 from .sources.xpt import write_xpt
 from .streaming import violation_counts, violations
+from .streaming.stateful import duplicates, with_counts, without_next
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -290,6 +291,39 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("rule_id", F.date_format("start", "yyyy-MM-dd'T'HH").alias("hour"), F.col("count").alias("violations"))
 
 
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, with the moment of each."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.sql(BASES["events"][1], t=events).select("id", "u", "t", "q", F.to_timestamp("iso").alias("at"))
+
+
+def _written(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """What a stream gives, through a table; state and table lie in the shared folder."""
+    out, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@_query("stream_duplicates", f"SELECT u, q, id FROM (SELECT *, count(*) OVER (PARTITION BY u, q) AS many FROM ({base_sql('events')}) e) x WHERE many > 1")
+def stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as is_not_unique_set finds in a batch."""
+    return _written(spark, duplicates(_live(spark, sf_dir), ["u", "q"], ["id"]))
+
+
+@_query("stream_next_record", f"SELECT u, id FROM (SELECT *, lead(t) OVER w AS after, lead(iso) OVER w AS later FROM ({base_sql('events')}) e WINDOW w AS (PARTITION BY u ORDER BY iso, id)) x WHERE t <> after AND later <= (SELECT max(iso) FROM ({base_sql('events')}) m)")
+def stream_next_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as does_not_have_next_corresponding_record finds in a batch, once the watermark has passed their followers."""
+    return _written(spark, without_next(_live(spark, sf_dir), "t", "t", "u", "at", ["id"], late="0 seconds"))
+
+
+@_query("stream_record_count", f"SELECT id, record_count FROM (SELECT id, iso, count(*) OVER (PARTITION BY t, left(iso, 13)) AS record_count FROM ({base_sql('events')}) e) x WHERE left(iso, 13) < (SELECT max(left(iso, 13)) FROM ({base_sql('events')}) m)")
+def stream_record_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binding per type and hour joined back to the events of that hour, for hours that the watermark has closed."""
+    return _written(spark, with_counts(_live(spark, sf_dir), ["t"], "at", late="0 seconds")).select("id", "record_count")
+
+
 # As-of joins.
 
 _RELEASES = "SELECT o_orderpriority AS prio, left(CAST(o_orderdate AS STRING), 10) AS day, max(o_orderkey) AS release FROM {t} WHERE o_orderkey % 40 = 1 GROUP BY 1, 2"

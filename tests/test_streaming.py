@@ -18,3 +18,23 @@ def test_row_local_rules_on_a_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("found").collect()) == [("DATE", 1), ("TEXT", 2), ("TEXT", 3)]
     with pytest.raises(RuleSkipped, match="more than the row"):
         violations(stream, [Rule("U", leaf("t", "is_unique_set", ["id"]))], "XX", ["id"])
+
+
+def test_state_over_many_batches(spark, tmp_path):
+    """The same as in one batch, however the rows are dealt to batches; a late row is left out of the order."""
+    from lakewarden.streaming.stateful import duplicates, without_next
+
+    rows = [("a", 1, "x", "2024-01-01 00:00:01"), ("b", 2, "y", "2024-01-01 00:00:02"), ("a", 3, "z", "2024-01-01 00:00:03"), ("a", 4, "z", "2024-01-01 00:00:04"), ("b", 5, "y", "2024-01-01 00:00:05"), ("c", 6, "q", "2024-01-01 00:00:09")]
+    schema = "g string, id long, v string, at timestamp"
+    for i, r in enumerate([*rows, ("a", 7, "w", "2024-01-01 00:00:02")]):
+        frame = spark.createDataFrame([r], "g string, id long, v string, at string").selectExpr("g", "id", "v", "CAST(at AS timestamp) AS at")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name, make):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = tmp_path / name
+        make(stream).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.id for r in spark.read.parquet(str(out)).collect())
+
+    assert run("dup", lambda s: duplicates(s, ["g", "v"], ["id"])) == [2, 3, 4, 5]
+    assert run("next", lambda s: without_next(s, "v", "v", "g", "at", ["id"], late="0 seconds")) == [1]
