@@ -29,7 +29,7 @@ def _leaves(node: dict) -> list[dict]:
     return [x for key in ("all", "any") for n in node.get(key) or [] for x in _leaves(n)] + (_leaves(node["not"]) if node.get("not") else [])
 
 
-def _row_by_row(c: dict) -> bool:
+def row_by_row(c: dict) -> bool:
     fn = OPERATORS.get(c["operator"])
     return fn is not None and c["operator"] not in _WHOLE_TABLE and fn.__module__.rpartition(".")[2] in _ROW_MODULES
 
@@ -51,7 +51,7 @@ def early(rows: DataFrame, rule: Rule, d: Dataset) -> DataFrame:
 
     No test takes a blank, so texts may be tested as they were read, where NULL is not yet an empty text.
     """
-    if rule.operations or rule.dialect is Dialect.CORE1 or not isinstance(rule.check.get("all"), list) or not all(map(_row_by_row, _leaves(rule.check))):
+    if rule.operations or rule.dialect is Dialect.CORE1 or not isinstance(rule.check.get("all"), list) or not all(map(row_by_row, _leaves(rule.check))):
         return rows
     kinds = {f.name: kind_of(f.dataType) for f in rows.schema}
     found = [(c["name"], t) for c in rule.check["all"] if "operator" in c and (t := _plain(c, kinds)) is not None]

@@ -131,16 +131,27 @@ def _wide(rows: list[dict], *always: str) -> list[str]:
     return list(dict.fromkeys([*always, *(k for r in rows for k in r)]))
 
 
+def possible_variables(rule: Rule, d: Dataset, study: Study, about: list[dict]) -> list[str]:
+    """The columns that can violate a Check over values, by those of its conditions that look at metadata alone.
+
+    These are judged here, when the plan is made, on one row per variable; the other columns are never read.
+    """
+    from .early import row_by_row
+    from .evaluate import Compiler
+
+    known = _wide(about, "variable_name")
+    parts = rule.check.get("all") if isinstance(rule.check, dict) else None
+    sure = [c for c in parts or [] if c.get("name") in known and row_by_row(c) and not c.get("value_is_reference") and (c.get("value_is_literal") or not str(c.get("value")).startswith(("$", "variable_value")))]
+    if not sure or rule.operations:
+        return d.columns
+    rows = as_table(rows_frame(d.df.sparkSession, about, known), d, study, rule.dialect)
+    verdict = rows.add(Compiler(rows, study, rule.dialect).rule(Rule(rule.id, {"all": sure}, source=rule.source))[0])
+    named = {r[0] for r in rows.df.filter(F.coalesce(verdict, F.lit(True))).select("variable_name").collect()}  # a row per variable
+    return [c for c in d.columns if c in named] or d.columns[:1]
+
+
 def value_table(d: Dataset, study: Study, rule: Rule) -> DataFrame:
-    """One row per record and variable; a streaming expansion of the scan, never stored."""
-    kinds = {f.name: kind_of(f.dataType) for f in d.df.schema}
-    keep = [c for c in ("USUBJID", next((c for c in d.columns if c.endswith("SEQ")), None)) if c in d.columns]
-    texts = [F.coalesce(tx.text_of(F.col(f"`{c}`"), kinds[c]), F.lit("")).alias(c) for c in d.columns]
-    ids = [F.col(RECORD), *(F.col(f"`{c}`").alias(f"__id_{c}") for c in keep)]
-    long = d.df.select(*ids, *texts).unpivot([RECORD, *(f"__id_{c}" for c in keep)], d.columns, "variable_name", "variable_value")
-    for c in keep:
-        long = long.withColumnRenamed(f"__id_{c}", c)
-    long = long.withColumn("variable_value_length", F.char_length("variable_value").cast("double"))
+    """One row per record and variable that may violate the rule; a streaming expansion of the scan, never stored."""
     spark = d.df.sparkSession
     about = [{"variable_name": v.name, "variable_label": v.label, "variable_data_type": v.type, "variable_size": v.length, "variable_length": v.length} for v in d.variables]
     if rule.rule_type == "Value Check against Define XML Variable":
@@ -150,6 +161,15 @@ def value_table(d: Dataset, study: Study, rule: Rule) -> DataFrame:
         library = _library(study, d)
         about = [a | _library_columns(library.get(a["variable_name"])) for a in about]
         _terms(study, about)
+    columns = possible_variables(rule, d, study, about) if about else d.columns
+    kinds = {f.name: kind_of(f.dataType) for f in d.df.schema}
+    keep = [c for c in ("USUBJID", next((c for c in d.columns if c.endswith("SEQ")), None)) if c in d.columns]
+    texts = [F.coalesce(tx.text_of(F.col(f"`{c}`"), kinds[c]), F.lit("")).alias(c) for c in columns]
+    ids = [F.col(RECORD), *(F.col(f"`{c}`").alias(f"__id_{c}") for c in keep)]
+    long = d.df.select(*ids, *texts).unpivot([RECORD, *(f"__id_{c}" for c in keep)], columns, "variable_name", "variable_value")
+    for c in keep:
+        long = long.withColumnRenamed(f"__id_{c}", c)
+    long = long.withColumn("variable_value_length", F.char_length("variable_value").cast("double"))
     meta = rows_frame(spark, about, _wide(about, "variable_name")).drop(RECORD)
     out = long.join(F.broadcast(meta), "variable_name")  # one row per variable of the dataset
     if rule.rule_type == "Value Check with Dataset Metadata":

@@ -153,3 +153,28 @@ def test_as_of_equals_a_walk(spark, partitions):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert found == {i: None if t is None else max(((s, v) for key, s, v in events if key == k and s <= t), default=(0, None))[1] for k, t, i in rows}
+
+
+def test_value_checks_read_what_they_can_violate(spark, tmp_path):
+    from lakewarden.model import Dataset, Rule, Study, VariableMeta
+    from lakewarden.runner import run
+    from lakewarden.sources.frame import normal_types, with_file_record
+
+    spark.createDataFrame([("x", "long text", 1.5), ("y", "", None)], "A string, B string, N double").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = normal_types(with_file_record(spark.read.parquet(str(tmp_path / "t"))))
+    meta = [VariableMeta("A", "First", "Char", 8), VariableMeta("B", "Second", "Char", 8), VariableMeta("N", "Number", "Num", 8)]
+
+    def found(*conditions, **more):
+        rule = Rule("V", {"all": list(conditions)}, "Value Check with Variable Metadata", **more)
+        out = run(spark, [rule], Study({"XX": Dataset("XX", df, meta)}), None)
+        plan = out.info["passes"][0]._jdf.queryExecution().toString()
+        rows = sorted((r.Record, r.Variable, r.Value) for r in out.findings.collect())
+        out.release()
+        return rows, [c for c in "ABN" if f"{c}:" in plan[plan.rindex("ReadSchema") :].partition(">")[0]]
+
+    longer = leaf("variable_value", "longer_than", 3)
+    assert found(leaf("variable_name", "equal_to", "B", value_is_literal=True), longer) == ([(1, "B", "long text")], ["B"])
+    assert found(leaf("variable_data_type", "equal_to", "Num", value_is_literal=True), leaf("variable_value", "non_empty")) == ([(1, "N", "1.5")], ["N"])
+    assert found(leaf("variable_name", "is_contained_by", ["A", "Z"]), leaf("variable_value", "equal_to", "y", value_is_literal=True)) == ([(2, "A", "y")], ["A"])
+    assert found(leaf("variable_name", "equal_to", "Q", value_is_literal=True), longer)[0] == []
+    assert found(longer) == ([(1, "B", "long text")], ["A", "B", "N"])
