@@ -148,8 +148,18 @@ def supplemental(df: DataFrame, spec: dict, d: Dataset, study: Study, dialect: D
     return df
 
 
+def _any_type(cols: list[tuple[Column, str]]) -> Column:
+    """The first value that is there; as text where the columns are of unlike kinds."""
+    kinds = {k for _, k in cols}
+    return F.coalesce(*(c if len(kinds) == 1 else tx.text_of(c, k) for c, k in cols))
+
+
 def child_to_parent(df: DataFrame, spec: dict, d: Dataset, study: Study, dialect: Dialect) -> DataFrame:
-    """Each row of a child dataset with the first matching record of the dataset it names."""
+    """Each row of a child dataset with the first matching record of the dataset it names.
+
+    A parent's record stands once for each key variable in use, as (domain, variable,
+    value); so all parents are reduced to the first of a key, and joined, together.
+    """
     if "RDOMAIN" not in df.columns:
         raise RuleSkipped(f"{d.name} has no RDOMAIN")
     for c in ("IDVAR", "IDVARVAL"):
@@ -157,87 +167,108 @@ def child_to_parent(df: DataFrame, spec: dict, d: Dataset, study: Study, dialect
             df = df.withColumn(c, F.lit(""))
     blank_val = F.coalesce("IDVARVAL", F.lit("")) == ""
     df = df.withColumns({"__rd": F.upper(F.coalesce("RDOMAIN", F.lit(""))), "__iv": F.when(blank_val, "").otherwise(F.coalesce("IDVAR", F.lit("")))})
-    kinds, parts, seen = _kinds(df), [], df.select("__rd", "__iv").distinct().collect()  # a row per domain and key variable
-    done = F.lit(False)
-    for rd, iv in seen:
-        found = study.of_domain(rd)
-        if not found:
-            continue
-        parent = _union(found)
-        pk = _kinds(parent)
-        keys = [k for k in ("STUDYID", "USUBJID") if k in kinds and k in pk]
-        use_id = bool(iv) and iv in pk
-        own = [_key(F.col(f"`{k}`"), pk[k]).alias(f"__p{i}") for i, k in enumerate(keys)]
-        if use_id:
-            own.append(_key(F.col(f"`{iv}`"), pk[iv]).alias("__pid"))
-        names = [c for c in parent.columns if not c.startswith("__")]
-        first = parent.select(*own, RECORD, *(F.col(f"`{c}`").alias(f"__c_{c}") for c in names))
-        on_cols = [c for c in first.columns if c.startswith("__p")]
-        first = first.withColumn("__n", F.row_number().over(W.partitionBy(*on_cols).orderBy(RECORD))).filter("__n = 1").drop("__n", RECORD)
-        mine = (F.col("__rd") == rd) & (F.col("__iv") == iv)
-        on = F.lit(True)
-        for i, k in enumerate(keys):
-            on = on & (_key(F.col(f"`{k}`"), kinds[k]) == F.col(f"__p{i}"))
-        if use_id:
-            on = on & (_key(F.col("IDVARVAL"), kinds["IDVARVAL"]) == F.col("__pid"))
-        joined = df.filter(mine).join(first, on, "left").drop(*on_cols)
-        out: dict[str, Column] = {}
-        for c in names:
-            value = F.col(f"`__c_{c}`")
+    kinds, seen = _kinds(df), df.select("__rd", "__iv").distinct().collect()  # a row per domain and key variable
+    parents: dict[str, DataFrame] = {rd: _union(found) for rd in dict.fromkeys(r["__rd"] for r in seen) if (found := study.of_domain(rd))}
+    if not parents:
+        return df.drop("__rd", "__iv")
+    held = {rd: _kinds(p) for rd, p in parents.items()}
+    common = [k for k in ("STUDYID", "USUBJID") if k in kinds]
+    by_id = [(r["__rd"], r["__iv"]) for r in seen if r["__rd"] in parents and r["__iv"] and r["__iv"] in held[r["__rd"]]]
+    whole = {r["__rd"] for r in seen if r["__rd"] in parents} - {rd for rd in parents if all((rd, r["__iv"]) in by_id for r in seen if r["__rd"] == rd)}
+
+    sides, on = [], ["__prd", "__piv", "__pid", *(f"__p{i}" for i in range(len(common)))]
+    for rd, parent in parents.items():
+        pk = held[rd]
+        ways = [F.struct(F.lit(iv).alias("iv"), _key(F.col(f"`{iv}`"), pk[iv]).alias("id")) for r, iv in by_id if r == rd]
+        ways += [F.struct(F.lit("").alias("iv"), F.lit("").alias("id"))] if rd in whole else []
+        own = [(_key(F.col(f"`{k}`"), pk[k]) if k in pk else F.lit("")).alias(f"__p{i}") for i, k in enumerate(common)]
+        sides.append(parent.select(F.lit(rd).alias("__prd"), F.explode(F.array(*ways)).alias("w"), *own, RECORD, *(F.col(f"`{c}`").alias(f"__c_{rd}_{c}") for c in pk if not c.startswith("__"))))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides).select("*", F.col("w.iv").alias("__piv"), F.col("w.id").alias("__pid"))
+    values = [c for c in every.columns if c.startswith("__c_")]
+    first = every.groupBy(*on).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in values)), RECORD).alias("__first"))
+
+    use = reduce(Column.__or__, ((F.col("__rd") == rd) & (F.col("__iv") == iv) for rd, iv in by_id), F.lit(False))
+    mine = {"__prd": F.col("__rd"), "__piv": F.when(use, F.col("__iv")).otherwise(""), "__pid": F.when(use, _key(F.col("IDVARVAL"), kinds["IDVARVAL"])).otherwise("")}
+    for i, k in enumerate(common):
+        mine[f"__p{i}"] = F.when(F.col("__rd").isin([rd for rd in parents if k in held[rd]]), _key(F.col(f"`{k}`"), kinds[k])).otherwise("")
+    joined = df.withColumns(mine | {"__use": use}).join(first, on, "left")
+
+    out: dict[str, Column] = {}
+    new: dict[str, list[tuple[Column, str]]] = {}
+    for rd, pk in held.items():
+        for c in (c for c in pk if not c.startswith("__")):
+            value = F.col(f"__first.`__c_{rd}_{c}`")
             if c not in kinds:
-                out[c] = value
+                new.setdefault(c, []).append((value, pk[c]))
             elif dialect is Dialect.CORE1:
                 out[f"{rd}.{c}"] = value
-            elif use_id and c not in keys:
-                out[c] = F.coalesce(value, F.col(f"`{c}`")) if pk[c] == kinds[c] else F.col(f"`{c}`")
             else:
-                out[f"{c}.{rd}"] = value
-        parts.append(joined.withColumns(out).drop(*(f"__c_{c}" for c in names)))
-        done = done | mine
-    rest = df.filter(~done)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, rest]).drop("__rd", "__iv")
+                ids = any(r == rd for r, _ in by_id)
+                if ids and c not in common and pk[c] == kinds[c]:
+                    out[c] = F.coalesce(F.when(F.col("__use"), value), out.get(c, F.col(f"`{c}`")))
+                if rd in whole or (ids and c in common):
+                    out[f"{c}.{rd}"] = value if c in common and ids else F.when(~F.col("__use"), value)
+    out |= {c: _any_type(found) for c, found in new.items()}
+    return joined.withColumns(out).drop("__rd", "__iv", "__use", "__first", *on)
+
+
+#: A link that names neither subject nor value relates whole domains; their rows are dealt to so many tasks.
+_DEAL = 64
 
 
 def relationship(df: DataFrame, d: Dataset, study: Study) -> DataFrame:
-    """Records paired with those of other domains that RELREC relates them to; unrelated records go."""
+    """Records paired with those of other domains that RELREC relates them to; unrelated records go.
+
+    A record stands once for each key variable in use, as (variable, value), and
+    links are joined by that; so do the partners, all domains together. How many
+    variables and domains are related adds no join.
+    """
     relrec = study.get("RELREC")
     if relrec is None:
         raise RuleSkipped("needs RELREC, which is not in this study")
+    kinds = _kinds(df)
     cols = ("STUDYID", "USUBJID", "RELID", "RDOMAIN", "IDVAR", "IDVARVAL")
     r = relrec.df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in relrec.columns else F.lit("").alias(c) for c in cols))
-    mine = r.filter(F.upper("RDOMAIN") == d.domain).select(*(F.col(c).alias(f"__m_{c}") for c in cols))
-    theirs = r.filter(F.upper("RDOMAIN") != d.domain).select(*(F.col(c).alias(f"__t_{c}") for c in cols))
-    same = [F.col(f"__m_{c}") == F.col(f"__t_{c}") for c in ("STUDYID", "USUBJID", "RELID")]
-    links = mine.join(theirs, reduce(Column.__and__, same))
-    shapes = links.select("__m_IDVAR", "__t_RDOMAIN", "__t_IDVAR").distinct().collect()  # a row per pair of key variables
-    kinds, parts = _kinds(df), []
-    for my_var, domain, their_var in shapes:
-        found = study.of_domain(domain)
-        if not found or (my_var and my_var not in kinds):
-            continue
-        partner = _union(found)
-        pk = _kinds(partner)
-        if their_var and their_var not in pk:
-            continue
-        some = links.filter((F.col("__m_IDVAR") == my_var) & (F.col("__t_RDOMAIN") == domain) & (F.col("__t_IDVAR") == their_var))
-        on = F.lit(True)
-        if my_var:
-            own = _key(F.col(f"`{my_var}`"), kinds[my_var])
-            on = on & ((F.col("__m_IDVARVAL") == "") | (own == _key(F.col("__m_IDVARVAL"), "text")))
-        if "USUBJID" in kinds:
-            on = on & ((F.col("__m_USUBJID") == "") | (F.col("USUBJID") == F.col("__m_USUBJID")))
-        left = df.join(some, on)
-        names = [c for c in partner.columns if not c.startswith("__")]
-        right = partner.select(*(F.col(f"`{c}`").alias(f"RELREC.{c}") for c in names))
-        cond = F.lit(True)
-        if their_var:
-            given = F.when(F.col("__t_IDVARVAL") != "", _key(F.col("__t_IDVARVAL"), "text"))
-            given = F.coalesce(given, _key(F.col(f"`{my_var}`"), kinds[my_var])) if my_var else given
-            cond = cond & (_key(F.col(f"`RELREC.{their_var}`"), pk[their_var]) == given)
-        for c in ("USUBJID", "STUDYID"):
-            if c in kinds and c in pk:
-                cond = cond & (F.col(c) == F.col(f"`RELREC.{c}`"))
-        parts.append(left.join(right, cond).drop(*(f"__{s}_{c}" for s in "mt" for c in cols)))
-    if not parts:
+    value = F.when(F.col("IDVARVAL") != "", _key(F.col("IDVARVAL"), "text"))
+    # A subject or a value that is not named meets all; 1 and 2 mark them, so that it is not taken for a blank one.
+    all_subjects = F.col("USUBJID") == "" if "USUBJID" in kinds else F.lit(True)
+    all_values = (F.col("IDVARVAL") == "") | (F.col("IDVAR") == "")
+    wide = F.when(all_subjects, 1).otherwise(0) + F.when(all_values, 2).otherwise(0)
+    same = ("STUDYID", "USUBJID", "RELID")
+    mine = r.filter(F.upper("RDOMAIN") == d.domain).select(*(F.col(c).alias(f"__l_{c}") for c in same), F.col("IDVAR").alias("__v"), wide.alias("__w"), F.when(all_subjects, "").otherwise(F.col("USUBJID")).alias("__u"), F.when(all_values, "").otherwise(value).alias("__x"))
+    theirs = r.filter(F.upper("RDOMAIN") != d.domain).select(*(F.col(c).alias(f"__l_{c}") for c in same), F.col("RDOMAIN").alias("__d"), F.col("IDVAR").alias("__t"), value.alias("__given"))
+    links = mine.join(theirs, [f"__l_{c}" for c in same]).drop(*(f"__l_{c}" for c in same))
+    shapes = links.select("__v", "__w", "__d", "__t").distinct().collect()  # a row per pair of key variables
+
+    partners = {n: _union(found) for n in dict.fromkeys(s["__d"] for s in shapes) if (found := study.of_domain(n))}
+    held = {n: _kinds(p) for n, p in partners.items()}
+    shapes = [s for s in shapes if (not s["__v"] or s["__v"] in kinds) and s["__d"] in held and (not s["__t"] or s["__t"] in held[s["__d"]])]
+    if not shapes:
         return df.filter(F.lit(False))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def own(v: str) -> Column:
+        return _key(F.col(f"`{v}`"), kinds[v]) if v else F.lit(None).cast("string")
+
+    deal = F.pmod(F.col(RECORD), F.lit(_DEAL)).cast("int")
+    ways = []
+    for v, w in dict.fromkeys((s["__v"], s["__w"]) for s in shapes):
+        u = F.lit("") if w & 1 else F.col("USUBJID").cast("string")
+        ways.append(F.struct(F.lit(v).alias("__v"), F.lit(w).alias("__w"), u.alias("__u"), (F.lit("") if w & 2 else own(v)).alias("__x"), (deal if w == 3 else F.lit(0)).alias("__s"), own(v).alias("__own")))
+    names = df.columns
+    left = df.withColumn("__way", F.explode(F.array(*ways))).select(*(F.col(f"`{c}`") for c in names), "__way.*")
+    dealt = links.withColumn("__s", F.explode(F.when(F.col("__w") == 3, F.sequence(F.lit(0), F.lit(_DEAL - 1))).otherwise(F.array(F.lit(0)))))
+    left = left.join(dealt, ["__v", "__w", "__u", "__x", "__s"])
+
+    both = {c: [n for n in held if c in held[n]] for c in ("USUBJID", "STUDYID") if c in kinds}
+    left = left.withColumns({f"__m_{c}": F.when(F.col("__d").isin(of), F.col(c).cast("string")).otherwise("") for c, of in both.items()} | {"__y": F.when(F.col("__t") == "", "").otherwise(F.coalesce("__given", "__own"))})
+    sides = []
+    for n, partner in partners.items():
+        pk = held[n]
+        to = [F.struct(F.lit(t).alias("__t"), (_key(F.col(f"`{t}`"), pk[t]) if t else F.lit("")).alias("__y")) for t in dict.fromkeys(s["__t"] for s in shapes if s["__d"] == n)]
+        if to:
+            keys = [(F.col(c).cast("string") if c in pk else F.lit("")).alias(f"__m_{c}") for c in both]
+            sides.append(partner.select(F.lit(n).alias("__d"), F.explode(F.array(*to)).alias("w"), *keys, *(F.col(f"`{c}`").alias(f"RELREC.{c}") for c in pk if not c.startswith("__"))).select("*", "w.*").drop("w"))
+    right = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+    extra = [c for c in right.columns if c.startswith("RELREC.")]
+    out = left.join(right, ["__d", "__t", "__y", *(f"__m_{c}" for c in both)])
+    return out.select(*(F.col(f"`{c}`") for c in (*names, *extra)))

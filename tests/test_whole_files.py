@@ -30,7 +30,7 @@ def test_dataset_json_with_usdm_words_in_cells(spark, tmp_path):
 
 def test_workbook_refuses_a_text_that_no_cell_holds(tmp_path):
     path = tmp_path / "out.xlsx"
-    with pytest.raises(ValueError, match="the Records sheet's Value holds more than 32,767 characters"):
+    with pytest.raises(ValueError, match="column Value of 'Records' has texts over the 32767 characters"):
         _workbook(path, {"Problems": (["rule_id"], [("r",)]), "Records": (["Record", "Value"], [(1, "x" * (CELL + 1))])})
     assert not path.exists()
     _workbook(path, {"Records": (["Record", "Value"], [(1, "x" * CELL), (2, None)])})
