@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..model import RECORD, Dataset, Dialect, Rule, RuleSkipped, Study
 from . import metadata as md
-from .table import Table, kind_of
+from .table import Table, kind_of, wildcard
 
 #: Names of rule types (fixed values), by what their rows are: variables, values, define entries, studies, records, datasets.
 VARIABLE_TYPES = {
@@ -288,4 +288,4 @@ def _value_level(d: Dataset, study: Study) -> DataFrame:
 
 
 def as_table(df: DataFrame, d: Dataset, study: Study, dialect: Dialect) -> Table:
-    return Table(df, d, study, d.domain[2:4] if d.domain.startswith("AP") and len(d.domain) >= 4 else d.domain[:2])
+    return Table(df, d, study, wildcard(d))

@@ -23,6 +23,11 @@ def kind_of(t: T.DataType) -> str:
     return "bool" if isinstance(t, T.BooleanType) else "text"
 
 
+def wildcard(d: Dataset) -> str:
+    """What ``--`` stands for in the names of a dataset's variables."""
+    return d.domain[2:4] if d.domain.startswith("AP") and len(d.domain) >= 4 else d.domain[:2]
+
+
 #: A key with more rows than this is a hub, so there are as many hubs as that goes into the rows, at most.
 HUB_ROWS = 1_000_000
 

@@ -44,10 +44,19 @@ BASES = {
 }
 
 
-def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _as_read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, sql = BASES[name]
-    df = spark.sql(sql, t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-    return normal_types(df).withColumn(RECORD, F.col("id") + 1)
+    return spark.sql(sql, t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return normal_types(_as_read(spark, sf_dir, name)).withColumn(RECORD, F.col("id") + 1)
+
+
+def base_dataset(spark: SparkSession, sf_dir: str, name: str) -> Dataset:
+    """A base as a dataset of its name, with the rows as they are read."""
+    raw = _as_read(spark, sf_dir, name).withColumn(RECORD, F.col("id") + 1)
+    return Dataset(name.upper(), normal_types(raw), raw=raw)
 
 
 def base_sql(name: str) -> str:
@@ -59,7 +68,7 @@ def flagged(df: DataFrame, rule: Rule, study: Study | None = None, keys: tuple[s
     """The keys of the rows that violate a rule."""
     study = study or Study()
     data = data or Dataset("T", df)
-    rows = match(early(df, rule, data), rule, data, study) if rule.match_datasets else df
+    rows = match(early(df, [rule], data), rule, data, study) if rule.match_datasets else df
     table = Table(rows, data, study, "T")
     verdict = table.add(Compiler(table, study, rule.dialect).rule(rule)[0])
     sure = table.settled(F.coalesce(verdict, F.lit(False)))
@@ -268,7 +277,7 @@ def ship_before_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         match_datasets=[{"Name": "ORDERS", "Keys": [{"Left": "l_orderkey", "Right": "o_orderkey"}]}],
     )
     data = Dataset("LINEITEM", items, raw=raw)
-    table = Table(match(early(items, rule, data), rule, data, study), data, study, "LI")
+    table = Table(match(early(items, [rule], data), rule, data, study), data, study, "LI")
     verdict = table.add(Compiler(table, study, Dialect.CDISC).rule(rule)[0])
     sure = table.settled(F.coalesce(verdict, F.lit(False)))
     hits = table.df.filter(sure)
@@ -420,8 +429,7 @@ def _study_run(spark: SparkSession, sf_dir: str, most: int | None):
     """Two rules fused over events and one over orders."""
     from .runner import run
 
-    events, orders = base(spark, sf_dir, "events"), base(spark, sf_dir, "orders")
-    study = Study({"EVENTS": Dataset("EVENTS", events), "ORDERS": Dataset("ORDERS", orders)})
+    study = Study({n.upper(): base_dataset(spark, sf_dir, n) for n in ("events", "orders")})
     on = {"Include": ["EVENTS"]}
     rules = [
         Rule("EV1", {"name": "tb", "operator": "empty"}, output=["id", "tb"], domains=on, message="Type is required"),

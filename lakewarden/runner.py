@@ -177,9 +177,9 @@ def _run_group(some: list[Rule], d: Dataset, study: Study, hits: list, skipped:
 
     def table_of():
         rows = build(first, d, study)
-        if first.match_datasets:
-            rows = match(early(rows, first, d) if len(some) == 1 else rows, first, d, study)
-        return as_table(rows, d, study, dialect)
+        if first.rule_type == "Record Data":
+            rows = early(rows, some, d)
+        return as_table(match(rows, first, d, study), d, study, dialect)
 
     try:
         done, table, failed = compile_rules(some, table_of, study, dialect)

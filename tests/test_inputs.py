@@ -136,11 +136,11 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
     d = parquet(spark, str(tmp_path / "ae"), "AE")
     rule = Rule("R", {"all": [leaf("AETERM", "equal_to", "x", value_is_literal=True), leaf("KEY", "less_than", 9)]}, match_datasets=[{}])
-    rows = early(d.df, rule, d)
+    rows = early(d.df, [rule], d)
     assert [(r.AETERM, r.KEY, r["__record"]) for r in rows.collect()] == [("x", 1, 1)]
     assert "EqualTo(AETERM,x)" in rows._jdf.queryExecution().toString()
     whole = Rule("R", {"all": [leaf("AETERM", "equal_to", "x", value_is_literal=True), leaf("AETERM", "is_not_unique_set", ["KEY"])]}, match_datasets=[{}])
-    assert early(d.df, whole, d) is d.df
+    assert early(d.df, [whole], d) is d.df
 
 
 def test_check_dataset_of_a_csv(spark, tmp_path):
