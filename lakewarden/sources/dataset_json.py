@@ -10,36 +10,29 @@ from pyspark.sql import functions as F
 
 from ..model import RECORD, Dataset, VariableMeta
 from .frame import with_record
+from .json_rows import read_rows
 
 #: Data types of the format that hold numbers (fixed values).
 _NUMBERS = {"integer", "float", "double", "decimal"}
 
 
-#: What is read of a dataset (fixed names).
-_ABOUT = "datasetJSONVersion string, name string, label string, records bigint, columns array<struct<name: string, label: string, dataType: string, targetDataType: string, length: int>>"
-
-
 def read_dataset_json(spark: SparkSession, path: str | Path) -> Dataset:
-    """One dataset. The line form is read row by row of the file; the other, one document, by one task; the driver sees the head alone."""
+    """One dataset. Rows are read by many tasks, in the line form as lines and else by byte ranges; the driver sees what stands beside them."""
     path = Path(path)
-    lines = path.suffix == ".ndjson"
-    if lines:
-        about = json.loads(spark.read.text(str(path)).first()[0])
-        document = None
+    if path.suffix == ".ndjson":
+        about, n = json.loads(spark.read.text(str(path)).first()[0]), None
+        read = with_record(spark.read.text(str(path))).filter(F.col(RECORD) > 1).withColumn(RECORD, F.col(RECORD) - 1)
     else:
-        document = spark.read.schema(f"{_ABOUT}, rows array<array<string>>").option("multiLine", True).json(str(path))
-        about = document.select("name", "label", "records", "columns", F.coalesce(F.size("rows"), F.lit(0)).alias("n")).first().asDict(recursive=True)
+        about, read, n = read_rows(spark, path)
+        read = read.withColumnRenamed("record", RECORD)
     columns = about["columns"]
     numeric = [c.get("dataType") in _NUMBERS and c.get("targetDataType") in (None, "integer", "decimal") for c in columns]
     names = [c["name"] for c in columns]
-    if document is None:
-        numbered = with_record(spark.read.text(str(path))).filter(F.col(RECORD) > 1)
-        rows = numbered.select(F.from_json("value", "array<string>").alias("cells"), (F.col(RECORD) - 1).alias(RECORD))
-    else:
-        rows = document.select(F.posexplode("rows").alias("at", "cells")).select("cells", (F.col("at") + 1).cast("bigint").alias(RECORD))
+    broken = F.raise_error(F.concat(F.lit(f"{path.name}: no JSON in row "), F.col(RECORD).cast("string")))
+    rows = read.select(F.coalesce(F.from_json("value", "array<string>"), broken).alias("cells"), RECORD)
     cells = [F.get("cells", F.lit(i)) for i in range(len(names))]
     df = rows.select(*((c.try_cast("double") if k else F.coalesce(c, F.lit(""))).alias(n) for c, n, k in zip(cells, names, numeric)), RECORD)
-    n = df.count() if document is None else max(0, about["n"])
+    n = df.count() if n is None else n
     if about.get("records") is not None and int(about["records"]) != n:
         raise ValueError(f"{path.name} declares {about['records']} records and holds {n}")
     metas = [VariableMeta(c["name"], c.get("label") or "", "Num" if k else "Char", c.get("length")) for c, k in zip(columns, numeric)]

@@ -13,6 +13,7 @@ from ..model import Dataset, Study
 from . import frame
 from .dataset_json import read_dataset_json
 from .define_xml import read_define, read_stf
+from .json_rows import head
 from .sas7bdat import read_sas7bdat
 from .tables import read_csv
 from .usdm import read_usdm
@@ -53,12 +54,18 @@ def _is_usdm(text: str) -> bool:
     return re.search(r'"usdmVersion"\s*:|"study"\s*:\s*\{', text) is not None
 
 
+def _holds_usdm(path: Path) -> bool:
+    """A document with a list of rows is a dataset, and is read up to there."""
+    text, rows = head(str(path))
+    return not rows and _is_usdm(text.decode("utf-8", "replace"))
+
+
 def read_folder(spark: SparkSession, folder: str | Path, entities: dict[str, str] | None = None) -> Study:
     folder = Path(folder)
     if not folder.is_dir():
         raise FileNotFoundError(f"no such folder: {folder}")
     files = sorted(folder.iterdir())
-    documents = [p for p in files if p.suffix == ".json" and _is_usdm(p.read_text(encoding="utf-8", errors="replace"))]
+    documents = [p for p in files if p.suffix == ".json" and _holds_usdm(p)]
     if documents:
         if len(documents) > 1:
             raise ValueError("a folder must hold one USDM document")
