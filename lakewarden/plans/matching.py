@@ -2,8 +2,8 @@
 
 A joined row keeps the record number of the row it came from, so a record with
 any violating joined row counts once. Which tables and keys a dynamic join needs
-is read from the few distinct (RDOMAIN, IDVAR) pairs; the joins themselves are a
-static union of equi-joins.
+is read from the few distinct (RDOMAIN, IDVAR) pairs; records then stand once per
+key variable, and all are joined at once.
 """
 
 from __future__ import annotations
