@@ -1,7 +1,9 @@
-"""A single CSV file as a dataset: read by Spark, with types found in one pass over it."""
+"""A single CSV file as a dataset: cut at rows, parsed by Spark, with types found in one pass over it."""
 
 from __future__ import annotations
 
+import csv
+import io
 from collections import Counter
 from pathlib import Path
 
@@ -10,66 +12,48 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..model import RECORD, Dataset, VariableMeta
-from .frame import with_record
-from .testcase import make_dataset, read_csv_rows
+from .csv_rows import read_rows
+from .testcase import make_dataset
 
 _BAD = "__bad"
 #: A text in a quoted field may hold line ends, and a quote is doubled.
-_OPTIONS = {"multiLine": True, "escape": '"', "enforceSchema": True, "columnNameOfCorruptRecord": _BAD}
+_OPTIONS = {"escape": '"', "columnNameOfCorruptRecord": _BAD, "maxCharsPerColumn": "-1", "maxColumns": "100000"}
 
 
 def _needless_zero(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"^[+-]+", "").rlike(r"^0\d")
 
 
-def _guess(head: list[str], rows: list[list[str]]) -> list[VariableMeta]:
-    """Numbers where every filled value is one and none begins with a needless zero."""
-
-    def numeric(i: int) -> bool:
-        seen = [r[i].strip() for r in rows if r[i].strip()]
-        if not seen or any(len(s.lstrip("+-")) > 1 and s.lstrip("+-")[0] == "0" and s.lstrip("+-")[1].isdigit() for s in seen):
-            return False
-        try:
-            return all(float(s) == float(s) for s in seen)
-        except ValueError:
-            return False
-
-    return [VariableMeta(h, "", "Num" if numeric(i) else "Char") for i, h in enumerate(head)]
-
-
 def read_csv(spark: SparkSession, path: str | Path, name: str) -> Dataset:
     """A column is a number if every filled value is one and none begins with a needless zero.
 
-    Rows with another number of fields than the header are refused. A file that is
-    no UTF-8 is taken for Windows-1252, which Spark does not read, and decoded on the driver.
+    Rows with another number of fields than the header are refused. Rows are read by
+    many tasks (``csv_rows``); a file that is no UTF-8 is taken for Windows-1252.
     """
-    first = spark.read.options(**_OPTIONS).csv(str(path)).first()
+    first, read = read_rows(spark, path)
     if first is None:
         return make_dataset(spark, name, [], [], [])
-    head = [("" if c is None else c).lstrip("\ufeff") for c in first if c is not None]
+    head = [h for h in next(csv.reader(io.StringIO(first, newline=""))) if h]
     twice = [n for n, k in Counter(h.upper() for h in head).items() if k > 1]
     if twice:
         raise ValueError(f"columns whose names are the same: {', '.join(sorted(twice))}")
     schema = ", ".join([*(f"`{h}` string" for h in head), f"{_BAD} string"])
-    rows = with_record(spark.read.options(**_OPTIONS, header=True).schema(schema).csv(str(path)))
+    rows = read.select(F.from_csv("value", schema, _OPTIONS).alias("cells"), F.col("record").alias(RECORD)).select("cells.*", RECORD)
     texts = {h: F.coalesce(F.col(f"`{h}`"), F.lit("")) for h in head}
     tests = []
     for i, c in enumerate(texts.values()):
         filled = F.trim(c) != ""
-        tests += [F.bool_and(F.when(filled, tx.number(c).isNotNull() & ~_needless_zero(c))).alias(f"n{i}"), F.bool_or(F.contains(c, F.lit("\ufffd"))).alias(f"u{i}")]
+        tests.append(F.bool_and(F.when(filled, tx.number(c).isNotNull() & ~_needless_zero(c))).alias(f"n{i}"))
     for key in ("DOMAIN", "RDOMAIN"):
         c = texts.get(key, F.lit(""))
         tests.append(F.min_by(F.trim(c), F.when(F.trim(c) != "", F.col(RECORD))).alias(key))
     anything = F.concat(*texts.values())
     ragged = F.col(_BAD).isNotNull() & (F.trim(anything) != "")
-    about = rows.agg(*tests, F.min(F.when(ragged, F.col(RECORD))).alias("ragged")).first()
-    if any(about[f"u{i}"] for i in range(len(head))):
-        cols, data = read_csv_rows(Path(path))
-        return make_dataset(spark, name, cols, data, _guess(cols, data))
+    about = rows.agg(*tests, F.min(F.when(ragged, F.col(RECORD))).alias("ragged"), F.count(_BAD).alias("blank")).first()
     if about["ragged"] is not None:
         raise ValueError(f"{Path(path).name}: row {about['ragged'] + 1} has another number of fields than the header")
     numeric = [about[f"n{i}"] is True for i in range(len(head))]
     typed = [(tx.number(c) if n else c).alias(h) for (h, c), n in zip(texts.items(), numeric)]
-    df = rows.filter(F.col(_BAD).isNull()).select(*typed, RECORD)
+    df = (rows.filter(F.col(_BAD).isNull()) if about["blank"] else rows).select(*typed, RECORD)
     metas = [VariableMeta(h, "", "Num" if n else "Char") for h, n in zip(head, numeric)]
     return Dataset(name.upper(), df, metas, domain_value=about["DOMAIN"] or "", rdomain_value=about["RDOMAIN"] or "")
