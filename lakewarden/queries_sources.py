@@ -152,16 +152,27 @@ def source_define_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, label string, length double, mandatory string, place bigint")
 
 
-@_query("source_folder", "SELECT * FROM (VALUES ('AE', '.xpt'), ('CU', '.json'), ('DM', '.csv')) t(dataset, form)")
+@_query("source_folder", """SELECT left(c_mktsegment, 2) AS dataset, CASE WHEN c_mktsegment < 'C' THEN '.xpt' WHEN c_mktsegment < 'G' THEN '.json' ELSE '.csv' END AS form, CAST(count(*) AS BIGINT) AS records,
+CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_mktsegment >= 'G' OR c_custkey % CASE WHEN c_mktsegment < 'C' THEN 2 ELSE 3 END = 0 GROUP BY c_mktsegment""")
 def source_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of several forms of one dataset the first in order is read."""
-    folder, fields = _folder(spark), [VariableMeta("A", "", "Char", 2)]
-    for name in ("ae", "cu", "dm"):
-        (folder / f"{name}.csv").write_text("A\nx\n")
-    (folder / "cu.json").write_text(json.dumps(_json_head() | {"records": 0, "rows": []}))
-    write_xpt(str(folder / "ae.xpt"), "AE", fields, [("x",)])
-    found = study_folder.read_folder(spark, folder).datasets
-    return spark.createDataFrame([(n, Path(d.file_name or "x.csv").suffix) for n, d in found.items()], "dataset string, form string")
+    """A dataset per market segment, as CSV; of several forms of one dataset the first in order is read, which holds fewer customers here."""
+    folder, key = _folder(spark), VariableMeta("K", "Key", "Num", 8)
+    segments: dict[str, list[int]] = {}
+    for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment", "c_custkey").orderBy("c_custkey").collect():  # sample files are written on the driver
+        segments.setdefault(r["c_mktsegment"], []).append(r["c_custkey"])
+    for segment, keys in segments.items():
+        path = folder / segment[:2].lower()
+        path.with_suffix(".csv").write_text("K\n" + "".join(f"{k}\n" for k in keys))
+        if segment < "G":
+            rows = [[k] for k in keys if k % 3 == 0]
+            path.with_suffix(".json").write_text(json.dumps({"datasetJSONVersion": "1.1.0", "name": segment[:2], "label": segment, "columns": [{"itemOID": "K", "name": "K", "label": "Key", "dataType": "integer"}], "records": len(rows), "rows": rows}))
+        if segment < "C":
+            write_xpt(str(path.with_suffix(".xpt")), segment[:2], [key], [(k,) for k in keys if k % 2 == 0], segment)
+    out = None
+    for name, d in study_folder.read_folder(spark, folder).datasets.items():
+        one = d.df.agg(F.lit(name).alias("dataset"), F.lit(Path(d.file_name or "x.csv").suffix).alias("form"), F.count(F.lit(1)).alias("records"), F.sum("K").cast("bigint").alias("keys"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 # Scope, planning and results.
@@ -228,21 +239,31 @@ def value_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, [rule], _events(spark, sf_dir), None).findings.select("Record", "Variable", "Value")
 
 
-@_query("scope_predicates", """SELECT * FROM (VALUES ('all', 'AE'), ('all', 'DM'), ('all', 'SUPPAE'), ('all', 'VS'), ('pattern', 'SUPPAE'), ('exclude', 'DM'), ('exclude', 'SUPPAE'), ('exclude', 'VS'), ('class', 'AE'), ('findings', 'VS'), ('named', 'DM'), ('entity', 'VS'), ('use case', 'AE')) t(rule_id, dataset)""")
+_SCOPED = [("all", "AE"), ("all", "DM"), ("all", "SUPPAE"), ("all", "VS"), ("pattern", "SUPPAE"), ("exclude", "DM"), ("exclude", "SUPPAE"), ("exclude", "VS"), ("class", "AE"), ("findings", "VS"), ("named", "DM"), ("entity", "VS"), ("use case", "AE")]
+#: Table, key and the column that tells the class.
+_SCOPES = {"AE": ("events", "event_id", "event_type AS AETERM"), "DM": ("customer", "c_custkey", "c_mktsegment AS SEX"), "VS": ("part", "p_partkey", "p_type AS VSTESTCD"), "SUPPAE": ("orders", "o_orderkey", "o_orderpriority AS QNAM")}
+
+
+@_query("scope_predicates", "SELECT rule_id, t.dataset, n AS findings FROM (VALUES " + ", ".join(map(str, _SCOPED)) + ") t(rule_id, dataset) JOIN ("
+        + " UNION ALL ".join(f"SELECT '{d}' AS dataset, CAST(count(*) AS BIGINT) AS n FROM {t} WHERE {k} % 10 < 3" for d, (t, k, _) in _SCOPES.items()) + ") c ON t.dataset = c.dataset WHERE n > 0")
 def scope_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which rules apply to which datasets: by domain, pattern, class (from its table or a topic variable), entity and use case."""
+    """Findings of one check by rules of unlike scope: by domain, pattern, class (from its table or a topic variable), entity and use case."""
+
+    def data(name: str, table: str, key: str, column: str) -> Dataset:
+        return Dataset(name, spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(column, f"CAST({key} % 10 AS DOUBLE) AS K", f"CAST({key} AS BIGINT) AS {RECORD}"), domain_value=name)
+
+    s = Study({n: data(n, *c) for n, c in _SCOPES.items()}, use_case="INDH", library=Library(domain_classes={"DM": "Special Purpose"}))
 
-    def data(name: str, column: str) -> Dataset:
-        return Dataset(name, spark.createDataFrame([("x", 1)], f"{column} string, {RECORD} bigint"), domain_value=name)
+    def rule(name: str, **scope: object) -> Rule:
+        return Rule(name, {"name": "K", "operator": "less_than", "value": 3}, output=["K"], **scope)
 
-    s = Study({n: data(n, c) for n, c in (("AE", "AETERM"), ("DM", "SEX"), ("VS", "VSTESTCD"), ("SUPPAE", "QNAM"))}, use_case="INDH", library=Library(domain_classes={"DM": "Special Purpose"}))
-    some = {"name": "zz", "operator": "not_exists"}
     rules = [
-        Rule("all", some, domains={"Include": ["ALL"]}), Rule("pattern", some, domains={"Include": ["SUPP--"]}), Rule("exclude", some, domains={"Exclude": ["AE"]}), Rule("class", some, classes={"Include": ["EVENTS"]}),
-        Rule("findings", some, classes={"Include": ["Findings"]}), Rule("named", some, domains={"Include": ["DM"]}, classes={"Include": ["SPECIAL PURPOSE"]}), Rule("entity", some, entities={"Include": ["VS"]}),
-        Rule("use case", some, domains={"Include": ["AE"]}, use_cases=["INDH"]), Rule("other case", some, use_cases=["PROD"]),
+        rule("all", domains={"Include": ["ALL"]}), rule("pattern", domains={"Include": ["SUPP--"]}), rule("exclude", domains={"Exclude": ["AE"]}), rule("class", classes={"Include": ["EVENTS"]}),
+        rule("findings", classes={"Include": ["Findings"]}), rule("named", domains={"Include": ["DM"]}, classes={"Include": ["SPECIAL PURPOSE"]}), rule("entity", entities={"Include": ["VS"]}),
+        rule("use case", domains={"Include": ["AE"]}, use_cases=["INDH"]), rule("other case", use_cases=["PROD"]),
     ]
-    return spark.createDataFrame(run(spark, rules, s, None).info["ran"], "rule_id string, dataset string")
+    found = run(spark, rules, s, None).findings
+    return found.groupBy("rule_id", F.col("Dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("findings"))
 
 
 @_query("sink_csv", f"SELECT 'EV1' AS rule_id, id + 1 AS record, 'tb' AS variable FROM ({base_sql('events')}) e WHERE tb = ''")
