@@ -96,17 +96,36 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     return Study(datasets, define(spark, sf_dir), stf, "sdtmct-2024-03-29", "SDTMIG", "3.4", library=library(spark, sf_dir))
 
 
+def nations(spark: SparkSession, sf_dir: str) -> Study:
+    """A dataset of customers per nation: its domain is that of the region (the last region's have none), those of region 1 have a balance, and the file's size is told by its customers.
+
+    The guide knows the nations' domains by class.
+    """
+    customers, places = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
+    per = customers.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    rows = places.join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey")).join(per, "n_nationkey", "left").orderBy("n_nationkey").collect()  # 25 rows
+    datasets = {}
+    for r in rows:
+        own = customers.filter(F.col("c_nationkey") == r["n_nationkey"])
+        df = own.select("c_custkey", *(["c_acctbal"] if r["n_regionkey"] == 1 else []), F.col("c_custkey").cast("bigint").alias(RECORD))
+        domain = r["r_name"][:2] if r["n_regionkey"] < 4 else ""
+        datasets[r["n_name"]] = Dataset(r["n_name"], df, label=r["r_name"], file_size=100 * (r["customers"] or 0), file_name=f"{r['n_name'].lower()}.xpt", domain_value=domain)
+    guide = [{"standard": "SDTMIG", "version": "3-4", "domain": r["n_name"], "variable": "c_custkey", "label": "Key", "role": "Identifier", "type": "Num", "core": "Req", "ordinal": 1} for r in rows]
+    return Study(datasets, product="SDTMIG", version="3.4", library=Library(guide, domain_classes={r["n_name"]: _CLASS[r["n_nationkey"] % 3] for r in rows}))
+
+
 def _operand(s: Study, operation: Operation, name: str = "EV", core1: bool = False, df: DataFrame | None = None):
     d = s.get(name)
     table = Table(d.df if df is None else df, d, s, "EV")
     return table, materialised(compute(operation, table, s, Dialect.CORE1 if core1 else Dialect.CDISC), table)
 
 
-def listed(operator: str, options: dict, core1: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def listed(operator: str, options: dict, core1: bool = False, of: Callable[[SparkSession, str], Study] = study, name: str = "EV") -> Callable[[SparkSession, str], DataFrame]:
     """What an operation gives for the dataset as a whole: one row per member, in order."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table, found = _operand(study(spark, sf_dir), Operation("$v", operator, options), core1=core1)
+        table, found = _operand(of(spark, sf_dir), Operation("$v", operator, options), name, core1)
         if found.values is None:  # joined to each row
             return table.df.limit(1).select(F.posexplode(found.col).alias("place", "member")).select(F.col("place").cast("bigint").alias("place"), "member")
         column = found.col if found.is_set else F.array(found.text())
@@ -263,16 +282,18 @@ _add("op_get_column_order_from_library", listed("get_column_order_from_library",
 _add("op_get_model_column_order", listed("get_model_column_order", {}), _list_sql(_MODEL_NAME, "nation", "n_nationkey % 3, -n_nationkey"))
 _add("op_get_model_filtered_variables", listed("get_model_filtered_variables", {"key_name": "role", "key_value": "timing"}), _list_sql(_MODEL_NAME, "nation WHERE n_regionkey % 3 = 2", "n_nationkey % 3, -n_nationkey"))
 _add("op_get_dataset_filtered_variables", listed("get_dataset_filtered_variables", {"key_name": "type", "key_value": "Char"}), _literal("EVNAME", "EVTERM"))
-_add("op_standard_domains", listed("standard_domains", {}), _literal("EV", "CU"))
-_add("op_standard_domains_class", listed("standard_domains", {"domain_class": "Events"}), _literal("EV"))
-_add("op_study_domains", listed("study_domains", {}), _literal("", "CU", "EV"))
-_add("op_study_domains_core1", listed("study_domains", {}, True), _literal("CU", "DM", "EV"))
-_add("op_dataset_names", listed("dataset_names", {}), _literal("CU", "DM", "EV"))
+_OF = {"of": nations, "name": "NATION_7"}
+_SEVENTH = "n_name = 'NATION_7'"
+_add("op_standard_domains", listed("standard_domains", {}, **_OF), _list_sql("n_name", "nation", "n_nationkey"))
+_add("op_standard_domains_class", listed("standard_domains", {"domain_class": "Events"}, **_OF), _list_sql("n_name", "nation WHERE n_nationkey % 3 = 1", "n_nationkey"))
+_add("op_study_domains", listed("study_domains", {}, **_OF), _list_sql("d", "(SELECT DISTINCT CASE WHEN r_regionkey < 4 THEN left(r_name, 2) ELSE '' END AS d FROM nation JOIN region ON n_regionkey = r_regionkey) x", "d"))
+_add("op_study_domains_core1", listed("study_domains", {}, True, **_OF), _list_sql("d", "(SELECT DISTINCT CASE WHEN r_regionkey < 4 THEN left(r_name, 2) ELSE n_name END AS d FROM nation JOIN region ON n_regionkey = r_regionkey) x", "d"))
+_add("op_dataset_names", listed("dataset_names", {}, **_OF), _list_sql("n_name", "nation", "n_name"))
 _add("op_domain_is_custom", listed("domain_is_custom", {}), _literal("false"))
 _add("op_domain_label", listed("domain_label", {}), "SELECT CAST(0 AS BIGINT) AS place, r_name AS member FROM region WHERE r_regionkey = 2")
-_add("op_variable_count", listed("variable_count", {"name": "EVK"}), _literal("2"))
-_add("op_extract_metadata", listed("extract_metadata", {"name": "dataset_size"}), _literal("4096"))
-_add("op_extract_metadata_name", listed("extract_metadata", {"name": "dataset_name"}), _literal("EV"))
+_add("op_variable_count", listed("variable_count", {"name": "c_acctbal"}, **_OF), "SELECT CAST(0 AS BIGINT) AS place, CAST(count(*) AS STRING) AS member FROM nation WHERE n_regionkey = 1")
+_add("op_extract_metadata", listed("extract_metadata", {"name": "dataset_size"}, **_OF), f"SELECT CAST(0 AS BIGINT) AS place, CAST(100 * count(c_custkey) AS STRING) AS member FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE {_SEVENTH}")
+_add("op_extract_metadata_name", listed("extract_metadata", {"name": "dataset_name"}, **_OF), f"SELECT CAST(0 AS BIGINT) AS place, n_name AS member FROM nation WHERE {_SEVENTH}")
 _add("op_get_countries", listed("get_countries", {"attribute_name": "name"}), _list_sql("n_name", "nation", "n_nationkey"))
 _add("op_get_parent_model_column_order", per_row("get_parent_model_column_order", {}), _row_sql(f"CASE upper(RDOMAIN) WHEN 'EV' THEN (SELECT string_agg({_MODEL_NAME}, ',' ORDER BY n_nationkey % 3, -n_nationkey) FROM nation) ELSE '' END"))
 _add("op_referenced_domain_variable_names", per_row("referenced_domain_variable_names", {"name": "RDOMAIN"}), _row_sql(f"CASE upper(RDOMAIN) WHEN 'EV' THEN '{','.join(c.upper() for c in _EV_COLUMNS)}' WHEN 'CU' THEN '{','.join(c.upper() for c in _CU_COLUMNS)}' ELSE '' END"))
