@@ -127,6 +127,17 @@ def melt(hits: DataFrame) -> DataFrame:
     return hits.select("Dataset", "Record", "USUBJID", "SEQ", F.explode("values").alias("v"), "issue", "rule_id").select("Dataset", "Record", "USUBJID", "SEQ", "v.Variable", "v.Value", "issue", F.lit(None).cast("string").alias("triage"), "rule_id")
 
 
+def with_texts(findings: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts (rule_id, Dataset, Variable, Value) of sets of a whole dataset, put into the findings that report them.
+
+    They come last, as triage does not look at bindings, so no pass or shuffle carries a text per violating row.
+    """
+    keys = ["rule_id", "Dataset", "Variable"]
+    # A row per rule and set that it reports, of bounded length, is broadcast.
+    found = findings.join(F.broadcast(texts.select(*keys, F.col("Value").alias("__text"))), keys, "left")
+    return found.withColumn("Value", F.coalesce("__text", "Value")).select(*FINDING_COLUMNS)
+
+
 def capped(hits: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
     """At most ``most`` records per (rule, dataset), and the true counts of those cut.
 

@@ -72,3 +72,17 @@ def test_gaps_of_one_missing_set_and_of_sets_per_record(spark):
     assert binding_gaps(out).count() == 0
     plain = Dataset("AE", frame(spark, "S string", [("x",)]))
     assert binding_gaps(run(spark, [Rule("R", leaf("S", "empty"))], Study({"AE": plain}))).count() == 0
+
+
+def test_a_pass_carries_no_text_of_a_set_of_the_dataset(spark):
+    wanted = [(f"name {i}",) for i in range(1500)]
+    s = Study({"AE": dataset(spark, "AE", "N string", wanted), "TV": dataset(spark, "TV", "N string", wanted)})
+    rule = Rule("R", leaf("N", "is_contained_by", "$wanted"), operations=[Operation("$wanted", "distinct", {"name": "N", "domain": "TV"})], output=["N", "$wanted"])
+    out = run(spark, [rule], s, None, ["AE"])
+    assert out.info["passes"][0].selectExpr("max(length(to_json(values)))").first()[0] < 200
+    texts = out.findings.filter("Variable = '$wanted'")
+    assert texts.count() == 1500 and texts.select("Value").distinct().count() == 1
+    text = texts.first().Value
+    assert text.startswith("['name 0', 'name 1', 'name 10', ") and text.endswith(", ... (1500 in all)]") and text.count("'") == 2000
+    assert {r.Value for r in out.findings.filter("Variable = 'N'").collect()} == {w[0] for w in wanted}
+    out.release()
