@@ -1,17 +1,19 @@
 """Registered queries of sources, scope, results and sinks, each with the SQL it must equal.
 
-A source query writes a driver table as a file of one format (through the driver, as
-these are small samples of a format) and reads it with the engine's reader.
+A source query writes a driver table as a file of one format, by tasks, and reads it
+with the engine's reader.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import json
 import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +23,12 @@ from .plans.asof import as_of
 from .queries import BASES, base, base_sql
 from .results import filter_findings, records, summary
 from .runner import run
-from .shared import new_folder, new_path
+from .shared import new_folder, new_path, write_file
 from .sources import dataset_json, define_xml, study_folder
 from .sources.frame import normal_types, parquet
 from .sources.testcase import read_case
 from .sources.usdm import read_usdm
-from .sources.xpt import write_xpt
+from .sources.xpt import front, observations, rest
 from .streaming import violation_counts, violations
 from .streaming.stateful import duplicates, with_counts, without_next
 
@@ -47,10 +49,28 @@ def _folder(spark: SparkSession) -> Path:
     return new_folder(spark, "files")
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> list:
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers in order, as rows for a sample file."""
     table = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy("c_custkey")
-    return table.select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("CUID"), F.concat("c_name", F.lit(', "é"\n')).alias("CUNAME"), "c_acctbal", F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).otherwise("").alias("CUSEG")).collect()
+    return table.select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("CUID"), F.concat("c_name", F.lit(', "é"\n')).alias("CUNAME"), "c_acctbal", F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).otherwise("").alias("CUSEG"))
+
+
+def _tuples(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in batch.columns)))
+
+
+def _csv_text(rows: list) -> bytes:
+    text = io.StringIO(newline="")
+    csv.writer(text).writerows(rows)
+    return text.getvalue().encode()
+
+
+def _write_csv(spark: SparkSession, sf_dir: str, path: Path) -> None:
+    write_file(_customers(spark, sf_dir), path, lambda batch: _csv_text(_tuples(batch)), _csv_text([[v.name for v in _FIELDS]]))
+
+
+def _write_xpt(rows: DataFrame, path: Path, name: str, variables: list[VariableMeta], label: str) -> None:
+    write_file(rows, path, lambda batch: observations(variables, _tuples(batch)), front(name, variables, label), rest(variables, rows.count()))
 
 
 _FIELDS = [VariableMeta("CUID", "Identifier", "Char", 6), VariableMeta("CUNAME", "Name", "Char", 30), VariableMeta("CUBAL", "Balance", "Num", 8), VariableMeta("CUSEG", "Segment", "Char", 10)]
@@ -66,16 +86,14 @@ def _shown(d: Dataset) -> DataFrame:
 @_query("source_csv", _SHOWN.format(6))
 def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark) / "cu.csv"
-    with path.open("w", newline="", encoding="utf-8") as f:
-        csv.writer(f).writerows([[v.name for v in _FIELDS], *(list(r) for r in _customers(spark, sf_dir))])
+    _write_csv(spark, sf_dir, path)
     return _shown(study_folder.read_file(spark, path))
 
 
 @_query("source_test_case", _SHOWN.format(6))
 def source_test_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
-    with (folder / "cu.csv").open("w", newline="", encoding="utf-8") as f:
-        csv.writer(f).writerows([[v.name for v in _FIELDS], *(list(r) for r in _customers(spark, sf_dir))])
+    _write_csv(spark, sf_dir, folder / "cu.csv")
     (folder / "_datasets.csv").write_text("Filename,Label\ncu.csv,Customers\n")
     (folder / "_variables.csv").write_text("dataset,variable,label,type,length\n" + "".join(f"cu.csv,{v.name},{v.label},{v.type},{v.length}\n" for v in _FIELDS))
     (folder / "_env").write_text("PRODUCT=sdtmig\nVERSION=3-4\n")
@@ -85,8 +103,8 @@ def source_test_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("source_xpt", _SHOWN.format(1))
 def source_xpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark) / "cu.xpt"
-    rows = [(r["CUID"], r["CUNAME"].split(",")[0] + ",", r["c_acctbal"], r["CUSEG"]) for r in _customers(spark, sf_dir)]
-    write_xpt(str(path), "CU", _FIELDS, rows, "Customers")
+    rows = _customers(spark, sf_dir).withColumn("CUNAME", F.concat(F.substring_index("CUNAME", ",", 1), F.lit(",")))
+    _write_xpt(rows, path, "CU", _FIELDS, "Customers")
     return _shown(study_folder.read_file(spark, path))
 
 
@@ -96,15 +114,17 @@ def _json_head() -> dict:
 
 @_query("source_dataset_json", _SHOWN.format(6))
 def source_dataset_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, rows = _folder(spark) / "cu.json", [list(r) for r in _customers(spark, sf_dir)]
-    path.write_text(json.dumps(_json_head() | {"records": len(rows), "rows": rows}, indent=1), encoding="utf-8")
+    path, rows = _folder(spark) / "cu.json", _customers(spark, sf_dir)
+    before, after = json.dumps(_json_head() | {"records": rows.count(), "rows": []}, indent=1).encode().rsplit(b"]", 1)
+    write_file(rows, path, lambda batch: b"".join(b",\n  " + json.dumps(r, indent=1).replace("\n", "\n  ").encode() for r in _tuples(batch)), before, b"\n ]" + after, skip=1)
     return _shown(dataset_json.read_dataset_json(spark, path))
 
 
 @_query("source_ndjson", _SHOWN.format(6))
 def source_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, rows = _folder(spark) / "cu.ndjson", [list(r) for r in _customers(spark, sf_dir)]
-    path.write_text("\n".join(json.dumps(x) for x in (_json_head() | {"records": len(rows)}, *rows)) + "\n", encoding="utf-8")
+    path, rows = _folder(spark) / "cu.ndjson", _customers(spark, sf_dir)
+    head = json.dumps(_json_head() | {"records": rows.count()}).encode() + b"\n"
+    write_file(rows, path, lambda batch: b"".join(json.dumps(r).encode() + b"\n" for r in _tuples(batch)), head)
     return _shown(dataset_json.read_dataset_json(spark, path))
 
 
@@ -157,17 +177,17 @@ CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_mktsegment >= 'G' O
 def source_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dataset per market segment, as CSV; of several forms of one dataset the first in order is read, which holds fewer customers here."""
     folder, key = _folder(spark), VariableMeta("K", "Key", "Num", 8)
-    segments: dict[str, list[int]] = {}
-    for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment", "c_custkey").orderBy("c_custkey").collect():  # sample files are written on the driver
-        segments.setdefault(r["c_mktsegment"], []).append(r["c_custkey"])
-    for segment, keys in segments.items():
-        path = folder / segment[:2].lower()
-        path.with_suffix(".csv").write_text("K\n" + "".join(f"{k}\n" for k in keys))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    for (segment,) in customers.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect():  # a row per segment
+        path, keys = folder / segment[:2].lower(), customers.filter(F.col("c_mktsegment") == segment).select("c_custkey").orderBy("c_custkey")
+        write_file(keys, path.with_suffix(".csv"), lambda batch: "".join(f"{k}\n" for (k,) in _tuples(batch)).encode(), b"K\n")
         if segment < "G":
-            rows = [[k] for k in keys if k % 3 == 0]
-            path.with_suffix(".json").write_text(json.dumps({"datasetJSONVersion": "1.1.0", "name": segment[:2], "label": segment, "columns": [{"itemOID": "K", "name": "K", "label": "Key", "dataType": "integer"}], "records": len(rows), "rows": rows}))
+            rows = keys.filter("c_custkey % 3 = 0")
+            about = {"datasetJSONVersion": "1.1.0", "name": segment[:2], "label": segment, "columns": [{"itemOID": "K", "name": "K", "label": "Key", "dataType": "integer"}], "records": rows.count(), "rows": []}
+            before, after = json.dumps(about).encode().rsplit(b"]", 1)
+            write_file(rows, path.with_suffix(".json"), lambda batch: b"".join(b", " + json.dumps(r).encode() for r in _tuples(batch)), before, b"]" + after, skip=2)
         if segment < "C":
-            write_xpt(str(path.with_suffix(".xpt")), segment[:2], [key], [(k,) for k in keys if k % 2 == 0], segment)
+            _write_xpt(keys.filter("c_custkey % 2 = 0"), path.with_suffix(".xpt"), segment[:2], [key], segment)
     out = None
     for name, d in study_folder.read_folder(spark, folder).datasets.items():
         one = d.df.agg(F.lit(name).alias("dataset"), F.lit(Path(d.file_name or "x.csv").suffix).alias("form"), F.count(F.lit(1)).alias("records"), F.sum("K").cast("bigint").alias("keys"))

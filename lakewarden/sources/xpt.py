@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -157,8 +157,8 @@ class XptDataSource(DataSource):
         return _Reader(self.options["path"])
 
 
-def write_xpt(path: str, name: str, variables: list[VariableMeta], rows: list[tuple], label: str = "") -> None:
-    """A transport file of small data; used for exchange and in tests."""
+def front(name: str, variables: list[VariableMeta], label: str = "") -> bytes:
+    """What stands in a transport file before its observations."""
 
     def card(text: bytes) -> bytes:
         return text.ljust(_CARD, b" ")
@@ -171,13 +171,26 @@ def write_xpt(path: str, name: str, variables: list[VariableMeta], rows: list[tu
     out += card(_NAMESTR + b"!!!!!!!000000" + f"{len(variables):04d}".encode() + b"00000000000000000000  ")
     names, at = b"", 0
     for i, v in enumerate(variables):
-        length = 8 if v.type == "Num" else int(v.length or 8)
+        length = _length(v)
         names += struct.pack(">hhhh", 1 if v.type == "Num" else 2, 0, length, i + 1) + v.name.encode().ljust(8) + v.label.encode().ljust(40) + b" " * 8 + bytes(8) + b" " * 8 + bytes(4) + struct.pack(">i", at) + bytes(52)
         at += length
-    out += names + b" " * (-len(names) % _CARD) + card(_OBS + b"!!!!!!!" + zeros)
-    body = b""
-    for r in rows:
-        for v, x in zip(variables, r):
-            body += float_to_ibm(x) if v.type == "Num" else str(x or "").encode().ljust(int(v.length or 8))[: int(v.length or 8)]
+    return out + names + b" " * (-len(names) % _CARD) + card(_OBS + b"!!!!!!!" + zeros)
+
+
+def _length(v: VariableMeta) -> int:
+    return 8 if v.type == "Num" else int(v.length or 8)
+
+
+def observations(variables: list[VariableMeta], rows: Iterable[tuple]) -> bytes:
+    return b"".join(float_to_ibm(x) if v.type == "Num" else str(x or "").encode().ljust(_length(v))[: _length(v)] for r in rows for v, x in zip(variables, r))
+
+
+def rest(variables: list[VariableMeta], n: int) -> bytes:
+    """The blanks that fill the last card behind ``n`` observations."""
+    return b" " * (-n * sum(map(_length, variables)) % _CARD)
+
+
+def write_xpt(path: str, name: str, variables: list[VariableMeta], rows: list[tuple], label: str = "") -> None:
+    """A transport file of small data; used for exchange and in tests."""
     with open(path, "wb") as f:
-        f.write(out + body + b" " * (-len(body) % _CARD))
+        f.write(front(name, variables, label) + observations(variables, rows) + rest(variables, len(rows)))
