@@ -39,26 +39,39 @@ class Range(NamedTuple):
 
 def _quotes(b: np.ndarray, slashes: int) -> np.ndarray:
     """Where texts begin and end: quotes behind an even number of backslashes, ``slashes`` of which may stand before the range."""
-    quote, plain = np.flatnonzero(b == ord('"')), np.flatnonzero(b != ord("\\"))
-    at = np.searchsorted(plain, quote) - 1
-    run = np.where(at >= 0, quote - 1 - plain[np.maximum(at, 0)], quote + slashes) if len(plain) else quote
+    quote, slash = np.flatnonzero(b == ord('"')), np.flatnonzero(b == ord("\\"))
+    if not len(slash):
+        return quote[(quote > 0) | (slashes % 2 == 0)]
+    # Where the run of backslashes around each one begins; one from the first byte on goes on from before the range.
+    head = np.concatenate(([True], np.diff(slash) > 1))
+    begin = slash[head][np.cumsum(head) - 1]
+    begin = np.where(begin == 0, -slashes, begin)
+    at = np.searchsorted(slash, quote) - 1
+    near = (at >= 0) & (slash[np.maximum(at, 0)] == quote - 1)
+    run = np.where(near, quote - begin[np.maximum(at, 0)], np.where(quote == 0, slashes, 0))
     return quote[run % 2 == 0]
 
 
 def _steps(data: bytes, slashes: int, quoted: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes, and the depth after each, from 0."""
+    """The bytes, and the depth after each, from 0. Only the depth takes more than a byte for each of them."""
     b = np.frombuffer(data, np.uint8)
-    turns = np.zeros(len(b), np.int32)
-    turns[_quotes(b, slashes)] = 1
-    within = (np.cumsum(turns, dtype=np.int32) + quoted) & 1
-    step = ((b == ord("[")) | (b == ord("{"))).astype(np.int32) - ((b == ord("]")) | (b == ord("}")))
-    return b, np.cumsum(np.where(within, 0, step), dtype=np.int32)
+    within = np.zeros(len(b), np.uint8)
+    within[_quotes(b, slashes)] = 1
+    np.bitwise_xor.accumulate(within, out=within)
+    step = ((b == ord("[")) | (b == ord("{"))).view(np.int8) - ((b == ord("]")) | (b == ord("}"))).view(np.int8)
+    step[within != quoted] = 0
+    return b, np.cumsum(step, dtype=np.int32)
+
+
+def _turned(depth: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """By how much the depth changes at some bytes."""
+    return depth[at] - np.where(at > 0, depth[at - 1], 0)
 
 
 def _begins(b: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Where lists begin outside texts."""
-    before = np.concatenate(([0], depth[:-1]))
-    return np.flatnonzero((b == ord("[")) & (depth > before))
+    at = np.flatnonzero(b == ord("["))
+    return at[_turned(depth, at) > 0]
 
 
 def _read(path: str, start: int, end: int) -> tuple[bytes, int]:
@@ -140,8 +153,8 @@ def _rows_of(path: str, r: Range) -> list[bytes]:
         starts = starts[(depth[starts] + r.depth == ROWS + 1) & (starts < r.end - r.start)]
         if not len(starts):
             return []
-        before = np.concatenate(([0], depth[:-1]))
-        ends = np.flatnonzero((depth < before) & (depth + r.depth == ROWS))
+        ends = np.flatnonzero((b == ord("]")) | (b == ord("}")))
+        ends = ends[(_turned(depth, ends) < 0) & (depth[ends] + r.depth == ROWS)]
         ends = ends[np.searchsorted(ends, starts[0]) :][: len(starts)]
         if len(ends) == len(starts):
             return [data[s : e + 1] for s, e in zip(starts, ends)]

@@ -74,3 +74,16 @@ def test_damaged_and_empty_documents(spark, monkeypatch, tmp_path):
     path.write_text('{"name": "AE", "columns": [{"name": "A", "dataType": "string"}], "rows": [["a"], [b]]}')
     with pytest.raises(Exception, match="no JSON in row 2"):
         read_dataset_json(spark, path).df.collect()
+
+
+def test_a_range_of_json_takes_few_bytes_of_memory():
+    data = b'\n  [\n   "000001",\n   "a, \\"\\u00e9\\"\\n",\n   1.5\n  ],' * 40_000
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        _, depth = jr._steps(data, 0, 0)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert depth.dtype.itemsize == 4 and depth[-1] == 0 and most < 12 * len(data)
