@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
@@ -32,7 +34,7 @@ def seen(monkeypatch):
     return counts
 
 
-@pytest.mark.parametrize("name", ["source_xpt", "source_csv", "source_test_case", "source_dataset_json", "source_ndjson", "source_folder"])
+@pytest.mark.parametrize("name", ["source_xpt", "source_csv", "source_test_case", "source_dataset_json", "source_ndjson", "source_folder", "sink_csv"])
 def test_rows_do_not_pass_through_the_driver(spark, seen, name):
     found = queries_sources.QUERIES[name](spark, SF)
     most = max(seen, default=0)
@@ -51,3 +53,17 @@ def test_file_of_many_parts(spark, tmp_path, where):
     assert path.read_text() == "[" + ",".join(str(i) for i in range(1000) if i < 100 or i > 900) + "]"
     write_file(rows.filter("id < 0"), path, encode, b"[", b"]", skip=1)
     assert path.read_text() == "[]"
+
+
+def test_findings_written_in_order(spark):
+    path = new_folder(spark, "findings") / "f.csv"
+    from lakewarden import api
+    from lakewarden.runner import run
+
+    result = run(spark, [queries_sources._blank()], queries_sources._events(spark, SF), None)
+    api.write_findings(result, str(path))
+    want = result.findings.orderBy("Dataset", "rule_id", "Record", "Variable").collect()
+    with path.open(newline="", encoding="utf-8") as f:
+        head, *rows = csv.reader(f)
+    assert head == result.findings.columns and rows == [["" if v is None else str(v) for v in r] for r in want]
+    result.release()
