@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,43 +18,73 @@ def _schema(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def duplicates(stream: DataFrame, by: list[str], keys: list[str], time: str | None = None, late: str = "1 hour", horizon_ms: int | None = None) -> DataFrame:
+#: Keys share this many states; one call of Python takes all rows of a state, so calls do not grow with the keys.
+STATES = 1 << 13
+#: Rows that are remembered are kept as text that reads back as it was.
+_AS_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _text(stream: DataFrame, columns: list[str]) -> Column:
+    # Adding zero makes one of the two zeros, which are equal as keys.
+    cells = (F.col(c) + F.lit(0).cast(kind) if (kind := stream.schema[c].dataType.simpleString()) in ("float", "double") else F.col(c) for c in columns)
+    return F.to_json(F.struct(*(x.alias(f"c{i}") for i, x in enumerate(cells))), _AS_TEXT)
+
+
+def _read(stream: DataFrame, columns: list[str], text: str) -> Column:
+    return F.from_json(text, ", ".join(f"c{i} {stream.schema[c].dataType.simpleString()}" for i, c in enumerate(columns)), _AS_TEXT)
+
+
+def duplicates(stream: DataFrame, by: list[str], keys: list[str], time: str | None = None, late: str = "1 hour", horizon_ms: int | None = None, states: int = STATES) -> DataFrame:
     """``keys`` (and ``by``) of all rows whose ``by`` another row has, as ``is_not_unique_set`` finds them in a batch.
 
-    The first row of a key waits in its state and is told when a second one comes; later ones are told at once. With
+    The first row of a key waits in the state and is told when a second one comes; later ones are told at once. With
     a ``horizon_ms`` a key is forgotten that long (of the event time ``time``) after its last row; a row later than
     ``late`` is still compared with what is remembered. Without one, keys are kept for good.
+
+    Keys are dealt by their hash to ``states`` states, each with all that is remembered of its keys: a state is read and
+    written whole when one of its keys has a row. A checkpoint holds for one number of states.
     """
-    shown = list(dict.fromkeys([*by, *keys]))
-    columns = [*shown, *([time] if time else [])]
-    rows = stream.select(*dict.fromkeys(columns))
-    if time:
-        rows = rows.withWatermark(time, late)
+    rest = [c for c in dict.fromkeys(keys) if c not in by]
+    rows = stream.withWatermark(time, late) if time else stream
+    moment = F.unix_millis(F.col(time).cast("timestamp")) if time else F.lit(0).cast("bigint")
+    rows = rows.select(_text(stream, by).alias("k"), (_text(stream, rest) if rest else F.lit("")).alias("v"), moment.alias("ms"), *([F.col(time).alias("t")] if time else []))  # t carries the watermark
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(states)))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        many, first, last = state.get if state.exists else (0, "", 0)
+        # Of each key: its first row until that is told, then nothing; and the moment of its last row.
+        known: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
         for batch in batches:
-            own = batch[shown]
-            if many == 0 and len(own):
-                first = own.iloc[:1].to_json(orient="split", index=False)
-                own, many = own.iloc[1:], 1
-            if len(own):
-                if many == 1:
-                    kept = pd.DataFrame(**{k: v for k, v in json.loads(first).items() if k in ("columns", "data")})
-                    yield kept.astype(own.dtypes.to_dict())
-                yield own
-                many, first = many + len(own), ""
-            if time and len(batch):
-                last = max(last, int(batch[time].max().timestamp() * 1000))
-        state.update((many, first, last))
+            told_k, told_v = [], []
+            for k, v, ms in zip(batch["k"].tolist(), batch["v"].tolist(), batch["ms"].tolist()):
+                ms = 0 if ms != ms else int(ms)  # rows without a time
+                seen = known.get(k)
+                if seen is None:
+                    known[k] = [v, ms]
+                    continue
+                if seen[0] is not None:
+                    told_k.append(k)
+                    told_v.append(seen[0])
+                    seen[0] = None
+                told_k.append(k)
+                told_v.append(v)
+                seen[1] = max(seen[1], ms)
+            if told_k:
+                yield pd.DataFrame({"k": told_k, "v": told_v})
+        if horizon_ms is not None:
+            mark = state.getCurrentWatermarkMs()
+            known = {k: x for k, x in known.items() if x[1] + horizon_ms >= mark}
+            if not known:
+                state.remove()
+                return
+        state.update((json.dumps(known, ensure_ascii=False, separators=(",", ":")),))
         if horizon_ms is not None:
-            state.setTimeoutTimestamp(max(last + horizon_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(min(x[1] for x in known.values()) + horizon_ms, mark + 1))
 
     timeout = GroupStateTimeout.EventTimeTimeout if horizon_ms is not None else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*by).applyInPandasWithState(run, _schema(stream, shown), "n long, first string, last long", "append", timeout)
+    found = rows.groupBy("b").applyInPandasWithState(run, "k string, v string", "known string", "append", timeout)
+    cells = found.select(_read(stream, by, "k").alias("k"), (_read(stream, rest, "v") if rest else F.lit(None)).alias("v"))
+    shown = [F.col(f"k.c{by.index(c)}") if c in by else F.col(f"v.c{rest.index(c)}") for c in dict.fromkeys([*by, *keys])]
+    return cells.select(*(x.alias(c) for x, c in zip(shown, dict.fromkeys([*by, *keys]))))
 
 
 def without_next(stream: DataFrame, target: str, value: str, within: str, time: str, keys: list[str], late: str = "1 hour") -> DataFrame:
