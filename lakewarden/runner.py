@@ -89,8 +89,11 @@ def compile_rules(rules: list[Rule], table_of, study: Study, dialect: Dialect) -
                 keys = [table.resolve(g) for g in rule.grouping]
                 group = F.concat_ws("\x1f", *(tx.group_key(table.col(k), table.kind(k)) for k in keys if table.has(k)))
             values, sets, texts = _values(compiler, rule)
-            # Written out, as conditions may hold windows, which no array of structs can.
-            done.append(Compiled(rule, table.add(verdict), reasons, table.add(values), table.add(group) if group is not None else None, sets, texts))
+            # Verdicts are written out, as conditions may hold windows, which no array of structs can; so are values with
+            # bindings. Others are built of columns where a rule is violated, so that no row carries them through the plan.
+            if any(n.startswith("$") and n not in texts for n in rule.output or check_names(rule.check)):
+                values = table.add(values)
+            done.append(Compiled(rule, table.add(verdict), reasons, values, table.add(group) if group is not None else None, sets, texts))
         except RuleSkipped as e:
             table.df = before
             compiler._seen.clear()

@@ -178,3 +178,25 @@ def test_value_checks_read_what_they_can_violate(spark, tmp_path):
     assert found(leaf("variable_name", "is_contained_by", ["A", "Z"]), leaf("variable_value", "equal_to", "y", value_is_literal=True)) == ([(2, "A", "y")], ["A"])
     assert found(leaf("variable_name", "equal_to", "Q", value_is_literal=True), longer)[0] == []
     assert found(longer) == ([(1, "B", "long text")], ["A", "B", "N"])
+
+
+def test_values_are_built_of_violations_alone(spark):
+    """The values that findings show are not among the columns that every row carries, unless they come from a binding of the row."""
+    from lakewarden.model import Dataset, Dialect, Operation, Rule, Study
+    from lakewarden.plans.reshape import as_table
+    from lakewarden.runner import compile_rules, run
+
+    df = frame(spark, "a string, n double", [("", 1.0), ("x", 2.0), ("", 3.0)])
+    data = Dataset("XX", df, domain_value="XX")
+    most = Operation("$most", "max", {"name": "n", "group": ["a"]})
+    rules = [Rule(f"R{i}", leaf("a", "empty"), output=["a", "n"]) for i in range(5)] + [Rule("B", leaf("a", "empty"), output=["a", "$most"], operations=[most])]
+
+    def carried(some):
+        done, table, skipped = compile_rules(some, lambda: as_table(df, data, Study(), Dialect.CDISC), Study(), Dialect.CDISC)
+        assert len(done) == len(some) and not skipped
+        return sum(f.dataType.simpleString().startswith("array<struct") for f in table.df.schema)
+
+    assert carried(rules[:5]) == 0 and carried(rules) == 1
+    found = run(spark, rules, Study({"XX": data}), None).findings
+    want = {(f"R{i}", r, v, x) for i in range(5) for r, n in ((1, "1"), (3, "3")) for v, x in (("a", ""), ("n", n))} | {("B", r, v, x) for r in (1, 3) for v, x in (("a", ""), ("$most", "3"))}
+    assert {(r.rule_id, r.Record, r.Variable, r.Value.removesuffix(".0")) for r in found.collect()} == want
