@@ -1,21 +1,23 @@
 """The stage that drops near copies: SimHash fingerprints and their Gray-order index, with links by Jaccard similarity.
 
 Two texts are linked when their sets of shingles (as 64-bit hashes) have a
-similarity of ``SIMILAR`` at least, counted exactly. The fingerprints of ``simhash``,
-here of the sets, are searched in Gray order for pairs within ``BITS`` bits (a
-pair at the threshold differs in 10 to 12 on average and passes 24 with a
-probability of 3e-5 at most, where the sets are tiny), and each pair found is
-counted. Bands of a fingerprint cannot route so wide a search: 25 bands leave 2 or 3
-bits each, and nearly all texts would meet. So texts are routed to a search by
-``BANDS`` bands of ``ROWS`` min-hashes of the set: a pair at 0.8 is missed with a
-probability of 3e-8, a closer one more seldom.
-
-Texts with equal sets are made one first. In each bucket all members are counted
-against the bucket's first one, which settles most groups of near copies at a cost that grows
-with their size alone. Buckets whose members are not all linked by then are
-searched. The sets of those of over ``CROWD`` sets (or ``HASHES`` hashes) are routed on by the prefixes that
+similarity of ``SIMILAR`` at least, counted exactly. Each set has ``WORDS``
+fingerprints of 64 bits, the SimHash of its hashes mixed anew for each. As in ``simhash`` a fingerprint
+is routed by the bands of its bits, and each bucket is searched by the Gray-order
+index, here for fingerprints within ``RADIUS`` bits; what the index finds, and nothing else, is
+counted. Fingerprints of a pair at 0.8 differ in 10 of 64 bits on average, so one of them agrees on
+a band and lies within the radius, and the next two within ``WIDER``, with a probability of 0.45: all ``WORDS`` miss such a pair with
+4e-9 (1e-7 where a set of four hashes lies in one of five), a closer one more seldom.
+
+Sets that the index finds together in a bucket are a group; most of the fingerprints find the same
+groups, which are made one. Each set is counted against one other first, the smallest that leads a group of
+its own, which settles most near copies at a cost that grows with their number alone. Groups whose members are not all linked
+by then make families, those that share a set being one, and each family is searched by the index once more, now with the
+sets at hand. Families of over ``CROWD`` sets (or ``HASHES`` hashes),
+and buckets of over ``MOST`` times as many, are routed on by the prefixes that
 two similar sets must share a hash of (``_by_prefixes``), which leaves no pair out; sets that meet in a
-hash are dealt out so that no search holds much more. Only a spanning forest leaves a task.
+hash are dealt out so that no search holds much more. That search looks for fingerprints within ``BITS`` bits (a
+pair at the threshold passes 24 with a probability of 3e-5 at most, where the sets are tiny). Only a spanning forest leaves a task.
 
 Defined results: null text counts as empty; words are those of ``simhash``; a
 text of fewer words than a shingle is one shingle, and texts without words are
@@ -36,17 +38,27 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, hub_join, keyed, unkeyed, whole
 from .components import components
-from .simhash import SEED, gray_rank, linked, majority, shingle_hashes
+from .simhash import SEED, bands, gray_rank, linked, majority, shingle_hashes
 
 #: The least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 BITS = 24
-BANDS, ROWS, CROWD, HASHES = 24, 3, 512, 1 << 22
+CROWD, HASHES, MOST = 512, 1 << 22, 16
+#: Fingerprints of a set, the bits within which two are near, those within which the next two of both are, and in how many turns they are searched.
+WORDS, RADIUS, WIDER, TURNS = 32, 12, 30, 4
+#: Five bands of 12 or 13 bits.
+BANDS = [int(m) - (1 << 64 if m >> 63 else 0) for m in bands(0, 4)]
+#: Routed fingerprints in one task of a turn.
+ROUTED = 1 << 20
+#: A set of fewer hashes has several votes of each, as the majority of a few is often close.
+FEW, VOTES = 64, 3
 #: Hashes of a set in one Arrow batch.
 PORTION = 1 << 16
 _RNG = np.random.default_rng(SEED)
-_FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RNG.integers(0, 1 << 63, WORDS, np.uint64)
+_TIMES = _RNG.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_VOTE = _RNG.integers(0, 1 << 63, VOTES, np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = [(1, np.uint64(0x5555555555555555), 3), (2, np.uint64(0x3333333333333333), 5), (4, np.uint64(0x0F0F0F0F0F0F0F0F), 0)]
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -55,12 +67,24 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """One key per band, made of its min-hashes."""
-    least, step = np.full(BANDS * ROWS, ~np.uint64(0)), 1 << 12
+def fingerprints(own: np.ndarray) -> np.ndarray:
+    """The SimHashes of a set: of its hashes mixed anew for each, the bits set in over half."""
+    if len(own) < FEW:
+        own = (own[:, None] * _VOTE).ravel()
+    counts, step = np.zeros((8, WORDS, 8), np.int64), 255
     for i in range(0, len(own), step):
-        least = np.minimum(least, ((own[i : i + step, None] ^ _FLIP) * _TIMES).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(least[ROWS * b : ROWS * (b + 1)].tobytes(), b) for b in range(BANDS)], np.uint64)
+        some = own[i : i + step, None]
+        mixed = np.zeros((-(-len(some) // 15) * 15, WORDS), np.uint64)
+        np.multiply(some ^ _FLIP, _TIMES, out=mixed[: len(some)])
+        mixed ^= mixed >> np.uint64(32)
+        # Added up by threes in lanes of 2 bits, by fives of those in 4 bits, and then in bytes.
+        lanes = {0: mixed}
+        for shift, mask, rows in _LANES:
+            halves = {bit + k * shift: (x >> np.uint64(k * shift)) & mask for bit, x in lanes.items() for k in (0, 1)}
+            lanes = {bit: sum(x[k::rows] for k in range(rows)) if rows else x.sum(axis=0) for bit, x in halves.items()}
+        for bit, x in lanes.items():
+            counts[bit] += x.view(np.uint8).reshape(WORDS, 8)
+    return np.packbits(2 * counts > len(own), axis=0, bitorder="little").reshape(-1).view(np.uint64)
 
 
 class _Counted:
@@ -109,20 +133,20 @@ def alike(sets: list[np.ndarray], groups: np.ndarray | None = None) -> np.ndarra
 
 
 def _prints(docs: DataFrame, n: int) -> DataFrame:
-    """(rid, doc_id, name, size, keys) of each row: hash of its set, size of the set, bands."""
+    """(rid, doc_id, name, size, prints) of each row: hash of its set, size of the set, fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            names, sizes, prints = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, WORDS), np.uint64)
             for i, t in enumerate(batch.column(2).cast(pa.binary())):
                 own = shingles(t.as_py(), n)
-                names[i], sizes[i], keys[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), bands(own)
-            offsets = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
-            flat = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names.view(np.int64)), pa.array(sizes), flat], ["rid", "doc_id", "name", "size", "keys"])
+                names[i], sizes[i], prints[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), fingerprints(own)
+            offsets = pa.array(np.arange(0, prints.size + 1, WORDS, dtype=np.int32))
+            flat = pa.ListArray.from_arrays(offsets, pa.array(prints.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names.view(np.int64)), pa.array(sizes), flat], ["rid", "doc_id", "name", "size", "prints"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, f"rid bigint, doc_id {kind}, name bigint, size bigint, keys array<bigint>")
+    return docs.select("rid", "doc_id", "text").mapInArrow(run, f"rid bigint, doc_id {kind}, name bigint, size bigint, prints array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -156,37 +180,112 @@ def _searched(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(names[moved]), "b": pa.array(names[label[moved]])})
 
 
+def _grouped(crowd: int):
+    """Groups that the index finds in the buckets of a partition sorted by key; a bucket may span batches."""
+
+    def done(rows: np.ndarray, over: list[int]) -> pa.RecordBatch:
+        """Rows of whole buckets; those of the bucket ``over`` (key, first name) are the rest of one."""
+        order = np.lexsort((gray_rank(rows[1].view(np.uint64)), rows[0]))
+        key, fp, one, two, name, size = rows[:, order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(start, len(key)))
+        large = np.repeat((count > MOST * crowd) | (key[start] == over[0] if over else False), count)
+        label = np.repeat(start, count)
+        few = np.flatnonzero(~large)
+        fp, one, two = (x[few].view(np.uint64) for x in (fp, one, two))
+
+        def confirm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(one[a] ^ one[b]) + np.bitwise_count(two[a] ^ two[b]) <= WIDER
+
+        label[few] = few[linked(label[few], fp, RADIUS, confirm=confirm)]
+        # Members of a group side by side, in the order of their names.
+        order = np.lexsort((name, label))
+        key, name, size, large, label = (x[order] for x in (key, name, size, large, label))
+        start = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
+        count = np.diff(np.append(start, len(label)))
+        lead = name[start]
+        if over:
+            lead[large[start] & (key[start] == over[0])] = over[1]
+        # A group is named by its members, so that it is one wherever it is found; a large bucket by its key.
+        mixed = name.view(np.uint64) * _TIMES[0]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * _TIMES[1]
+        mark = np.where(large[start], key[start], np.add.reduceat(mixed, start).view(np.int64))
+        crowded = large[start] | (count > crowd) | (np.add.reduceat(size, start) > HASHES)
+        some = np.repeat((count > 1) | large[start], count)
+        columns = [np.repeat(mark, count), name, size, np.repeat(lead, count), np.repeat(crowded, count)]
+        return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], ["key", "name", "size", "lead", "crowded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        over: list[int] = []
+        enough = max(100_000, 2 * MOST * crowd)
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            if sum(x.shape[1] for x in held) < enough:
+                continue
+            rows = np.concatenate(held, axis=1)
+            last = rows[0] == rows[0, -1]
+            if last.all():  # a large bucket passes without being held
+                over = over if over and over[0] == rows[0, 0] else [rows[0, 0], rows[4].min()]
+                yield done(rows, over)
+                held = []
+            else:
+                yield done(rows[:, ~last], over)
+                held = [rows[:, last]]
+        if held and held[0].shape[1]:
+            yield done(np.concatenate(held, axis=1), over)
+
+    return run
+
+
+def groups(nodes: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
+    """(key, name, size, lead, crowded): groups of ``nodes`` (name, size, prints) that the Gray-order index finds within a bucket, each once."""
+    step = WORDS // TURNS
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * step * len(BANDS) // ROUTED))
+    found = None
+    for turn in range(TURNS):  # so that a part of the routed fingerprints lies on disk at a time
+        each = nodes.select("name", "size", "prints", F.posexplode(F.slice("prints", turn * step + 1, step)).alias("word", "fp"))
+        others = [F.get("prints", (F.col("word") + turn * step + k) % WORDS).alias(f"fp{k}") for k in (1, 2)]
+        routed = each.select(F.explode(F.array(*(F.xxhash64(F.lit(turn), "word", F.lit(m), F.col("fp").bitwiseAND(F.lit(m))) for m in BANDS))).alias("key"), "fp", *others, "name", "size")
+        some = routed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_grouped(crowd), "key bigint, name bigint, size bigint, lead bigint, crowded boolean")
+        some = scratch.keep(some)
+        found = some if found is None else found.union(some)
+    return scratch.keep(found.groupBy("key", "name").agg(F.first("size").alias("size"), F.min("lead").alias("lead"), F.max("crowded").alias("crowded")))
+
+
 def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, n: int, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) between distinct sets ``nodes`` (name, rid, size, keys) that span every link."""
+    """Edges (a, b) between distinct sets ``nodes`` (name, rid, size, prints) that span every link."""
     edge = "a bigint, b bigint"
-    routed = nodes.select("name", "size", F.explode("keys").alias("key"))
-    # Buckets with the same members are one; most near copies meet in many bands.
-    mark = F.sum(F.xxhash64("name").cast("decimal(20,0)")).alias("mark")
-    shared = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"), F.min("name").alias("lead"), mark).filter("n > 1")
-    shared = scratch.keep(shared.groupBy("n", "hashes", "lead", "mark").agg(F.min("key").alias("key")).withColumn("size", F.col("n")))
-    parts = F.greatest(F.ceil(F.col("n") * 2 / crowd), F.ceil(F.col("hashes") * 2 / HASHES)).cast("int")
-    parts = F.when((F.col("n") <= crowd) & (F.col("hashes") <= HASHES), 1).otherwise(parts)
-    part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-    met = hub_join(routed.select("key", "name"), shared, ["key"], "name").withColumnRenamed("size", "n").withColumn("parts", parts)
-    met = scratch.keep(met.select("key", "name", "n", "lead", "parts", part.alias("part")))
+    met = groups(nodes, scratch, crowd)
     wanted = met.select("name").distinct().join(nodes.select("name", "rid").hint("merge"), "name")
     sets = scratch.keep(_sets(docs, wanted, n))
 
-    # Each member meets the first of its bucket, once however many buckets they share; that one goes to each part.
-    pairs = met.filter("name <> lead").groupBy("lead", "name").agg(F.max("parts").alias("parts"))
-    members = pairs.select("lead", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), "name")
+    # Each set meets one that leads a group of its own; that one goes to each part.
+    pairs = scratch.keep(met.filter("name <> lead").groupBy("name").agg(F.min("lead").alias("first"), F.first("size").alias("size")))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) * 2 / crowd), F.ceil(F.sum("size") * 2 / HASHES)).cast("int")
+    per = scratch.keep(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")))
+    members = hub_join(pairs, per, ["first"], "name").select(F.col("first").alias("lead"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), "name")
     firsts = members.select("lead", "part").distinct().select("lead", "part", F.col("lead").alias("name"))
     one = members.union(firsts).join(sets.hint("merge"), "name")
     near = scratch.keep(one.groupBy("lead", "part").applyInArrow(_with_first, edge))
     roots = scratch.keep(components(near, scratch))
 
-    # Of two members all is known. A bucket whose members are one component by now has nothing left to link.
-    rest = met.filter("n > 2").join(roots.hint("merge"), met["name"] == roots["node"], "left").select("key", "name", "parts", F.coalesce("root", "name").alias("root"))
+    # A group whose members are one component by now has nothing left to link, nor has a pair that was counted.
+    rest = met.join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").join(pairs.select("name", "first").hint("merge"), "name", "left")
+    rest = rest.select("key", "name", "lead", "size", "crowded", F.coalesce("root", "name").alias("root"), F.coalesce(F.col("first") == F.col("lead"), F.lit(False)).alias("counted"))
     rest = scratch.keep(rest)
-    split = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y").select("key", "n")
-    left = scratch.keep(hub_join(rest, scratch.keep(split), ["key"], "name"))
-    small = left.filter("parts = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "name", "root")
-    crowds = scratch.keep(left.filter("parts > 1").select("name", "root").distinct())
+    split = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"), F.max("counted").alias("counted"), F.max("crowded").alias("crowd"))
+    split = scratch.keep(split.filter("x < y and (crowd or n > 2 or not counted)").select("key", "n"))
+    left = scratch.keep(hub_join(rest, split, ["key"], "name").select("name", "lead", "size", "crowded", "root"))
+    # Groups that share a set are one family, so that each set is searched once.
+    families = components(left.select(F.col("name").alias("a"), F.col("lead").alias("b")), scratch)
+    each = left.groupBy("name").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.max("crowded").alias("crowded"))
+    each = scratch.keep(each.join(families.select(F.col("node").alias("name"), F.col("root").alias("key")).hint("merge"), "name"))
+    large = (F.count(F.lit(1)) > crowd) | (F.sum("size") > HASHES) | F.max("crowded")
+    asked = hub_join(each.drop("crowded"), scratch.keep(each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), large.alias("large"))), ["key"], "name")
+    asked = scratch.keep(asked.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "name", "root", "large"))
+    crowds = scratch.keep(asked.filter("large").select("name", "root"))
+    small = asked.filter("not large").drop("large")
     asked = small if crowds.isEmpty() else small.union(_by_prefixes(crowds, sets, scratch, crowd))
     found = asked.join(sets.hint("merge"), "name").groupBy("key", "i", "j").applyInArrow(_searched, edge)
     return near.union(scratch.keep(found))
@@ -246,7 +345,7 @@ def least_rows(docs: DataFrame, n: int, scratch: Scratch, crowd: int = CROWD) ->
     """(rid) of the row with the smallest doc_id in each component of ``docs`` (rid, doc_id, text)."""
     arrow_rows(docs.sparkSession)
     prints = scratch.keep(_prints(docs, n))
-    nodes = scratch.keep(prints.groupBy("name").agg(F.min(F.struct("doc_id", "rid")).alias("best"), F.min("rid").alias("rid"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    nodes = scratch.keep(prints.groupBy("name").agg(F.min(F.struct("doc_id", "rid")).alias("best"), F.min("rid").alias("rid"), F.first("size").alias("size"), F.first("prints").alias("prints")))
     roots = components(links(docs, nodes, scratch, n, crowd), scratch)
     named = nodes.join(roots.hint("merge"), nodes["name"] == roots["node"], "left").select("best", F.coalesce("root", "name").alias("root"))
     return scratch.keep(named.groupBy("root").agg(F.min("best").alias("best")).select("best.rid"))

@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 import corpus_pipeline as cp
 from lakewarden.llm.common import Scratch
-from lakewarden.llm.near_copies import _by_prefixes, alike, drop_near_copies, shingles
+from lakewarden.llm.near_copies import WORDS, _by_prefixes, _grouped, alike, drop_near_copies, fingerprints, groups, shingles
 
 
 def brute_least(rows, n=5):
@@ -56,6 +58,52 @@ def test_similarity_at_the_threshold():
     assert len(set(alike([a[:8], np.append(a[1:8], x)], np.array([5, 5])))) == 1  # linked beforehand
 
 
+def test_fingerprints_are_majorities_of_bits():
+    """All of a set's fingerprints against SimHashes counted bit by bit, over several portions."""
+    h = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 700, np.uint64))
+    own, other = fingerprints(h), fingerprints(h[::-1])
+    assert len(own) == WORDS == len(set(own.tolist())) and own.tolist() == other.tolist()
+    apart = np.bitwise_count(own ^ fingerprints(h[: 560 + 70]))
+    assert 6 < apart.mean() < 12
+    unlike = np.bitwise_count(own ^ fingerprints(h * np.uint64(3)))
+    assert 28 < unlike.mean() < 36
+
+
+def test_the_index_finds_pairs_at_the_threshold(spark):
+    """Pairs of 0.8 reach a count through their fingerprints alone, and unlike sets do not meet."""
+    rng, sets = np.random.default_rng(6), []
+    for common in (4, 8, 40, 80, 400):
+        for _ in range(40):
+            h = rng.integers(0, 1 << 63, common * 5 // 4, np.uint64)
+            rest = h[common:]
+            sets += [h[:common], h] if common == 4 else [np.append(h[:common], rest[::2]), np.append(h[:common], rest[1::2])]
+    rows = [(i, len(s), fingerprints(np.unique(s)).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    scratch = Scratch(spark, "groups")
+    nodes = scratch.keep(spark.createDataFrame(rows, "name bigint, size bigint, prints array<bigint>"))
+    found = {}
+    for r in groups(nodes, scratch).collect():
+        found.setdefault(r.key, []).append(r.name)
+        assert not r.crowded and r.lead == r.name // 2 * 2 and r.size == len(sets[r.name])
+    assert sorted(sorted(names) for names in found.values()) == [[i, i + 1] for i in range(0, len(sets), 2)]
+
+
+def test_a_bucket_beyond_a_task_passes_whole():
+    """250,000 fingerprints of one bucket and two of another, in batches: none is lost, and the large one has one lead."""
+    n = 250_000
+    key = np.append(np.full(n, 3), [8, 8])
+    fp = np.random.default_rng(7).integers(0, 1 << 63, n + 2)
+    fp[-1] = fp[-2]
+    name = np.append(np.random.default_rng(8).permutation(n), [n, n + 1])
+    rows = [key, fp, fp, fp, name, np.full(n + 2, 9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 40_000]) for c in rows], ["key", "fp", "fp1", "fp2", "name", "size"]) for i in range(0, n + 2, 40_000)]
+    out = pa.Table.from_batches(list(_grouped(4)(iter(batches))))
+    large = out.filter(out["crowded"])
+    assert sorted(large["name"].to_pylist()) == list(range(n))
+    assert len(set(large["lead"].to_pylist())) == len(set(large["key"].to_pylist())) == 1
+    few = out.filter(pa.compute.invert(out["crowded"]))
+    assert few["name"].to_pylist() == [n, n + 1] and few["lead"].to_pylist() == [n, n]
+
+
 def routed(spark, sets, roots=None, crowd=512):
     scratch = Scratch(spark, "prefixes")
     names = scratch.keep(spark.createDataFrame([(i, roots[i] if roots else i) for i in range(len(sets))], "name bigint, root bigint"))
