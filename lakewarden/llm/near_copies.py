@@ -10,7 +10,8 @@ a band and lies within the radius, and the next two within ``WIDER``, with a pro
 4e-9 (1e-7 where a set of four hashes lies in one of five), a closer one more seldom.
 
 Sets that the index finds together in a bucket are a group; most of the fingerprints find the same
-groups, which are made one. Each set is counted against one other first, the smallest that leads a group of
+groups, which are made one, as are those of over two sets with the same first one. What is joined to a set is
+joined once, beside the list of its groups (one per band at most), and not for each group. Each set is counted against one other first, the smallest that leads a group of
 its own, which settles most near copies at a cost that grows with their number alone. Groups whose members are not all linked
 by then make families, those that share a set being one, and each family is searched by the index once more, now with the
 sets at hand. Families of over ``CROWD`` sets (or ``HASHES`` hashes),
@@ -206,10 +207,10 @@ def _grouped(crowd: int):
         lead = name[start]
         if over:
             lead[large[start] & (key[start] == over[0])] = over[1]
-        # A group is named by its members, so that it is one wherever it is found; a large bucket by its key.
+        # A group is named by its first member, as groups that share it are searched together anyway; a pair by both, as it is settled alone.
         mixed = name.view(np.uint64) * _TIMES[0]
         mixed = (mixed ^ mixed >> np.uint64(32)) * _TIMES[1]
-        mark = np.where(large[start], key[start], np.add.reduceat(mixed, start).view(np.int64))
+        mark = np.where(large[start] | (count > 2), lead, np.add.reduceat(mixed, start).view(np.int64))
         crowded = large[start] | (count > crowd) | (np.add.reduceat(size, start) > HASHES)
         some = np.repeat((count > 1) | large[start], count)
         columns = [np.repeat(mark, count), name, size, np.repeat(lead, count), np.repeat(crowded, count)]
@@ -253,15 +254,24 @@ def groups(nodes: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
     return scratch.keep(found.groupBy("key", "name").agg(F.first("size").alias("size"), F.min("lead").alias("lead"), F.max("crowded").alias("crowded")))
 
 
+def _by_set(found: DataFrame) -> DataFrame:
+    """(name, size, first, met): each set once, with the groups ``found`` of it and the smallest other set that leads one.
+
+    A set has a group per band of its fingerprints at most, however many others are near it.
+    """
+    first = F.min(F.when(F.col("lead") != F.col("name"), F.col("lead"))).alias("first")
+    return found.groupBy("name").agg(F.first("size").alias("size"), first, F.collect_list(F.struct("key", "lead", "crowded")).alias("met"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, n: int, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) between distinct sets ``nodes`` (name, rid, size, prints) that span every link."""
     edge = "a bigint, b bigint"
-    met = groups(nodes, scratch, crowd)
-    wanted = met.select("name").distinct().join(nodes.select("name", "rid").hint("merge"), "name")
+    met = scratch.keep(_by_set(groups(nodes, scratch, crowd)))
+    wanted = met.select("name").join(nodes.select("name", "rid").hint("merge"), "name")
     sets = scratch.keep(_sets(docs, wanted, n))
 
     # Each set meets one that leads a group of its own; that one goes to each part.
-    pairs = scratch.keep(met.filter("name <> lead").groupBy("name").agg(F.min("lead").alias("first"), F.first("size").alias("size")))
+    pairs = scratch.keep(met.filter("first is not null").select("name", "first", "size"))
     parts = F.greatest(F.ceil(F.count(F.lit(1)) * 2 / crowd), F.ceil(F.sum("size") * 2 / HASHES)).cast("int")
     per = scratch.keep(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")))
     members = hub_join(pairs, per, ["first"], "name").select(F.col("first").alias("lead"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), "name")
@@ -271,9 +281,8 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, n: int, crowd: in
     roots = scratch.keep(components(near, scratch))
 
     # A group whose members are one component by now has nothing left to link, nor has a pair that was counted.
-    rest = met.join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").join(pairs.select("name", "first").hint("merge"), "name", "left")
-    rest = rest.select("key", "name", "lead", "size", "crowded", F.coalesce("root", "name").alias("root"), F.coalesce(F.col("first") == F.col("lead"), F.lit(False)).alias("counted"))
-    rest = scratch.keep(rest)
+    rest = met.join(roots.withColumnRenamed("node", "name").hint("merge"), "name", "left").select("name", "size", F.coalesce("root", "name").alias("root"), "first", F.explode("met").alias("met"))
+    rest = scratch.keep(rest.select("met.*", "name", "size", "root", F.coalesce(F.col("first") == F.col("met.lead"), F.lit(False)).alias("counted")))
     split = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"), F.max("counted").alias("counted"), F.max("crowded").alias("crowd"))
     split = scratch.keep(split.filter("x < y and (crowd or n > 2 or not counted)").select("key", "n"))
     left = scratch.keep(hub_join(rest, split, ["key"], "name").select("name", "lead", "size", "crowded", "root"))

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline as cp
 from lakewarden.llm.common import Scratch
-from lakewarden.llm.near_copies import WORDS, _by_prefixes, _grouped, alike, drop_near_copies, fingerprints, groups, shingles
+from lakewarden.llm.near_copies import WORDS, _by_prefixes, _by_set, _grouped, alike, drop_near_copies, fingerprints, groups, shingles
 
 
 def brute_least(rows, n=5):
@@ -87,6 +87,27 @@ def test_the_index_finds_pairs_at_the_threshold(spark):
     assert sorted(sorted(names) for names in found.values()) == [[i, i + 1] for i in range(0, len(sets), 2)]
 
 
+def test_one_large_group_of_near_copies_is_a_row_per_set(spark):
+    """300 near copies meet in other company under each band: groups with one first set are one, and a set is joined once."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 100, np.uint64)
+    sets = [np.append(rng.permutation(base)[:95], rng.integers(0, 1 << 63, 5, np.uint64)) for _ in range(300)]
+    rows = [(i, len(s), fingerprints(np.unique(s)).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    scratch = Scratch(spark, "large group")
+    nodes = scratch.keep(spark.createDataFrame(rows, "name bigint, size bigint, prints array<bigint>"))
+    found = scratch.keep(groups(nodes, scratch))
+    by_key = {}
+    for r in found.collect():
+        by_key.setdefault((r.key, r.lead), []).append(r.name)
+    large = [lead for (_, lead), names in by_key.items() if len(names) > 2]
+    assert len(large) == len(set(large)) > 10
+    assert all(min(names) == lead and len(set(names)) == len(names) for (_, lead), names in by_key.items())
+    each = _by_set(found).collect()
+    assert sorted(r.name for r in each) == list(range(300))
+    assert sorted((m.key, m.lead, r.name) for r in each for m in r.met) == sorted((*k, name) for k, names in by_key.items() for name in names)
+    assert all(r.first == min((m.lead for m in r.met if m.lead != r.name), default=None) and r.size == 100 for r in each)
+
+
 def test_a_bucket_beyond_a_task_passes_whole():
     """250,000 fingerprints of one bucket and two of another, in batches: none is lost, and the large one has one lead."""
     n = 250_000
