@@ -164,5 +164,5 @@ class Result:
 
     def release(self) -> None:
         """Give back the storage of the passes, once the findings have been read."""
-        for kept in self.info.get("passes", []):
+        for kept in self.info.get("kept", []):
             kept.unpersist()

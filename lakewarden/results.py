@@ -119,7 +119,8 @@ def with_triage(findings: DataFrame, rules: dict[str, Rule]) -> DataFrame:
         F.lit(OPTIONAL),
     )
     facts = facts.select("rule_id", "Dataset", triage.alias("triage"))
-    return findings.drop("triage").join(facts, ["rule_id", "Dataset"], "left").select(*FINDING_COLUMNS)
+    # One row per rule and dataset is broadcast, so that findings are not dealt by rule.
+    return findings.drop("triage").join(F.broadcast(facts), ["rule_id", "Dataset"], "left").select(*FINDING_COLUMNS)
 
 
 def melt(hits: DataFrame) -> DataFrame:

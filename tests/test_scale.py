@@ -200,3 +200,30 @@ def test_values_are_built_of_violations_alone(spark):
     found = run(spark, rules, Study({"XX": data}), None).findings
     want = {(f"R{i}", r, v, x) for i in range(5) for r, n in ((1, "1"), (3, "3")) for v, x in (("a", ""), ("n", n))} | {("B", r, v, x) for r in (1, 3) for v, x in (("a", ""), ("$most", "3"))}
     assert {(r.rule_id, r.Record, r.Variable, r.Value.removesuffix(".0")) for r in found.collect()} == want
+
+
+def test_a_pass_is_kept_on_disk_as_a_row_per_record(spark):
+    """However many rules a record violates, one row is kept of it, and nothing of it in memory; findings are the same."""
+    from lakewarden.model import Dataset, Operation, Rule, Study
+    from lakewarden.runner import FUSE, run
+
+    df = frame(spark, "a string, b string, n double", [("", "p", 1.0), ("x", "p", 2.0), ("", "q", 3.0), ("x", "q", None)])
+    data = Dataset("XX", df, domain_value="XX")
+    plain = [Rule(f"R{i:02}", leaf("a", "empty" if i % 2 else "non_empty"), output=[("a", "n")[i % 3 > 0], "zz"]) for i in range(FUSE - 3)]
+    most = Operation("$most", "max", {"name": "n", "group": ["b"]})
+    others = [
+        Rule("B", leaf("a", "empty"), output=["n", "$most"], operations=[most]), Rule("D", leaf("a", "empty"), output=["b"], sensitivity="Dataset"),
+        Rule("G", leaf("a", "empty"), output=["b"], sensitivity="Group", grouping=["b"]),
+    ]
+    out = run(spark, [*plain, *others], Study({"XX": data}), None)
+    (kept,) = out.info["kept"]
+    assert kept.count() == 4
+    level = kept.storageLevel
+    assert level.useDisk and not level.useMemory
+    number = {1: "1", 2: "2", 3: "3", 4: ""}
+    want = {(f"R{i:02}", r, v, number[r] if v == "n" else "x" if v == "a" and not i % 2 else "Not in dataset" if v == "zz" else "") for i in range(FUSE - 3) for r in ((1, 3) if i % 2 else (2, 4)) for v in (("a", "n")[i % 3 > 0], "zz")}
+    want |= {("B", r, v, x) for r, m in ((1, "2"), (3, "3")) for v, x in (("n", str(r)), ("$most", m))} | {("D", None, "b", "p"), ("G", 1, "b", "p"), ("G", 3, "b", "q")}
+    found = out.findings.collect()
+    assert len(found) == len(want) and {(r.rule_id, r.Record, r.Variable, r.Value.removesuffix(".0")) for r in found} == want
+    out.release()
+    assert not kept.storageLevel.useDisk
